@@ -1,0 +1 @@
+"""operators of the engine; see the modules inside."""

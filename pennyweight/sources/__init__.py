@@ -1,0 +1 @@
+"""sources of the engine; see the modules inside."""

@@ -1,0 +1 @@
+"""streaming of the engine; see the modules inside."""
