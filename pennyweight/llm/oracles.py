@@ -51,4 +51,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7}
+OP8 = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, coalesce(text, '') AS text,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens
+  FROM documents
+), src AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source
+), shares AS (
+  SELECT source, tokens, tokens / sum(tokens) OVER () AS share,
+         CAST(least(greatest(ceil(tokens / 8192), 1), 4096) AS BIGINT) AS blocks FROM src
+), ends AS (
+  SELECT min(share) / max(share) AS ratio FROM shares
+), bisect(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN pow(ratio, (low + high) / 2 - 1) <= 2.0 THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(ratio, (low + high) / 2 - 1) <= 2.0 THEN (low + high) / 2 ELSE high END
+  FROM bisect, ends WHERE i < 54
+), a AS (
+  SELECT high AS a FROM bisect WHERE i = 54
+), weights AS (
+  SELECT source, tokens, blocks, pow(share, a) / sum(pow(share, a)) OVER () AS weight FROM shares, a
+), plan AS (
+  SELECT source, tokens, blocks, CAST(round(weight * max(tokens / weight) OVER ()) AS BIGINT) AS budget FROM weights
+), placed AS (
+  SELECT doc_id, d.source, text, n_tokens, tokens, budget,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % blocks AS block
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+), sizes AS (
+  SELECT source, block, tokens, budget, CAST(sum(n_tokens) AS BIGINT) AS size FROM placed GROUP BY ALL
+), passes AS (
+  SELECT *, unnest(range(budget // tokens + 1)) AS epoch FROM sizes
+), ranked AS (
+  SELECT *, row_number() OVER w AS block_rank,
+         CASE WHEN epoch < budget // tokens THEN size ELSE budget % tokens - (sum(size) OVER w - size) END AS room
+  FROM passes
+  WINDOW w AS (PARTITION BY source, epoch ORDER BY CAST('0x' || substr(md5(coalesce(source, '-') || ':' || epoch || ':' || block), 1, 8) AS BIGINT), block ROWS UNBOUNDED PRECEDING)
+), met AS (
+  SELECT doc_id, p.source, epoch, p.block, block_rank, n_tokens, room, size,
+         sum(n_tokens) OVER (PARTITION BY p.source, epoch, p.block ORDER BY CAST('0x' || substr(md5(doc_id || ':' || epoch), 1, 8) AS BIGINT), doc_id, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM placed p JOIN ranked r ON p.source IS NOT DISTINCT FROM r.source AND p.block = r.block
+  WHERE room > 0
+)
+SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, block_rank, n_tokens FROM met WHERE room >= size OR upto <= room
+"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, simhash, suffixes, tokenfiles, windows
+from . import chat, mixing, packing, quality, simhash, suffixes, tokenfiles, topk, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.usable(table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    taken = mixing.mix(docs)
+    return taken.select(
+        "doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_block_rank").alias("block_rank"), F.col("_tokens").alias("n_tokens")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -59,5 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
