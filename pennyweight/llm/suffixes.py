@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import materialise, mix64, ranges
@@ -308,6 +309,27 @@ def _gone(units: Units, shards: int, got: dict[int, dict[int, bytes]], length: i
     return total > before
 
 
+def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` without repeated strings: ``text`` (and ``n_chars``, if there) are what stays.
+
+    Bytes of a character that lost others go too.
+    """
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    found = removals(plain, length, gram, tuple(f"_keep_{c}" for c in keep))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, *(batch.column(f"_keep_{c}") for c in keep)], ["doc_id", "text", *keep])
+
+    kinds = dict(docs.dtypes)
+    out = found.mapInArrow(decode, ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in keep)]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
+    return out.select(*docs.columns)
+
+
 def _cut(block: B.Block, gone: np.ndarray) -> pa.RecordBatch:
     n = len(block.doc_ids)
     sizes = np.diff(block.starts)
