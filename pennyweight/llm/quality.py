@@ -130,5 +130,13 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return assess(docs, rules).where("kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with.
+
+    The optimizer would push the filter below the projections, and so copy
+    each count's expression into every place that uses it.  A column that
+    is not deterministic keeps the filter above them.
+    """
+    clash = {c: f"_given_{k}" for k, c in enumerate(docs.columns)}
+    held = docs.select(F.col("text"), *(F.col(f"`{c}`").alias(n) for c, n in clash.items()))
+    judged = assess(held, rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*(F.col(n).alias(c) for c, n in clash.items()))
