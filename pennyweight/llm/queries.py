@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, suffixes, tokenfiles, topk, windows
+from . import chat, mixing, packing, quality, scoring, simhash, suffixes, tokenfiles, topk, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(tokenfiles.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.removals(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,6 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_window_dedup": op3_window_dedup,
     "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
