@@ -1 +1,109 @@
-"""(to come)"""
+"""Counting once, and the identity operators (D-series)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import codes
+from ..operators import identity, once
+from .ledger import items, with_items
+from .registry import query, table
+
+_L = "l_shipdate, l_partkey, l_linenumber, l_quantity, l_extendedprice"
+_CON = "CASE WHEN l_quantity % 4 = 0 THEN '' WHEN l_quantity % 4 = 1 THEN 'PO# ' || l_suppkey WHEN l_quantity % 4 = 2 THEN 'po' || l_suppkey ELSE CAST(l_suppkey AS VARCHAR) END"
+_KEY = "CASE WHEN l_quantity % 4 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END"
+
+
+def _contracts(spark, sf):
+    """Items with a contract number in several spellings, and terms stated or missing."""
+    q = F.col("l_quantity") % 4
+    number = F.when(q == 0, "").when(q == 1, F.concat(F.lit("PO# "), "l_suppkey")).when(q == 2, F.concat(F.lit("po"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
+    return items(spark, sf).select(
+        "id", "currency", "supplier_key", "buyer_key", "award_date", F.lit(1).alias("amount"), F.col("method").alias("description"), number.alias("contract_no"),
+        F.when(F.col("l_linenumber") % 2 == 0, "N/A").otherwise("").alias("term"), F.lit("").alias("renewal"),
+    )
+
+
+@query("d01_latest_amendment", f"SELECT l_orderkey, l_suppkey, price AS amount, versions FROM (SELECT l_orderkey, l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, l_quantity, count(*) OVER w AS versions, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_partkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS r FROM lineitem WHERE l_tax <= 0.06 OR l_suppkey % 10 = 0 WINDOW w AS (PARTITION BY l_orderkey, l_suppkey)) JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, arg_max(l_tax, ({_L})) AS tax FROM lineitem WHERE l_tax <= 0.06 OR l_suppkey % 10 = 0 GROUP BY ALL) ON l_orderkey = o AND l_suppkey = s WHERE r = 1 AND tax <= 0.06")
+def d01(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("amount", F.col("l_extendedprice").cast("decimal(18,2)"))
+    out = once.latest_in_region(rows, ["l_orderkey", "l_suppkey"], [F.col(c) for c in _L.split(", ")], ["amount"], F.col("l_tax") <= 0.06, F.col("l_suppkey") % 10 == 0)
+    return out.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("d02_agreements", f"SELECT l_suppkey, l_partkey, CAST(CASE WHEN l_suppkey % 3 = 0 THEN sum(price) ELSE arg_max(price, ({_L})) END AS DOUBLE) AS amount, count(*) AS amendments FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem) GROUP BY l_suppkey, l_partkey")
+def d02(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
+    out = once.latest_or_sum(rows, ["l_suppkey", "l_partkey"], [F.col(c) for c in _L.split(", ")], "price", F.col("l_suppkey") % 3 == 0)
+    return out.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("d03_latest_notice", "SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, count(*) AS versions FROM orders GROUP BY ALL")
+def d03(spark, sf):
+    return once.keep_latest(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], [F.col("o_orderkey")], ["o_orderkey"])
+
+
+@query("d04_unit_scaling", with_items("SELECT place, fiscal_year, CAST(sum(amount) * 1000000 AS DOUBLE) AS amount FROM items WHERE dataset = 'notice' AND currency = 'CAD' GROUP BY ALL"))
+def d04(spark, sf):
+    return items(spark, sf).where("dataset = 'notice' AND currency = 'CAD'").groupBy("place", "fiscal_year").agg((F.sum("amount") * 1_000_000).cast("double").alias("amount"))
+
+
+@query("d05_count_once", with_items(f"""
+SELECT id, counted_id, CAST(printing AS INTEGER) AS printing FROM (
+  SELECT id, first_value(id) OVER w AS counted_id, row_number() OVER w AS printing
+  FROM (SELECT *, CASE WHEN k = '' OR currency <> 'CAD' THEN id END AS alone FROM (SELECT *, {_KEY} AS k FROM items))
+  WINDOW w AS (PARTITION BY k, supplier_key, buyer_key, award_date, method, alone ORDER BY id))"""))
+def d05(spark, sf):
+    return once.repeats(_contracts(spark, sf), ["id"]).select("id", "counted_id", "printing")
+
+
+@query("d05b_contract_keys", with_items(f"SELECT DISTINCT {_CON} AS printed, {_KEY} AS contract_key FROM items"))
+def d05b(spark, sf):
+    return _contracts(spark, sf).select(F.col("contract_no").alias("printed"), codes.contract_key(F.col("contract_no")).alias("contract_key")).distinct()
+
+
+@query("d06_reviewed_decisions", with_items("SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.amount = b.amount THEN 'repeat' WHEN a.award_date = b.award_date THEN 'correction' ELSE 'keep' END AS decision FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.supplier_key = b.supplier_key AND a.id < b.id"))
+def d06(spark, sf):
+    rows = items(spark, sf).select("id", "l_orderkey", "supplier_key", "amount", "award_date")
+    a = rows.withColumnsRenamed({"id": "id_a", "amount": "x", "award_date": "d"})
+    b = rows.withColumnsRenamed({"id": "id_b", "amount": "y", "award_date": "e"})
+    decision = F.when(F.col("x") == F.col("y"), "repeat").when(F.col("d") == F.col("e"), "correction").otherwise("keep")
+    return a.join(b, ["l_orderkey", "supplier_key"]).where("id_a < id_b").select("id_a", "id_b", decision.alias("decision"))
+
+
+@query("d07_pair_audit", with_items("SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.supplier_key = b.supplier_key AND a.currency = b.currency AND a.description = b.description AND (a.award_date, a.id) < (b.award_date, b.id) AND b.award_date - a.award_date <= 31"))
+def d07(spark, sf):
+    return once.near_in_time(items(spark, sf), ["supplier_key", "currency", "description"], "award_date", 31, "id").select("a", "b")
+
+
+@query("d08_edit_distance")
+def d08(spark, sf):
+    """Pairs of part names that share a block and lie one or two slips apart."""
+    names = table(spark, sf, "part").select("p_name").distinct()
+    return identity.near_names(names, "p_name")
+
+
+@query("d11_unit_of", "SELECT a.p_type AS body, b.p_name AS name FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS p_type FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON b.p_name LIKE a.p_type || ' %'")
+def d11(spark, sf):
+    names = table(spark, sf, "part").select("p_name").distinct()
+    bodies = names.select(F.split("p_name", " ")[0].alias("body")).distinct()
+    return bodies.join(names, F.col("body") == F.split("p_name", " ")[0]).where(F.startswith("p_name", F.concat("body", F.lit(" ")))).select("body", F.col("p_name").alias("name"))
+
+
+@query("d14_identities")
+def d14(spark, sf):
+    """Suppliers' names with planted spellings, joined on evidence."""
+    return identity.resolve(*identity.demonstration(table(spark, sf, "supplier")))
+
+
+@query("d15_group_key", with_items("SELECT place, arg_max(supplier_key, (n, v, -supplier_key)) AS supplier_key FROM (SELECT place, supplier_key, count(*) AS n, coalesce(sum(amount), 0) AS v FROM items GROUP BY ALL) GROUP BY place"))
+def d15(spark, sf):
+    by = items(spark, sf).groupBy("place", "supplier_key").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("v"))
+    return by.groupBy("place").agg(F.max_by("supplier_key", F.struct("n", "v", -F.col("supplier_key"))).alias("supplier_key"))
+
+
+@query("d19_net_change", with_items("SELECT supplier_key, CAST(sum(amount) AS DOUBLE) AS before, CAST(sum(CASE WHEN l_linenumber <> 1 THEN amount END) AS DOUBLE) AS after FROM items GROUP BY supplier_key HAVING sum(amount) IS DISTINCT FROM sum(CASE WHEN l_linenumber <> 1 THEN amount END)"))
+def d19(spark, sf):
+    rows = items(spark, sf)
+    total = lambda df: df.groupBy("supplier_key").agg(F.sum("amount").cast("double").alias("v"))
+    return once.changed(total(rows), total(rows.where("l_linenumber <> 1")), ["supplier_key"], "v").drop("change")
