@@ -1 +1,69 @@
-"""(to come)"""
+"""Checks and reconciliation (V-series)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import checking as C
+from .ledger import items, with_items
+from .registry import query, table
+
+_DEC = "CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18,2))"
+_V01 = f"SELECT 'order total' AS \"check\", CAST(o_orderkey AS VARCHAR) AS what, CAST(a AS DOUBLE) AS a, o_totalprice AS b, coalesce(abs(CAST(a AS DOUBLE) - o_totalprice) <= 50000, false) AS ok FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS a FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"
+
+
+def _order_checks(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("a"))
+    both = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return C.check_rows(both, "order total", F.col("o_orderkey").cast("string"), F.col("a"), F.col("o_totalprice"), 50000)
+
+
+@query("v01_tolerance_rows", _V01)
+def v01(spark, sf):
+    return _order_checks(spark, sf)
+
+
+@query("v02_across_documents", with_items("SELECT place, fiscal_year, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, coalesce(abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) <= 1000000, false) AS ok FROM (SELECT place, fiscal_year, sum(amount) FILTER (dataset = 'award') AS a, sum(amount) FILTER (dataset = 'contract') AS b FROM items GROUP BY ALL)"))
+def v02(spark, sf):
+    part = lambda d: F.sum(F.when(F.col("dataset") == d, F.col("amount"))).cast("double")
+    both = items(spark, sf).groupBy("place", "fiscal_year").agg(part("award").alias("a"), part("contract").alias("b"))
+    return both.withColumn("ok", C.within(F.col("a"), F.col("b"), 1_000_000))
+
+
+@query("v03_detail_and_summary", with_items("SELECT coalesce(d.place, s.place) AS place, CAST(d.v AS DOUBLE) AS parsed, CAST(s.v AS DOUBLE) AS printed, coalesce(abs(d.v - s.v) <= 1500, false) AS ok FROM (SELECT place, sum(amount) AS v FROM items GROUP BY 1) d FULL JOIN (SELECT place, sum(amount) AS v FROM items WHERE l_linenumber < 6 OR supplier_key > 5 GROUP BY 1) s ON d.place = s.place"))
+def v03(spark, sf):
+    rows = items(spark, sf)
+    printed = rows.where("l_linenumber < 6 OR supplier_key > 5").groupBy("place").agg(F.sum("amount").alias("amount"))
+    out = C.detail_against_summary(rows, printed, ["place"], 1500)
+    return out.select("place", F.col("parsed").cast("double").alias("parsed"), F.col("printed").cast("double").alias("printed"), "ok")
+
+
+@query("v04_over_a_cent", with_items("SELECT supplier_key, CAST(sum(amount) - sum(price) AS DOUBLE) AS difference FROM items GROUP BY supplier_key HAVING abs(sum(amount) - sum(price)) > 0.01"))
+def v04(spark, sf):
+    out = items(spark, sf).groupBy("supplier_key").agg((F.sum("amount") - F.sum("price")).alias("d")).where(F.abs("d") > 0.01)
+    return out.select("supplier_key", F.col("d").cast("double").alias("difference"))
+
+
+@query("v06_parts_equal_total", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE abs(l_extendedprice - l_extendedprice * (1 - l_discount)) > 300")
+def v06(spark, sf):
+    return table(spark, sf, "lineitem").where(F.abs(F.col("l_extendedprice") - F.col("l_extendedprice") * (1 - F.col("l_discount"))) > 300).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("v07_shards_add_up", with_items("SELECT count(*) AS records, CAST(sum(amount) AS DOUBLE) AS value FROM items"))
+def v07(spark, sf):
+    rows = items(spark, sf)
+    parts = rows.groupBy("supplier_key").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    C.must_balance(parts, rows, "amount")
+    return parts.agg(F.sum("n").alias("records"), F.sum("amount").cast("double").alias("value"))
+
+
+@query("v08_guards", with_items("SELECT b.dataset, b.n AS before, a.n AS now, coalesce(coalesce(a.n, 0) < b.n * 0.98, false) AS alarm FROM (SELECT dataset, count(*) AS n FROM items GROUP BY 1) b LEFT JOIN (SELECT dataset, count(*) AS n FROM items WHERE dataset <> 'award' OR l_linenumber <> 1 GROUP BY 1) a ON a.dataset = b.dataset"))
+def v08(spark, sf):
+    count = lambda df: df.groupBy("dataset").agg(F.count("*").alias("n"))
+    rows = items(spark, sf)
+    return C.guards(count(rows.where("dataset <> 'award' OR l_linenumber <> 1")), count(rows))
+
+
+@query("v09_tally", f"SELECT 'order' AS family, count(*) FILTER (ok) AS passed, count(*) AS made FROM ({_V01})")
+def v09(spark, sf):
+    return C.tally(_order_checks(spark, sf), ["order", "budget"])

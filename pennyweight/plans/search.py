@@ -1 +1,95 @@
-"""(to come)"""
+"""Search (Q-series)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..operators import searching as S
+from .ledger import items, with_items
+from .registry import query, table
+
+_TOK = "list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: w <> '')"
+_POST = f"posted AS (SELECT word, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS word FROM documents) GROUP BY ALL)"
+
+
+def posted(spark, sf):
+    return S.postings(table(spark, sf, "documents"))
+
+
+@query("q01_pack_documents", with_items("SELECT supplier_key, currency, CAST((r - 1) // 40 AS BIGINT) AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT supplier_key, currency, id, row_number() OVER (PARTITION BY supplier_key, currency ORDER BY id) AS r FROM items) GROUP BY ALL"))
+def q01(spark, sf):
+    packed = S.pack(items(spark, sf), ["supplier_key", "currency"], 40, ["id"], [])
+    return packed.select("supplier_key", "currency", "part", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["id"]), ",").alias("ids"))
+
+
+@query("q02_tags", with_items("SELECT id, concat_ws(' ', 'd' || substr(sha1(dataset), 1, 10), 'b' || substr(sha1(CAST(buyer_key AS VARCHAR)), 1, 10), 's' || substr(sha1(CAST(supplier_key AS VARCHAR)), 1, 10), 'y' || substr(sha1(CAST(year(award_date) AS VARCHAR)), 1, 10)) AS tags FROM items"))
+def q02(spark, sf):
+    year = F.year("award_date").cast("string")
+    return items(spark, sf).select("id", F.concat_ws(" ", ids.tag("d", F.col("dataset")), ids.tag("b", F.col("buyer_key")), ids.tag("s", F.col("supplier_key")), ids.tag("y", year)).alias("tags"))
+
+
+@query("q03_tokens", f"SELECT doc_id, len({_TOK}) AS n, len(list_distinct({_TOK})) AS n_distinct FROM documents")
+def q03(spark, sf):
+    t = S.tokens(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query("q04_query_words", "SELECT * FROM (VALUES (0, 'roads'), (1, 'bridges'), (2, 'quebec')) t(place, word)")
+def q04(spark, sf):
+    words = S.query_words("The roads & bridges of Québec, a roads")
+    return spark.createDataFrame(list(enumerate(words)), "place int, word string")
+
+
+@query("q05_match_all_prefixes", f"WITH {_POST} SELECT doc_id FROM posted GROUP BY doc_id HAVING bool_or(starts_with(word, 'th')) AND bool_or(starts_with(word, 'erin'))")
+def q05(spark, sf):
+    return S.matching(posted(spark, sf), ["th", "erin"])
+
+
+@query("q06_bm25", f"""
+WITH {_POST}, sizes AS (SELECT doc_id, sum(tf) AS size FROM posted GROUP BY 1), t AS (SELECT count(*) AS docs, avg(size) AS mean FROM sizes),
+h AS (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM posted WHERE word IN ('the', 'erin', 'thin'))
+SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN sizes USING (doc_id), t GROUP BY doc_id""")
+def q06(spark, sf):
+    return S.bm25(posted(spark, sf), ["the", "erin", "thin"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("q07_items_in_documents", with_items("SELECT id FROM items WHERE currency = 'CAD' AND lower(description) LIKE '%a%' AND regexp_matches(lower(description), '(^|[^a-z0-9])b') AND dataset = 'award'"))
+def q07(spark, sf):
+    words = S.tokens(F.col("description"))
+    rows = items(spark, sf).where("currency = 'CAD' AND dataset = 'award'")
+    return rows.where(F.contains("description", F.lit("a")) & F.exists(words, lambda w: F.startswith(w, F.lit("b")))).select("id")
+
+
+@query("q08_spelling")
+def q08(spark, sf):
+    vocab = S.vocabulary(posted(spark, sf))
+    out = None
+    for word in ("thta", "wiht", "whcih", "andd", "teh"):
+        row = S.spelling(vocab, word).withColumn("asked", F.lit(word))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("q09_cosine", "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.42 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 50")
+def q09(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return S.similar(vectors, vectors.where("vec_id = 7").select(F.col("embedding").alias("q"))).select("vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("q10_find", f"WITH {_POST} SELECT doc_id FROM posted GROUP BY doc_id HAVING bool_or(starts_with(word, 'that')) AND bool_or(starts_with(word, 'this'))")
+def q10(spark, sf):
+    return S.find(spark, posted(spark, sf), "that this")[0]
+
+
+@query("q11_suggestions", f"""
+WITH {_POST}, d AS (SELECT doc_id, bool_or(starts_with(word, 'the')) AS a, bool_or(starts_with(word, 'das')) AS b, bool_or(starts_with(word, 'zzz')) AS c FROM posted GROUP BY 1)
+SELECT query, results FROM (SELECT 'the das' AS query, count(*) FILTER (a AND b) AS results FROM d UNION ALL SELECT 'the', count(*) FILTER (a) FROM d UNION ALL SELECT 'das', count(*) FILTER (b) FROM d) WHERE results > 0""")
+def q11(spark, sf):
+    return S.suggestions(posted(spark, sf), ["the", "das", "zzz"])
+
+
+@query("q12_get_item", with_items("SELECT id, supplier, CAST(amount AS DOUBLE) AS amount FROM items WHERE id = (SELECT min(id) FROM items)"))
+def q12(spark, sf):
+    rows = items(spark, sf)
+    return rows.join(rows.agg(F.min("id").alias("id")), "id", "left_semi").select("id", "supplier", F.col("amount").cast("double").alias("amount"))
