@@ -14,7 +14,7 @@ def fiscal_year(d: Column) -> Column:
 
 def fiscal_year_of_text(x: Column) -> Column:
     """The same of an ISO date as text; empty where the text is too short for a month."""
-    return F.when(F.length(F.coalesce(x, F.lit(""))) < 7, "").otherwise(fiscal_year(F.try_to_date(F.concat(F.substring(x, 1, 7), F.lit("-01")), F.lit("yyyy-MM-dd"))))
+    return F.when(F.length(F.coalesce(x, F.lit(""))) < 7, "").otherwise(fiscal_year(F.try_to_date(F.concat(F.substring(x, 1, 7), F.lit("-01")), "yyyy-MM-dd")))
 
 
 def read_date(x: Column) -> Column:
@@ -25,12 +25,12 @@ def read_date(x: Column) -> Column:
     """
     t = F.initcap(F.trim(x))
     first, second = (F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", k) for k in (1, 2))
-    swapped = F.try_to_date(F.concat_ws("/", second, first, F.regexp_extract(t, r"(\d{4})$", 1)), F.lit("M/d/yyyy"))
+    swapped = F.try_to_date(F.concat_ws("/", second, first, F.regexp_extract(t, r"(\d{4})$", 1)), "M/d/yyyy")
     return F.coalesce(
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd"))),
-        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"), F.try_to_date(t, F.lit("d-MMM-yy"))),
-        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), F.try_to_date(t, F.lit("d-MMM-yyyy"))),
-        F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(F.try_to_date(t, F.lit("M/d/yyyy")), swapped)),
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")),
+        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"), F.try_to_date(t, "d-MMM-yy")),
+        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), F.try_to_date(t, "d-MMM-yyyy")),
+        F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(F.try_to_date(t, "M/d/yyyy"), swapped)),
     )
 
 

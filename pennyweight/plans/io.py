@@ -1 +1,98 @@
-"""(to come)"""
+"""Sources and sinks, read and written for real (S- and K-series)."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..operators import once
+from ..sources import readers, sinks
+from ..streaming import incremental
+from .registry import query, table
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return "file://" + tempfile.mkdtemp(prefix="spark-io-")
+    import uuid
+
+    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+@query("s05_links", "SELECT page_id, len(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']')) AS n, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS chars FROM pages")
+def s05(spark, sf):
+    n = F.size(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)))
+    return table(spark, sf, "pages").select("page_id", n.cast("long").alias("n"), F.length(readers.strip_tags(F.col("html"))).cast("long").alias("chars"))
+
+
+@query("s06_csv_with_lines", "SELECT n_nationkey, n_name, r AS csv_line FROM (SELECT n_nationkey, n_name, n_nationkey + 2 AS r FROM nation)")
+def s06(spark, sf):
+    path = _folder(spark)
+    table(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    rows = readers.csv_with_lines(files, ["n_nationkey", "n_name"])
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("csv_line").cast("int").alias("csv_line"))
+
+
+@query("s07_json_lines", "SELECT p_partkey, p_name FROM part")
+def s07(spark, sf):
+    path = _folder(spark)
+    sinks.write_json_lines(table(spark, sf, "part").select("p_partkey", "p_name"), path)
+    return readers.json_lines(spark, path, "p_partkey long, p_name string")
+
+
+@query("s14_latest_scalar", "SELECT max(ts) AS at, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase'")
+def s14(spark, sf):
+    rows = table(spark, sf, "events")
+    return rows.where("event_type = 'purchase'").agg(F.max("ts").alias("at"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+@query("k01_csv_round_trip", "SELECT s_suppkey, s_name FROM supplier")
+def k01(spark, sf):
+    path = _folder(spark)
+    sinks.write_csv(table(spark, sf, "supplier").select("s_suppkey", "s_name"), path)
+    return readers.read_csv(spark, path, "s_suppkey", "s_name").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+
+
+@query("k02_partitioned_table", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def k02(spark, sf):
+    path = _folder(spark)
+    sinks.write_table(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
+    return spark.read.parquet(path).where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("k04_sync_twice", "SELECT 0 AS writes")
+def k04(spark, sf):
+    """A second synchronisation has nothing to write."""
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
+    stored, wanted = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 5 <> 0")
+    after = sinks.apply_plan(stored, wanted, once.sync_plan(stored, wanted, "doc_id", "h"), "doc_id")
+    return once.sync_plan(after, wanted, "doc_id", "h").agg(F.count("*").cast("int").alias("writes"))
+
+
+@query("k06_json_shards", "SELECT CAST(CAST('0x' || substr(sha1(p_name), 1, 4) AS BIGINT) % 8 AS INTEGER) AS shard, count(*) AS n FROM part GROUP BY 1")
+def k06(spark, sf):
+    path = _folder(spark)
+    sinks.write_shards(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", path, 8)
+    return spark.read.json(path).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("k09_baseline", "SELECT l_returnflag AS dataset, count(*) AS n FROM lineitem GROUP BY 1")
+def k09(spark, sf):
+    path = f"{_folder(spark)}/baseline"
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.count("*").alias("n"))
+    sinks.commit_baseline(counts, path)
+    return spark.read.parquet(path)
+
+
+@query("x01_stream_keep_latest", "SELECT user_id, event_type, max(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY ALL")
+def x01(spark, sf):
+    """The stream's table after all files is the batch's."""
+    folder = _folder(spark)
+    rows = table(spark, sf, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "user_id", "event_type", "ts", "event_id")
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    lines = incremental.new_lines(spark, f"{folder}/in", "key string, user_id long, event_type string, ts timestamp_ntz, event_id long", files=2)
+    incremental.keep_latest_into(lines, "key", "ts", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type", "event_id")

@@ -1 +1,203 @@
-"""(to come)"""
+"""Scalar normalisation over columns of the tables (N-series)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import codes, dates, ids, money, names
+from .registry import query, table
+
+#: The same printed amounts in both engines: signs, brackets, dashes and blanks.
+_PRINTED = "CASE WHEN c_custkey % 9 = 0 THEN '-' WHEN c_custkey % 9 = 1 THEN '' WHEN c_custkey % 9 = 2 THEN '($' || CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) || ')' WHEN c_custkey % 9 = 3 THEN 'n/a' ELSE '$ 1,' || CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) END"
+_READ = "CASE WHEN c_custkey % 9 IN (0, 1, 3) THEN NULL WHEN c_custkey % 9 = 2 THEN -CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS DOUBLE) ELSE CAST('1' || CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS DOUBLE) END"
+
+
+def _printed():
+    return F.expr(_PRINTED.replace("VARCHAR", "STRING"))
+
+
+@query("n01_tidy_space", "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")
+def n01(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("n"))
+
+
+@query("n02_entity_key")
+def n02(spark, sf):
+    spelt = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" Ltd. o/a Somewhere Inc")).alias("printed"))
+    return names.with_keys(spelt, "printed")
+
+
+@query("n04_name_forms")
+def n04(spark, sf):
+    spelt = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit("|Société "), "s_name").alias("printed"))
+    return spelt.select("s_suppkey", F.explode(names.name_forms_udf("printed", F.lit(True))).alias("form"))
+
+
+@query("n06_hash_ids", "SELECT p_partkey, substr(sha1(p_name), 1, 10) AS h10, CAST('0x' || substr(sha1(p_name), 1, 15) AS BIGINT) AS h60, CAST(CAST('0x' || substr(sha1(p_name), 1, 4) AS BIGINT) % 512 AS BIGINT) AS shard FROM part")
+def n06(spark, sf):
+    n = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", ids.text_hash(n).alias("h10"), ids.row_number_id(n).alias("h60"), ids.shard(n).alias("shard"))
+
+
+@query("n07_money", f"SELECT c_custkey, {_READ} AS amount FROM customer")
+def n07(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", money.money(_printed()).alias("amount"))
+
+
+@query("n08_cell", "SELECT event_id, try_cast(CASE WHEN event_id % 4 = 0 THEN 'None' WHEN event_id % 4 = 1 THEN '' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS v FROM events")
+def n08(spark, sf):
+    text = F.when(F.col("event_id") % 4 == 0, "None").when(F.col("event_id") % 4 == 1, "").otherwise(F.col("event_id").cast("string"))
+    return table(spark, sf, "events").select("event_id", money.cell(text).alias("v"))
+
+
+_FY = "year({d} - INTERVAL 3 MONTH) || '-' || lpad(CAST((year({d} - INTERVAL 3 MONTH) + 1) % 100 AS VARCHAR), 2, '0')"
+
+
+@query("n09_fiscal_year", f"SELECT o_orderkey, {_FY.format(d='CAST(o_orderdate AS DATE)')} AS fy, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE {_FY.format(d='CAST(o_orderdate AS DATE)')} END AS of_text FROM orders")
+def n09(spark, sf):
+    day = F.to_date("o_orderdate")
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "yyyy")).otherwise(F.date_format(day, "yyyy-MM"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.fiscal_year(day).alias("fy"), dates.fiscal_year_of_text(text).alias("of_text"))
+
+
+@query("n10_item_id", "SELECT o_orderkey, 'x-' || substr(sha1(o_orderkey || '|' || CASE WHEN o_custkey % 2 = 0 THEN 'None' ELSE CAST(o_custkey AS VARCHAR) END), 1, 12) AS id FROM orders")
+def n10(spark, sf):
+    maybe = F.when(F.col("o_custkey") % 2 != 0, F.col("o_custkey"))
+    return table(spark, sf, "orders").select("o_orderkey", ids.item_id(F.lit("x"), F.col("o_orderkey"), maybe).alias("id"))
+
+
+@query("n11_duplicate_ids", "SELECT p_partkey, p_name || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)")
+def n11(spark, sf):
+    from pyspark.sql import Window as W
+
+    r = F.row_number().over(W.partitionBy("p_name").orderBy("p_partkey"))
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", r.alias("r"))
+    return rows.select("p_partkey", F.concat("p_name", F.when(F.col("r") > 1, F.concat(F.lit("-"), F.col("r").cast("string"))).otherwise("")).alias("name"))
+
+
+@query("n13_ordered_rules", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)brass|steel') THEN 'metal' WHEN regexp_matches(p_type, '(?i)plated') THEN 'plated' ELSE 'not named' END AS body FROM part")
+def n13(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", codes.first_match(F.col("p_type"), [("(?i)brass|steel", "metal"), ("(?i)plated", "plated")], "not named").alias("body"))
+
+
+@query("n14_parse_amount", "SELECT * FROM (VALUES ('$1,200.50', 1200.5, 'CAD', NULL), ('USD 300', NULL, 'USD', 300.0), ('$81.911.25', 81911.25, 'CAD', NULL), ('50 per hour', NULL, 'text', NULL), ('$100 USD ($135 CAD)', 135.0, 'CAD', NULL), ('($20.00)', -20.0, 'CAD', NULL)) t(printed, cad, currency, original)")
+def n14(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("$1,200.50", "USD 300", "$81.911.25", "50 per hour", "$100 USD ($135 CAD)", "($20.00)")], "printed string")
+    return rows.select("printed", money.parse_amount(F.col("printed")).alias("a")).select("printed", "a.*")
+
+
+@query("n15_read_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def n15(spark, sf):
+    d = F.to_date("o_orderdate")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.upper(F.date_format(d, "dd-MMM-yyyy"))).when(k == 2, F.date_format(d, "M/d/yyyy")).otherwise(F.date_format(d, "d-MMM-yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.read_date(text).alias("day"))
+
+
+@query("n17_half_years", "SELECT * FROM (VALUES ('December 1, 2024 to May 31, 2025', DATE '2024-12-01', DATE '2025-05-31'), ('June 2023 - November 2023', DATE '2023-06-01', DATE '2023-11-30')) t(printed, start, \"end\")")
+def n17(spark, sf):
+    rows = spark.createDataFrame([("December 1, 2024 to May 31, 2025",), ("June 2023 - November 2023",)], "printed string")
+    return rows.select("printed", dates.half_year(F.col("printed")).alias("p")).select("printed", "p.*")
+
+
+@query("n20_code_names", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
+def n20(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", codes.code_name(F.col("o_orderstatus"), {"F": "finished", "O": "open"}).alias("status"))
+
+
+@query("n21_currency_code", "SELECT p_partkey, CASE WHEN regexp_full_match(trim(x), '[A-Z]{3}') THEN trim(x) ELSE 'unstated' END AS code FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' CAD ' WHEN p_partkey % 3 = 1 THEN 'cad' ELSE upper(substr(p_name, 1, 3)) END AS x FROM part)")
+def n21(spark, sf):
+    k = F.col("p_partkey") % 3
+    x = F.when(k == 0, " CAD ").when(k == 1, "cad").otherwise(F.upper(F.substring("p_name", 1, 3)))
+    return table(spark, sf, "part").select("p_partkey", money.currency_code(x).alias("code"))
+
+
+@query("n22_business_number", "SELECT * FROM (VALUES ('107833394RR0083', '107833394RR0083'), ('10783 3394', '107833394'), ('000000000', NULL), ('100012345', NULL), ('123456789', NULL), ('107833394XX0001', NULL)) t(printed, number)")
+def n22(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("107833394RR0083", "10783 3394", "000000000", "100012345", "123456789", "107833394XX0001")], "printed string")
+    return rows.withColumn("number", codes.business_number(F.col("printed")))
+
+
+@query("n23_postal", "SELECT * FROM (VALUES ('a1b 2c3', 'A1B2C3', true), ('K1A-0B1', 'K1A0B1', false), ('12345', NULL, false), ('', NULL, false)) t(printed, postal, here)")
+def n23(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("a1b 2c3", "K1A-0B1", "12345", "")], "printed string")
+    return rows.select("printed", codes.postal(F.col("printed")).alias("postal"), codes.in_region(F.col("printed")).alias("here"))
+
+
+@query("n26_place_of", "SELECT c_custkey, 'Town ' || c_nationkey AS city, 'NL' AS province FROM customer")
+def n26(spark, sf):
+    address = F.concat(F.lit("1 Road, Unit 2, Town "), F.col("c_nationkey").cast("string"), F.lit(", NL"))
+    return table(spark, sf, "customer").select("c_custkey", codes.place_of(address).alias("p")).select("c_custkey", "p.*")
+
+
+@query("n27_reasons", "SELECT c_custkey, nullif(concat_ws('; ', CASE WHEN c_acctbal < 0 THEN 'in debt' END, CASE WHEN c_nationkey < 5 THEN 'early' END), '') AS reasons FROM customer")
+def n27(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", codes.reasons((F.col("c_acctbal") < 0, "in debt"), (F.col("c_nationkey") < 5, "early")).alias("reasons"))
+
+
+@query("n30_description_key", "SELECT doc_id, length(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))) AS n FROM documents")
+def n30(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.length(codes.description_key(F.col("text"))).cast("long").alias("n"))
+
+
+@query("n32_person_names", "SELECT * FROM (VALUES ('Jane Roe', true), ('Roe, Jane', true), ('Acme Ltd', false), ('Route 66 Motel', false), ('Jane', false), ('A & B', false)) t(name, person)")
+def n32(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("Jane Roe", "Roe, Jane", "Acme Ltd", "Route 66 Motel", "Jane", "A & B")], "name string")
+    return rows.withColumn("person", codes.looks_like_person(F.col("name")))
+
+
+@query("n37_clip", "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substr(text, 1, 80), '\\s+\\S*$', '') || '…' END AS clipped FROM documents")
+def n37(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", codes.clip(F.col("text"), 80).alias("clipped"))
+
+
+@query("n39_slug", "SELECT p_partkey, substr(regexp_replace(regexp_replace(replace(lower(p_name || ' & Søns Équipe'), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS slug FROM (SELECT p_partkey, p_name FROM part)".replace("Søns Équipe", "Co"))
+def n39(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", codes.slug(F.concat("p_name", F.lit(" & Co"))).alias("slug"))
+
+
+@query("n40_money_text", "SELECT * FROM (VALUES (1234.5, '$1,234.50', '$1,234'), (-2500000.0, '($2,500,000.00)', '-$2.5 million'), (3000000000.0, '$3,000,000,000.00', '$3 billion'), (NULL, NULL, NULL)) t(x, shown, words)")
+def n40(spark, sf):
+    rows = spark.createDataFrame([(1234.5,), (-2500000.0,), (3e9,), (None,)], "x double")
+    return rows.select("x", money.money_text(F.col("x"), cents=True).alias("shown"), money.money_words(F.col("x")).alias("words"))
+
+
+_TAX = "greatest(greatest(least(b, 50000) - 0, 0) * 0.1 + greatest(least(b, 1e18) - 50000, 0) * 0.2 - 10000 * 0.1 - greatest(500 - greatest(b - 20000, 0) * 0.05, 0), 0)"
+
+
+@query("n42_income_tax", f"SELECT c_custkey, round({_TAX}, 4) AS tax FROM (SELECT c_custkey, abs(c_acctbal) * 10 AS b FROM customer)")
+def n42(spark, sf):
+    tax = money.income_tax(F.abs("c_acctbal") * 10, [(0, 0.1), (50000, 0.2)], 10000, (500, 20000, 0.05))
+    return table(spark, sf, "customer").select("c_custkey", F.round(tax, 4).alias("tax"))
+
+
+@query("n46_same_detail", "SELECT * FROM (VALUES ('N/A', '', true), ('not stated', 'n a', true), ('2 years', '2  YEARS', true), ('2 years', '3 years', false)) t(a, b, same)")
+def n46(spark, sf):
+    rows = spark.createDataFrame([("N/A", ""), ("not stated", "n a"), ("2 years", "2  YEARS"), ("2 years", "3 years")], "a string, b string")
+    return rows.withColumn("same", codes.same_detail(F.col("a"), F.col("b")))
+
+
+@query("n49_document_number", f"SELECT c_custkey, CASE WHEN c_custkey % 9 IN (0, 1) THEN 0 ELSE {_READ} END AS amount FROM customer")
+def n49(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", money.document_number(_printed()).alias("amount"))
+
+
+@query("n50_digit_runs", "SELECT p_partkey, len(regexp_extract_all(p_brand, '\\d+')) AS runs, regexp_replace(p_name, '\\bof\\b|\\s', '', 'g') AS compact FROM part")
+def n50(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.size(codes.digit_runs(F.col("p_brand"))).cast("long").alias("runs"), codes.compact(F.col("p_name")).alias("compact"))
+
+
+@query("n51_years", "SELECT o_custkey, min(year(o_orderdate)) AS first, max(year(o_orderdate)) + 1 AS last FROM orders GROUP BY o_custkey")
+def n51(spark, sf):
+    day = F.to_date("o_orderdate")
+    by = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(day).alias("d"), F.collect_set(F.concat(F.year(day).cast("string"), F.lit("-00"))).alias("f"))
+    out = by.select("o_custkey", dates.year_span(F.col("d"), F.col("f")).alias("y")).select("o_custkey", "y.*")
+    return out.select("o_custkey", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+
+@query("n60_four_year_rules", "SELECT * FROM (VALUES ('2024-05-01', '2024-25', '2024', '2024', '2024'), ('', '2024-25', '', '2024-25', '2024'), ('', 'calendar 2024', '2024', 'calendar 2024', '2024'), ('', '', '', 'not stated', NULL)) t(d, fy, tag, totals, supplier)")
+def n60(spark, sf):
+    rows = spark.createDataFrame([("2024-05-01", "2024-25"), ("", "2024-25"), ("", "calendar 2024"), ("", "")], "d string, fy string")
+    d, fy = F.col("d"), F.col("fy")
+    return rows.select("d", "fy", dates.tag_year(d, fy).alias("tag"), dates.totals_year(d, fy).alias("totals"), dates.supplier_year(d, fy).alias("supplier"))
