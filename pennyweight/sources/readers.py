@@ -123,11 +123,12 @@ def map_header(cells: list[str | None], keywords: dict[str, list[str]]) -> dict[
 
 def table_rows(rows: DataFrame, keywords: dict[str, list[str]], needed: int = 2, within: int = 40) -> DataFrame:
     """Sheet rows below a header as fields; the header is the first of ``within`` rows that names enough of them."""
-    names = F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit(""))))
-    hits = sum((F.exists(names, lambda c, ws=ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(c, w))).cast("int") for ws in keywords.values()), F.lit(0))
+    def named(words: list[str]):
+        return lambda cell: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(F.coalesce(cell, F.lit(""))), w))
+
+    hits = sum((F.exists("cells", named(ws)).cast("int") for ws in keywords.values()), F.lit(0))
     headers = rows.where((F.col("row") <= within) & (hits >= needed)).groupBy("file", "sheet").agg(F.min_by("cells", "row").alias("header"), F.min("row").alias("at"))
-    lowered = F.transform("header", lambda c: F.lower(F.coalesce(c, F.lit(""))))
-    place = lambda ws: F.array_position(F.transform(lowered, lambda c: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(c, w))), True)
+    place = lambda ws: F.array_position(F.transform("header", named(ws)), True)
     joined = rows.join(headers, ["file", "sheet"]).where("row > at")
     return joined.select("file", "sheet", "row", *(F.get("cells", (place(ws) - 1).cast("int")).alias(field) for field, ws in keywords.items()))
 
