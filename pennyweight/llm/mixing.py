@@ -105,8 +105,14 @@ def plan(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: floa
 def mix(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """``docs``, each row once for every pass that takes it, with
     ``_epoch``, ``_block``, ``_block_rank`` and ``_tokens`` added."""
-    counted = docs.withColumns({"_source": F.col("source").cast("string"), "_tokens": (F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) + 1).cast("long")})
-    key = F.col("doc_id").cast("string")
+    given = {c: f"_given_{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counted = docs.select(
+        *(F.col(f"`{c}`").alias(g) for c, g in given.items()),
+        F.col("source").cast("string").alias("_source"),
+        (F.regexp_count(text, F.lit(WORD)) + 1).cast("long").alias("_tokens"),
+    )
+    key = F.col(given["doc_id"]).cast("string")
     sources = materialise(plan(counted, repetitions, entropy, budget), "plan")
     sources = sources.withColumnRenamed("_source", "s")
     placed = counted.join(sources.select("s", "blocks"), F.col("_source").eqNullSafe(F.col("s"))).drop("s")
@@ -127,6 +133,7 @@ def mix(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: float
     met = placed.join(taken, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b"))).drop("s", "b")
     whole = met.where("left >= size")
     # the block in which a budget ends: its documents in hash order while they fit
-    ends = W.partitionBy("_source", "_epoch").orderBy(_hash(F.coalesce(key, F.lit("-")), F.col("_epoch").cast("string")), "doc_id", "text")
+    ends = W.partitionBy("_source", "_epoch").orderBy(_hash(F.coalesce(key, F.lit("-")), F.col("_epoch").cast("string")), given["doc_id"], given["text"])
     part = met.where("left < size").withColumn("_sum", F.sum("_tokens").over(ends.rowsBetween(W.unboundedPreceding, 0))).where("_sum <= left").drop("_sum")
-    return whole.unionByName(part).drop("left", "size", "_source")
+    added = ["_epoch", "_block", "_block_rank", "_tokens"]
+    return whole.unionByName(part).select(*(F.col(g).alias(c) for c, g in given.items()), *added)
