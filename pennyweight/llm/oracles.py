@@ -51,6 +51,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+OP3 = r"""
+WITH d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(len(w) - 12)) AS k FROM d WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, k, md5(array_to_string(w[k + 1 : k + 13], ' ')) AS h FROM starts
+), least AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, k + j AS k FROM windows JOIN least USING (h), (SELECT unnest(range(13)) AS j) WHERE doc_id > first
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d
+), kept AS (
+  SELECT words.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY words.k) AS kept
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.k = gone.k GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP8 = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id,
@@ -113,4 +134,4 @@ WITH RECURSIVE d AS (
 SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, block_rank, n_tokens FROM met WHERE room >= size OR upto <= room
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9}
+ORACLES: dict[str, str] = {"op3_window_dedup": OP3, "op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9}
