@@ -18,24 +18,24 @@ def _dbl(c: str):
 
 @query("a01_dataset_totals", with_items("SELECT dataset, count(*) AS n, CAST(sum(CASE WHEN currency = 'CAD' THEN amount END) AS DOUBLE) AS cad FROM items GROUP BY dataset"))
 def a01(spark, sf):
-    return items(spark, sf).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.when(F.col("currency") == "CAD", F.col("amount"))).cast("double").alias("cad"))
+    return items(spark, sf, "dataset", "currency", "amount").groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.when(F.col("currency") == "CAD", F.col("amount"))).cast("double").alias("cad"))
 
 
 @query("a02_foreign_currency", with_items("SELECT dataset, currency, count(*) AS n, count(amount) AS stated, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE currency <> 'CAD' GROUP BY ALL"))
 def a02(spark, sf):
-    return items(spark, sf).where("currency <> 'CAD'").groupBy("dataset", "currency").agg(F.count("*").alias("n"), F.count("amount").alias("stated"), F.sum("amount").cast("double").alias("value"))
+    return items(spark, sf, "dataset", "currency", "amount").where("currency <> 'CAD'").groupBy("dataset", "currency").agg(F.count("*").alias("n"), F.count("amount").alias("stated"), F.sum("amount").cast("double").alias("value"))
 
 
 @query("a03_conditional_share", with_items("SELECT place, CAST(sum(CASE WHEN method <> 'Open call' THEN amount END) AS DOUBLE) AS exceptions, round(CAST(sum(CASE WHEN method <> 'Open call' THEN amount END) AS DOUBLE) / CAST(nullif(sum(amount), 0) AS DOUBLE), 6) AS share FROM items WHERE dataset <> 'notice' GROUP BY place"))
 def a03(spark, sf):
     part = F.sum(F.when(F.col("method") != "Open call", F.col("amount"))).cast("double")
-    rows = items(spark, sf).where("dataset <> 'notice'").groupBy("place").agg(part.alias("exceptions"), F.sum("amount").cast("double").alias("whole"))
+    rows = items(spark, sf, "dataset", "place", "amount", "method").where("dataset <> 'notice'").groupBy("place").agg(part.alias("exceptions"), F.sum("amount").cast("double").alias("whole"))
     return rows.select("place", "exceptions", F.round(F.try_divide("exceptions", "whole"), 6).alias("share"))
 
 
 @query("a04_missing_and_zero", with_items("SELECT place, count(*) FILTER (amount IS NULL) AS missing, count(*) FILTER (amount = 0) AS zero FROM items GROUP BY place"))
 def a04(spark, sf):
-    return items(spark, sf).groupBy("place").agg(F.count_if(F.col("amount").isNull()).alias("missing"), F.count_if(F.col("amount") == 0).alias("zero"))
+    return items(spark, sf, "place", "amount").groupBy("place").agg(F.count_if(F.col("amount").isNull()).alias("missing"), F.count_if(F.col("amount") == 0).alias("zero"))
 
 
 _GRAIN = "dataset, currency, place, supplier_key, method, fiscal_year"
@@ -43,18 +43,18 @@ _GRAIN = "dataset, currency, place, supplier_key, method, fiscal_year"
 
 @query("a05_finest_grain", with_items(f"SELECT {_GRAIN}, {MEASURES} FROM items GROUP BY {_GRAIN}"))
 def a05(spark, sf):
-    return items(spark, sf).groupBy(*_GRAIN.split(", ")).agg(*totals.measures())
+    return items(spark, sf, *_GRAIN.split(", "), "amount").groupBy(*_GRAIN.split(", ")).agg(*totals.measures())
 
 
 @query("a06_group_totals", with_items(f"SELECT dataset, currency, place, fiscal_year, {MEASURES}, dataset <> 'notice' AS included FROM items GROUP BY dataset, currency, place, fiscal_year"))
 def a06(spark, sf):
-    return totals.group_totals(items(spark, sf), "place", "fiscal_year", overlap=OVERLAP)
+    return totals.group_totals(items(spark, sf, "dataset", "currency", "place", "fiscal_year", "amount"), "place", "fiscal_year", overlap=OVERLAP)
 
 
 @query("a07_breakdown_periods", with_items(f"SELECT dataset, currency, method, {MEASURES}, count(DISTINCT fiscal_year) AS periods, string_agg(DISTINCT fiscal_year, ',' ORDER BY fiscal_year) AS period_list FROM items GROUP BY dataset, currency, method"))
 def a07(spark, sf):
     seen = F.sort_array(F.collect_set("fiscal_year"))
-    return items(spark, sf).groupBy("dataset", "currency", "method").agg(*totals.measures(), F.size(seen).cast("long").alias("periods"), F.array_join(seen, ",").alias("period_list"))
+    return items(spark, sf, "dataset", "currency", "method", "fiscal_year", "amount").groupBy("dataset", "currency", "method").agg(*totals.measures(), F.size(seen).cast("long").alias("periods"), F.array_join(seen, ",").alias("period_list"))
 
 
 _A08 = """
@@ -73,7 +73,7 @@ SELECT * FROM (
 
 @query("a08_supplier_summary", with_items(_A08))
 def a08(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "dataset", "currency", "buyer_key", "supplier_key", "supplier", "amount", "fiscal_year")
     cad = lambda test: F.sum(F.when(test & (F.col("currency") == "CAD"), F.col("amount"))).cast("double")
     base = rows.groupBy("supplier_key").agg(
         F.min("supplier").alias("supplier"), F.count("*").alias("records"), cad(F.col("dataset") != "notice").alias("counted"), cad(F.col("dataset") == "notice").alias("overlap"), F.countDistinct("buyer_key").alias("buyers")
@@ -85,32 +85,32 @@ def a08(spark, sf):
 
 @query("a09_body_by_method", with_items("SELECT buyer_key, method, dataset, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE currency = 'CAD' GROUP BY ALL"))
 def a09(spark, sf):
-    return items(spark, sf).where("currency = 'CAD'").groupBy("buyer_key", "method", "dataset").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"))
+    return items(spark, sf, "dataset", "currency", "buyer_key", "amount", "method").where("currency = 'CAD'").groupBy("buyer_key", "method", "dataset").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"))
 
 
 @query("a10_distinct_list", with_items("SELECT buyer_key, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets FROM items GROUP BY buyer_key"))
 def a10(spark, sf):
-    return items(spark, sf).groupBy("buyer_key").agg(F.array_join(F.sort_array(F.collect_set("dataset")), ",").alias("datasets"))
+    return items(spark, sf, "dataset", "buyer_key").groupBy("buyer_key").agg(F.array_join(F.sort_array(F.collect_set("dataset")), ",").alias("datasets"))
 
 
 @query("a11_count_distinct", with_items("SELECT place, count(DISTINCT supplier_key) AS suppliers, count(DISTINCT buyer_key) AS buyers FROM items GROUP BY place"))
 def a11(spark, sf):
-    return items(spark, sf).groupBy("place").agg(F.countDistinct("supplier_key").alias("suppliers"), F.countDistinct("buyer_key").alias("buyers"))
+    return items(spark, sf, "buyer_key", "place", "supplier_key").groupBy("place").agg(F.countDistinct("supplier_key").alias("suppliers"), F.countDistinct("buyer_key").alias("buyers"))
 
 
 @query("a12_having_distinct", with_items("SELECT buyer_key, count(DISTINCT supplier_key) AS suppliers FROM items GROUP BY buyer_key HAVING count(DISTINCT supplier_key) > 20"))
 def a12(spark, sf):
-    return items(spark, sf).groupBy("buyer_key").agg(F.countDistinct("supplier_key").alias("suppliers")).where("suppliers > 20")
+    return items(spark, sf, "buyer_key", "supplier_key").groupBy("buyer_key").agg(F.countDistinct("supplier_key").alias("suppliers")).where("suppliers > 20")
 
 
 @query("a13_row_of_minimum", with_items("SELECT supplier_key, min(award_date) AS first_date, arg_min(id, (award_date, id)) AS first_id FROM items GROUP BY supplier_key"))
 def a13(spark, sf):
-    return items(spark, sf).groupBy("supplier_key").agg(F.min("award_date").alias("first_date"), F.min_by("id", F.struct("award_date", "id")).alias("first_id"))
+    return items(spark, sf, "id", "supplier_key", "award_date").groupBy("supplier_key").agg(F.min("award_date").alias("first_date"), F.min_by("id", F.struct("award_date", "id")).alias("first_id"))
 
 
 @query("a14_mean_by_title", with_items("SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, round(CAST(sum(amount) AS DOUBLE) / count(amount), 6) AS mean FROM items GROUP BY category"))
 def a14(spark, sf):
-    rows = items(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.count("amount").alias("stated"))
+    rows = items(spark, sf, "category", "amount").groupBy("category").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.count("amount").alias("stated"))
     return rows.select("category", "n", "total", F.round(F.col("total") / F.col("stated"), 6).alias("mean"))
 
 
@@ -135,7 +135,7 @@ def a17(spark, sf):
 
 @query("a18_near_limit_histogram", with_items("SELECT CAST(l AS INTEGER) AS limit_value, count(*) FILTER (amount >= 0.95 * l AND amount < l) AS below, count(*) FILTER (amount >= l AND amount < 1.05 * l) AS above FROM items, (VALUES (34700), (50000), (25000)) t(l) GROUP BY l"))
 def a18(spark, sf):
-    rows = items(spark, sf).where("amount IS NOT NULL").select("amount", F.explode(F.array(*map(F.lit, (34700, 50000, 25000)))).alias("limit_value"))
+    rows = items(spark, sf, "amount").where("amount IS NOT NULL").select("amount", F.explode(F.array(*map(F.lit, (34700, 50000, 25000)))).alias("limit_value"))
     a, at = F.col("amount"), F.col("limit_value")
     inside = lambda low, high: F.count_if((a >= at * F.lit(low).cast("decimal(4,2)")) & (a < at * F.lit(high).cast("decimal(4,2)")))
     return rows.groupBy("limit_value").agg(inside(0.95, 1).alias("below"), inside(1, 1.05).alias("above"))
@@ -162,13 +162,13 @@ def a20(spark, sf):
 @query("a21_stratified_sample", with_items("SELECT dataset, id FROM (SELECT dataset, id, row_number() OVER (PARTITION BY dataset ORDER BY amount IS NULL DESC, md5(id || '42'), id) AS r FROM items) WHERE r <= 25"))
 def a21(spark, sf):
     order = W.partitionBy("dataset").orderBy(F.desc("first"), F.md5(F.concat("id", F.lit("42"))), "id")
-    rows = items(spark, sf).select("dataset", "id", F.col("amount").isNull().alias("first"))
+    rows = items(spark, sf, "id", "dataset", "amount").select("dataset", "id", F.col("amount").isNull().alias("first"))
     return rows.withColumn("r", F.row_number().over(order)).where("r <= 25").select("dataset", "id")
 
 
 @query("a22_average_of_present", with_items("SELECT fiscal_year, count(DISTINCT buyer_key) AS present, round(CAST(sum(amount) AS DOUBLE) / count(DISTINCT buyer_key), 4) AS mean FROM items WHERE currency = 'CAD' GROUP BY fiscal_year"))
 def a22(spark, sf):
-    by = items(spark, sf).where("currency = 'CAD'").groupBy("fiscal_year", "buyer_key").agg(F.sum("amount").alias("a"))
+    by = items(spark, sf, "currency", "buyer_key", "amount", "fiscal_year").where("currency = 'CAD'").groupBy("fiscal_year", "buyer_key").agg(F.sum("amount").alias("a"))
     return by.groupBy("fiscal_year").agg(F.count("*").alias("present"), F.round(F.sum("a").cast("double") / F.count("*"), 4).alias("mean"))
 
 
@@ -181,7 +181,7 @@ def a23(spark, sf):
 
 @query("a24_nested_years", with_items("SELECT place, string_agg(fiscal_year || '=' || m, ';' ORDER BY fiscal_year) AS years FROM (SELECT place, fiscal_year, string_agg(method || ':' || n, ',' ORDER BY method) AS m FROM (SELECT place, fiscal_year, method, count(*) AS n FROM items GROUP BY ALL) GROUP BY ALL) GROUP BY place"))
 def a24(spark, sf):
-    inner = items(spark, sf).groupBy("place", "fiscal_year", "method").agg(F.count("*").alias("n")).groupBy("place", "fiscal_year")
+    inner = items(spark, sf, "place", "method", "fiscal_year").groupBy("place", "fiscal_year", "method").agg(F.count("*").alias("n")).groupBy("place", "fiscal_year")
     inner = inner.agg(F.sort_array(F.collect_list(F.struct("method", "n"))).alias("methods"))
     nested = inner.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("fiscal_year", "methods"))).alias("years"))
     line = lambda y: F.concat(y["fiscal_year"], F.lit("="), F.array_join(F.transform(y["methods"], lambda m: F.concat(m["method"], F.lit(":"), m["n"].cast("string"))), ","))
@@ -195,38 +195,38 @@ SELECT family, key, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS value FROM (
 def a25(spark, sf):
     families = {"dataset": "dataset", "place": "place", "method": "method", "year": "fiscal_year"}
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(c).alias("key")) for f, c in families.items()))).alias("p")
-    return items(spark, sf).select("amount", pairs).groupBy("p.family", "p.key").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"))
+    return items(spark, sf, "dataset", "place", "amount", "method", "fiscal_year").select("amount", pairs).groupBy("p.family", "p.key").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"))
 
 
 @query("a26_printings", with_items("SELECT supplier_key, count(*) AS n, count(DISTINCT dataset) AS datasets, count(DISTINCT place) AS places, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM items GROUP BY supplier_key"))
 def a26(spark, sf):
-    return items(spark, sf).groupBy("supplier_key").agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("datasets"), F.countDistinct("place").alias("places"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"))
+    return items(spark, sf, "dataset", "currency", "place", "supplier_key").groupBy("supplier_key").agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("datasets"), F.countDistinct("place").alias("places"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"))
 
 
 @query("a27_program_totals", with_items("SELECT category, min(description) AS name, CAST(sum(amount) AS DOUBLE) AS value, min(award_date) AS first_date FROM items WHERE dataset = 'contract' GROUP BY category"))
 def a27(spark, sf):
-    return items(spark, sf).where("dataset = 'contract'").groupBy("category").agg(F.min("description").alias("name"), F.sum("amount").cast("double").alias("value"), F.min("award_date").alias("first_date"))
+    return items(spark, sf, "dataset", "description", "category", "amount", "award_date").where("dataset = 'contract'").groupBy("category").agg(F.min("description").alias("name"), F.sum("amount").cast("double").alias("value"), F.min("award_date").alias("first_date"))
 
 
 @query("a28_pivot_methods", with_items("SELECT place, CAST(sum(amount) FILTER (method = 'Emergency') AS DOUBLE) AS emergency, CAST(sum(amount) FILTER (method = 'Open call') AS DOUBLE) AS open_call, CAST(sum(amount) FILTER (method = 'Sole source') AS DOUBLE) AS sole_source FROM items GROUP BY place"))
 def a28(spark, sf):
-    wide = items(spark, sf).groupBy("place").pivot("method", ["Emergency", "Open call", "Sole source"]).agg(F.sum("amount"))
+    wide = items(spark, sf, "place", "amount", "method").groupBy("place").pivot("method", ["Emergency", "Open call", "Sole source"]).agg(F.sum("amount"))
     return wide.select("place", *(F.col(f"`{m}`").cast("double").alias(m.lower().replace(" ", "_")) for m in ("Emergency", "Open call", "Sole source")))
 
 
 @query("a29_sum_by_year", with_items("SELECT fiscal_year, CAST(sum(amount) AS DOUBLE) AS value FROM items GROUP BY fiscal_year"))
 def a29(spark, sf):
-    return items(spark, sf).groupBy("fiscal_year").agg(F.sum("amount").cast("double").alias("value"))
+    return items(spark, sf, "amount", "fiscal_year").groupBy("fiscal_year").agg(F.sum("amount").cast("double").alias("value"))
 
 
 @query("a30_body_sources", with_items("SELECT buyer_key, count(DISTINCT (dataset, currency)) AS sources, count(*) AS n FROM items GROUP BY buyer_key"))
 def a30(spark, sf):
-    return items(spark, sf).groupBy("buyer_key").agg(F.size(F.collect_set(F.struct("dataset", "currency"))).cast("long").alias("sources"), F.count("*").alias("n"))
+    return items(spark, sf, "dataset", "currency", "buyer_key").groupBy("buyer_key").agg(F.size(F.collect_set(F.struct("dataset", "currency"))).cast("long").alias("sources"), F.count("*").alias("n"))
 
 
 @query("a31_currency_report", with_items("SELECT currency, count(*) AS records, count(*) FILTER (amount IS NULL) AS missing, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE dataset = 'notice' GROUP BY currency"))
 def a31(spark, sf):
-    return items(spark, sf).where("dataset = 'notice'").groupBy("currency").agg(F.count("*").alias("records"), F.count_if(F.col("amount").isNull()).alias("missing"), F.sum("amount").cast("double").alias("value"))
+    return items(spark, sf, "dataset", "currency", "amount").where("dataset = 'notice'").groupBy("currency").agg(F.count("*").alias("records"), F.count_if(F.col("amount").isNull()).alias("missing"), F.sum("amount").cast("double").alias("value"))
 
 
 @query("a32_values_for_predicate", with_items(f"SELECT dataset, currency, {MEASURES}, dataset <> 'notice' AS included FROM items WHERE method = 'Emergency' GROUP BY dataset, currency"))

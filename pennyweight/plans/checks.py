@@ -40,7 +40,7 @@ def v03(spark, sf):
 
 @query("v04_over_a_cent", with_items("SELECT supplier_key, CAST(sum(amount) - sum(price) AS DOUBLE) AS difference FROM items GROUP BY supplier_key HAVING abs(sum(amount) - sum(price)) > 0.01"))
 def v04(spark, sf):
-    out = items(spark, sf).groupBy("supplier_key").agg((F.sum("amount") - F.sum("price")).alias("d")).where(F.abs("d") > 0.01)
+    out = items(spark, sf, "supplier_key", "amount", "price").groupBy("supplier_key").agg((F.sum("amount") - F.sum("price")).alias("d")).where(F.abs("d") > 0.01)
     return out.select("supplier_key", F.col("d").cast("double").alias("difference"))
 
 

@@ -45,7 +45,7 @@ def d03(spark, sf):
 
 @query("d04_unit_scaling", with_items("SELECT place, fiscal_year, CAST(sum(amount) * 1000000 AS DOUBLE) AS amount FROM items WHERE dataset = 'notice' AND currency = 'CAD' GROUP BY ALL"))
 def d04(spark, sf):
-    return items(spark, sf).where("dataset = 'notice' AND currency = 'CAD'").groupBy("place", "fiscal_year").agg((F.sum("amount") * 1_000_000).cast("double").alias("amount"))
+    return items(spark, sf, "dataset", "currency", "place", "amount", "fiscal_year").where("dataset = 'notice' AND currency = 'CAD'").groupBy("place", "fiscal_year").agg((F.sum("amount") * 1_000_000).cast("double").alias("amount"))
 
 
 @query("d05_count_once", with_items(f"""
@@ -64,7 +64,7 @@ def d05b(spark, sf):
 
 @query("d06_reviewed_decisions", with_items("SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.amount = b.amount THEN 'repeat' WHEN a.award_date = b.award_date THEN 'correction' ELSE 'keep' END AS decision FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.supplier_key = b.supplier_key AND a.id < b.id"))
 def d06(spark, sf):
-    rows = items(spark, sf).select("id", "l_orderkey", "supplier_key", "amount", "award_date")
+    rows = items(spark, sf, "id", "supplier_key", "amount", "award_date", "l_orderkey").select("id", "l_orderkey", "supplier_key", "amount", "award_date")
     a = rows.withColumnsRenamed({"id": "id_a", "amount": "x", "award_date": "d"})
     b = rows.withColumnsRenamed({"id": "id_b", "amount": "y", "award_date": "e"})
     decision = F.when(F.col("x") == F.col("y"), "repeat").when(F.col("d") == F.col("e"), "correction").otherwise("keep")
@@ -98,7 +98,7 @@ def d14(spark, sf):
 
 @query("d15_group_key", with_items("SELECT place, arg_max(supplier_key, (n, v, -supplier_key)) AS supplier_key FROM (SELECT place, supplier_key, count(*) AS n, coalesce(sum(amount), 0) AS v FROM items GROUP BY ALL) GROUP BY place"))
 def d15(spark, sf):
-    by = items(spark, sf).groupBy("place", "supplier_key").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("v"))
+    by = items(spark, sf, "place", "supplier_key", "amount").groupBy("place", "supplier_key").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("v"))
     return by.groupBy("place").agg(F.max_by("supplier_key", F.struct("n", "v", -F.col("supplier_key"))).alias("supplier_key"))
 
 

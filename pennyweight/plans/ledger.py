@@ -41,36 +41,52 @@ def with_items(sql: str) -> str:
     return f"WITH items AS ({ITEMS})\n{sql}"
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conformed line items. Unused joins and columns are pruned by the optimizer's own rules."""
+#: What each dimension is needed for; keys have no orphans, so a join left out drops no row.
+_FROM_ORDERS = {"buyer_key", "buyer", "place", "award_date", "method"}
+_FROM_CUSTOMER = {"buyer", "place"}
+_FROM_PART = {"description", "category"}
+
+
+def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The conformed line items, or some of their columns.
+
+    Spark does not drop an inner join whose columns go unused, so a query
+    that names its columns gets only the joins that these need.
+    """
     read = lambda name: table(spark, sf_dir, name)
-    lines = read("lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
-    joined = (
-        lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    dataset = F.when(F.col("l_returnflag") == "A", "award").when(F.col("l_returnflag") == "N", "contract").otherwise("notice")
-    method = F.when(F.col("o_orderpriority") == "1-URGENT", "Emergency").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "Sole source").otherwise("Open call")
-    amount = F.when(F.col("l_linenumber") == 7, None).when((F.col("l_linenumber") == 6) & (F.col("l_quantity") < 10), F.lit(0).cast("decimal(18,2)")).otherwise(F.col("price"))
-    receipt = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")] + [F.col("l_quantity").cast("long"), F.col("price")]
-    return joined.select(
-        ids.item_id(dataset, *receipt).alias("id"),
-        dataset.alias("dataset"),
-        F.when(F.col("l_linestatus") == "F", "CAD").otherwise("USD").alias("currency"),
-        F.col("c_custkey").alias("buyer_key"),
-        F.col("c_name").alias("buyer"),
-        F.col("n_name").alias("place"),
-        F.col("s_suppkey").alias("supplier_key"),
-        F.col("s_name").alias("supplier"),
-        F.col("p_name").alias("description"),
-        F.col("p_type").alias("category"),
-        amount.alias("amount"),
-        F.to_date("o_orderdate").alias("award_date"),
-        F.to_date("l_shipdate").alias("period_end"),
-        method.alias("method"),
-        dates.fiscal_year(F.to_date("l_shipdate")).alias("fiscal_year"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "price",
-    )
+    flag, line, priority = F.col("l_returnflag"), F.col("l_linenumber"), F.col("o_orderpriority")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    dataset = F.when(flag == "A", "award").when(flag == "N", "contract").otherwise("notice")
+    receipt = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")] + [F.col("l_quantity").cast("long"), price]
+    fields = {
+        "id": ids.item_id(dataset, *receipt),
+        "dataset": dataset,
+        "currency": F.when(F.col("l_linestatus") == "F", "CAD").otherwise("USD"),
+        "buyer_key": F.col("o_custkey"),
+        "buyer": F.col("c_name"),
+        "place": F.col("n_name"),
+        "supplier_key": F.col("l_suppkey"),
+        "supplier": F.col("s_name"),
+        "description": F.col("p_name"),
+        "category": F.col("p_type"),
+        "amount": F.when(line == 7, None).when((line == 6) & (F.col("l_quantity") < 10), F.lit(0).cast("decimal(18,2)")).otherwise(price),
+        "award_date": F.to_date("o_orderdate"),
+        "period_end": F.to_date("l_shipdate"),
+        "method": F.when(priority == "1-URGENT", "Emergency").when(priority == "4-NOT SPECIFIED", "Sole source").otherwise("Open call"),
+        "fiscal_year": dates.fiscal_year(F.to_date("l_shipdate")),
+        **{c: F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")},
+        "price": price,
+    }
+    wanted = set(columns or fields)
+    rows = read("lineitem")
+    if wanted & _FROM_ORDERS:
+        rows = rows.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if wanted & _FROM_CUSTOMER:
+        rows = rows.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    if "place" in wanted:
+        rows = rows.join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    if "supplier" in wanted:
+        rows = rows.join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    if wanted & _FROM_PART:
+        rows = rows.join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(*(c.alias(n) for n, c in fields.items() if n in wanted))

@@ -12,19 +12,19 @@ from .registry import query, table
 @query("j01_inner", with_items("SELECT i.id, o_orderstatus FROM items i JOIN orders ON l_orderkey = o_orderkey WHERE method = 'Emergency'"))
 def j01(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return items(spark, sf).where("method = 'Emergency'").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "o_orderstatus")
+    return items(spark, sf, "id", "method", "l_orderkey").where("method = 'Emergency'").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "o_orderstatus")
 
 
 @query("j03_scalar_subquery", with_items("SELECT s_suppkey, s_name, (SELECT max(award_date) FROM items WHERE supplier_key = s_suppkey) AS last_award FROM supplier"))
 def j03(spark, sf):
-    last = items(spark, sf).groupBy("supplier_key").agg(F.max("award_date").alias("last_award"))
+    last = items(spark, sf, "supplier_key", "supplier", "award_date").groupBy("supplier_key").agg(F.max("award_date").alias("last_award"))
     return table(spark, sf, "supplier").join(last, F.col("s_suppkey") == F.col("supplier_key"), "left").select("s_suppkey", "s_name", "last_award")
 
 
 @query("j04_semi", with_items("SELECT id FROM items WHERE supplier_key IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"))
 def j04(spark, sf):
     low = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("supplier_key"))
-    return items(spark, sf).join(low, "supplier_key", "left_semi").select("id")
+    return items(spark, sf, "id", "supplier_key", "supplier").join(low, "supplier_key", "left_semi").select("id")
 
 
 @query("j05_anti", "SELECT p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) ON p_partkey = l_partkey")
@@ -57,7 +57,7 @@ def j07(spark, sf):
 def j08(spark, sf):
     # two dimension tables of fixed size
     places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("place"), "r_name")
-    return items(spark, sf).join(places, "place").groupBy("place", "r_name").agg(F.count("*").alias("n"))
+    return items(spark, sf, "place").join(places, "place").groupBy("place", "r_name").agg(F.count("*").alias("n"))
 
 
 @query("j09_collect_to_item", "SELECT o_orderkey, coalesce(flags, '') AS flags FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -82,7 +82,7 @@ def j13(spark, sf):
 
 @query("j14_cross_dataset", with_items("SELECT a.id AS award_id, b.id AS notice_id FROM items a JOIN items b ON a.dataset = 'award' AND b.dataset = 'notice' AND a.supplier_key = b.supplier_key AND a.award_date = b.award_date AND a.amount < b.amount"))
 def j14(spark, sf):
-    rows = items(spark, sf).select("id", "dataset", "supplier_key", "award_date", "amount")
+    rows = items(spark, sf, "id", "dataset", "supplier_key", "amount", "award_date").select("id", "dataset", "supplier_key", "award_date", "amount")
     a = rows.where("dataset = 'award'").select(F.col("id").alias("award_id"), "supplier_key", "award_date", F.col("amount").alias("x"))
     b = rows.where("dataset = 'notice'").select(F.col("id").alias("notice_id"), "supplier_key", "award_date", F.col("amount").alias("y"))
     return a.join(b, ["supplier_key", "award_date"]).where("x < y").select("award_id", "notice_id")
@@ -102,13 +102,13 @@ def j16(spark, sf):
 
 @query("j17_first_of_documents", with_items("SELECT place, fiscal_year, CAST(coalesce(sum(amount) FILTER (dataset = 'contract'), sum(amount) FILTER (dataset = 'notice'), sum(amount) FILTER (dataset = 'award')) AS DOUBLE) AS value FROM items WHERE l_quantity > 45 GROUP BY ALL"))
 def j17(spark, sf):
-    wide = items(spark, sf).where("l_quantity > 45").groupBy("place", "fiscal_year").pivot("dataset", ["contract", "notice", "award"]).agg(F.sum("amount"))
+    wide = items(spark, sf, "dataset", "place", "amount", "fiscal_year", "l_quantity").where("l_quantity > 45").groupBy("place", "fiscal_year").pivot("dataset", ["contract", "notice", "award"]).agg(F.sum("amount"))
     return wide.select("place", "fiscal_year", F.coalesce("contract", "notice", "award").cast("double").alias("value"))
 
 
 @query("j18_next_year", with_items("SELECT a.place, a.y, CAST(a.v AS DOUBLE) AS now, CAST(b.v AS DOUBLE) AS next FROM (SELECT place, year(award_date) AS y, sum(amount) AS v FROM items GROUP BY ALL) a JOIN (SELECT place, year(award_date) AS y, sum(amount) AS v FROM items GROUP BY ALL) b ON a.place = b.place AND b.y = a.y + 1"))
 def j18(spark, sf):
-    by = items(spark, sf).groupBy("place", F.year("award_date").alias("y")).agg(F.sum("amount").cast("double").alias("v"))
+    by = items(spark, sf, "place", "amount", "award_date").groupBy("place", F.year("award_date").alias("y")).agg(F.sum("amount").cast("double").alias("v"))
     a = by.select("place", "y", F.col("v").alias("now"))
     b = by.select("place", (F.col("y") - 1).alias("y"), F.col("v").alias("next"))
     return a.join(b, ["place", "y"]).select("place", F.col("y").cast("long").alias("y"), "now", "next")

@@ -88,7 +88,7 @@ def s02(spark, sf):
 @query("j02_using_dimension", with_items("SELECT buyer_key, min(buyer) AS buyer, min(c_mktsegment) AS segment, count(*) AS n FROM items JOIN customer ON buyer_key = c_custkey GROUP BY buyer_key"))
 def j02(spark, sf):
     buyers = table(spark, sf, "customer").select(F.col("c_custkey").alias("buyer_key"), F.col("c_mktsegment").alias("segment"))
-    return items(spark, sf).join(buyers, "buyer_key").groupBy("buyer_key").agg(F.min("buyer").alias("buyer"), F.min("segment").alias("segment"), F.count("*").alias("n"))
+    return items(spark, sf, "buyer_key", "buyer").join(buyers, "buyer_key").groupBy("buyer_key").agg(F.min("buyer").alias("buyer"), F.min("segment").alias("segment"), F.count("*").alias("n"))
 
 
 @query("j11_similar_in_blocks")
@@ -123,7 +123,7 @@ def j23(spark, sf):
 
 @query("l04_windowed_pages", with_items("SELECT id FROM items WHERE supplier_key IN (SELECT supplier_key FROM items WHERE description LIKE '%a%' GROUP BY 1 ORDER BY sum(amount) DESC NULLS LAST, supplier_key LIMIT 5) AND description LIKE '%a%' ORDER BY items.amount DESC NULLS LAST, id LIMIT 25 OFFSET 25"))
 def l04(spark, sf):
-    rows = items(spark, sf).where(F.contains("description", F.lit("a")))
+    rows = items(spark, sf, "id", "supplier_key", "description", "amount").where(F.contains("description", F.lit("a")))
     top = rows.groupBy("supplier_key").agg(F.sum("amount").alias("v")).orderBy(F.col("v").desc_nulls_last(), "supplier_key").limit(5)
     kept = rows.join(top.select("supplier_key"), "supplier_key", "left_semi")
     return kept.orderBy(F.col("amount").desc_nulls_last(), "id").offset(25).limit(25).select("id")
@@ -131,7 +131,7 @@ def l04(spark, sf):
 
 @query("l08_null_order", with_items("SELECT id FROM items ORDER BY items.amount ASC NULLS FIRST, id LIMIT 50"))
 def l08(spark, sf):
-    return items(spark, sf).orderBy(F.col("amount").asc_nulls_first(), "id").limit(50).select("id")
+    return items(spark, sf, "id", "amount").orderBy(F.col("amount").asc_nulls_first(), "id").limit(50).select("id")
 
 
 @query("d10_contained_names", "SELECT a.p_type AS a, b.p_type AS b FROM (SELECT DISTINCT p_type FROM part) a JOIN (SELECT DISTINCT p_type FROM part) b ON a.p_type <> b.p_type AND list_has_all(string_split(b.p_type, ' '), string_split(a.p_type, ' ')) AND split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1)")
@@ -178,7 +178,7 @@ def b06(spark, sf):
 
 @query("m07_list_flags", with_items("SELECT method AS flag, count(*) AS items FROM items WHERE method <> 'Open call' GROUP BY method"))
 def m07(spark, sf):
-    return items(spark, sf).where("method <> 'Open call'").groupBy(F.col("method").alias("flag")).agg(F.count("*").alias("items"))
+    return items(spark, sf, "method").where("method <> 'Open call'").groupBy(F.col("method").alias("flag")).agg(F.count("*").alias("items"))
 
 
 @query("m10_search_and_fetch", with_items("SELECT id, supplier, CASE WHEN currency = 'CAD' THEN CAST(amount AS DOUBLE) END AS amount_cad FROM items WHERE regexp_matches(description, '(^| )b') AND supplier_key = 1"))

@@ -26,7 +26,7 @@ def q01(spark, sf):
 @query("q02_tags", with_items("SELECT id, concat_ws(' ', 'd' || substr(sha1(dataset), 1, 10), 'b' || substr(sha1(CAST(buyer_key AS VARCHAR)), 1, 10), 's' || substr(sha1(CAST(supplier_key AS VARCHAR)), 1, 10), 'y' || substr(sha1(CAST(year(award_date) AS VARCHAR)), 1, 10)) AS tags FROM items"))
 def q02(spark, sf):
     year = F.year("award_date").cast("string")
-    return items(spark, sf).select("id", F.concat_ws(" ", ids.tag("d", F.col("dataset")), ids.tag("b", F.col("buyer_key")), ids.tag("s", F.col("supplier_key")), ids.tag("y", year)).alias("tags"))
+    return items(spark, sf, "id", "dataset", "buyer_key", "supplier_key", "award_date").select("id", F.concat_ws(" ", ids.tag("d", F.col("dataset")), ids.tag("b", F.col("buyer_key")), ids.tag("s", F.col("supplier_key")), ids.tag("y", year)).alias("tags"))
 
 
 @query("q03_tokens", f"SELECT doc_id, len({_TOK}) AS n, len(list_distinct({_TOK})) AS n_distinct FROM documents")
@@ -57,7 +57,7 @@ def q06(spark, sf):
 @query("q07_items_in_documents", with_items("SELECT id FROM items WHERE currency = 'CAD' AND lower(description) LIKE '%a%' AND regexp_matches(lower(description), '(^|[^a-z0-9])b') AND dataset = 'award'"))
 def q07(spark, sf):
     words = S.tokens(F.col("description"))
-    rows = items(spark, sf).where("currency = 'CAD' AND dataset = 'award'")
+    rows = items(spark, sf, "id", "dataset", "currency", "description").where("currency = 'CAD' AND dataset = 'award'")
     return rows.where(F.contains("description", F.lit("a")) & F.exists(words, lambda w: F.startswith(w, F.lit("b")))).select("id")
 
 
@@ -91,5 +91,5 @@ def q11(spark, sf):
 
 @query("q12_get_item", with_items("SELECT id, supplier, CAST(amount AS DOUBLE) AS amount FROM items WHERE id = (SELECT min(id) FROM items)"))
 def q12(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "id", "supplier", "amount")
     return rows.join(rows.agg(F.min("id").alias("id")), "id", "left_semi").select("id", "supplier", F.col("amount").cast("double").alias("amount"))

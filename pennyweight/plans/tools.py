@@ -114,14 +114,14 @@ def b02(spark, sf):
 
 @query("b03_department_pivot", with_items("SELECT place, CAST(sum(amount) FILTER (dataset = 'award') AS DOUBLE) AS award, CAST(sum(amount) FILTER (dataset = 'contract') AS DOUBLE) AS contract, CAST(sum(amount) FILTER (dataset = 'notice') AS DOUBLE) AS notice FROM items GROUP BY place"))
 def b03(spark, sf):
-    wide = items(spark, sf).groupBy("place").pivot("dataset", ["award", "contract", "notice"]).agg(F.sum("amount"))
+    wide = items(spark, sf, "dataset", "place", "amount").groupBy("place").pivot("dataset", ["award", "contract", "notice"]).agg(F.sum("amount"))
     return wide.select("place", *(_cad(c) for c in ("award", "contract", "notice")))
 
 
 @query("b04_receipt_examples", with_items("SELECT place, id FROM (SELECT place, id, row_number() OVER (PARTITION BY place ORDER BY amount DESC NULLS LAST, id) AS r FROM items WHERE currency = 'CAD') WHERE r <= 2"))
 def b04(spark, sf):
     order = W.partitionBy("place").orderBy(F.col("amount").desc_nulls_last(), "id")
-    return items(spark, sf).where("currency = 'CAD'").withColumn("r", F.row_number().over(order)).where("r <= 2").select("place", "id")
+    return items(spark, sf, "id", "currency", "place", "amount").where("currency = 'CAD'").withColumn("r", F.row_number().over(order)).where("r <= 2").select("place", "id")
 
 
 @query("n56_citation", with_items("SELECT id, list_last(string_split(id, '-')) AS short, CASE WHEN currency = 'CAD' THEN CAST(amount AS DOUBLE) END AS amount_cad FROM items WHERE dataset = 'award'"))

@@ -14,7 +14,7 @@ _L = "l_shipdate, l_partkey, l_linenumber, l_quantity, l_extendedprice"
 
 @query("w01_canonical_buyer", with_items("SELECT place, buyer FROM (SELECT place, buyer, row_number() OVER (PARTITION BY place ORDER BY count(*) DESC, buyer) AS r FROM items GROUP BY place, buyer) WHERE r = 1"))
 def w01(spark, sf):
-    counted = items(spark, sf).groupBy("place", "buyer").agg(F.count("*").alias("n"))
+    counted = items(spark, sf, "buyer", "place").groupBy("place", "buyer").agg(F.count("*").alias("n"))
     order = W.partitionBy("place").orderBy(F.desc("n"), "buyer")
     return counted.withColumn("r", F.row_number().over(order)).where("r = 1").select("place", "buyer")
 
@@ -77,20 +77,20 @@ def w08(spark, sf):
 @query("w09_chunks", with_items("SELECT supplier_key, CAST((r - 1) // 40 AS BIGINT) AS chunk, count(*) AS n, min(id) AS first_id FROM (SELECT supplier_key, id, row_number() OVER (PARTITION BY supplier_key ORDER BY id) AS r FROM items) GROUP BY ALL"))
 def w09(spark, sf):
     order = W.partitionBy("supplier_key").orderBy("id")
-    rows = items(spark, sf).select("supplier_key", "id", F.floor((F.row_number().over(order) - 1) / 40).alias("chunk"))
+    rows = items(spark, sf, "id", "supplier_key").select("supplier_key", "id", F.floor((F.row_number().over(order) - 1) / 40).alias("chunk"))
     return rows.groupBy("supplier_key", "chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("w10_year_over_year", with_items("SELECT place, fiscal_year, CAST(v AS DOUBLE) AS value, CAST(v - lag(v) OVER (PARTITION BY place ORDER BY fiscal_year) AS DOUBLE) AS change FROM (SELECT place, fiscal_year, sum(amount) AS v FROM items GROUP BY ALL)"))
 def w10(spark, sf):
-    by = items(spark, sf).groupBy("place", "fiscal_year").agg(F.sum("amount").alias("v"))
+    by = items(spark, sf, "place", "amount", "fiscal_year").groupBy("place", "fiscal_year").agg(F.sum("amount").alias("v"))
     before = F.lag("v").over(W.partitionBy("place").orderBy("fiscal_year"))
     return by.select("place", "fiscal_year", F.col("v").cast("double").alias("value"), (F.col("v") - before).cast("double").alias("change"))
 
 
 @query("w11_share_of_total", with_items("SELECT place, method, round(CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY place) AS DOUBLE), 6) AS share FROM (SELECT place, method, sum(amount) AS v FROM items GROUP BY ALL)"))
 def w11(spark, sf):
-    by = items(spark, sf).groupBy("place", "method").agg(F.sum("amount").alias("v"))
+    by = items(spark, sf, "place", "amount", "method").groupBy("place", "method").agg(F.sum("amount").alias("v"))
     return by.select("place", "method", F.round(F.col("v").cast("double") / F.sum("v").over(W.partitionBy("place")).cast("double"), 6).alias("share"))
 
 
@@ -107,29 +107,29 @@ def w12(spark, sf):
 
 @query("l01_largest", with_items("SELECT id, CAST(amount AS DOUBLE) AS amount FROM items ORDER BY items.amount DESC NULLS LAST, id LIMIT 100"))
 def l01(spark, sf):
-    return items(spark, sf).orderBy(F.col("amount").desc_nulls_last(), "id").limit(100).select("id", F.col("amount").cast("double").alias("amount"))
+    return items(spark, sf, "id", "amount").orderBy(F.col("amount").desc_nulls_last(), "id").limit(100).select("id", F.col("amount").cast("double").alias("amount"))
 
 
 @query("l02_offset", with_items("SELECT id FROM items ORDER BY id LIMIT 1 OFFSET 500"))
 def l02(spark, sf):
-    return items(spark, sf).select("id").orderBy("id").offset(500).limit(1)
+    return items(spark, sf, "id").select("id").orderBy("id").offset(500).limit(1)
 
 
 @query("l03_page_plus_one", with_items("SELECT id FROM items WHERE method = 'Emergency' ORDER BY award_date DESC, id LIMIT 26"))
 def l03(spark, sf):
-    return items(spark, sf).where("method = 'Emergency'").orderBy(F.desc("award_date"), "id").limit(26).select("id")
+    return items(spark, sf, "id", "award_date", "method").where("method = 'Emergency'").orderBy(F.desc("award_date"), "id").limit(26).select("id")
 
 
 @query("l05_top_per_group", with_items("SELECT supplier_key, id FROM (SELECT supplier_key, id, row_number() OVER (PARTITION BY supplier_key ORDER BY amount DESC NULLS LAST, id) AS r FROM items) WHERE r <= 40"))
 def l05(spark, sf):
     order = W.partitionBy("supplier_key").orderBy(F.col("amount").desc_nulls_last(), "id")
-    return items(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 40").select("supplier_key", "id")
+    return items(spark, sf, "id", "supplier_key", "amount").withColumn("r", F.row_number().over(order)).where("r <= 40").select("supplier_key", "id")
 
 
 @query("l06_by_difference", with_items("SELECT place, CAST(d AS DOUBLE) AS difference FROM (SELECT place, sum(CASE WHEN dataset = 'award' THEN amount ELSE 0 END) - sum(CASE WHEN dataset = 'contract' THEN amount ELSE 0 END) AS d FROM items GROUP BY place) ORDER BY abs(d) DESC, place LIMIT 10"))
 def l06(spark, sf):
     part = lambda d: F.sum(F.when(F.col("dataset") == d, F.col("amount")).otherwise(0))
-    out = items(spark, sf).groupBy("place").agg((part("award") - part("contract")).alias("d"))
+    out = items(spark, sf, "dataset", "place", "amount").groupBy("place").agg((part("award") - part("contract")).alias("d"))
     return out.orderBy(F.desc(F.abs("d")), "place").limit(10).select("place", F.col("d").cast("double").alias("difference"))
 
 
@@ -137,7 +137,7 @@ def l06(spark, sf):
 SELECT CASE WHEN k <= 5 THEN place ELSE 'more' END AS name, count(*) AS places, CAST(sum(v) AS DOUBLE) AS value
 FROM (SELECT place, sum(amount) AS v, row_number() OVER (ORDER BY sum(amount) DESC, place) AS k FROM items GROUP BY place) GROUP BY 1"""))
 def l07(spark, sf):
-    by = items(spark, sf).groupBy("place").agg(F.sum("amount").alias("v"))
+    by = items(spark, sf, "place", "amount").groupBy("place").agg(F.sum("amount").alias("v"))
     top = by.orderBy(F.desc("v"), "place").limit(5).select(F.col("place").alias("top"))
     named = by.join(top, F.col("place") == F.col("top"), "left").withColumn("name", F.coalesce("top", F.lit("more")))
     return named.groupBy("name").agg(F.count("*").alias("places"), F.sum("v").cast("double").alias("value"))
@@ -152,7 +152,7 @@ def u01(spark, sf):
 
 @query("u02_distinct", with_items("SELECT DISTINCT place, method FROM items"))
 def u02(spark, sf):
-    return items(spark, sf).select("place", "method").distinct()
+    return items(spark, sf, "place", "method").select("place", "method").distinct()
 
 
 @query("u03_key_union", "SELECT coalesce(a.k, b.k) AS key, a.n AS before, b.n AS after FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1) b ON a.k = b.k")
