@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_uint, unpack_uint
+from .common import materialise, pack_uint, release, unpack_uint
 
 BLOCK_BYTES = 6 << 20
 #: Bytes of text for each shard of the key space.
@@ -84,6 +84,8 @@ def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int =
                     held, size, number = [], 0, number + 1
         if held:
             yield pa.RecordBatch.from_pylist([seal(held, number)], kind)
+        held = []
+        release()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     spark = docs.sparkSession
@@ -107,6 +109,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield opened(batch.slice(k, 1).to_pylist()[0])
+    release()
 
 
 def pack_docs(docs: np.ndarray) -> tuple[bytes, bytes]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, release, texts
 from .encoding import default_vocabulary, encoder
 from .tokenfiles import END_ID, slices
 
@@ -98,6 +98,7 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc, packer = encoder(vocabulary), _Packer(length, windows)
         end = np.array([end_id], enc.dtype).tobytes()
         task = TaskContext.get().partitionId()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialise, mix64, ranges
+from .common import materialise, mix64, ranges, release
 
 LENGTH = 50
 GRAM = 20
@@ -254,6 +254,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tupl
                         "sizes": sizes.astype("<i4").tobytes(), "body": block.body[ranges(units.first[some], sizes)].tobytes(),
                     }
                 )
+        release()
         return pa.Table.from_batches([B.messages(rows, _BYTES)])
 
     def remove(blocks: pa.Table, replies: pa.Table) -> pa.Table:
@@ -264,8 +265,9 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tupl
         for row in blocks.to_pylist():
             block = B.opened(row)
             units = Units(block, length, gram)
-            gone = _gone(units, shards, got, length)
-            out.append(_cut(block, gone))
+            out.append(_cut(block, _gone(units, shards, got, length)))
+            del block, units
+            release()
         return pa.Table.from_batches(out)
 
     first = blocks.mapInArrow(send, _UNITS).groupBy("shard").applyInArrow(_compare, B.REPLY)

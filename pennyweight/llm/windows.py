@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import mix64
+from .common import mix64, release
 
 WIDTH = 13
 _BASE = 0xD6E8FEB86659FD93
@@ -130,6 +130,7 @@ def removals(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) ->
             if block.rest is not None:
                 columns, names = [*columns, *block.rest.columns], [*names, *block.rest.schema.names]
             out.append(pa.RecordBatch.from_arrays(columns, names))
+        release()
         return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64())})
 
     replies = blocks.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(count, B.REPLY)
