@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .blocks import by_shard
-from .common import materialise, mix64, pack_uint, ranges, texts, unpack_uint
+from .common import materialise, mix64, pack_uint, ranges, release, texts, unpack_uint
 from .graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -41,7 +41,7 @@ SEGMENTS, BITS = 26, 24
 WORDS = SEGMENTS * BITS // 64 + 1
 #: Of 32 further bits, so many may differ: 99.7 % of pairs at similarity 0.8, 5 % of chance pairs.
 FURTHER = 11
-CROWDED = 32
+CROWDED = 16
 SHARD_RECORDS = 1 << 20
 
 _SENT = "shard long, keys binary, further binary, doc binary, refs binary, labels binary"
@@ -116,6 +116,7 @@ def candidates(nodes: DataFrame, count: int, again: bool = False) -> DataFrame:
                     for name, value in (("shard", k), ("keys", keys[mine].tobytes()), ("further", further[some].tobytes()), ("doc", pack_uint(place.astype(np.uint64))), ("refs", refs[some].tobytes()), ("labels", labels[some].tobytes() if again else b"")):
                         out[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if n == "shard" else pa.binary()) for n, v in out.items()], list(out))
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -158,12 +159,13 @@ def candidates(nodes: DataFrame, count: int, again: bool = False) -> DataFrame:
         else:
             all_pairs(np.flatnonzero((members > 0) & (sizes > 1) & ~crowded))
             for s, n, m in zip(starts[crowded], sizes[crowded], members[crowded], strict=True):
-                # the middle of the star differs from bucket to bucket
-                centre = s + int(np.argmin(mix64(refs[s : s + m].astype(np.uint64) ^ np.uint64(int(keys[s]) * 0x9E3779B97F4A7C15 % (1 << 64)))))
+                # the same rule in all buckets, so a group's stars mostly share their middle
+                centre = s + int(np.argmin(mix64(refs[s : s + m].astype(np.uint64))))
                 near(np.full(n, centre), np.arange(s, s + n))
                 a_out.append(refs[s : s + n])
                 b_out.append(refs[s : s + n])
         empty = np.zeros(0, np.int64)
+        release()
         return pa.table({"a": np.concatenate([empty, *a_out]), "b": np.concatenate([empty, *b_out])})
 
     sent = nodes.select("ref", "fp", "label").mapInArrow(send, _SENT)
