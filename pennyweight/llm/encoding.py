@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,8 +21,14 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
 _BLANK = re.compile(r"\s")
+#: Signs that are a piece of their own after letters.
+_MARKS = frozenset(".,;:!?|)]}")
+#: How byte-level vocabularies write bytes: visible ones as they are, the others from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SPACE = _BYTES[32]
 #: Pieces that a process remembers, and pieces encoded in one call.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 AT_ONCE = 2_000
 
 _made: dict[str, Encoder] = {}
@@ -55,17 +62,39 @@ class Encoder:
         line_end = self._ids("\n")
         self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not parts.get("normalizer") and len(line_end) == 1
         self.line_end = line_end[0] if self.piecewise else None
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {}  # single signs
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}  # by piece, without the space before it
         self.first: dict[str, bytes] = {}  # pieces that start a text
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _word(self, text: str) -> bytes:
+        """The merges of a text that is one piece for the tokenizer's own pattern."""
+        shown = f"{_SPACE}{text[1:]}" if text[0] == " " and text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _learn(self, pieces: list[str], into: dict[str, bytes], before: str) -> None:
-        plain = [p for p in pieces if p and not _BLANK.search(p)]
+        hard = []
+        for p in pieces:
+            word, mark = (p, "") if p.isalpha() else (p[:-1], p[-1:])
+            if word.isalpha() and (not mark or mark in _MARKS):
+                # letters are one piece with the space before them, and a sign after them is one of its own
+                if (raw := into.get(word)) is None:
+                    raw = self._word(before + word)
+                if mark:
+                    if mark not in self.marks:
+                        self.marks[mark] = self._word(mark)
+                    raw += self.marks[mark]
+                into[p] = raw
+            else:
+                hard.append(p)
+        plain = [p for p in hard if p and not _BLANK.search(p)]
         for k in range(0, len(plain), AT_ONCE):
             some = plain[k : k + AT_ONCE]
             ids = np.array(self._ids("\n".join(before + p for p in some)), self.dtype)
@@ -74,9 +103,7 @@ class Encoder:
                 raw, width = ids.tobytes(), self.dtype.itemsize
                 starts, ends = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
                 into.update(zip(some, (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
-            else:
-                into.update((p, self._raw(self._ids(before + p))) for p in some)
-        for p in pieces:
+        for p in hard:
             if p not in into:
                 into[p] = self._raw(self._ids(before + p))
 
@@ -85,18 +112,19 @@ class Encoder:
         if not self.piecewise:
             return [self._raw(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         cut = [(_CUT.split(t) if _RUN.search(t) else t.split(" ")) if t else [""] for t in texts]
-        known, first = self.known, self.first
-        new = {p for pieces in cut for p in pieces[1:] if p not in known}
-        new_first = {pieces[0] for pieces in cut if pieces[0] not in first}
-        rare: dict[str, bytes] = {}
-        self._learn(list(new), known if len(known) + len(new) <= REMEMBERED else rare, " ")
-        first_rare: dict[str, bytes] = {}
-        self._learn(list(new_first), first if len(first) + len(new_first) <= REMEMBERED // 10 else first_rare, "")
-        if first_rare:
-            first_rare.update((p[0], first[p[0]]) for p in cut if p[0] in first)
-            first = first_rare
-        if rare:
-            get = lambda p: known[p] if p in known else rare[p]
-        else:
-            get = known.__getitem__
-        return [first[pieces[0]] + b"".join(map(get, pieces[1:])) for pieces in cut]
+        heads = self._look(self.first, [pieces.pop(0) for pieces in cut], "", REMEMBERED // 10)
+        found = [list(map(self.known.get, pieces)) for pieces in cut]
+        gaps = [[p for p, x in zip(pieces, got, strict=True) if x is None] if None in got else None for pieces, got in zip(cut, found, strict=True)]
+        missing = list({p for some in gaps if some for p in some})
+        filled = dict(zip(missing, self._look(self.known, missing, " ", REMEMBERED), strict=True))
+        return [
+            head + b"".join(got if some is None else [filled[p] if x is None else x for p, x in zip(pieces, got, strict=True)])
+            for head, pieces, got, some in zip(heads, cut, found, gaps, strict=True)
+        ]
+
+    def _look(self, table: dict[str, bytes], pieces: list[str], before: str, most: int) -> list[bytes]:
+        """Each piece's identifiers; new ones are remembered while there is room."""
+        new = list({p for p in pieces if p not in table})
+        into = table if len(table) + len(new) <= most else {}
+        self._learn(new, into, before)
+        return [table[p] if p in table else into[p] for p in pieces]
