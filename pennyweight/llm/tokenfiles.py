@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, texts
+from .common import materialise, release, shared_dir, texts
 from .encoding import default_vocabulary, encoder
 
 END_ID = 0
@@ -48,6 +48,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
     folder = f"{shared_dir(docs.sparkSession)}/tokens"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         name = f"{folder}/{uuid.uuid4().hex}"
@@ -109,5 +110,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.repartition(F.col("part"))
+    # a task for each part: without the number, so few small rows would end in one task
+    spread = manifest.repartition(max(1, manifest.count()), F.col("part"))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
