@@ -66,6 +66,18 @@ def gram_hashes(body: np.ndarray, width: int) -> np.ndarray:
         power *= 2
 
 
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run ``hashes[first..last]``, of all its members and their order.
+
+    Differences of prefix sums weighted by powers, brought back to power zero.
+    """
+    up, down = (np.full(len(hashes), x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
+    sums = np.cumsum(hashes * np.cumprod(up, out=up), dtype=np.uint64)
+    total = sums[last] - sums[first] + hashes[first] * up[first]
+    return mix64(total * np.cumprod(down, out=down)[first] + mix64((last - first).astype(np.uint64)))
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     out, have = values, 1
     while have < width:
@@ -76,7 +88,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Units:
-    """The units of a block: first and last window, document, anchor, and a hash of the whole."""
+    """The units of a block: first and last window, document, anchor, and a hash of all its bytes."""
 
     def __init__(self, block: B.Block, length: int, gram: int):
         self.block, self.length = block, length
@@ -95,9 +107,8 @@ class Units:
             new = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(where) != 1) | (np.diff(doc_of[at:to][where]) != 0)]
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(where)] - 1
-            whole = gram_hashes(body, length)
             s, e = where[first], where[last]
-            name = mix64(whole[s] * np.uint64(3) + mix64(whole[e]) + (e - s).astype(np.uint64))
+            name = run_hashes(gram_hashes(body, length), s, e)
             parts.append((s + at, e + at, doc_of[s + at].astype(np.int64), anchor[first], name))
         if parts:
             self.first, self.last, self.doc, self.anchor, self.name = (np.concatenate(x) for x in zip(*parts, strict=True))

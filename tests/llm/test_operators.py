@@ -92,6 +92,20 @@ def test_suffixes(docs, small_blocks):
     assert got == want and sum(v[1] for v in want.values()) > 1000
 
 
+def test_suffixes_of_periodic_texts_with_differing_middles(spark):
+    r = random.Random(11)
+    draw = lambda k: bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=k))
+    gram = min((draw(20) for _ in range(50_000)), key=lambda g: int(suffixes.gram_hashes(np.frombuffer(g, np.uint8), 20)[0]))
+    row = lambda: gram + draw(5)
+    head, tail = row() + row() + row(), row() + row() + gram
+    texts = [head + b"".join(row() for _ in range(12)) + tail for _ in range(3)]
+    texts.append(texts[0])  # a copy goes as before
+    found = suffixes.removals(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string"))
+    want = {k: bytes(b for b, x in zip(s, g, strict=True) if not x) for k, s, g in repeated(list(enumerate(texts)), 50)}
+    assert {r["doc_id"]: bytes(r["kept"]) for r in found.collect()} == want
+    assert len(want[1]) > 100 and want[3] == b""
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_refine_orders_equal_strings_together(seed):
     r = np.random.default_rng(seed)
@@ -159,6 +173,7 @@ def test_links_between_planted_fingerprints(spark, crowded):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+
 def near_groups(rows):
     bags = {k: set(simhash.shingle_hashes(t or "", 5).tolist()) for k, t in rows}
     parent = {k: k for k in bags}
