@@ -126,6 +126,7 @@ def _pairs_by_mask(table: np.ndarray, asks: np.ndarray, shift: int, width: int,
     """Fingerprints of a crowded group within ``radius``, by look-ups of the remaining bits.
 
     Linear in the group for a fixed radius, where comparing all would be square.
+    Probes differ from the table inside the segment too, so the complete distance is checked.
     """
     inside = np.uint64(((1 << width) - 1) << shift)
     rest = [k for k in range(64) if not (shift <= k < shift + width)]
@@ -137,7 +138,9 @@ def _pairs_by_mask(table: np.ndarray, asks: np.ndarray, shift: int, width: int,
         at = np.searchsorted(keys, wanted)
         hit = at < len(keys)
         hit[hit] = keys[at[hit]] == wanted[hit]
-        yield asks[hit], table[order[at[hit]]]
+        a, b = asks[hit], table[order[at[hit]]]
+        near = np.bitwise_count(a ^ b) <= radius
+        yield a[near], b[near]
 
 
 def _group_links(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, segments: tuple, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

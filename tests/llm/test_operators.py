@@ -173,6 +173,21 @@ def test_links_between_planted_fingerprints(spark, crowded):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_probes_of_a_crowded_bucket_link_within_the_radius_only(spark):
+    r = random.Random(6)
+    # high halves far apart, so that links are those planted
+    table = [k * 0x9E3779B1 % (1 << 32) << 32 for k in range(1, 6001)]
+    apart = [f ^ 1 << r.randrange(32) ^ 0b11 << r.randrange(32, 63) for f in table[:50]]  # three bits
+    near = [f ^ 1 << r.randrange(32) ^ 1 << r.randrange(32, 64) for f in table[50:100]]  # two bits
+    fps = sorted({*table, *apart, *near})
+    bits = np.array(fps, np.uint64)
+    want = {(f, int(g)) for f in fps for g in bits[np.bitwise_count(bits ^ np.uint64(f)) <= 2] if g != f}
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    label = {x["node"] % (1 << 64): x["component"] for x in components(simhash.links(frame, len(fps))).collect()}
+    assert all(label.get(f, -1) == label.get(g, -2) for f, g in want)
+    linked = {f for f, _ in want}
+    assert set(label) == linked and sum(f in linked for f in apart) < 10
+
 
 def near_groups(rows):
     bags = {k: set(simhash.shingle_hashes(t or "", 5).tolist()) for k, t in rows}
