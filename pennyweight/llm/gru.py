@@ -113,8 +113,11 @@ class Trainer:
         self.model, self.rate = model, F32(rate)
         self.seen = {k: np.full_like(v, 1e-8) for k, v in model.p.items()}
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
-        """One update on (time, batch) windows that start from states ``h``; the states after it and the mean loss."""
+    def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """One update on (time, batch) windows that start from states ``h``; the states after it and the mean loss.
+
+        Where ``inside`` is false a sequence has ended: such places neither count nor teach.
+        """
         m, n = self.model, self.model.hidden
         kept, states = [], []
         for ids in inputs:
@@ -123,7 +126,14 @@ class Trainer:
             kept.append((before, z, r, new))
             states.append(h)
         steps, batch = inputs.shape
-        logp, grads, dout = m.outputs(np.concatenate(states), targets.ravel(), learn=True)
+        states, targets = np.concatenate(states), targets.ravel()
+        if inside is None or inside.all():
+            logp, grads, dout = m.outputs(states, targets, learn=True)
+        else:
+            at = np.flatnonzero(inside)
+            logp, grads, some = m.outputs(states[at], targets[at], learn=True)
+            dout = np.zeros((steps * batch, n), F32)
+            dout[at] = some
         dout = dout.reshape(steps, batch, n)
         for k in ("u", "v", "b"):
             grads[k] = np.zeros_like(m.p[k])

@@ -9,8 +9,8 @@
     ``c + 0.5`` of the class's counts, with half a count for unknown words.
 3.  Each task trains the recurrent model on its blocks, from a start
     trained on a few blocks, and the results are averaged by tokens.
-    Training looks at one span of tokens in ``STRIDE``, over all training
-    documents; states are carried through the windows of a span.
+    Training looks at every token of every training document, in spans;
+    states are carried through the windows of a span.
 4.  Every document is scored as a whole, state carried to its end.
 
 Defined results: a null text has the end token only; a null ``doc_id`` has
@@ -40,9 +40,9 @@ from .gru import WINDOW, Model, Trainer, log_likelihood
 BLOCK_BYTES = 12 << 20
 #: Head words, words to a class, and classes of other words by their last two bytes.
 HEAD, PER_CLASS, ENDINGS = 1024, 32, 95
-SPAN, STRIDE, BATCH = 4 * WINDOW, 8, 256
-#: Blocks for the common start.
-START_BLOCKS = 2
+SPAN, BATCH = 4 * WINDOW, 256
+#: Blocks for the common start, which looks at one of their spans in so many; the pass after it takes all.
+START_BLOCKS, START_STRIDE = 2, 4
 CHUNKS = 64
 
 _ASK = "shard long, block long, words binary, counts binary"
@@ -198,8 +198,8 @@ def _opened(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     return meta, np.split(ids, np.cumsum(meta[:, 1])[:-1])
 
 
-def _train_block(trainer: Trainer, row: dict, stride: int) -> int:
-    """Train on the block's spans; the tokens looked at."""
+def _spans(row: dict, stride: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of the spans of the block's training documents, one in ``stride``, longest first."""
     meta, docs = _opened(row)
     spans = []
     for k, ids in enumerate(docs):
@@ -211,22 +211,32 @@ def _train_block(trainer: Trainer, row: dict, stride: int) -> int:
         for at in range(first * SPAN, len(ids), stride * SPAN):
             spans.append((before[at : at + SPAN], ids[at : at + SPAN]))
     spans.sort(key=lambda s: -len(s[1]))
+    return spans
+
+
+def _train_block(trainer: Trainer, row: dict, stride: int = 1) -> int:
+    """Train on the block's spans; the tokens looked at."""
+    spans = _spans(row, stride)
     seen = 0
     batches = [spans[k : k + BATCH] for k in range(0, len(spans), BATCH)]
     for k in np.random.default_rng(len(spans)).permutation(len(batches)):
         some = batches[k]
-        size = len(some[-1][1]) // WINDOW * WINDOW or len(some[-1][1])  # whole windows of the shortest
-        inputs = np.stack([s[0][:size] for s in some], axis=1)
-        targets = np.stack([s[1][:size] for s in some], axis=1)
+        sizes = np.array([len(s[1]) for s in some])
+        inside = np.arange(sizes[0])[:, None] < sizes
+        inputs, targets = np.zeros((2, *inside.shape), np.int64)
+        inputs.T[inside.T] = np.concatenate([s[0] for s in some])
+        targets.T[inside.T] = np.concatenate([s[1] for s in some])
         h = np.zeros((len(some), trainer.model.hidden), np.float32)
-        for t in range(0, size, WINDOW):
-            h, _ = trainer.window(inputs[t : t + WINDOW], targets[t : t + WINDOW], h)
-        seen += size * len(some)
+        for t in range(0, len(inside), WINDOW):
+            n = int((sizes > t).sum())  # those that have not ended stand first
+            part = np.s_[t : t + WINDOW, :n]
+            h, _ = trainer.window(inputs[part], targets[part], h[:n], inside[part])
+        seen += int(sizes.sum())
     return seen
 
 
-def train(coded: DataFrame, lexicon: Lexicon, stride: int = STRIDE) -> np.ndarray:
-    """The parameters, trained on all blocks; tasks start alike and are averaged by tokens."""
+def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """The parameters, trained on all spans of all blocks; tasks start alike and are averaged by tokens."""
     spark = coded.sparkSession
 
     def fit(start: np.ndarray | None, stride: int, rate: float):
@@ -253,8 +263,8 @@ def train(coded: DataFrame, lexicon: Lexicon, stride: int = STRIDE) -> np.ndarra
 
     del spark
     first = coded.orderBy("block").limit(START_BLOCKS).coalesce(1)
-    start = round_(first, None, max(1, stride // 2), 0.1)
-    return round_(coded, start, stride, 0.05) if start is not None else lexicon.model().flat()
+    start = round_(first, None, START_STRIDE, 0.1)
+    return round_(coded, start, 1, 0.05) if start is not None else lexicon.model().flat()
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 import corpus_pipeline
 from pennyweight.llm import blocks, chat, common, mixing, packing, quality, queries, scoring, similar, simhash, suffixes, tokenfiles, topk, windows
@@ -388,6 +389,35 @@ def test_scoring(docs):
         assert -20 * len(ws) < r["score"] < 0
 
 
+def test_training_sees_every_token_of_training_documents():
+    docs = [np.full(n, 1 + k) for k, n in enumerate((1, 5, 33, 127, 128, 129, 700, 40, 64, 2))]
+    meta = np.array([(k, len(d), 0) for k, d in enumerate(docs)], "<i8")
+    row = {"meta": meta.tobytes(), "ids": zstandard.compress(np.concatenate(docs).astype("<u2").tobytes())}
+    trainer, seen, real = Trainer(Model(64, 8, 5, hidden=8)), Counter(), Model.outputs
+
+    def outputs(states, targets, learn=False):
+        seen.update(targets.tolist())
+        return real(trainer.model, states, targets, learn)
+
+    trainer.model.outputs = outputs
+    want = {1 + k: len(d) for k, d in enumerate(docs) if not scoring.held_out(k)}
+    assert scoring._train_block(trainer, row) == sum(want.values())
+    assert seen == want
+
+
+def test_masked_places_do_not_teach():
+    r = np.random.default_rng(2)
+    inputs, targets = r.integers(0, 69, (2, 6, 3))
+    inside = np.arange(6)[:, None] < np.array([6, 6, 2])
+    models = []
+    for filler in (0, 7):
+        trainer = Trainer(Model(64, 8, 5, hidden=8))
+        ends = [np.where(inside, x, filler) for x in (inputs, targets)]
+        trainer.window(*ends, np.zeros((3, 8), np.float32), inside)
+        models.append(trainer.model.flat())
+    assert np.array_equal(*models)
+
+
 def test_model_beats_counts_on_held_out_documents(spark):
     rows = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
