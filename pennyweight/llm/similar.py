@@ -9,8 +9,9 @@ ball of radius one around it.  32 further bits that ride along drop most
 chance meetings.  Candidates are verified by the exact Jaccard similarity
 of their shingle sets.
 
-At similarity 0.8 a pair meets with probability 0.95, at 0.85 with 0.99,
-at 0.9 with 0.9998 (independent bits).
+The search is not complete: at similarity 0.8 a pair meets with probability
+0.94, at 0.85 with 0.99, at 0.9 with 0.9998 (independent bits).  A pair that
+does not meet is never verified, and stays apart unless a third text links it.
 
 Crowded buckets report stars at first, a pair per member.  Once these are
 verified, a second pass reports every near pair of a crowded bucket whose
@@ -18,7 +19,7 @@ ends are still apart, so each candidate pair is either verified or already
 connected, and no bucket ever reports all its pairs.
 
 Defined results: a null text is empty and a text like any other; equal
-texts are one class; texts of fewer than five words have the whole
+texts are one class; documents without an id come last; texts of fewer than five words have the whole
 sequence as their only shingle; an empty table gives an empty one.
 """
 
@@ -176,7 +177,9 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int =
     """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     ends = pairs.select(F.col("a").alias("ref")).union(pairs.select(F.col("b").alias("ref"))).distinct()
     one = firsts.join(ends, "ref", "left_semi").select(F.col("first").alias("doc_id"), "ref")
-    chosen = with_ref(texts(docs)).join(one, ["doc_id", "ref"], "left_semi").select("ref", "text")
+    named = with_ref(texts(docs)).alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.ref") == F.col("o.ref"))
+    chosen = named.join(one.alias("o"), same, "left_semi").select("ref", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +228,7 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The document of least ``doc_id`` of each group, with its own columns."""
     found = groups(docs, width, similarity)
-    heads = found.groupBy("component").agg(F.min(F.struct("first", "ref")).alias("head"))
+    heads = found.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "ref")).alias("head"))
     heads = materialise(heads.select(F.col("head.first").alias("_first"), F.col("head.ref").alias("_ref")), "heads")
     marked = with_ref(docs).withColumnsRenamed({"ref": "_ref"}) if "ref" not in docs.columns else docs.withColumn("_ref", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
     marked = marked.withColumn("_first", F.col("doc_id").cast("long"))

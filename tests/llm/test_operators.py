@@ -220,6 +220,16 @@ def test_similar_keeps_one(spark, docs):
     assert {x["doc_id"] for x in kept.collect()} == near_groups([(k, t) for k, t, *_ in ROWS + copies])
 
 
+def test_similar_links_texts_without_ids(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = lambda k: " ".join([*words[:k], f"x{k}", *words[k + 1 :]])
+    rows = [(None, near(20)), (None, near(90)), (None, near(150)), (None, "quite another text of some words")]
+    kept = lambda r: similar.keep_one(spark.createDataFrame(r, "doc_id long, text string")).collect()
+    assert len(kept(rows)) == 2
+    got = kept([*rows, (7, near(60)), (9, near(120))])  # documents without an id come last
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, rows[3][1]), (7, near(60))]
+
+
 def test_tokens_and_packing(docs):
     enc = encoder(default_vocabulary())
     ids = {k: np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for k, t, *_ in ROWS}
