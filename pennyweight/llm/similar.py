@@ -1,26 +1,33 @@
-"""Groups of near-duplicate texts: wide SimHash, multi-index hashing, exact similarity.
-
-The fingerprint operator of :mod:`simhash` links at a few differing bits.
-Texts that share 80 % of their five-word shingles differ in about 15 % of
-the bits of a SimHash, so here the fingerprint is wide (26 segments of 24
-bits) and two texts are candidates if some segment differs in at most one
-bit: each text goes into the table of every segment and probes the Hamming
-ball of radius one around it.  32 further bits that ride along drop most
-chance meetings.  Candidates are verified by the exact Jaccard similarity
-of their shingle sets.
-
-The search is not complete: at similarity 0.8 a pair meets with probability
-0.94, at 0.85 with 0.99, at 0.9 with 0.9998 (independent bits).  A pair that
-does not meet is never verified, and stays apart unless a third text links it.
-
-Crowded buckets report stars at first, a pair per member.  Once these are
-verified, a second pass reports every near pair of a crowded bucket whose
-ends are still apart, so each candidate pair is either verified or already
-connected, and no bucket ever reports all its pairs.
-
-Defined results: a null text is empty and a text like any other; equal
-texts are one class; documents without an id come last; texts of fewer than five words have the whole
-sequence as their only shingle; an empty table gives an empty one.
+"""Groups of near-duplicate texts: SimHash by multi-index hashing, with an exact way for the rest.
+
+Texts are alike if their sets of five-word shingles have a Jaccard
+similarity of at least 0.8; groups are what such links connect.
+
+1.  Equal texts become one node, the row of least ``doc_id``.
+2.  Each node's SimHash is cut into segments; it goes into the table of
+    every segment and probes the Hamming ball of radius one around it.
+    What meets is checked by a complete distance, then by the exact
+    similarity.  Crowded buckets report a star, a pair per member.  This
+    connects most groups, but may miss pairs near the threshold.
+3.  The exact way finds what is left.  All texts order their shingles
+    alike, by an estimated count, the rarest first.  Sets of similarity 0.8
+    share one of their first fifth (prefix filter), and where they first
+    meet, what follows must be enough to get there (positional filter), so
+    the members of a large family whose own shingles set them apart are
+    no candidates of each other.  Pairs already connected are left out.
+    A crowded bucket compares its centres in rounds, 8 at first, then
+    eight times as many, with all members; centres are the members with the
+    fewest rare shingles, so families collapse to one label early and
+    later rounds have little left.  It ends when no bucket holds an open pair,
+    so no link between different texts is lost.
+
+The order of shingles comes from a sketch of fixed size.  It decides how
+many candidates there are, never which pairs are linked.
+
+Defined results: a null text is empty and a text like any other; texts
+without words are alike; texts of fewer than five words have the whole
+sequence as their only shingle; documents without an id come last; of
+repeated rows one stays; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,207 +37,333 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simhash
 from .blocks import by_shard
-from .common import materialise, mix64, pack_uint, ranges, release, texts, unpack_uint
+from .common import materialise, mix64, pack_uint, ranges, release, unpack_uint
 from .graph import components
+from .shingles import Sketch, classes_of_counts, each_set, flat, rarest_first
 
 WIDTH, SIMILARITY = 5, 0.8
-SEGMENTS, BITS = 26, 24
-WORDS = SEGMENTS * BITS // 64 + 1
-#: Of 32 further bits, so many may differ: 99.7 % of pairs at similarity 0.8, 5 % of chance pairs.
-FURTHER = 11
+#: Segments and their bits; of 128 further bits, so many may differ: of pairs at similarity 0.8 with five shingles,
+#: the worst, one in ten million has more, of larger ones none to speak of (19 +- 4 bits).
+SEGMENTS, BITS, FURTHER = 8, 24, 48
+WORDS = SEGMENTS * BITS // 64 + 2
+#: Buckets up to this size list their pairs; larger ones report stars of centres.
 CROWDED = 16
+FIRST_CENTRES, MORE_CENTRES = 8, 8
 SHARD_RECORDS = 1 << 20
+#: Records that a task gathers before it sends, and pairs compared at once.
+GATHERED, AT_ONCE = 1 << 18, 1 << 20
 
-_SENT = "shard long, keys binary, further binary, doc binary, refs binary, labels binary"
+NODE = "_near_node"
+_SENT = "shard long, tokens binary, probes binary, doc binary, places binary, refs binary, labels binary, sizes binary, further binary"
 
 
-def wide_print(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of distinct shingle hashes, as ``WORDS + 1`` 64-bit words."""
-    out = np.zeros(WORDS + 1, np.uint64)
-    for k in range(WORDS + 1):
-        out[k] = simhash.majority(mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))))
-    return out
+def distinct(docs: DataFrame) -> DataFrame:
+    """The row of least ``doc_id`` of each different text, and its number ``NODE``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.withColumn("_near_text", text).withColumn("_near_hash", F.xxhash64("_near_text"))
+    first = W.partitionBy("_near_hash", "_near_text").orderBy(F.col("doc_id").isNull(), "doc_id")
+    heads = hashed.withColumn("_near_rank", F.row_number().over(first)).where("_near_rank = 1")
+    return materialise(heads.drop("_near_text", "_near_hash", "_near_rank").withColumn(NODE, F.monotonically_increasing_id()), "distinct")
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``ref, first, fp``: a row for each different text, its least document and fingerprint."""
+def _texts(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col(NODE).alias("ref"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [wide_print(np.unique(simhash.shingle_hashes(t.as_py(), width))).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(fps, pa.binary())], ["ref", "doc_id", "fp"])
 
-    found = with_ref(texts(docs)).select("doc_id", "text", "ref").mapInArrow(run, "ref long, doc_id long, fp binary")
-    return found.groupBy("ref").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+def prints(nodes: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
+    """``ref, fp, n``: fingerprints and set sizes; and the steps of the sketch of all shingles."""
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(WORDS)]
+    parts = 32
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, schema = Sketch(), pa.schema([("ref", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("part", pa.int32())])
+        for batch in batches:
+            for refs, bags in each_set(batch, 0, 1, width):
+                sketch.add(np.concatenate(bags))
+                fps = [b"".join(int(simhash.majority(mix64(bag + s))).to_bytes(8, "little") for s in salts) for bag in bags]
+                yield pa.RecordBatch.from_arrays([pa.array(refs), pa.array(fps), pa.array([len(b) for b in bags], pa.int32()), pa.nulls(len(refs), pa.int32())], schema=schema)
+        counts = [pack_uint(x.astype(np.uint64)) for x in np.split(sketch.rows.ravel(), parts)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.array(counts), pa.nulls(parts, pa.int32()), pa.array(range(parts), pa.int32())], schema=schema)
+        release()
 
-def with_ref(docs: DataFrame) -> DataFrame:
-    """The class of each text: a hash of it and its length."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("ref", F.xxhash64(text, F.octet_length(text)))
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack_uint(x.as_py()).astype(np.int64) for x in table.column("fp"))
+        steps = classes_of_counts(total)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "steps": pa.array([steps.tobytes()])})
+
+    found = materialise(_texts(nodes).mapInArrow(run, "ref long, fp binary, n int, part int"), "prints")
+    sums = found.where("part IS NOT NULL").groupBy("part").applyInArrow(add, "part int, steps binary")
+    rows = sorted(sums.collect(), key=lambda r: r["part"])  # two million bytes, whatever the input
+    steps = np.concatenate([np.frombuffer(r["steps"], np.uint8) for r in rows]) if rows else np.zeros(2 << Sketch.BITS, np.uint8)
+    return found.where("ref IS NOT NULL").select("ref", "fp", "n"), steps.reshape(2, -1)
+
+
+class _Outbox:
+    """Records on their way to shards: one packed row for each shard, once enough have gathered."""
+
+    def __init__(self, shards: int):
+        self.shards, self.enough = shards, min(max(GATHERED, 64 * shards), 1 << 24)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.docs: list[tuple[np.ndarray, ...]] = []
+        self.n = self.n_docs = 0
+
+    def put(self, tokens: np.ndarray, rows: np.ndarray, places: np.ndarray, probes: np.ndarray, docs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """``rows`` number the columns of ``docs``: refs, labels, set sizes, further bits."""
+        self.held.append((tokens, rows + self.n_docs, places, probes))
+        self.docs.append(docs)
+        self.n, self.n_docs = self.n + len(tokens), self.n_docs + len(docs[0])
+        if self.n >= self.enough:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        tokens, rows, places, probes = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        refs, labels, sizes, further = (np.concatenate(x) for x in zip(*self.docs, strict=True))
+        self.held, self.docs, self.n, self.n_docs = [], [], 0, 0
+        out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
+        shard = (mix64(tokens) % np.uint64(self.shards)).astype(np.int64)
+        for k, mine in by_shard(shard, self.shards):
+            some, place = np.unique(rows[mine], return_inverse=True)
+            low = tokens[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            packed = {
+                "shard": k, "tokens": low.tobytes(), "probes": np.packbits(probes[mine]).tobytes(),
+                "doc": pack_uint(place.astype(np.uint64)), "places": pack_uint(places[mine].astype(np.uint64)), "refs": refs[some].tobytes(),
+                "labels": (labels[some] ^ refs[some]).tobytes(), "sizes": pack_uint(sizes[some].astype(np.uint64)), "further": further[some].tobytes(),
+            }
+            for name, value in packed.items():
+                out[name].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if n == "shard" else pa.binary()) for n, v in out.items()], list(out))
+
+
+class _Met:
+    """The records of a shard in buckets of equal tokens; of a bucket, those that may be centres stand first."""
+
+    def __init__(self, table: pa.Table):
+        rows = table.to_pylist()
+        doc = [unpack_uint(r["doc"]).astype(np.int64) for r in rows]
+        each = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind)[d] for r, d in zip(rows, doc, strict=True)])
+        raw = np.zeros((sum(map(len, doc)), 8), np.uint8)
+        raw[:, :6] = np.concatenate([np.frombuffer(r["tokens"], np.uint8) for r in rows]).reshape(-1, 6)
+        tokens = raw.view("<u8").ravel()
+        later = np.concatenate([np.unpackbits(np.frombuffer(r["probes"], np.uint8), count=len(d)) for r, d in zip(rows, doc, strict=True)]).astype(bool)
+        place = np.concatenate([unpack_uint(r["places"]).astype(np.int64) for r in rows])
+        refs = each("refs", np.int64)
+        order = np.lexsort((refs, place, later, tokens))
+        self.refs, later, tokens = refs[order], later[order], tokens[order]
+        self.labels = (each("labels", np.int64) ^ refs)[order]
+        self.sizes = np.concatenate([unpack_uint(r["sizes"]).astype(np.int64)[d] for r, d in zip(rows, doc, strict=True)])[order]
+        self.left = self.sizes - place[order]
+        self.further = each("further", np.dtype(("<u8", 2)))[order]
+        self.starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        self.n = np.diff(np.r_[self.starts, len(tokens)])
+        self.centres = np.add.reduceat((~later).astype(np.int64), self.starts)
+        self.out: list[np.ndarray] = []
+
+    def open(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Which pairs may reach the similarity, and are not connected yet."""
+        x, y = self.sizes[a], self.sizes[b]
+        may = (self.labels[a] != self.labels[b]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+        may &= (1 + similarity) * np.minimum(self.left[a], self.left[b]) >= similarity * (x + y) - 1e-6
+        return may & (np.bitwise_count(self.further[a] ^ self.further[b]).sum(axis=1) <= FURTHER)
+
+    def pairs(self, which: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In some buckets, centres from ``low`` up to ``high`` with every member after them."""
+        to = np.minimum(self.centres[which], high)
+        many = np.maximum(0, to - low)
+        first = ranges(self.starts[which] + low, many)
+        after = np.repeat(self.starts[which] + self.n[which], many) - first - 1
+        edges, at = np.r_[0, np.cumsum(after)], 0
+        while at < len(first):
+            upto = max(at + 1, int(np.searchsorted(edges, edges[at] + AT_ONCE, side="right")) - 1)
+            yield np.repeat(first[at:upto], after[at:upto]), ranges(first[at:upto] + 1, after[at:upto])
+            at = upto
+
+    def report(self, a: np.ndarray, b: np.ndarray) -> None:
+        pair = np.stack([np.minimum(self.refs[a], self.refs[b]), np.maximum(self.refs[a], self.refs[b])], axis=1)
+        self.out.append(np.unique(pair, axis=0))
+
+    def table(self) -> pa.Table:
+        found = np.concatenate(self.out) if self.out else np.zeros((0, 2), np.int64)
+        found = np.unique(found, axis=0)
+        release()
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-def _keys(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of table entries and probes, each with the rows they are of.
+def _keys(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Keys of table entries and probes, and the rows they are of.
 
     Of two values one bit apart, one has the bit set: only that one probes.
     """
     rows = np.arange(len(fps))
     bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    weights = (1 << np.arange(BITS)).astype(np.uint32)
+    weights = (1 << np.arange(BITS)).astype(np.uint64)
     for s in range(SEGMENTS):
         mine = bits[:, s * BITS : (s + 1) * BITS]
-        value = (mine * weights).sum(axis=1, dtype=np.uint32) | np.uint32(s << BITS)
-        yield value, rows
+        value = (mine * weights).sum(axis=1, dtype=np.uint64) | np.uint64(s << BITS)
+        yield value, rows, False
         for b in range(BITS):
             on = np.flatnonzero(mine[:, b])
-            yield value[on] ^ np.uint32(1 << b) | np.uint32(1 << 31), on
+            yield value[on] ^ np.uint64(1 << b), on, True
 
 
-def candidates(nodes: DataFrame, count: int, again: bool = False) -> DataFrame:
-    """Pairs ``a, b`` of refs that meet.  ``nodes``: ``ref, fp, label``.
-
-    First pass: all near pairs of calm buckets, stars of crowded ones, and
-    a loop ``a, a`` for each member of a crowded bucket.  Second pass
-    (``again``): the near pairs of crowded buckets with different labels.
-    """
+def by_tables(known: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``a, b`` that meet in a segment's table: all of calm buckets, a star of crowded ones."""
     shards = max(1, int(count * SEGMENTS * (1 + BITS / 2) / SHARD_RECORDS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = _Outbox(shards)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 refs = batch.column(0).to_numpy(zero_copy_only=False)
-                labels = batch.column(2).to_numpy(zero_copy_only=False)
                 fps = np.stack([np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)])
-                keys, rows = (np.concatenate(x) for x in zip(*_keys(fps), strict=True))
-                further = fps[:, -1].astype(np.uint32)
-                plain = keys & np.uint32(0x7FFFFFFF)
-                shard = (mix64(plain.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
-                for k, mine in by_shard(shard, shards):
-                    some, place = np.unique(rows[mine], return_inverse=True)
-                    for name, value in (("shard", k), ("keys", keys[mine].tobytes()), ("further", further[some].tobytes()), ("doc", pack_uint(place.astype(np.uint64))), ("refs", refs[some].tobytes()), ("labels", labels[some].tobytes() if again else b"")):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if n == "shard" else pa.binary()) for n, v in out.items()], list(out))
+                found = list(_keys(fps))
+                keys, rows = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                probes = np.repeat([x[2] for x in found], [len(x[0]) for x in found])
+                sizes = batch.column(2).to_numpy(zero_copy_only=False)
+                # keys travel without their two lowest bytes, so these are the ones that a hash makes of them
+                yield from box.put(mix64(keys), rows, np.zeros(len(rows), np.int64), probes, (refs, refs, sizes, fps[:, -2:]))
+        yield from box.sent()
         release()
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows])
-        place = [unpack_uint(r["doc"]).astype(np.int64) for r in rows]
-        take = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind)[p] for r, p in zip(rows, place, strict=True)])
-        refs, further = take("refs", np.int64), take("further", np.uint32)
-        labels = take("labels", np.int64) if again else refs
-        probe = keys >> np.uint32(31) != 0
-        keys = keys & np.uint32(0x7FFFFFFF)
-        order = np.lexsort((refs, probe, keys))
-        keys, refs, further, labels, probe = keys[order], refs[order], further[order], labels[order], probe[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        members = np.add.reduceat((~probe).astype(np.int64), starts)
-        crowded = (members > 0) & (sizes > CROWDED)
-        a_out, b_out = [], []
-
-        def near(a: np.ndarray, b: np.ndarray) -> None:
-            good = (np.bitwise_count(further[a] ^ further[b]) <= FURTHER) & (refs[a] != refs[b]) & ((labels[a] != labels[b]) | (not again))
-            pair = np.unique(np.stack([np.minimum(refs[a[good]], refs[b[good]]), np.maximum(refs[a[good]], refs[b[good]])], axis=1), axis=0)
-            a_out.append(pair[:, 0])
-            b_out.append(pair[:, 1])
-
-        def all_pairs(which: np.ndarray) -> None:
-            """Each record of a bucket against the table members before it."""
-            s, n, m = starts[which], sizes[which], members[which]
-            rows_ = ranges(s, n)
-            first = np.repeat(s, n)
-            before = np.minimum(rows_ - first, np.repeat(m, n))
-            edges, at = np.r_[0, np.cumsum(before)], 0
-            while at < len(rows_):
-                to = max(at + 1, int(np.searchsorted(edges, edges[at] + (1 << 20), side="right")) - 1)
-                near(np.repeat(rows_[at:to], before[at:to]), ranges(first[at:to], before[at:to]))
-                at = to
-
-        if again:
-            mixed = crowded & (np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts))
-            all_pairs(np.flatnonzero(mixed))
-        else:
-            all_pairs(np.flatnonzero((members > 0) & (sizes > 1) & ~crowded))
-            for s, n, m in zip(starts[crowded], sizes[crowded], members[crowded], strict=True):
-                # the same rule in all buckets, so a group's stars mostly share their middle
-                centre = s + int(np.argmin(mix64(refs[s : s + m].astype(np.uint64))))
-                near(np.full(n, centre), np.arange(s, s + n))
-                a_out.append(refs[s : s + n])
-                b_out.append(refs[s : s + n])
-        empty = np.zeros(0, np.int64)
-        release()
-        return pa.table({"a": np.concatenate([empty, *a_out]), "b": np.concatenate([empty, *b_out])})
-
-    sent = nodes.select("ref", "fp", "label").mapInArrow(send, _SENT)
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+        met = _Met(table)
+        some = met.centres > 0
+        crowded = some & (met.n > CROWDED)
+        # the same rule in all buckets, so that a group's stars mostly share their middle
+        for s, n, m in zip(met.starts[crowded], met.n[crowded], met.centres[crowded], strict=True):
+            centre = s + int(np.argmin(mix64(met.refs[s : s + m].astype(np.uint64))))
+            others = np.arange(s, s + n)
+            others = others[others != centre]
+            a = np.full(len(others), centre)
+            good = met.open(a, others, similarity)
+            met.report(a[good], others[good])
+        for a, b in met.pairs(np.flatnonzero(some & ~crowded & (met.n > 1)), 0, CROWDED):
+            good = met.open(a, b, similarity)
+            met.report(a[good], b[good])
+        return met.table()
+
+    return known.select("ref", "fp", "n").mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+
+
+def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records: int, low: int, high: int, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Open pairs of texts that first meet in a rare shingle.  ``labels``: ``ref, fp, label``.
+
+    Crowded buckets compare centres from ``low`` up to ``high``; calm ones
+    all members, in the first round only.  A loop ``a, a`` marks a member of
+    a bucket with open pairs beyond ``high``.
+    """
+    shards = max(1, records // SHARD_RECORDS)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = _Outbox(shards)
+        for batch in batches:
+            label = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            print_ = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            for refs, bags in each_set(batch, 0, 1, width):
+                sizes = np.array([len(b) for b in bags], np.int64)
+                firsts = [rarest_first(b, steps, int(len(b) - np.ceil(similarity * len(b) - 1e-6)) + 1) for b in bags]
+                tokens, many = flat(firsts)
+                rows, places = np.repeat(np.arange(len(bags)), many), ranges(np.zeros(len(bags), np.int64), many)
+                # two similar sets meet where the smaller has enough left to reach the similarity with its like
+                late = (1 + similarity) * (sizes[rows] - places) < 2 * similarity * sizes[rows] - 1e-6
+                further = np.stack([np.frombuffer(print_[r][-16:], "<u8") for r in refs])
+                docs = (np.array(refs, np.int64), np.array([label[r] for r in refs], np.int64), sizes, further)
+                yield from box.put(tokens, rows, places, late, docs)
+        yield from box.sent()
+        release()
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    def meet(table: pa.Table) -> pa.Table:
+        met = _Met(table)
+        many = (met.centres > 0) & (met.n > 1)
+        mixed = many & (np.minimum.reduceat(met.labels, met.starts) != np.maximum.reduceat(met.labels, met.starts))
+        crowded = mixed & (met.n > CROWDED)
+        if not low:
+            for a, b in met.pairs(np.flatnonzero(mixed & ~crowded), 0, CROWDED):
+                good = met.open(a, b, similarity)
+                met.report(a[good], b[good])
+        for a, b in met.pairs(np.flatnonzero(crowded), low, high):
+            good = met.open(a, b, similarity)
+            met.report(a[good], b[good])
+        for k in np.flatnonzero(crowded & (met.centres > high)):
+            looked = 0
+            for a, b in met.pairs(np.array([k]), high, int(met.centres[k])):
+                looked += len(a)
+                if looked > AT_ONCE * 16 or met.open(a, b, similarity).any():
+                    members = np.arange(met.starts[k], met.starts[k] + met.n[k])
+                    met.report(members, members)
+                    break
+        return met.table()
+
+    # labels are joined by the node's number, texts once
+    rows = _texts(nodes).join(labels, "ref").select("ref", "text", "label", "fp")
+    return rows.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``."""
-    ends = pairs.select(F.col("a").alias("ref")).union(pairs.select(F.col("b").alias("ref"))).distinct()
-    one = firsts.join(ends, "ref", "left_semi").select(F.col("first").alias("doc_id"), "ref")
-    named = with_ref(texts(docs)).alias("t")
-    same = F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.ref") == F.col("o.ref"))
-    chosen = named.join(one.alias("o"), same, "left_semi").select("ref", "text")
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "ends")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [np.unique(simhash.shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["ref", "bag"])
+            for refs, bags in each_set(batch, 0, 1, width):
+                yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())], ["ref", "bag"])
+        release()
 
-    bags = materialise(chosen.mapInArrow(sets, "ref long, bag binary").dropDuplicates(["ref"]), "bags")
+    bags = materialise(_texts(nodes).join(ends, "ref", "left_semi").mapInArrow(bags_of, "ref long, bag binary"), "bags")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                least, most = sorted((len(x), len(y)))
-                if least < similarity * most:
-                    good.append(False)
-                    continue
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (least + most - both))
+                good.append((1 + similarity) * both >= similarity * (len(x) + len(y)) - 1e-6)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     x = bags.select(F.col("ref").alias("a"), F.col("bag").alias("x"))
     y = bags.select(F.col("ref").alias("b"), F.col("bag").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
-def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``ref, first, component``: each different text, its least document, and its group."""
-    known = materialise(classes(docs, width), "classes")
-    firsts = known.select("ref", "first")
-    met = materialise(candidates(known.withColumn("label", F.col("ref")), known.count()), "met")
-    links = materialise(verified(met.where("a <> b"), docs, firsts, width, similarity), "links")
-    joined = components(links)
-    crowd = met.where("a = b").select(F.col("a").alias("ref")).distinct()
-    label = F.coalesce("component", "ref").alias("label")
-    left = known.join(crowd, "ref", "left_semi").join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "fp", label)
-    left = materialise(left, "crowd")
-    if (n := left.count()) > 1:
-        more = materialise(candidates(left, n, again=True), "more")
-        if more.take(1):
-            links = links.union(materialise(verified(more, docs, firsts, width, similarity), "links2"))
-            joined = components(links)
-    return firsts.join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "first", F.coalesce("component", "ref").alias("component"))
+def links(nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, component`` of every node that is linked to another."""
+    known, steps = prints(nodes, width)
+    sums = known.agg(F.count("*").alias("n"), F.sum("n").alias("members")).first()
+    records = int((sums["members"] or 0) * (1 - similarity)) + sums["n"]
+    met = materialise(by_tables(known, sums["n"], similarity), "met")
+    found = materialise(verified(met, nodes, width, similarity), "links")
+    joined = components(found)
+    some, low, high = known.select("ref", "fp"), 0, FIRST_CENTRES
+    while True:
+        label = F.coalesce("component", "ref").alias("label")
+        labels = materialise(some.join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "fp", label), "labels")
+        met = materialise(by_prefixes(nodes, labels, steps, records, low, high, width, similarity), "met")
+        pairs = met.where("a <> b")
+        if pairs.take(1):
+            found = found.union(materialise(verified(pairs, nodes, width, similarity), "links"))
+            joined = components(found)
+        crowd = met.where("a = b").select(F.col("a").alias("ref"))
+        left = crowd.count()
+        if not left:
+            return joined
+        some, low, high = labels.join(crowd, "ref", "left_semi").select("ref", "fp"), high, high * MORE_CENTRES
+        records = max(1, records * left // max(1, sums["n"]))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The document of least ``doc_id`` of each group, with its own columns."""
-    found = groups(docs, width, similarity)
-    heads = found.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "ref")).alias("head"))
-    heads = materialise(heads.select(F.col("head.first").alias("_first"), F.col("head.ref").alias("_ref")), "heads")
-    marked = with_ref(docs).withColumnsRenamed({"ref": "_ref"}) if "ref" not in docs.columns else docs.withColumn("_ref", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit("")))))
-    marked = marked.withColumn("_first", F.col("doc_id").cast("long"))
-    kept = marked.join(heads, marked["_ref"].eqNullSafe(heads["_ref"]) & marked["_first"].eqNullSafe(heads["_first"]), "left_semi")
-    return kept.dropDuplicates(["_ref", "_first"]).select(*docs.columns)
+    nodes = distinct(docs)
+    joined = links(nodes, width, similarity)
+    members = nodes.select(NODE, "doc_id").join(joined, F.col(NODE) == F.col("node")).select("node", "component", "doc_id")
+    heads = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
+    # those that go are fewer than those that stay
+    gone = materialise(joined.select("node").join(heads.select("node"), "node", "left_anti").withColumnRenamed("node", NODE), "gone")
+    return nodes.join(gone, NODE, "left_anti").select(*docs.columns)
