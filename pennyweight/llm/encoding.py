@@ -4,8 +4,8 @@ Byte-level BPE cuts a text into pieces before merging, and always before
 a single space between two other characters.  So pieces between such
 spaces can be encoded apart and kept: each process holds a bounded table
 of pieces seen, and only new ones go through the library.  The result is
-that of encoding the whole text; for other kinds of tokenizer the whole
-text is encoded.
+that of encoding the whole text; texts that hold an added token of the
+vocabulary, and all texts for other kinds of tokenizer, are encoded whole.
 """
 
 from __future__ import annotations
@@ -53,11 +53,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        self.added = [t["content"] for t in parts.get("added_tokens") or ()]  # found in a text before it is cut
         pre = parts.get("pre_tokenizer") or {}
         line_end = self._ids("\n")
         self.piecewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not parts.get("normalizer") and len(line_end) == 1
@@ -107,10 +107,19 @@ class Encoder:
             if p not in into:
                 into[p] = self._raw(self._ids(before + p))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._raw(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The identifiers of each text, as little-endian integers of ``dtype``."""
         if not self.piecewise:
-            return [self._raw(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self._whole(texts)
+        if held := [k for k, t in enumerate(texts) if any(a in t for a in self.added)]:
+            here = set(held)
+            out = self.encode(["" if k in here else t for k, t in enumerate(texts)]) if len(held) < len(texts) else [b""] * len(texts)
+            for k, raw in zip(held, self._whole([texts[k] for k in held]), strict=True):
+                out[k] = raw
+            return out
         cut = [(_CUT.split(t) if _RUN.search(t) else t.split(" ")) if t else [""] for t in texts]
         heads = self._look(self.first, [pieces.pop(0) for pieces in cut], "", REMEMBERED // 10)
         found = [list(map(self.known.get, pieces)) for pieces in cut]
