@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that say nothing about what was bought.
-GENERIC_WORDS = (
-    "services service goods supplies equipment materials various misc miscellaneous parts repairs maintenance software consulting"
-).split()
-GENERIC_PHRASES = ("consulting services", "professional services")
+from . import tables
+
 # Spellings of a missing detail.
 MISSING_DETAIL = ("", "n a", "na", "not stated")
 # Parts of names that only firms and bodies have.
@@ -38,9 +35,14 @@ def postal(x: Column) -> Column:
     return F.when(p.rlike(r"^[A-Z]\d[A-Z]\d[A-Z]\d$"), p)
 
 
+def canadian_code(x: Column) -> Column:
+    """Whether a text is a postal code of the country, whole or its first three characters only."""
+    return F.coalesce(F.upper(F.trim(x)).rlike(f"^(?:{tables.POSTAL_CODE})$"), F.lit(False))
+
+
 def in_region(x: Column, letter: str = "A") -> Column:
-    """Whether a whole postal code lies in the region of a letter."""
-    return F.coalesce(F.startswith(postal(x), F.lit(letter)), F.lit(False))
+    """Whether a postal code, whole or its first half, lies in the region of a letter."""
+    return canadian_code(x) & F.startswith(F.upper(F.trim(F.coalesce(x, F.lit("")))), F.lit(letter))
 
 
 def text_key(x: Column) -> Column:
@@ -54,12 +56,24 @@ def description_key(x: Column) -> Column:
 
 
 def contract_key(x: Column) -> Column:
-    """A contract number without order labels; empty where none is stated."""
-    t = F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", ""))
-    t = F.regexp_replace(t, r"PO#(?=\d)", "PO")
-    t = F.regexp_replace(t, r"^PO(?=\d)", "")
-    t = F.regexp_replace(t, r"/(?=PO\d)", "")
-    return F.when(t.isin("", "-", "NA", "N/A", "TBC", "TBD"), "").otherwise(t)
+    """A contract number without order labels; empty where none is stated.
+
+    The number is cut before each ``PO`` that a digit follows; a label that
+    opens the number goes, one inside loses a ``#`` after it and the slash before it.
+    """
+    plain = F.upper(F.array_join(F.split(F.coalesce(x, F.lit("")), r"\s+"), ""))
+    parts = F.split(plain, r"(?=PO#?\d)")
+    tidy = lambda part, k: F.when(
+        part.rlike(r"^PO#?\d"), F.concat(F.when(k == 0, "").otherwise("PO"), F.ltrim(F.substring(part, 3, 1 << 20), F.lit("#")))
+    ).otherwise(part)
+    tail = lambda part, k: F.when((k < F.size(parts) - 1) & part.endswith("/"), F.rtrim(part, F.lit("/"))).otherwise(part)
+    joined = F.array_join(F.transform(parts, lambda part, k: tail(tidy(part, k), k)), "")
+    return F.when(joined.isin("", "-", "NA", "N/A", "TBC", "TBD"), "").otherwise(joined)
+
+
+def locator(*parts: Column) -> Column:
+    """Where a row is printed: file, page and row."""
+    return F.struct(*(p.cast("string").alias(n) for p, n in zip(parts, ("source_file", "page", "row"), strict=True)))
 
 
 def same_detail(a: Column, b: Column) -> Column:
@@ -76,7 +90,7 @@ def vague(x: Column) -> Column:
     """Empty, a generic word, or at most two words without a digit in under 18 characters."""
     d = F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), r"\.+$", "")
     few = (F.size(F.filter(F.split(d, r"\s+"), lambda w: w != "")) <= 2) & ~d.rlike(r"\d") & (F.length(d) < 18)
-    return (d == "") | d.isin(*GENERIC_WORDS, *GENERIC_PHRASES) | few
+    return (d == "") | d.isin(*tables.VAGUE_DESCRIPTIONS) | few
 
 
 def looks_like_person(x: Column) -> Column:
@@ -107,8 +121,45 @@ def clip(x: Column, n: int) -> Column:
 
 
 def place_of(x: Column) -> Column:
-    """City and province from an address's last two parts between commas."""
-    return F.struct(F.trim(F.regexp_extract(x, r"^(.*),([^,]*),([^,]*)$", 2)).alias("city"), F.trim(F.regexp_extract(x, r"^(.*),([^,]*),([^,]*)$", 3)).alias("province"))
+    """Payee and place from a text that ends in "town, province"; null unless the province is the one.
+
+    Only the last two commas count: a name may have commas of its own.
+    """
+    parts = F.split(F.coalesce(x, F.lit("")), ",")
+    n = F.size(parts)
+    last = lambda k: F.trim(F.get(parts, n - k))
+    name = F.trim(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ","))
+    found = F.struct(name.alias("name"), F.concat(last(2), F.lit(", "), last(1)).alias("place"))
+    return F.when((n >= 3) & F.lower(last(1)).isin(*tables.PROVINCES), found)
+
+
+def canonical_body(printed: Column) -> Column:
+    """The public body that a printed name stands for: the first pattern of the table that is found."""
+    tidy = F.trim(F.regexp_replace(F.translate(F.coalesce(printed, F.lit("")), "\u2010", "-"), r"\s+", " "))
+    named = first_match(tidy, [(f"(?i){pattern}", name) for pattern, name in tables.BODIES], None)
+    return F.coalesce(named, F.nullif(tidy, F.lit("")), F.lit(tables.NO_BODY))
+
+
+def body_type(name: Column) -> Column:
+    """Local bodies first, then crown corporations; the rest are departments."""
+    shown = F.coalesce(name, F.lit(""))
+    return F.when(shown.rlike(f"(?i){tables.LOCAL_BODY}"), "local").when(shown.rlike(f"(?i){tables.CROWN_BODY}"), "crown").otherwise("department")
+
+
+def english_letters(x: Column) -> Column:
+    """Letters and digits of the part before the bar, in lower case."""
+    return F.regexp_replace(F.lower(F.split_part(F.coalesce(x, F.lit("")), F.lit("|"), F.lit(1))), "[^a-z0-9]", "")
+
+
+def name_order(x: Column) -> Column:
+    """``Dinn, Paul`` as ``Paul Dinn``."""
+    first, rest = F.substring_index(x, ",", 1), F.ltrim(F.substring(x, F.instr(x, ",") + 1, 1 << 20))
+    return F.when((F.instr(x, ",") > 1) & (F.length(rest) > 0), F.concat(rest, F.lit(" "), first)).otherwise(x)
+
+
+def without_title(x: Column) -> Column:
+    """A minister's name without the title before it."""
+    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"^(Honourable|Hon\.|Mr\.|Ms\.|Mrs\.|Dr\.)\s+", ""))
 
 
 def reasons(*pairs: tuple[Column, str]) -> Column:

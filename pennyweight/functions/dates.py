@@ -20,17 +20,24 @@ def fiscal_year_of_text(x: Column) -> Column:
 def read_date(x: Column) -> Column:
     """A date from the spellings that publishers use; null where none fits.
 
-    ``yyyy-MM-dd``, ``dd-Mon-yy``, ``dd-Mon-yyyy`` and ``m/d/yyyy``, where a
-    month above 12 means that day and month are swapped.
+    ``m/d/yy`` or ``m/d/yyyy`` (a month above 12 means that day and month
+    are swapped), ``yyyy-MM-dd``, ``d-Mon-yy`` or ``d-Mon-yyyy``, and ``Month d,
+    yyyy``; months by their first three letters; what follows the first and
+    the last form is not looked at.
     """
-    t = F.initcap(F.trim(x))
-    first, second = (F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", k) for k in (1, 2))
-    swapped = F.try_to_date(F.concat_ws("/", second, first, F.regexp_extract(t, r"(\d{4})$", 1)), "M/d/yyyy")
-    return F.coalesce(
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")),
-        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"), F.try_to_date(t, "d-MMM-yy")),
-        F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), F.try_to_date(t, "d-MMM-yyyy")),
-        F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(F.try_to_date(t, "M/d/yyyy"), swapped)),
+    t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    slashes, dashes, words = r"^(\d{1,2})/(\d{1,2})/(\d{2,4})", r"^(\d{1,2})-([A-Za-z]{3,})-(\d{2}|\d{4})$", r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{4})"
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    full = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    month = lambda m: F.initcap(F.substring(m, 1, 3))
+    a, b = part(slashes, 1).try_cast("int"), part(slashes, 2).try_cast("int")
+    swap = (a > 12) & (b <= 12)
+    spelt = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MMM-d")
+    return (
+        F.when(t.rlike(slashes), F.try_to_date(F.concat_ws("-", full(part(slashes, 3)), F.when(swap, b).otherwise(a).cast("string"), F.when(swap, a).otherwise(b).cast("string")), "yyyy-M-d"))
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+        .when(t.rlike(dashes), spelt(full(part(dashes, 3)), month(part(dashes, 2)), part(dashes, 1)))
+        .when(t.rlike(words), spelt(part(words, 3), month(part(words, 1)), part(words, 2)))
     )
 
 

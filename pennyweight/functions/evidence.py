@@ -10,34 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import codes
-
-# Spellings of the country, and of the province.
-COUNTRY = ("", "ca", "can", "canada")
-PROVINCES = ("nl", "newfoundland and labrador", "newfoundland", "labrador", "terre-neuve-et-labrador")
-# Delivery regions wider than the province.
-BROADER = ("Canada", "National Capital Region (NCR)", "Nova Scotia", "New Brunswick", "Prince Edward Island", "Quebec (except NCR)", "Ontario (except NCR)", "British Columbia")
-LOCAL = ("Newfoundland and Labrador", "Terre-Neuve-et-Labrador")
+from . import codes, tables
+
 UNREVIEWED = "The record does not say where the work or benefit is"
 
 
 def selected(country: Column, province: Column, code: Column) -> Column:
     """In the country, and in the province by name or by a whole postal code."""
     tidy = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return tidy(country).isin(*COUNTRY) & (tidy(province).isin(*PROVINCES) | codes.in_region(code))
+    return tidy(country).isin(*tables.COUNTRY) & (tidy(province).isin(*tables.PROVINCES) | codes.in_region(code))
 
 
-def location_conflict(country: Column, province: Column, code: Column) -> Column:
+def location_conflict(country: Column, province: Column, code: Column, city: Column | None = None) -> Column:
     """What in an address speaks against the province; null where nothing does."""
     tidy = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    stated = F.trim(F.coalesce(code, F.lit(""))) != ""
-    whole = codes.postal(code).isNotNull()
+    shown = F.trim(F.coalesce(code, F.lit("")))
+    stated, valid = shown != "", codes.canadian_code(code)
+    town = F.lit(None).cast("string") if city is None else city
     out = F.concat_ws(
         "; ",
-        F.when(~tidy(country).isin(*COUNTRY), F.concat(F.lit("reported country is "), country)),
-        F.when(stated & whole & ~codes.in_region(code), F.concat(F.lit("postal code "), code, F.lit(" is elsewhere"))),
-        F.when(stated & ~whole, F.concat(F.lit("postal code "), code, F.lit(" is no Canadian code"))),
-        F.when((tidy(province) != "") & ~tidy(province).isin(*PROVINCES), F.concat(F.lit("reported province is "), province)),
+        F.when(~tidy(country).isin(*tables.COUNTRY), F.concat(F.lit("reported country is "), country)),
+        F.when(stated & valid & ~codes.in_region(code), F.concat(F.lit("reported postal code "), shown, F.lit(" is outside NL"))),
+        F.when(stated & ~valid, F.concat(F.lit("reported postal code "), shown, F.lit(" is not a valid Canadian postal code"))),
+        F.when(tidy(F.split_part(town, F.lit("|"), F.lit(1))).isin(*tables.OUTSIDE_CITIES), F.concat(F.lit("reported city is "), town)),
+        F.when((tidy(province) != "") & ~tidy(province).isin(*tables.PROVINCES), F.concat(F.lit("reported province is "), province)),
     )
     return F.nullif(out, F.lit(""))
 
@@ -45,7 +41,7 @@ def location_conflict(country: Column, province: Column, code: Column) -> Column
 def delivery_scope(regions: Column) -> Column:
     """``local`` if all delivery regions are, ``broader`` if one is wider, else ``unknown``."""
     listed = F.filter(F.transform(F.split(F.coalesce(regions, F.lit("")), "\n"), lambda r: F.regexp_replace(F.trim(r), r"^\*+", "")), lambda r: r != "")
-    return F.when((F.size(listed) > 0) & F.forall(listed, lambda r: r.isin(*LOCAL)), "local").when(F.exists(listed, lambda r: r.isin(*BROADER)), "broader").otherwise("unknown")
+    return F.when((F.size(listed) > 0) & F.forall(listed, lambda r: r.isin(*tables.LOCAL_REGIONS)), "local").when(F.exists(listed, lambda r: r.isin(*tables.BROADER_REGIONS)), "broader").otherwise("unknown")
 
 
 def with_reviews(records: DataFrame, reviews: DataFrame, field: str) -> DataFrame:
@@ -75,13 +71,14 @@ def period_text(periods: Column) -> Column:
     return F.when(n == 0, "not stated").when(n <= 3, F.array_join(periods, "; ")).otherwise(F.concat(n.cast("string"), F.lit(" reported periods")))
 
 
-def procurement_method(clause: Column, kind: Column, section: Column, rules: list[tuple[str, str]]) -> Column:
+def procurement_method(clause: Column, kind: Column, section: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """By the clause cited, else by the kind of call, else by the section it stands in."""
     cited = F.trim(F.coalesce(clause, F.lit("")))
     named = (cited != "") & (F.upper(cited) != "N/A")
     by_kind = F.when(F.lower(kind).contains("limited"), "Limited call").when(F.lower(kind).contains("open"), "Open call")
     other = F.when(section == "Exception", "Exception (clause not given)").otherwise("Not stated")
-    return F.when(named, codes.first_match(cited, rules, "Exception (other)")).otherwise(F.coalesce(by_kind, other))
+    table = rules or [(f"(?i){pattern}", label) for pattern, label in tables.CLAUSES]
+    return F.when(named, codes.first_match(cited, table, "Exception (other)")).otherwise(F.coalesce(by_kind, other))
 
 
 def section_heading(line: Column) -> Column:
@@ -90,16 +87,25 @@ def section_heading(line: Column) -> Column:
     return F.when(t.contains("EMERGENCY"), "Emergency").when(t.contains("WITHOUT AN OPEN CALL") | t.contains("EXCEPTION"), "Exception").when(t.contains("CONTRACT AWARD"), "Award")
 
 
-def report_period(text: Column) -> Column:
-    """First and last day of a report from ``mm/dd/yyyy - mm/dd/yyyy`` or ``Month d - Month d, yyyy``."""
+def report_period(text: Column, file_name: Column | None = None) -> Column:
+    """First and last day of a report, from its header or, without one, from its file's name.
+
+    The header is ``mm/dd/yyyy - mm/dd/yyyy``, or what follows ``PERIOD:`` or
+    ``BIDS -``: months, days and a year in words.  Without a year it is 2021.
+    """
+    body = F.coalesce(text, F.lit(""))
     numeric = r"(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})"
-    month = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-    words = rf"(?i)\b({month})[a-z]*,?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\s*(?:-|to)\s*(?:({month})[a-z]*,?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
-    part = lambda k: F.regexp_extract(text, words, k)
-    day = lambda m, d: F.try_to_date(F.concat_ws("-", part(5), F.initcap(m), d), "yyyy-MMM-d")
-    read = lambda k: F.try_to_date(F.regexp_extract(text, numeric, k), "MM/dd/yyyy")
-    last_month = F.coalesce(F.nullif(part(3), F.lit("")), part(1))
-    return F.when(text.rlike(numeric), F.struct(read(1).alias("start"), read(2).alias("end"))).when(text.rlike(words), F.struct(day(part(1), part(2)).alias("start"), day(last_month, part(4)).alias("end")))
+    read = lambda k: F.try_to_date(F.regexp_extract(body, numeric, k), "MM/dd/yyyy")
+    named = F.translate(F.coalesce(file_name, body) if file_name is not None else body, "_-", "  ")
+    header = lambda mark: F.nullif(F.regexp_extract(body, mark + r"([^\n]*)", 1), F.lit(""))
+    line = F.coalesce(header("PERIOD:"), header(r"BIDS\s*-\s*"), named)
+    months = F.regexp_extract_all(F.lower(line), F.lit(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"), F.lit(1))
+    numbers = F.regexp_extract_all(F.regexp_replace(line, r"20\d{2}", " "), F.lit(r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?(?!\d)"), F.lit(1))
+    days = F.filter(F.transform(numbers, lambda d: d.cast("int")), lambda d: d.between(1, 31))
+    year = F.coalesce(F.nullif(F.regexp_extract(line, r"20\d{2}", 0), F.lit("")), F.lit("2021"))
+    day = lambda k: F.try_to_date(F.concat_ws("-", year, F.initcap(F.coalesce(F.get(months, F.lit(k)), months[0])), F.get(days, F.lit(k)).cast("string")), "yyyy-MMM-d")
+    in_words = (F.size(months) > 0) & (F.size(days) >= 2)
+    return F.when(body.rlike(numeric), F.struct(read(1).alias("start"), read(2).alias("end"))).when(in_words, F.struct(day(0).alias("start"), day(1).alias("end")))
 
 
 def longest_prefix(df: DataFrame, column: str, table: DataFrame, name: str = "name") -> DataFrame:

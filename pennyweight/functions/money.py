@@ -37,21 +37,27 @@ def currency_code(x: Column) -> Column:
 def parse_amount(x: Column) -> Column:
     """A printed amount as ``(cad, currency, original)``.
 
-    Rates, ranges and prose stay text; an amount in Canadian dollars wins
-    over one in US dollars, which is kept as printed and never converted;
-    a second point before the cents is read as a comma.
+    An empty cell has no currency.  Rates, ranges and prose stay text unless
+    the cell speaks of CAD; an amount in Canadian dollars wins over one in US
+    dollars, which is kept as printed and never converted; a lone amount is
+    Canadian; of several points only the last is a decimal point.
     """
-    t = F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"(\d)\.(\d{3}\.\d{2})$", "$1,$2")
-    number = r"\(?\$?\s*\(?[\d,]+(?:\.\d{1,2})?\)?"
-    bare = money(F.regexp_replace(t, r"(?i)\b(cad|cdn|usd|us)\b\$?", ""))
-    us = t.rlike(r"(?i)\b(usd|us\b|us\$|u\.s\.)")
-    ca = t.rlike(r"(?i)\b(cad|cdn)\b")
-    prose = ~t.rlike(rf"(?i)^(?:cad|cdn|usd|us)?\s*{number}\s*(?:cad|cdn|usd|us)?$")
-    both = us & ca
-    canadian = money(F.nullif(F.regexp_extract(t, r"(?i)\$?\s*([\d,]+(?:\.\d{1,2})?)\s*(?:cad|cdn)\b", 1), F.lit("")))
-    kind = F.when(both & canadian.isNotNull(), "CAD").when(prose, "text").when(us, "USD").otherwise("CAD")
-    value = F.when(both & canadian.isNotNull(), canadian).when(prose, None).otherwise(bare)
-    return F.struct(F.when(kind == "CAD", value).alias("cad"), kind.alias("currency"), F.when(kind == "USD", value).alias("original"))
+    t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    number = r"\$?\s?S?(\d{1,3}(?:[,.]\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)"
+    up = F.upper(t)
+    rate = up.rlike(r"\bTO\b|PER\b|/|HOURLY|RATE|EACH|DETERMINED") & ~up.contains("CAD")
+
+    def value(said: Column) -> Column:
+        pieces = F.split(F.replace(said, F.lit(","), F.lit("")), r"\.")
+        whole = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), "")
+        return F.when(F.size(pieces) > 1, F.concat(whole, F.lit("."), F.element_at(pieces, -1))).otherwise(whole).try_cast("double")
+
+    found = lambda after: F.nullif(F.regexp_extract(t, f"(?i){number}{after}", 1), F.lit(""))
+    canadian, american = found(r"\s*\(?(?:CAD|CDN)\)?"), found(r"\s*\(?(?:USD|US)\b")
+    all_ = F.regexp_extract_all(t, F.lit(number), F.lit(1))
+    lone = F.size(all_) == 1
+    kind = F.when(t == "", "").when(rate, "text").when(canadian.isNotNull(), "CAD").when(american.isNotNull(), "USD").when(lone, "CAD").otherwise("text")
+    return F.struct(F.when(kind == "CAD", value(F.coalesce(canadian, F.get(all_, F.lit(0))))).alias("cad"), kind.alias("currency"), F.when(kind == "USD", value(american)).alias("original"))
 
 
 def _trim_zero(x: Column) -> Column:

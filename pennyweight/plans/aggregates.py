@@ -116,12 +116,12 @@ def a14(spark, sf):
 
 @query("a15_most_common_name", with_items("SELECT buyer_key, category FROM (SELECT buyer_key, category, row_number() OVER (PARTITION BY buyer_key ORDER BY count(*) DESC, category) AS r FROM items GROUP BY buyer_key, category) WHERE r = 1"))
 def a15(spark, sf):
-    return totals.most_common(items(spark, sf), "buyer_key", "category")
+    return totals.most_common(items(spark, sf, "buyer_key", "category"), "buyer_key", "category")
 
 
 @query("a16_upper_median", with_items("SELECT place, CAST(amount AS DOUBLE) AS amount FROM (SELECT place, amount, row_number() OVER (PARTITION BY place ORDER BY amount) AS r, count(*) OVER (PARTITION BY place) AS n FROM items WHERE amount IS NOT NULL) WHERE r = n // 2 + 1"))
 def a16(spark, sf):
-    return totals.upper_median(items(spark, sf), "amount", "place").select("place", F.col("amount").cast("double").alias("amount"))
+    return totals.upper_median(items(spark, sf, "place", "amount"), "amount", "place").select("place", F.col("amount").cast("double").alias("amount"))
 
 
 @query("a17_concentration", with_items("""
@@ -129,7 +129,7 @@ SELECT buyer_key, supplier_key, CAST(a AS DOUBLE) AS part_total, n AS part_count
   SELECT *, sum(a) OVER (PARTITION BY buyer_key) AS t, row_number() OVER (PARTITION BY buyer_key ORDER BY a DESC, supplier_key) AS r
   FROM (SELECT buyer_key, supplier_key, sum(amount) AS a, count(*) AS n FROM items WHERE amount <> 0 GROUP BY ALL)) WHERE r = 1"""))
 def a17(spark, sf):
-    out = totals.concentration(items(spark, sf), ["buyer_key"], "supplier_key")
+    out = totals.concentration(items(spark, sf, "buyer_key", "supplier_key", "amount"), ["buyer_key"], "supplier_key")
     return out.select("buyer_key", "supplier_key", F.col("part_total").cast("double").alias("part_total"), "part_count", F.col("total").cast("double").alias("total"))
 
 
@@ -231,7 +231,7 @@ def a31(spark, sf):
 
 @query("a32_values_for_predicate", with_items(f"SELECT dataset, currency, {MEASURES}, dataset <> 'notice' AS included FROM items WHERE method = 'Emergency' GROUP BY dataset, currency"))
 def a32(spark, sf):
-    return totals.group_totals(items(spark, sf).where("method = 'Emergency'"), overlap=OVERLAP)
+    return totals.group_totals(items(spark, sf, "dataset", "currency", "amount", "method").where("method = 'Emergency'"), overlap=OVERLAP)
 
 
 @query("f14_json_field_totals", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")

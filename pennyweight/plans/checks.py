@@ -26,13 +26,13 @@ def v01(spark, sf):
 @query("v02_across_documents", with_items("SELECT place, fiscal_year, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, coalesce(abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) <= 1000000, false) AS ok FROM (SELECT place, fiscal_year, sum(amount) FILTER (dataset = 'award') AS a, sum(amount) FILTER (dataset = 'contract') AS b FROM items GROUP BY ALL)"))
 def v02(spark, sf):
     part = lambda d: F.sum(F.when(F.col("dataset") == d, F.col("amount"))).cast("double")
-    both = items(spark, sf).groupBy("place", "fiscal_year").agg(part("award").alias("a"), part("contract").alias("b"))
+    both = items(spark, sf, "dataset", "place", "amount", "fiscal_year").groupBy("place", "fiscal_year").agg(part("award").alias("a"), part("contract").alias("b"))
     return both.withColumn("ok", C.within(F.col("a"), F.col("b"), 1_000_000))
 
 
 @query("v03_detail_and_summary", with_items("SELECT coalesce(d.place, s.place) AS place, CAST(d.v AS DOUBLE) AS parsed, CAST(s.v AS DOUBLE) AS printed, coalesce(abs(d.v - s.v) <= 1500, false) AS ok FROM (SELECT place, sum(amount) AS v FROM items GROUP BY 1) d FULL JOIN (SELECT place, sum(amount) AS v FROM items WHERE l_linenumber < 6 OR supplier_key > 5 GROUP BY 1) s ON d.place = s.place"))
 def v03(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "place", "supplier_key", "amount", "l_linenumber")
     printed = rows.where("l_linenumber < 6 OR supplier_key > 5").groupBy("place").agg(F.sum("amount").alias("amount"))
     out = C.detail_against_summary(rows, printed, ["place"], 1500)
     return out.select("place", F.col("parsed").cast("double").alias("parsed"), F.col("printed").cast("double").alias("printed"), "ok")
@@ -51,7 +51,7 @@ def v06(spark, sf):
 
 @query("v07_shards_add_up", with_items("SELECT count(*) AS records, CAST(sum(amount) AS DOUBLE) AS value FROM items"))
 def v07(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "supplier_key", "amount")
     parts = rows.groupBy("supplier_key").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
     C.must_balance(parts, rows, "amount")
     return parts.agg(F.sum("n").alias("records"), F.sum("amount").cast("double").alias("value"))
@@ -60,7 +60,7 @@ def v07(spark, sf):
 @query("v08_guards", with_items("SELECT b.dataset, b.n AS before, a.n AS now, coalesce(coalesce(a.n, 0) < b.n * 0.98, false) AS alarm FROM (SELECT dataset, count(*) AS n FROM items GROUP BY 1) b LEFT JOIN (SELECT dataset, count(*) AS n FROM items WHERE dataset <> 'award' OR l_linenumber <> 1 GROUP BY 1) a ON a.dataset = b.dataset"))
 def v08(spark, sf):
     count = lambda df: df.groupBy("dataset").agg(F.count("*").alias("n"))
-    rows = items(spark, sf)
+    rows = items(spark, sf, "dataset", "l_linenumber")
     return C.guards(count(rows.where("dataset <> 'award' OR l_linenumber <> 1")), count(rows))
 
 

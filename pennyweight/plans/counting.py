@@ -18,7 +18,7 @@ def _contracts(spark, sf):
     """Items with a contract number in several spellings, and terms stated or missing."""
     q = F.col("l_quantity") % 4
     number = F.when(q == 0, "").when(q == 1, F.concat(F.lit("PO# "), "l_suppkey")).when(q == 2, F.concat(F.lit("po"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
-    return items(spark, sf).select(
+    return items(spark, sf, "id", "currency", "buyer_key", "supplier_key", "award_date", "method", "l_suppkey", "l_linenumber", "l_quantity").select(
         "id", "currency", "supplier_key", "buyer_key", "award_date", F.lit(1).alias("amount"), F.col("method").alias("description"), number.alias("contract_no"),
         F.when(F.col("l_linenumber") % 2 == 0, "N/A").otherwise("").alias("term"), F.lit("").alias("renewal"),
     )
@@ -73,7 +73,7 @@ def d06(spark, sf):
 
 @query("d07_pair_audit", with_items("SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.supplier_key = b.supplier_key AND a.currency = b.currency AND a.description = b.description AND (a.award_date, a.id) < (b.award_date, b.id) AND b.award_date - a.award_date <= 31"))
 def d07(spark, sf):
-    return once.near_in_time(items(spark, sf), ["supplier_key", "currency", "description"], "award_date", 31, "id").select("a", "b")
+    return once.near_in_time(items(spark, sf, "id", "currency", "supplier_key", "description", "award_date"), ["supplier_key", "currency", "description"], "award_date", 31, "id").select("a", "b")
 
 
 @query("d08_edit_distance")
@@ -104,6 +104,6 @@ def d15(spark, sf):
 
 @query("d19_net_change", with_items("SELECT supplier_key, CAST(sum(amount) AS DOUBLE) AS before, CAST(sum(CASE WHEN l_linenumber <> 1 THEN amount END) AS DOUBLE) AS after FROM items GROUP BY supplier_key HAVING sum(amount) IS DISTINCT FROM sum(CASE WHEN l_linenumber <> 1 THEN amount END)"))
 def d19(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "supplier_key", "amount", "l_linenumber")
     total = lambda df: df.groupBy("supplier_key").agg(F.sum("amount").cast("double").alias("v"))
     return once.changed(total(rows), total(rows.where("l_linenumber <> 1")), ["supplier_key"], "v").drop("change")

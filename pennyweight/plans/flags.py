@@ -15,22 +15,22 @@ def _r(c, n=6):
 
 @query("p01_no_competition_items", with_items("SELECT id, method, CAST(amount AS DOUBLE) AS value FROM items WHERE dataset = 'award' AND method IN ('Sole source', 'Emergency')"))
 def p01(spark, sf):
-    return patterns.by_method(items(spark, sf).where("dataset = 'award'"), patterns.EXCEPTIONS).withColumn("value", F.col("value").cast("double"))
+    return patterns.by_method(items(spark, sf, "id", "dataset", "amount", "method").where("dataset = 'award'"), patterns.EXCEPTIONS).withColumn("value", F.col("value").cast("double"))
 
 
 @query("p01_no_competition_buyers", with_items("SELECT buyer_key, count(*) AS awards, count(*) FILTER (method <> 'Open call') AS exception_awards, round(CAST(coalesce(sum(amount) FILTER (method <> 'Open call'), 0) AS DOUBLE) / nullif(CAST(sum(amount) AS DOUBLE), 0), 6) AS value FROM items WHERE dataset = 'award' GROUP BY buyer_key HAVING count(*) FILTER (method <> 'Open call') > 0"))
 def p01b(spark, sf):
-    return patterns.exception_share(items(spark, sf).where("dataset = 'award'")).select("buyer_key", "awards", "exception_awards", _r("value"))
+    return patterns.exception_share(items(spark, sf, "dataset", "buyer_key", "buyer", "amount", "method").where("dataset = 'award'")).select("buyer_key", "awards", "exception_awards", _r("value"))
 
 
 @query("p02_emergency", with_items("SELECT id, method, CAST(amount AS DOUBLE) AS value FROM items WHERE dataset = 'award' AND method = 'Emergency'"))
 def p02(spark, sf):
-    return patterns.by_method(items(spark, sf).where("dataset = 'award'"), ("Emergency",)).withColumn("value", F.col("value").cast("double"))
+    return patterns.by_method(items(spark, sf, "id", "dataset", "amount", "method").where("dataset = 'award'"), ("Emergency",)).withColumn("value", F.col("value").cast("double"))
 
 
 @query("p03_repeat_sole_source", with_items("SELECT buyer_key, supplier_key, count(*) AS awards, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS value, min(award_date) AS first, max(award_date) AS last FROM items WHERE method = 'Sole source' GROUP BY ALL HAVING count(*) >= 3"))
 def p03(spark, sf):
-    return patterns.repeat_pairs(items(spark, sf))
+    return patterns.repeat_pairs(items(spark, sf, "buyer_key", "supplier_key", "amount", "award_date", "method"))
 
 
 _K = "l_shipdate, l_partkey, l_linenumber, l_quantity, l_extendedprice"
@@ -49,7 +49,7 @@ _LIMITS = "(VALUES ('a', CAST(34700 AS DECIMAL(18,2))), ('a', 50000), ('b', 2500
 
 
 def _near(spark, sf):
-    rows = items(spark, sf).select("id", "amount", F.when(F.col("buyer_key") % 2 == 0, "a").otherwise("b").alias("body_type"))
+    rows = items(spark, sf, "id", "buyer_key", "amount").select("id", "amount", F.when(F.col("buyer_key") % 2 == 0, "a").otherwise("b").alias("body_type"))
     limits = spark.sql("SELECT body_type, CAST(limit_value AS DECIMAL(18,2)) AS limit_value FROM VALUES ('a', 34700), ('a', 50000), ('b', 25000) AS t(body_type, limit_value)")
     return patterns.near_limits(rows, limits)
 
@@ -69,7 +69,7 @@ def p05b(spark, sf):
 
 @query("p06a_split_same_day", with_items("SELECT supplier_key, period_end AS day, category AS what, count(*) AS invoices, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE amount > 0 AND amount < 34700 GROUP BY ALL HAVING count(*) >= 2 AND sum(amount) >= 34700"))
 def p06a(spark, sf):
-    return patterns.split_same_day(items(spark, sf).withColumnsRenamed({"period_end": "day", "category": "what"}), 34700)
+    return patterns.split_same_day(items(spark, sf, "supplier_key", "category", "amount", "period_end").withColumnsRenamed({"period_end": "day", "category": "what"}), 34700)
 
 
 P06B = """
@@ -92,12 +92,12 @@ _LATE = "coalesce(sum(amount) FILTER (month(award_date) = 3), 0)"
 
 @query("p07_year_end_buyers", with_items(f"SELECT buyer_key, count(*) AS items, count(*) FILTER (month(award_date) = 3) AS last_month_items, round(CAST({_LATE} AS DOUBLE) / CAST(sum(amount) AS DOUBLE) * 12, 6) AS value {_YE} AND CAST({_LATE} AS DOUBLE) / CAST(sum(amount) AS DOUBLE) * 12 >= 1.5"))
 def p07(spark, sf):
-    return patterns.year_end(items(spark, sf), ratio=1.5)[0].select("buyer_key", "items", "last_month_items", _r("value"))
+    return patterns.year_end(items(spark, sf, "id", "buyer_key", "buyer", "amount", "award_date"), ratio=1.5)[0].select("buyer_key", "items", "last_month_items", _r("value"))
 
 
 @query("p07_year_end_items", with_items(f"SELECT id, CAST(amount AS DOUBLE) AS value FROM items WHERE month(award_date) = 3 AND (buyer, buyer_key) IN (SELECT (buyer, buyer_key) {_YE} AND CAST({_LATE} AS DOUBLE) / greatest(CAST(sum(amount) AS DOUBLE), 1) * 12 >= 1.5)"))
 def p07b(spark, sf):
-    return patterns.year_end(items(spark, sf), ratio=1.5)[1].withColumn("value", F.col("value").cast("double"))
+    return patterns.year_end(items(spark, sf, "id", "buyer_key", "buyer", "amount", "award_date"), ratio=1.5)[1].withColumn("value", F.col("value").cast("double"))
 
 
 @query("p08_dominant_supplier", with_items("""
@@ -106,7 +106,7 @@ SELECT buyer_key, supplier_key, n AS part_count, round(CAST(a AS DOUBLE) / CAST(
   FROM (SELECT buyer, buyer_key, supplier_key, sum(amount) AS a, count(*) AS n FROM items WHERE amount <> 0 GROUP BY ALL))
 WHERE r = 1 AND t >= 250000 AND CAST(a AS DOUBLE) / CAST(t AS DOUBLE) >= 0.1 AND n >= 2"""))
 def p08(spark, sf):
-    return patterns.dominant(items(spark, sf), share=0.1, awards=2).select("buyer_key", "supplier_key", "part_count", _r("value"))
+    return patterns.dominant(items(spark, sf, "buyer_key", "buyer", "supplier_key", "amount"), share=0.1, awards=2).select("buyer_key", "supplier_key", "part_count", _r("value"))
 
 
 _ODD = "(award_date > period_end OR (period_end - 14) - award_date > 1095)"
@@ -114,12 +114,12 @@ _ODD = "(award_date > period_end OR (period_end - 14) - award_date > 1095)"
 
 @query("p09_late_publication", with_items(f"SELECT id, CAST(period_end - award_date AS INTEGER) AS value FROM items WHERE NOT {_ODD} AND period_end - award_date > 90"))
 def p09(spark, sf):
-    return patterns.late_publication(items(spark, sf).withColumn("period_start", F.date_sub("period_end", 14)))
+    return patterns.late_publication(items(spark, sf, "id", "award_date", "period_end").withColumn("period_start", F.date_sub("period_end", 14)))
 
 
 @query("p10_date_check", with_items(f"SELECT id, award_date FROM items WHERE {_ODD}"))
 def p10(spark, sf):
-    rows = items(spark, sf).withColumn("period_start", F.date_sub("period_end", 14))
+    rows = items(spark, sf, "id", "award_date", "period_end").withColumn("period_start", F.date_sub("period_end", 14))
     return rows.where(patterns.odd_dates(rows)).select("id", "award_date")
 
 
@@ -163,7 +163,7 @@ def p15(spark, sf):
 
 @query("p16_flag_summary", with_items("SELECT method AS flag, count(*) AS items, count(DISTINCT buyer_key) AS subjects, CAST(sum(amount) FILTER (currency = 'CAD') AS DOUBLE) AS amount FROM items WHERE dataset = 'award' AND method <> 'Open call' GROUP BY method"))
 def p16(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "id", "dataset", "currency", "buyer_key", "amount", "method")
     flagged = patterns.by_method(rows.where("dataset = 'award'"), patterns.EXCEPTIONS).select("id", F.col("method").alias("flag"))
     joined = rows.select("id", "buyer_key", "currency", "amount").join(flagged, "id")
     cad = F.sum(F.when(F.col("currency") == "CAD", F.col("amount"))).cast("double")

@@ -95,7 +95,7 @@ def j15(spark, sf):
 
 @query("j16_densify", with_items("SELECT g.method, g.fiscal_year, n FROM (SELECT m.method, y.fiscal_year FROM (SELECT DISTINCT method FROM items) m, (SELECT DISTINCT fiscal_year FROM items) y) g LEFT JOIN (SELECT method, fiscal_year, count(*) AS n FROM items WHERE dataset = 'award' GROUP BY ALL) c ON g.method = c.method AND g.fiscal_year = c.fiscal_year"))
 def j16(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "dataset", "method", "fiscal_year")
     counts = rows.groupBy("method", "fiscal_year").agg(F.nullif(F.count_if(F.col("dataset") == "award"), F.lit(0)).alias("n"))
     return totals.densify(counts, "method", "fiscal_year")
 

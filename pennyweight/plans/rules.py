@@ -10,18 +10,20 @@ from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
 
-@query("n16_report_period", "SELECT * FROM (VALUES ('PERIOD: 03/01/2026 - 03/15/2026', DATE '2026-03-01', DATE '2026-03-15'), ('January 16, 2024 - January 31, 2024', DATE '2024-01-16', DATE '2024-01-31'), ('October, 1st, 2023 to October, 15th, 2023', DATE '2023-10-01', DATE '2023-10-15'), ('July 16th - 31st, 2021', DATE '2021-07-16', DATE '2021-07-31'), ('none', NULL, NULL)) t(printed, start, \"end\")")
+@query("n16_report_period", "SELECT * FROM (VALUES ('PERIOD: 03/01/2026 - 03/15/2026', '', DATE '2026-03-01', DATE '2026-03-15'), ('PERIOD: January 16, 2024 - January 31, 2024', '', DATE '2024-01-16', DATE '2024-01-31'), ('BIDS - October, 1st, 2023 to October, 15th, 2023', '', DATE '2023-10-01', DATE '2023-10-15'), ('PERIOD: July 16th - 31st, 2021', '', DATE '2021-07-16', DATE '2021-07-31'), ('PERIOD: Februrary 16th - 28th, 2021', '', DATE '2021-02-16', DATE '2021-02-28'), ('no header', 'August-1st_15th-Awards.pdf', DATE '2021-08-01', DATE '2021-08-15'), ('none', 'none.pdf', NULL, NULL)) t(printed, file, start, \"end\")")
 def n16(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("PERIOD: 03/01/2026 - 03/15/2026", "January 16, 2024 - January 31, 2024", "October, 1st, 2023 to October, 15th, 2023", "July 16th - 31st, 2021", "none")], "printed string")
-    return rows.select("printed", evidence.report_period(F.col("printed")).alias("p")).select("printed", "p.*")
+    rows = [("PERIOD: 03/01/2026 - 03/15/2026", ""), ("PERIOD: January 16, 2024 - January 31, 2024", ""), ("BIDS - October, 1st, 2023 to October, 15th, 2023", ""), ("PERIOD: July 16th - 31st, 2021", ""), ("PERIOD: Februrary 16th - 28th, 2021", ""), ("no header", "August-1st_15th-Awards.pdf"), ("none", "none.pdf")]
+    df = spark.createDataFrame(rows, "printed string, file string")
+    return df.select("printed", "file", evidence.report_period(F.col("printed"), F.col("file")).alias("p")).select("printed", "file", "p.*")
 
 
-@query("n18_method", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'Emergency' WHEN o_orderpriority LIKE '4%' THEN 'Exception (other)' WHEN o_orderstatus = 'F' THEN 'Limited call' WHEN o_orderstatus = 'O' THEN 'Open call' ELSE 'Not stated' END AS method FROM orders")
+@query("n18_method", "SELECT o_orderkey, CASE WHEN k = 0 THEN 'Sole source' WHEN k = 1 THEN 'Emergency' WHEN k = 2 THEN 'For resale' WHEN k = 3 THEN 'Pre-qualified supplier' WHEN k = 4 THEN 'Security' WHEN k = 5 THEN 'Rates set by regulator' WHEN k = 6 THEN 'Exception (other)' WHEN o_orderstatus = 'F' THEN 'Limited call' WHEN o_orderstatus = 'O' THEN 'Open call' WHEN o_custkey % 2 = 0 THEN 'Exception (clause not given)' ELSE 'Not stated' END AS method FROM (SELECT *, o_orderkey % 9 AS k FROM orders)")
 def n18(spark, sf):
-    clause = F.when(F.col("o_orderpriority").startswith("1"), "urgent work").when(F.col("o_orderpriority").startswith("4"), "other").otherwise("N/A")
+    clauses = ("6(a)(v)", "urgent repair", "for resale", "6(a)(vi) prequalified", "6 (a) (ii)", "6(b) PUB", "unknown clause", "N/A", "")
+    clause = F.element_at(F.array(*map(F.lit, clauses)), (F.col("o_orderkey") % 9 + 1).cast("int"))
     kind = F.when(F.col("o_orderstatus") == "F", "Limited Call for Bids").when(F.col("o_orderstatus") == "O", "Open call").otherwise("")
-    rules = [(r"(?i)one source", "Sole source"), (r"(?i)emergenc|urgen", "Emergency")]
-    return table(spark, sf, "orders").select("o_orderkey", evidence.procurement_method(clause, kind, F.lit(""), rules).alias("method"))
+    section = F.when(F.col("o_custkey") % 2 == 0, "Exception").otherwise("Award")
+    return table(spark, sf, "orders").select("o_orderkey", evidence.procurement_method(clause, kind, section).alias("method"))
 
 
 @query("n19_sections", "SELECT * FROM (VALUES ('Contract Awards', 'Award'), ('Awards without an open call', 'Exception'), ('Emergency exceptions', 'Emergency'), ('Acme Ltd', NULL)) t(line, section)")
@@ -30,11 +32,14 @@ def n19(spark, sf):
     return rows.withColumn("section", evidence.section_heading(F.col("line")))
 
 
-@query("n28_location_conflict", "SELECT * FROM (VALUES ('Canada', 'NL', 'A1A 1A1', true, NULL), ('USA', '', '', false, 'reported country is USA'), ('CA', 'ON', 'K1A 0B1', false, 'postal code K1A 0B1 is elsewhere; reported province is ON'), ('', '', 'A1B2C3', true, NULL), ('ca', 'nl', '999', true, 'postal code 999 is no Canadian code')) t(country, province, code, selected, conflict)")
+_PLACES = [("Canada", "NL", "A1A 1A1", "Gander"), ("USA", "", "", ""), ("CA", "ON", "K1A 0B1", "Ottawa|Ottawa"), ("", "Newfoundland & Labr.", "A1B", ""), ("ca", "nl", "999", ""), ("can", "", "A1B 2C3", "Halifax"), ("", "labrador", "", "")]
+
+
+@query("n28_location_conflict", "SELECT * FROM (VALUES ('Canada', 'NL', 'A1A 1A1', 'Gander', true, NULL), ('USA', '', '', '', false, 'reported country is USA'), ('CA', 'ON', 'K1A 0B1', 'Ottawa|Ottawa', false, 'reported postal code K1A 0B1 is outside NL; reported city is Ottawa|Ottawa; reported province is ON'), ('', 'Newfoundland & Labr.', 'A1B', '', true, NULL), ('ca', 'nl', '999', '', true, 'reported postal code 999 is not a valid Canadian postal code'), ('can', '', 'A1B 2C3', 'Halifax', true, 'reported city is Halifax'), ('', 'labrador', '', '', false, 'reported province is labrador')) t(country, province, code, city, selected, conflict)")
 def n28(spark, sf):
-    rows = spark.createDataFrame([("Canada", "NL", "A1A 1A1"), ("USA", "", ""), ("CA", "ON", "K1A 0B1"), ("", "", "A1B2C3"), ("ca", "nl", "999")], "country string, province string, code string")
+    rows = spark.createDataFrame(_PLACES, "country string, province string, code string, city string")
     parts = F.col("country"), F.col("province"), F.col("code")
-    return rows.withColumns({"selected": evidence.selected(*parts), "conflict": evidence.location_conflict(*parts)})
+    return rows.withColumns({"selected": evidence.selected(*parts), "conflict": evidence.location_conflict(*parts, F.col("city"))})
 
 
 @query("n28_delivery_scope", "SELECT * FROM (VALUES ('Newfoundland and Labrador', 'local'), (chr(10) || '*Terre-Neuve-et-Labrador' || chr(10), 'local'), ('Newfoundland and Labrador' || chr(10) || 'Nova Scotia', 'broader'), ('Gander', 'unknown'), (NULL, 'unknown')) t(regions, scope)")
@@ -45,7 +50,7 @@ def n28b(spark, sf):
 
 @query("n28_reviews", with_items("SELECT id, CASE WHEN l_linenumber = 1 AND supplier_key = 1 THEN 'reviewed' ELSE 'unreviewed' END AS review_state, CASE WHEN l_linenumber = 1 AND supplier_key = 1 THEN 'local' ELSE 'unknown' END AS scope, CASE WHEN amount IS NULL THEN 'not stated' WHEN amount = 0 THEN 'published zero' ELSE 'published value' END AS coverage FROM items"))
 def n28c(spark, sf):
-    rows = items(spark, sf).select("id", "description", "amount", "supplier_key", "l_linenumber")
+    rows = items(spark, sf, "id", "supplier_key", "description", "amount", "l_linenumber").select("id", "description", "amount", "supplier_key", "l_linenumber")
     reviews = rows.where("l_linenumber = 1 AND supplier_key = 1").select("id", "description", F.lit("local").alias("status"), F.lit("The record names a place").alias("statement")).dropDuplicates(["id"])
     return evidence.with_reviews(rows, reviews, "description").select("id", "review_state", "scope", evidence.coverage(F.col("amount")).alias("coverage"))
 
@@ -68,10 +73,10 @@ def n43(spark, sf):
     return rows.withColumn("shown", evidence.native_amount(F.col("amount"), F.col("currency")))
 
 
-@query("n43_period_text", with_items("SELECT place, CASE WHEN n <= 3 THEN l ELSE n || ' reported periods' END AS periods FROM (SELECT place, count(DISTINCT fiscal_year) AS n, string_agg(DISTINCT fiscal_year, '; ' ORDER BY fiscal_year) AS l FROM items WHERE supplier_key < 20 GROUP BY place)"))
+@query("n43_period_text", with_items("SELECT supplier_key, place, CASE WHEN n <= 3 THEN l ELSE n || ' reported periods' END AS periods FROM (SELECT supplier_key, place, count(DISTINCT fiscal_year) AS n, string_agg(DISTINCT fiscal_year, '; ' ORDER BY fiscal_year) AS l FROM items GROUP BY ALL)"))
 def n43b(spark, sf):
-    by = items(spark, sf).where("supplier_key < 20").groupBy("place").agg(F.sort_array(F.collect_set("fiscal_year")).alias("p"))
-    return by.select("place", evidence.period_text(F.col("p")).alias("periods"))
+    by = items(spark, sf, "place", "supplier_key", "fiscal_year").groupBy("supplier_key", "place").agg(F.sort_array(F.collect_set("fiscal_year")).alias("p"))
+    return by.select("supplier_key", "place", evidence.period_text(F.col("p")).alias("periods"))
 
 
 @query("n44_date_text", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%-d %B %Y') AS shown FROM orders")
@@ -165,14 +170,14 @@ def d16(spark, sf):
 @query("b01_budget_and_actual", with_items("SELECT fiscal_year, basis, CAST(b AS DOUBLE) AS budget, CAST(a AS DOUBLE) AS actual FROM (SELECT fiscal_year, currency AS basis, sum(amount) FILTER (dataset = 'award') AS b, coalesce(sum(amount) FILTER (dataset = 'contract'), sum(amount) FILTER (dataset = 'notice')) AS a FROM items GROUP BY ALL)"))
 def b01(spark, sf):
     doc = F.when(F.col("dataset") == "award", "budget").otherwise(F.col("dataset"))
-    facts = items(spark, sf).select("fiscal_year", F.col("currency").alias("basis"), doc.alias("doc"), "amount")
+    facts = items(spark, sf, "dataset", "currency", "amount", "fiscal_year").select("fiscal_year", F.col("currency").alias("basis"), doc.alias("doc"), "amount")
     out = answers.budget_against_actual(facts, ["fiscal_year"], ["budget", "contract", "notice"])
     return out.select("fiscal_year", "basis", F.col("budget").cast("double").alias("budget"), F.col("actual").cast("double").alias("actual"))
 
 
 @query("b06_narrowed_totals", with_items("SELECT dataset, currency, place, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE dataset = 'notice' GROUP BY ALL"))
 def b06(spark, sf):
-    out = totals.group_totals(items(spark, sf).where("dataset = 'notice'"), "place", overlap=OVERLAP)
+    out = totals.group_totals(items(spark, sf, "dataset", "currency", "place", "amount").where("dataset = 'notice'"), "place", overlap=OVERLAP)
     return out.where("NOT included").select("dataset", "currency", "place", "records", "value")
 
 
@@ -183,7 +188,7 @@ def m07(spark, sf):
 
 @query("m10_search_and_fetch", with_items("SELECT id, supplier, CASE WHEN currency = 'CAD' THEN CAST(amount AS DOUBLE) END AS amount_cad FROM items WHERE regexp_matches(description, '(^| )b') AND supplier_key = 1"))
 def m10(spark, sf):
-    rows = items(spark, sf).where("supplier_key = 1")
+    rows = items(spark, sf, "id", "currency", "buyer", "supplier_key", "supplier", "description", "amount", "award_date").where("supplier_key = 1")
     posted = searching.postings(rows, "id", "description").withColumnRenamed("id", "doc_id")
     hits = searching.matching(posted, ["b"])
     return answers.citation(rows.join(hits.withColumnRenamed("doc_id", "id"), "id", "left_semi")).select("id", F.col("cite.supplier").alias("supplier"), F.col("cite.amount_cad").alias("amount_cad"))

@@ -75,23 +75,102 @@ def n11(spark, sf):
     return rows.select("p_partkey", F.concat("p_name", F.when(F.col("r") > 1, F.concat(F.lit("-"), F.col("r").cast("string"))).otherwise("")).alias("name"))
 
 
-@query("n13_ordered_rules", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)brass|steel') THEN 'metal' WHEN regexp_matches(p_type, '(?i)plated') THEN 'plated' ELSE 'not named' END AS body FROM part")
+_BODY_CASES = {
+    "NL Hydro": "Newfoundland and Labrador Hydro", "Public Procurement Agnecy": "Public Procurement Agency", "Newfoundland & Labrador Health Services": "NL Health Services",
+    "Eastern  Regional Health Authority": "Eastern Health (regional health authority)", "OCIO": "Office of the Chief Information Officer", "City of St. John's": "City of St. John's",
+    "Department of Education": "Department of Education", "Education & Early Childhood": "Department of Education and Early Childhood Development", "NLESD": "Newfoundland and Labrador English School District",
+    "LIL LP": "Labrador Island Link LP", " Town of  Placentia ": "Town of Placentia", "": "Public body not named",
+}
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_values = lambda rows: ", ".join(f"({', '.join(_quoted(x) for x in r)})" for r in rows)
+
+
+@query("n13_ordered_rules", f"SELECT * FROM (VALUES {_values(_BODY_CASES.items())}) t(printed, body) UNION ALL SELECT n_name || ' Hydro' AS printed, 'Newfoundland and Labrador Hydro' AS body FROM nation")
 def n13(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", codes.first_match(F.col("p_type"), [("(?i)brass|steel", "metal"), ("(?i)plated", "plated")], "not named").alias("body"))
+    printed = spark.createDataFrame([(x,) for x in _BODY_CASES], "printed string").union(table(spark, sf, "nation").select(F.concat("n_name", F.lit(" Hydro"))))
+    return printed.withColumn("body", codes.canonical_body(F.col("printed")))
+
+
+_TYPE_CASES = {"Town of Gander": "local", "NL Health Services": "local", "Newfoundland and Labrador Hydro": "crown", "NL Liquor Corporation": "crown", "Department of Finance": "department", "Memorial University": "local", "": "department"}
+
+
+@query("n31_body_type", f"SELECT * FROM (VALUES {_values(_TYPE_CASES.items())}) t(body, body_type) UNION ALL SELECT 'City of ' || n_name AS body, 'local' AS body_type FROM nation")
+def n31(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in _TYPE_CASES], "body string").union(table(spark, sf, "nation").select(F.concat(F.lit("City of "), "n_name")))
+    return rows.withColumn("body_type", codes.body_type(F.col("body")))
+
+
+_BUYER_CASES = (("Department of Fisheries & Land", "Department of Fisheries and Land", "fisheries and land"), ("The Office of the Auditor", "The Office of the Auditor", "auditor"), ("Dept. of Works  Ltd.", "Dept. of Works Ltd.", "works"), ("Town of Gander", "Town of Gander", "town of gander"))
+
+
+@query("n12_buyers", f"SELECT * FROM (VALUES {_values(_BUYER_CASES)}) t(printed, name, key) UNION ALL SELECT 'Department of ' || n_name AS printed, 'Department of ' || n_name AS name, replace(lower(n_name), '_', ' ') AS key FROM nation")
+def n12(spark, sf):
+    rows = spark.createDataFrame([(x,) for x, *_ in _BUYER_CASES], "printed string").union(table(spark, sf, "nation").select(F.concat(F.lit("Department of "), "n_name")))
+    return rows.select("printed", names.buyer_name_udf("printed").alias("name"), names.buyer_key_udf("printed").alias("key"))
+
+
+_TOWN_CASES = (("Gander, NL", "gander"), ("Corner Brook, Newfoundland and Labrador", "corner brook"), ("St. John's", "st johns"), ("NL", None), ("N/A", None), ("Labrador", None))
+
+
+@query("n25_locality", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b) if b else 'NULL'})" for a, b in _TOWN_CASES) + ") t(city, locality)")
+def n25(spark, sf):
+    return spark.createDataFrame([(x,) for x, _ in _TOWN_CASES], "city string").withColumn("locality", names.locality_udf("city"))
+
+
+@query("n24_postal_region", "SELECT * FROM (VALUES ('A1A 1A1', true), ('a1a', true), (' A2V1K6 ', true), ('K1A 0B1', false), ('A1D 1A1', false), ('12345', false), ('', false)) t(code, here)")
+def n24(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("A1A 1A1", "a1a", " A2V1K6 ", "K1A 0B1", "A1D 1A1", "12345", "")], "code string")
+    return rows.withColumn("here", codes.in_region(F.col("code")))
+
+
+@query("n48_english_letters", "SELECT doc_id, length(regexp_replace(lower(split_part(text, '|', 1)), '[^a-z0-9]', '', 'g')) AS n FROM documents")
+def n48(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.length(codes.english_letters(F.col("text"))).cast("long").alias("n"))
+
+
+@query("n57_name_order", "SELECT c_custkey, 'Member ' || c_custkey || ' Dinn' AS shown, 'Jo ' || c_name AS minister FROM customer")
+def n57(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    printed = F.concat(F.lit("Dinn, Member "), key)
+    titled = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Honourable Jo ").otherwise("Dr. Jo "), "c_name")
+    last_first = codes.name_order(printed)
+    return table(spark, sf, "customer").select("c_custkey", last_first.alias("shown"), codes.without_title(titled).alias("minister"))
+
+
+_AMOUNTS = (
+    ("$1,200.50", 1200.5, "CAD", None),
+    ("USD 300", 300.0, "CAD", None),
+    ("300 USD", None, "USD", 300.0),
+    ("$81.911.25", 81911.25, "CAD", None),
+    ("50 per hour", None, "text", None),
+    ("$100 USD ($135 CAD)", 135.0, "CAD", None),
+    ("($20.00)", 20.0, "CAD", None),
+    ("Approx $500", 500.0, "CAD", None),
+    ("$500 CAD each", 500.0, "CAD", None),
+    ("$1.20 / KM", None, "text", None),
+    ("$336,000 to $600,000", None, "text", None),
+    ("", None, "", None),
+)
+_or_null = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
 
 
-@query("n14_parse_amount", "SELECT * FROM (VALUES ('$1,200.50', 1200.5, 'CAD', NULL), ('USD 300', NULL, 'USD', 300.0), ('$81.911.25', 81911.25, 'CAD', NULL), ('50 per hour', NULL, 'text', NULL), ('$100 USD ($135 CAD)', 135.0, 'CAD', NULL), ('($20.00)', -20.0, 'CAD', NULL)) t(printed, cad, currency, original)")
+@query("n14_parse_amount", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_or_null, r))})" for r in _AMOUNTS) + ") t(printed, cad, currency, original) UNION ALL SELECT DISTINCT '$' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.50 CAD' AS printed, l_quantity + 0.5 AS cad, 'CAD' AS currency, NULL AS original FROM lineitem")
 def n14(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("$1,200.50", "USD 300", "$81.911.25", "50 per hour", "$100 USD ($135 CAD)", "($20.00)")], "printed string")
+    planted = table(spark, sf, "lineitem").select(F.concat(F.lit("$"), F.col("l_quantity").cast("long").cast("string"), F.lit(".50 CAD"))).distinct()
+    rows = spark.createDataFrame([(r[0],) for r in _AMOUNTS], "printed string").union(planted)
     return rows.select("printed", money.parse_amount(F.col("printed")).alias("a")).select("printed", "a.*")
 
 
-@query("n15_read_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+@query("n15_read_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT * FROM (VALUES (-1, DATE '2024-01-05'), (-2, DATE '2024-01-05'), (-3, DATE '2024-02-13'), (-4, NULL), (-5, DATE '2024-09-03'), (-6, DATE '2024-01-05'), (-7, NULL)) t(k, d)")
 def n15(spark, sf):
     d = F.to_date("o_orderdate")
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.upper(F.date_format(d, "dd-MMM-yyyy"))).when(k == 2, F.date_format(d, "M/d/yyyy")).otherwise(F.date_format(d, "d-MMM-yyyy"))
-    return table(spark, sf, "orders").select("o_orderkey", dates.read_date(text).alias("day"))
+    k = F.col("o_orderkey") % 6
+    text = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.upper(F.date_format(d, "dd-MMM-yyyy"))).when(k == 2, F.date_format(d, "M/d/yyyy"))
+        .when(k == 3, F.date_format(d, "MMMM d, yyyy")).when(k == 4, F.date_format(d, "d-MMMM-yyyy")).otherwise(F.date_format(d, "d-MMM-yyyy"))
+    )
+    odd = spark.createDataFrame([(-1, "January 5, 2024"), (-2, "1/5/24"), (-3, "13/2/2024 (revised)"), (-4, "2024-02-30"), (-5, "3-SEPT-24"), (-6, "Jan. 5 2024"), (-7, "soon")], "o_orderkey long, text string")
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("text")).union(odd).select("o_orderkey", dates.read_date(F.col("text")).alias("day"))
 
 
 @query("n17_half_years", "SELECT * FROM (VALUES ('December 1, 2024 to May 31, 2025', DATE '2024-12-01', DATE '2025-05-31'), ('June 2023 - November 2023', DATE '2023-06-01', DATE '2023-11-30')) t(printed, start, \"end\")")
@@ -124,9 +203,11 @@ def n23(spark, sf):
     return rows.select("printed", codes.postal(F.col("printed")).alias("postal"), codes.in_region(F.col("printed")).alias("here"))
 
 
-@query("n26_place_of", "SELECT c_custkey, 'Town ' || c_nationkey AS city, 'NL' AS province FROM customer")
+@query("n26_place_of", "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Works, Ltd. ' || c_custkey END AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'Town ' || c_nationkey || ', Newfoundland and Labrador' END AS place FROM customer")
 def n26(spark, sf):
-    address = F.concat(F.lit("1 Road, Unit 2, Town "), F.col("c_nationkey").cast("string"), F.lit(", NL"))
+    """Only the last two commas count, and other provinces give nothing."""
+    province = F.when(F.col("c_nationkey") % 2 == 0, "Newfoundland and Labrador").otherwise("Ontario")
+    address = F.concat(F.lit("Works, Ltd. "), F.col("c_custkey").cast("string"), F.lit(", Town "), F.col("c_nationkey").cast("string"), F.lit(", "), province)
     return table(spark, sf, "customer").select("c_custkey", codes.place_of(address).alias("p")).select("c_custkey", "p.*")
 
 

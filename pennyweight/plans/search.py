@@ -19,7 +19,7 @@ def posted(spark, sf):
 
 @query("q01_pack_documents", with_items("SELECT supplier_key, currency, CAST((r - 1) // 40 AS BIGINT) AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT supplier_key, currency, id, row_number() OVER (PARTITION BY supplier_key, currency ORDER BY id) AS r FROM items) GROUP BY ALL"))
 def q01(spark, sf):
-    packed = S.pack(items(spark, sf), ["supplier_key", "currency"], 40, ["id"], [])
+    packed = S.pack(items(spark, sf, "id", "currency", "supplier_key"), ["supplier_key", "currency"], 40, ["id"], [])
     return packed.select("supplier_key", "currency", "part", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["id"]), ",").alias("ids"))
 
 

@@ -21,13 +21,13 @@ def _cad(c, name=None):
 
 @query("m01_search_records", with_items("SELECT id, CAST(amount AS DOUBLE) AS amount FROM items WHERE list_bool_or(list_transform(regexp_split_to_array(lower(description), '[^a-z0-9]+'), lambda w: starts_with(w, 're'))) ORDER BY items.amount DESC NULLS LAST, id LIMIT 25 OFFSET 25"))
 def m01(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "id", "description", "amount")
     return A.search_records(spark, rows, _posted(rows), "re", page=2).select("id", _cad("amount"))
 
 
 @query("m02_get_record", with_items("SELECT id, supplier, description FROM items WHERE id = (SELECT max(id) FROM items)"))
 def m02(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf, "id", "supplier", "description")
     last = rows.agg(F.max("id").alias("id")).first()["id"]
     return A.get_record(rows, last).select("id", "supplier", "description")
 
@@ -38,13 +38,13 @@ _MEAS = "count(*) AS records, count(*) FILTER (amount IS NULL) AS missing, count
 @query("m03_get_supplier", with_items(f"SELECT dataset, currency, supplier, fiscal_year, {_MEAS} FROM items WHERE supplier = (SELECT s_name FROM supplier WHERE s_suppkey = 1) GROUP BY ALL"))
 def m03(spark, sf):
     name = table(spark, sf, "supplier").where("s_suppkey = 1").first()["s_name"]
-    return A.get_supplier(items(spark, sf), name.upper())
+    return A.get_supplier(items(spark, sf, "dataset", "currency", "supplier", "amount", "fiscal_year"), name.upper())
 
 
 @query("m04_get_department", with_items("SELECT fiscal_year, place, method, CAST(sum(amount) AS DOUBLE) AS amount FROM items WHERE place = (SELECT min(n_name) FROM nation) AND fiscal_year = (SELECT max(fiscal_year) FROM items WHERE place = (SELECT min(n_name) FROM nation) AND dataset <> 'notice') GROUP BY ALL"))
 def m04(spark, sf):
     name = table(spark, sf, "nation").agg(F.min("n_name").alias("n")).first()["n"]
-    programs = items(spark, sf).select("fiscal_year", F.col("place").alias("department"), "method", "amount", F.when(F.col("dataset") == "notice", "estimate").otherwise("actual").alias("kind"))
+    programs = items(spark, sf, "dataset", "place", "amount", "method", "fiscal_year").select("fiscal_year", F.col("place").alias("department"), "method", "amount", F.when(F.col("dataset") == "notice", "estimate").otherwise("actual").alias("kind"))
     found = A.get_department(programs, name.lower())
     return found.groupBy("fiscal_year", F.col("department").alias("place"), "method").agg(F.sum("amount").cast("double").alias("amount"))
 
@@ -52,26 +52,26 @@ def m04(spark, sf):
 @query("m05_get_budget", with_items("SELECT place, basis, CAST(b AS DOUBLE) AS budget, CAST(a AS DOUBLE) AS actual, CAST(a - b AS DOUBLE) AS difference FROM (SELECT place, currency AS basis, sum(amount) FILTER (dataset = 'award') AS b, coalesce(sum(amount) FILTER (dataset = 'contract'), sum(amount) FILTER (dataset = 'notice')) AS a FROM items GROUP BY ALL)"))
 def m05(spark, sf):
     doc = F.when(F.col("dataset") == "award", "budget").otherwise(F.col("dataset"))
-    facts = items(spark, sf).select("place", F.col("currency").alias("basis"), doc.alias("doc"), "amount")
+    facts = items(spark, sf, "dataset", "currency", "place", "amount").select("place", F.col("currency").alias("basis"), doc.alias("doc"), "amount")
     out = A.budget_against_actual(facts, ["place"], ["budget", "contract", "notice"])
     return out.select("place", "basis", *(_cad(c) for c in ("budget", "actual", "difference")))
 
 
 @query("m06_member_averages", with_items("SELECT buyer_key, fiscal_year, CAST(a AS DOUBLE) AS amount, count(*) OVER () AS members FROM (SELECT buyer_key, fiscal_year, sum(amount) AS a FROM items WHERE fiscal_year = (SELECT max(fiscal_year) FROM items WHERE fiscal_year < (SELECT max(fiscal_year) FROM items)) GROUP BY ALL)"))
 def m06(spark, sf):
-    rows = items(spark, sf).select(F.col("buyer_key").alias("member"), "fiscal_year", "amount")
+    rows = items(spark, sf, "buyer_key", "amount", "fiscal_year").select(F.col("buyer_key").alias("member"), "fiscal_year", "amount")
     return A.member_averages(rows).select(F.col("member").alias("buyer_key"), "fiscal_year", _cad("amount"), "members")
 
 
 @query("m08_get_flag", with_items("SELECT id, CAST(amount AS DOUBLE) AS value FROM items WHERE method = 'Emergency' ORDER BY amount DESC NULLS LAST, id LIMIT 25"))
 def m08(spark, sf):
-    flags = items(spark, sf).where("method = 'Emergency'").select("id", F.lit("emergency").alias("flag"), F.col("amount").alias("value"))
+    flags = items(spark, sf, "id", "amount", "method").where("method = 'Emergency'").select("id", F.lit("emergency").alias("flag"), F.col("amount").alias("value"))
     return A.flag_examples(flags, "emergency").select("id", _cad("value"))
 
 
 @query("m09_human_scale", with_items("SELECT place, round(v / 510000, 6) AS per_person, round(v / 220000, 6) AS per_household FROM (SELECT place, CAST(sum(amount) AS DOUBLE) AS v FROM items GROUP BY place)"))
 def m09(spark, sf):
-    sums = items(spark, sf).groupBy("place").agg(F.sum("amount").alias("amount"))
+    sums = items(spark, sf, "place", "amount").groupBy("place").agg(F.sum("amount").alias("amount"))
     return A.human_scale(sums, 510_000, 220_000, 1_100).select("place", F.round("per_person", 6).alias("per_person"), F.round("per_household", 6).alias("per_household"))
 
 
@@ -85,12 +85,12 @@ def m12(spark, sf):
 @query("m13_get_body", with_items(f"SELECT dataset, currency, place, fiscal_year, {_MEAS} FROM items WHERE place = (SELECT max(n_name) FROM nation) GROUP BY ALL"))
 def m13(spark, sf):
     name = table(spark, sf, "nation").agg(F.max("n_name").alias("n")).first()["n"]
-    return A.get_body(items(spark, sf), name)
+    return A.get_body(items(spark, sf, "dataset", "currency", "place", "amount", "fiscal_year"), name)
 
 
 @query("m14_tax_receipt", with_items("SELECT place, round(v / sum(v) OVER (), 6) AS share, round(v / sum(v) OVER () * 5000, 4) AS paid FROM (SELECT place, CAST(sum(amount) AS DOUBLE) AS v FROM items GROUP BY place)"))
 def m14(spark, sf):
-    sums = items(spark, sf).groupBy("place").agg(F.sum("amount").cast("double").alias("amount"))
+    sums = items(spark, sf, "place", "amount").groupBy("place").agg(F.sum("amount").cast("double").alias("amount"))
     return A.tax_receipt(sums, 5000).select("place", F.round("share", 6).alias("share"), F.round("paid", 4).alias("paid"))
 
 
@@ -101,14 +101,14 @@ SELECT dataset, currency, place, records, value, CAST(rank AS BIGINT) AS rank, t
          count(*) OVER (PARTITION BY dataset, currency) AS total_groups, count(*) OVER (PARTITION BY dataset, currency) > 5 AS truncated
   FROM items WHERE year(award_date) = 1995 OR fiscal_year = '1995' GROUP BY dataset, currency, place) WHERE rank <= 5"""))
 def m15(spark, sf):
-    out = A.get_totals(items(spark, sf), "place", year="1995", k=5, overlap=OVERLAP)
+    out = A.get_totals(items(spark, sf, "dataset", "currency", "place", "amount", "award_date", "fiscal_year"), "place", year="1995", k=5, overlap=OVERLAP)
     return out.select("dataset", "currency", "place", "records", "value", F.col("rank").cast("long").alias("rank"), "total_groups", "truncated")
 
 
 @query("b02_rounded_difference", with_items("SELECT place, CAST(floor((a - b) / 1000 + 0.5) * 1000 AS BIGINT) AS difference FROM (SELECT place, CAST(sum(amount) FILTER (dataset = 'award') AS DOUBLE) AS a, CAST(sum(amount) FILTER (dataset = 'contract') AS DOUBLE) AS b FROM items GROUP BY place)"))
 def b02(spark, sf):
     part = lambda d: F.sum(F.when(F.col("dataset") == d, F.col("amount"))).cast("double")
-    rows = items(spark, sf).groupBy("place").agg((part("award") - part("contract")).alias("d"))
+    rows = items(spark, sf, "dataset", "place", "amount").groupBy("place").agg((part("award") - part("contract")).alias("d"))
     return rows.select("place", A.to_thousands(F.col("d")).cast("long").alias("difference"))
 
 
@@ -126,4 +126,4 @@ def b04(spark, sf):
 
 @query("n56_citation", with_items("SELECT id, list_last(string_split(id, '-')) AS short, CASE WHEN currency = 'CAD' THEN CAST(amount AS DOUBLE) END AS amount_cad FROM items WHERE dataset = 'award'"))
 def n56(spark, sf):
-    return A.citation(items(spark, sf).where("dataset = 'award'")).select("id", "short", F.col("cite.amount_cad").alias("amount_cad"))
+    return A.citation(items(spark, sf, "id", "dataset", "currency", "buyer", "supplier", "amount", "award_date").where("dataset = 'award'")).select("id", "short", F.col("cite.amount_cad").alias("amount_cad"))

@@ -21,7 +21,7 @@ def w01(spark, sf):
 
 @query("w02_canonical_supplier", with_items("SELECT supplier_key, supplier FROM (SELECT supplier_key, supplier, row_number() OVER (PARTITION BY supplier_key ORDER BY count(*) DESC, supplier) AS r FROM items GROUP BY supplier_key, supplier) WHERE r = 1"))
 def w02(spark, sf):
-    return totals.most_common(items(spark, sf), "supplier_key", "supplier")
+    return totals.most_common(items(spark, sf, "supplier_key", "supplier"), "supplier_key", "supplier")
 
 
 @query("w03_keep_latest_contract", f"SELECT l_orderkey, l_suppkey, arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), ({_L}))::DOUBLE AS amount, count(*) AS versions FROM lineitem GROUP BY ALL")
@@ -101,7 +101,7 @@ SELECT dataset, currency, supplier_key, value, CAST(rank AS BIGINT) AS rank, tot
          count(*) OVER (PARTITION BY dataset, currency) AS total_groups
   FROM items GROUP BY dataset, currency, supplier_key) WHERE rank <= 10"""))
 def w12(spark, sf):
-    out = totals.ranked(totals.group_totals(items(spark, sf), "supplier_key"), 10, "supplier_key")
+    out = totals.ranked(totals.group_totals(items(spark, sf, "dataset", "currency", "supplier_key", "amount"), "supplier_key"), 10, "supplier_key")
     return out.select("dataset", "currency", "supplier_key", "value", F.col("rank").cast("long").alias("rank"), "total_groups", "truncated")
 
 
