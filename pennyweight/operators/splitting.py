@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from .identity import conflict
+from .identity import PLACES, conflict
 
-PLACES = ("postal", "locality", "anchors")
 PROFILE = "base string, code string, postal array<string>, locality array<string>, anchors array<string>"
 
 
@@ -26,15 +25,14 @@ def profiles(records: DataFrame) -> DataFrame:
 
 
 def pooled(known: DataFrame) -> DataFrame:
-    """Profiles of one identifier, pooled over spellings that are a slip apart or contain each other."""
+    """Profiles of one identifier, pooled over spellings that are close: a slip apart, one inside the other, or a unit of it."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("base").reset_index(drop=True)
         group = list(range(len(rows)))
         for i, a in enumerate(rows["base"]):
             for j, b in enumerate(rows["base"][:i]):
-                x, y = set(a.split()), set(b.split())
-                if names.slip_apart(a, b) or x <= y or y <= x:
+                if names.slip_apart(a, b) or names.contained(a, b) or names.unit_of(a, b):
                     old, new = group[i], group[j]
                     group = [new if g == old else g for g in group]
         for c in PLACES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, evidence, names
-from ..operators import answers, identity, searching, splitting, totals
+from ..operators import answers, searching, splitting, totals
 from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
@@ -96,14 +96,6 @@ def j02(spark, sf):
     return items(spark, sf, "buyer_key", "buyer").join(buyers, "buyer_key").groupBy("buyer_key").agg(F.min("buyer").alias("buyer"), F.min("segment").alias("segment"), F.count("*").alias("n"))
 
 
-@query("j11_similar_in_blocks")
-def j11(spark, sf):
-    """Names of one block that lie a slip apart: part names with a swap of letters planted."""
-    rows = table(spark, sf, "part").select("p_name").distinct()
-    slipped = F.concat(F.substring("p_name", 1, 5), F.reverse(F.substring("p_name", 6, 2)), F.expr("substring(p_name, 8)"))
-    return identity.near_names(rows.union(rows.select(slipped)).distinct(), "p_name")
-
-
 @query("j12_first_token_block", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name <> b.p_name AND starts_with(b.p_name, a.p_name)")
 def j12(spark, sf):
     rows = table(spark, sf, "part").select("p_name").distinct().withColumn("first", F.split("p_name", " ")[0])
@@ -139,14 +131,6 @@ def l08(spark, sf):
     return items(spark, sf, "id", "amount").orderBy(F.col("amount").asc_nulls_first(), "id").limit(50).select("id")
 
 
-@query("d10_contained_names", "SELECT a.p_type AS a, b.p_type AS b FROM (SELECT DISTINCT p_type FROM part) a JOIN (SELECT DISTINCT p_type FROM part) b ON a.p_type <> b.p_type AND list_has_all(string_split(b.p_type, ' '), string_split(a.p_type, ' ')) AND split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1)")
-def d10(spark, sf):
-    rows = table(spark, sf, "part").select("p_type").distinct().select(F.col("p_type").alias("name"), F.split("p_type", " ").alias("w"))
-    a = rows.select(F.col("name").alias("a"), F.col("w").alias("x"), F.col("w")[0].alias("first"))
-    b = rows.select(F.col("name").alias("b"), F.col("w").alias("y"), F.col("w")[0].alias("first"))
-    return a.join(b, "first").where((F.size(F.array_except("x", "y")) == 0) & (F.col("a") != F.col("b"))).select("a", "b")
-
-
 @query("d13_split_names", "SELECT * FROM (VALUES (1, 'st pauls [bn 111111118]'), (2, 'st pauls [bn 222222226]'), (3, 'st pauls [bn 111111118]'), (4, 'st pauls'), (5, 'acme'), (6, 'acme')) t(id, node)")
 def d13(spark, sf):
     """One name of two bodies with disjoint places; a record without number joins by its place."""
@@ -160,13 +144,6 @@ def d13(spark, sf):
     return splitting.node_keys(rows).select("id", "node")
 
 
-@query("d16_near_matches_apart")
-def d16(spark, sf):
-    """Near names that stay apart: pairs with the lesser name first."""
-    pairs = identity.near_names(table(spark, sf, "supplier").select("s_name").distinct(), "s_name")
-    return pairs.orderBy("a", "b")
-
-
 @query("b01_budget_and_actual", with_items("SELECT fiscal_year, basis, CAST(b AS DOUBLE) AS budget, CAST(a AS DOUBLE) AS actual FROM (SELECT fiscal_year, currency AS basis, sum(amount) FILTER (dataset = 'award') AS b, coalesce(sum(amount) FILTER (dataset = 'contract'), sum(amount) FILTER (dataset = 'notice')) AS a FROM items GROUP BY ALL)"))
 def b01(spark, sf):
     doc = F.when(F.col("dataset") == "award", "budget").otherwise(F.col("dataset"))

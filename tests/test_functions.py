@@ -125,26 +125,45 @@ def test_within_days(spark, days, pairs):
 
 
 def member(key, code="", postal=(), n=1):
-    return {"key": key, "n": n, "shown": 0.0, "code": code, "postal": set(postal), "locality": set(), "anchors": set()}
+    profiles = [{"code": code, "postal": set(postal), "locality": set(), "anchors": set()}] if code else []
+    return {"key": key, "n": n, "shown": 0.0, "profiles": profiles}
 
 
 def test_conflicts_block_joins():
     a, b, c = member("a", "111111118", ["A1A1A1"], 3), member("b", n=2), member("c", "222222226", ["B1B1B1"])
-    for edges in permutations([("a", "b", 0), ("b", "c", 1)]):
-        of, blocked = identity.replay([a, b, c], list(edges), set())
-        assert of == {"a": "a", "b": "a", "c": "c"}
-        assert [x[:3] for x in blocked] == [("b", "c", 1)]
+    for edges in permutations([("a", "b", 0, "x"), ("b", "c", 1, "y")]):
+        of, made, blocked = identity.replay([a, b, c], list(edges), {})
+        assert of == {"a": "a", "b": "a", "c": "c"} and made == [("a", "b", 0, "x")]
+        assert blocked == [("b", "c", 1, "conflicting identifiers and disjoint postal evidence")]
+
+
+def test_places_of_one_code_are_pooled_before_they_disagree():
+    rows = [member("a", "111111118", ["A1A1A1"]), member("b", "111111118", ["B1B1B1"]), member("c", "222222226", ["B1B1B1"])]
+    of, _, blocked = identity.replay(rows, [("a", "b", 0, ""), ("b", "c", 1, "")], {})
+    assert len(set(of.values())) == 1 and not blocked
 
 
 def test_apart_pairs_hold_for_groups():
-    of, blocked = identity.replay([member("a"), member("b"), member("c")], [("a", "b", 0), ("b", "c", 1)], {frozenset("ac")})
-    assert of["a"] == of["b"] != of["c"] and len(blocked) == 1
+    of, _, blocked = identity.replay([member("a"), member("b"), member("c")], [("a", "b", 0, ""), ("b", "c", 1, "")], {frozenset("ac"): "reviewed"})
+    assert of["a"] == of["b"] != of["c"] and blocked == [("b", "c", 1, "reviewed (c / a)")]
 
 
-def test_resolve_groups_spellings(spark):
-    suppliers = spark.createDataFrame([(k, f"Firm {k}", 1) for k in range(5)], "s_suppkey int, s_name string, s_nationkey int")
-    got = identity.resolve(*identity.demonstration(suppliers)).collect()
-    assert len(got) == 15 and len({r["supplier_key"] for r in got}) == 5
+@pytest.mark.parametrize(
+    "a, b, inside, unit",
+    [
+        ("nunatukavut", "nunatukavut community council", True, False),
+        ("nunatukavut", "nunatukavut council", True, False),
+        ("newfoundland and labrador", "newfoundland and labrador association", False, False),
+        ("pentecostal tabernacle", "clarenville pentecostal tabernacle", False, False),
+        ("memorial university", "memorial university faculty of arts", False, True),
+        ("government of newfoundland and labrador", "government of newfoundland and labrador department of education", False, True),
+        ("town of", "town of gander department of works", False, False),
+        ("acme 1", "acme 2 group", False, False),
+    ],
+)
+def test_close_names(a, b, inside, unit):
+    assert (names.contained(a, b), names.unit_of(a, b)) == (inside, unit)
+    assert (names.contained(b, a), names.unit_of(b, a)) == (inside, unit)
 
 
 def test_connected_chain(spark):
