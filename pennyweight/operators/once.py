@@ -67,10 +67,13 @@ def repeats(items: DataFrame, order: list[str]) -> DataFrame:
     full = (F.col("_contract") != "") & (F.col("_text") != "") & (F.col("currency") == "CAD")
     for c in ("amount", "supplier_key", "award_date", "buyer_key"):
         full = full & F.col(c).isNotNull()
-    marked = items.withColumns(key).withColumn("_alone", F.when(full, F.lit(None).cast("string")).otherwise(F.col("id").cast("string")))
-    group = W.partitionBy("_contract", "supplier_key", "amount", "award_date", "buyer_key", "_text", "_term", "_renewal", "_alone").orderBy(*order)
-    out = marked.withColumns({"counted_id": F.first("id").over(group), "printing": F.row_number().over(group)})
-    return out.drop("_alone", *key)
+    full = F.coalesce(full, F.lit(False))
+    marked = items.withColumns(key).withColumn("_full", full)
+    group = W.partitionBy("_contract", "supplier_key", "amount", "award_date", "buyer_key", "_text", "_term", "_renewal").orderBy(*order)
+    met = marked.where("_full").withColumns({"counted_id": F.first("id").over(group), "printing": F.row_number().over(group)})
+    # rows that stand for themselves need no shuffle
+    alone = marked.where("NOT _full").withColumns({"counted_id": F.col("id"), "printing": F.lit(1)})
+    return met.unionByName(alone).drop("_full", *key)
 
 
 def review(marked: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -31,11 +31,15 @@ def group_totals(items: DataFrame, *by: str, overlap: tuple[str, ...] = ()) -> D
 
 
 def ranked(totals: DataFrame, k: int, *ties: str) -> DataFrame:
-    """The ``k`` largest groups of each source and currency, with their rank and how many there are."""
-    part = W.partitionBy("dataset", "currency")
-    order = part.orderBy(F.col("value").desc_nulls_last(), *ties)
-    out = totals.withColumns({"rank": F.row_number().over(order), "total_groups": F.count("*").over(part)})
-    return out.where(F.col("rank") <= k).withColumn("truncated", F.col("total_groups") > k)
+    """The ``k`` largest groups of each source and currency, with their rank and how many there are.
+
+    Groups are counted by an aggregate, so the window has only the limit and
+    Spark keeps ``k`` rows a task before the shuffle.
+    """
+    order = W.partitionBy("dataset", "currency").orderBy(F.col("value").desc_nulls_last(), *ties)
+    top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    sizes = totals.groupBy("dataset", "currency").agg(F.count("*").alias("total_groups"))
+    return top.join(sizes, ["dataset", "currency"]).withColumn("truncated", F.col("total_groups") > k)
 
 
 def most_common(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -18,8 +18,8 @@ def _contracts(spark, sf):
     """Items with a contract number in several spellings, and terms stated or missing."""
     q = F.col("l_quantity") % 4
     number = F.when(q == 0, "").when(q == 1, F.concat(F.lit("PO# "), "l_suppkey")).when(q == 2, F.concat(F.lit("po"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
-    return items(spark, sf, "id", "currency", "buyer_key", "supplier_key", "award_date", "method", "l_suppkey", "l_linenumber", "l_quantity").select(
-        "id", "currency", "supplier_key", "buyer_key", "award_date", F.lit(1).alias("amount"), F.col("method").alias("description"), number.alias("contract_no"),
+    return items(spark, sf, "id", "currency", "buyer_key", "supplier_key", "amount", "award_date", "method", "l_suppkey", "l_linenumber", "l_quantity").select(
+        "id", "currency", "supplier_key", "buyer_key", "award_date", "amount", F.col("method").alias("description"), number.alias("contract_no"),
         F.when(F.col("l_linenumber") % 2 == 0, "N/A").otherwise("").alias("term"), F.lit("").alias("renewal"),
     )
 
@@ -51,8 +51,8 @@ def d04(spark, sf):
 @query("d05_count_once", with_items(f"""
 SELECT id, counted_id, CAST(printing AS INTEGER) AS printing FROM (
   SELECT id, first_value(id) OVER w AS counted_id, row_number() OVER w AS printing
-  FROM (SELECT *, CASE WHEN k = '' OR currency <> 'CAD' THEN id END AS alone FROM (SELECT *, {_KEY} AS k FROM items))
-  WINDOW w AS (PARTITION BY k, supplier_key, buyer_key, award_date, method, alone ORDER BY id))"""))
+  FROM (SELECT *, CASE WHEN k = '' OR currency <> 'CAD' OR amount IS NULL THEN id END AS alone FROM (SELECT *, {_KEY} AS k FROM items))
+  WINDOW w AS (PARTITION BY k, supplier_key, amount, buyer_key, award_date, method, alone ORDER BY id))"""))
 def d05(spark, sf):
     return once.repeats(_contracts(spark, sf), ["id"]).select("id", "counted_id", "printing")
 

@@ -84,7 +84,7 @@ def k09(spark, sf):
     path = f"{_folder(spark)}/baseline"
     counts = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.count("*").alias("n"))
     sinks.commit_baseline(counts, path)
-    return spark.read.parquet(path)
+    return sinks.read_baseline(spark, path)
 
 
 @query("x01_stream_keep_latest", "SELECT user_id, event_type, max(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY ALL")
@@ -95,4 +95,4 @@ def x01(spark, sf):
     rows.repartition(3).write.parquet(f"{folder}/in")
     lines = incremental.new_lines(spark, f"{folder}/in", "key string, user_id long, event_type string, ts timestamp_ntz, event_id long", files=2)
     incremental.keep_latest_into(lines, "key", "ts", f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type", "event_id")
+    return sinks.read_baseline(spark, f"{folder}/out").select("user_id", "event_type", "event_id")

@@ -12,6 +12,10 @@ _PRINTED = "CASE WHEN c_custkey % 9 = 0 THEN '-' WHEN c_custkey % 9 = 1 THEN ''
 _READ = "CASE WHEN c_custkey % 9 IN (0, 1, 3) THEN NULL WHEN c_custkey % 9 = 2 THEN -CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS DOUBLE) ELSE CAST('1' || CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS DOUBLE) END"
 
 
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_values = lambda rows: ", ".join(f"({', '.join(_quoted(x) for x in r)})" for r in rows)
+
+
 def _printed():
     return F.expr(_PRINTED.replace("VARCHAR", "STRING"))
 
@@ -21,13 +25,21 @@ def n01(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("n"))
 
 
-@query("n02_entity_key")
+_NAME_CASES = (
+    ("Bishop’s Falls Motors Ltd.", "bishops falls motors"), ("Smith & Co", "smith"), ("Harbour Co-operative Limited", "harbour cooperative"), ("Dairy Farmers Board (DFB)", "dairy farmers board"),
+    ("Minister of Finance (PEI)", "minister of finance pei"), ("12345 NL Inc", "12345 newfoundland and labrador"), ("Société Générale Ltée", "societe generale"), ("Oak Limited Partnership", "oak lp"),
+    ("Oak L.P.", "oak lp"), ("Acme (formerly Old Acme)", "acme"), ("Long Harbour Development Company Limi", "long harbour development"), ("The A & B Shop", "a and b shop"),
+)
+
+
+@query("n02_entity_key", f"SELECT -1 AS s_suppkey, * FROM (VALUES {_values(_NAME_CASES)}) t(printed, name_key) UNION ALL SELECT s_suppkey, s_name || ' Ltd. o/a Somewhere Inc', replace(lower(s_name), '#', ' ') FROM supplier")
 def n02(spark, sf):
-    spelt = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" Ltd. o/a Somewhere Inc")).alias("printed"))
-    return names.with_keys(spelt, "printed")
+    spelt = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.concat("s_name", F.lit(" Ltd. o/a Somewhere Inc")).alias("printed"))
+    cases = spark.createDataFrame([(-1, x) for x, _ in _NAME_CASES], "s_suppkey long, printed string")
+    return names.with_keys(cases.union(spelt), "printed")
 
 
-@query("n04_name_forms")
+@query("n04_name_forms", "SELECT s_suppkey, s_name AS form FROM supplier UNION ALL SELECT s_suppkey, 'Société ' || s_name FROM supplier")
 def n04(spark, sf):
     spelt = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit("|Société "), "s_name").alias("printed"))
     return spelt.select("s_suppkey", F.explode(names.name_forms_udf("printed", F.lit(True))).alias("form"))
@@ -81,10 +93,6 @@ _BODY_CASES = {
     "Department of Education": "Department of Education", "Education & Early Childhood": "Department of Education and Early Childhood Development", "NLESD": "Newfoundland and Labrador English School District",
     "LIL LP": "Labrador Island Link LP", " Town of  Placentia ": "Town of Placentia", "": "Public body not named",
 }
-_quoted = lambda x: "'" + x.replace("'", "''") + "'"
-_values = lambda rows: ", ".join(f"({', '.join(_quoted(x) for x in r)})" for r in rows)
-
-
 @query("n13_ordered_rules", f"SELECT * FROM (VALUES {_values(_BODY_CASES.items())}) t(printed, body) UNION ALL SELECT n_name || ' Hydro' AS printed, 'Newfoundland and Labrador Hydro' AS body FROM nation")
 def n13(spark, sf):
     printed = spark.createDataFrame([(x,) for x in _BODY_CASES], "printed string").union(table(spark, sf, "nation").select(F.concat("n_name", F.lit(" Hydro"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import searching as S
+from ..operators.lineage import cut
 from .ledger import items, with_items
 from .registry import query, table
 
@@ -13,8 +14,10 @@ _TOK = "list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]
 _POST = f"posted AS (SELECT word, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS word FROM documents) GROUP BY ALL)"
 
 
-def posted(spark, sf):
-    return S.postings(table(spark, sf, "documents"))
+def posted(spark, sf, kept=False):
+    """Postings of the documents; ``kept``: written once, for queries that read them several times."""
+    found = S.postings(table(spark, sf, "documents"))
+    return cut(found) if kept else found
 
 
 @query("q01_pack_documents", with_items("SELECT supplier_key, currency, CAST((r - 1) // 40 AS BIGINT) AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT supplier_key, currency, id, row_number() OVER (PARTITION BY supplier_key, currency ORDER BY id) AS r FROM items) GROUP BY ALL"))
@@ -51,7 +54,7 @@ WITH {_POST}, sizes AS (SELECT doc_id, sum(tf) AS size FROM posted GROUP BY 1),
 h AS (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM posted WHERE word IN ('the', 'erin', 'thin'))
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN sizes USING (doc_id), t GROUP BY doc_id""")
 def q06(spark, sf):
-    return S.bm25(posted(spark, sf), ["the", "erin", "thin"]).select("doc_id", F.round("score", 6).alias("score"))
+    return S.bm25(posted(spark, sf, kept=True), ["the", "erin", "thin"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("q07_items_in_documents", with_items("SELECT id FROM items WHERE currency = 'CAD' AND lower(description) LIKE '%a%' AND regexp_matches(lower(description), '(^|[^a-z0-9])b') AND dataset = 'award'"))
@@ -61,11 +64,20 @@ def q07(spark, sf):
     return rows.where(F.contains("description", F.lit("a")) & F.exists(words, lambda w: F.startswith(w, F.lit("b")))).select("id")
 
 
-@query("q08_spelling")
+_ASKED = ("thta", "wiht", "whcih", "andd", "teh")
+
+
+@query("q08_spelling", f"""
+WITH {_POST}, vocab AS (SELECT word, count(*) AS df FROM posted WHERE length(word) >= 3 AND NOT regexp_matches(word, '[0-9]') GROUP BY word),
+asked AS (SELECT unnest({list(_ASKED)}) AS asked),
+near AS (SELECT word, df, asked, damerau_levenshtein(word, asked) AS slips FROM vocab, asked
+  WHERE length(asked) >= 4 AND damerau_levenshtein(word, asked) <= CASE WHEN length(asked) <= 5 THEN 1 ELSE 2 END
+  AND NOT EXISTS (SELECT 1 FROM vocab v WHERE starts_with(v.word, asked)))
+SELECT word, df, slips, asked FROM near QUALIFY row_number() OVER (PARTITION BY asked ORDER BY slips, df DESC, word) = 1""")
 def q08(spark, sf):
-    vocab = S.vocabulary(posted(spark, sf))
+    vocab = S.vocabulary(posted(spark, sf, kept=True))
     out = None
-    for word in ("thta", "wiht", "whcih", "andd", "teh"):
+    for word in _ASKED:
         row = S.spelling(vocab, word).withColumn("asked", F.lit(word))
         out = row if out is None else out.unionByName(row)
     return out
@@ -79,7 +91,7 @@ def q09(spark, sf):
 
 @query("q10_find", f"WITH {_POST} SELECT doc_id FROM posted GROUP BY doc_id HAVING bool_or(starts_with(word, 'that')) AND bool_or(starts_with(word, 'this'))")
 def q10(spark, sf):
-    return S.find(spark, posted(spark, sf), "that this")[0]
+    return S.find(spark, posted(spark, sf, kept=True), "that this")[0]
 
 
 @query("q11_suggestions", f"""

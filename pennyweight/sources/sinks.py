@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -32,16 +32,38 @@ def write_shards(df: DataFrame, key: str, path: str, shards: int = 512) -> None:
     marked.repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
 
 
-def commit_baseline(df: DataFrame, path: str) -> None:
-    """Replace a small table as a whole: written beside it, then moved over it."""
-    spark = df.sparkSession
-    df.coalesce(1).write.mode("overwrite").parquet(f"{path}.new")
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[int]]:
+    """The folder's file system, and the numbers of its complete versions in order."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = hadoop.Path(f"{path}.new"), hadoop.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{path}.new could not be moved to {path}")
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    found = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return fs, sorted(found)
+
+
+def commit_baseline(df: DataFrame, path: str, version: int | None = None, kept: int = 2) -> int:
+    """Write a table as its next version, a folder of its own, and return the version's number.
+
+    A version counts once Spark has marked it as whole, so a crash at any
+    point leaves the one before it to be read; nothing is deleted or moved
+    before that.  Writing one version again replaces it.  Of older versions
+    ``kept - 1`` stay for readers that still use them.
+    """
+    spark = df.sparkSession
+    fs, there = _versions(spark, path)
+    number = version if version is not None else (there[-1] + 1 if there else 1)
+    df.write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+    for old in [v for v in there if v < number][: -(kept - 1) or None]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old:012d}"), True)
+    return number
+
+
+def read_baseline(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The latest whole version of a table (before version ``below``), or None."""
+    _, there = _versions(spark, path)
+    some = [v for v in there if below is None or v < below]
+    return spark.read.parquet(f"{path}/v{some[-1]:012d}") if some else None
 
 
 def apply_plan(stored: DataFrame, wanted: DataFrame, plan: DataFrame, key: str) -> DataFrame:

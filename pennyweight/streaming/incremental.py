@@ -27,20 +27,19 @@ def by_window(lines: DataFrame, at: str, by: list[str], size: str = "7 days", la
 
 
 def keep_latest_into(lines: DataFrame, key: str, order: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into a table at ``path``: of rows with one key the latest stays.
+    """Merge each batch into the table of versions at ``path``: of rows with one key the latest stays.
 
-    The table is written anew beside the old one and swapped, and a batch
-    that is run again after a failure gives the same table.
+    Batch ``n`` makes version ``n + 1`` of the version before it, so a batch
+    that is run again after a failure gives the same table, and a crash
+    leaves the last whole version (see :func:`sources.sinks.commit_baseline`).
     """
-    from ..sources.sinks import commit_baseline
+    from ..sources.sinks import commit_baseline, read_baseline
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        rows = batch.unionByName(spark.read.parquet(path)) if there else batch
+        stored = read_baseline(batch.sparkSession, path, below=number + 1)
+        rows = batch if stored is None else batch.unionByName(stored)
         fields = [c for c in rows.columns if c != key]
         best = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(order, *fields)).alias("b"))
-        commit_baseline(best.select(key, *(F.col(f"b.{c}").alias(c) for c in fields)).select(*rows.columns), path)
+        commit_baseline(best.select(key, *(F.col(f"b.{c}").alias(c) for c in fields)).select(*rows.columns), path, number + 1)
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pennyweight.functions import codes, dates, money, names
 from pennyweight.operators import answers, checking, identity, once, patterns, searching, totals
-from pennyweight.sources import readers
+from pennyweight.sources import readers, sinks
 
 
 @pytest.mark.parametrize(
@@ -243,3 +243,16 @@ def test_report_lines(spark):
     assert got == [("Executive Council", "1.1.01", "01", "Salaries", 1200.0), ("Executive Council", "1.1.01", "10", "Grants", 0.0)]
     allowance = spark.createDataFrame([("Office    1,000.00   250.00  750.00  25.0%",), ("Travel    --   10.00  --  --",)], "value string")
     assert [tuple(r) for r in readers.allowance_lines(allowance).collect()] == [("Office", 1000.0, 250.0, 750.0, 25.0), ("Travel", None, 10.0, None, None)]
+
+
+def test_a_crash_leaves_the_last_whole_version(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    assert sinks.read_baseline(spark, path) is None
+    for n in (1, 2, 3):
+        sinks.commit_baseline(spark.range(n), path)
+        assert sinks.read_baseline(spark, path).count() == n
+    (tmp_path / "table" / "v000000000004").mkdir()  # begun, never finished
+    assert sinks.read_baseline(spark, path).count() == 3
+    assert sinks.commit_baseline(spark.range(9), path) == 4 and sinks.read_baseline(spark, path).count() == 9
+    sinks.commit_baseline(spark.range(8), path, version=4)  # run again
+    assert sinks.read_baseline(spark, path).count() == 8 and sinks.read_baseline(spark, path, below=4).count() == 3

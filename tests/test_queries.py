@@ -1,4 +1,4 @@
-"""Every query with an SQL twin gives DuckDB's rows; the others run."""
+"""Every query has an SQL twin, and gives DuckDB's rows."""
 
 import pytest
 
@@ -16,11 +16,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    if name in catalogue.ORACLES:
-        same(df, con, catalogue.ORACLES[name])
-    else:
-        assert df.count() >= 0
+    same(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLES[name])
 
 
 def test_entry(spark):
