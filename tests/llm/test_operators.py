@@ -286,8 +286,9 @@ def test_quality_counts(docs):
     assert {r["doc_id"] for r in quality.keep(docs).collect()} == {k for k, r in got.items() if r["kept"]}
 
 
-@pytest.mark.parametrize("shard_rows, query_rows", [(10_000, 4096), (37, 5)])
-def test_top_k(spark, shard_rows, query_rows):
+@pytest.mark.parametrize("shard_rows, query_rows", [(10_000, 4096), (37, 5), (150, 7)])
+def test_top_k(spark, shard_rows, query_rows, monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 16)
     r = np.random.default_rng(4)
     vectors = [(k, r.normal(size=8).astype(float).tolist()) for k in range(300)]
     vectors += [(k, vectors[0][1]) for k in range(300, 420)]  # one vector very often: ties go to the smaller id
@@ -303,6 +304,21 @@ def test_top_k(spark, shard_rows, query_rows):
             assert [got[q][i + 1] for i in range(5)] == [(k, -s) for s, k in scored]
 
 
+def test_top_k_of_unbounded_integers(spark):
+    r = random.Random(8)
+    vectors = [(k, [r.uniform(-9, 9) for _ in range(4)]) for k in range(60)]
+    vectors += [(100, [1e30, 1.0, 0.0, 0.0]), (101, [1e30, 1.0, 0.0, 0.0]), (102, [-1e30, 2.5, 1.0, 0.0]), (103, [1e308, 0.0, 0.0, 0.0]), (104, [3e7, -1.5, 0.0, 2.0]), (150, [2e300, 1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for x in topk.top_k(topk.usable(frame), "vec_id % 25 = 0 OR vec_id = 104", 5, 20, 2).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = (x["vec_id"], x["score"])
+    whole = [(k, [math.floor(256 * c) if abs(c) < 1e15 else int(c) * 256 for c in v]) for k, v in vectors]
+    for q, v in whole:
+        if q % 25 == 0 or q == 104:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in whole if k != q)[:5]
+            assert [got[q][i + 1] for i in range(5)] == [(k, max(-(2**63), min(2**63 - 1, -s))) for s, k in scored]
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     tokens, of = {}, {}
