@@ -13,6 +13,8 @@ import numpy as np
 
 F32 = np.float32
 WINDOW = 32
+#: Rows of the softmax at once, which stay in a core's cache.
+ROWS = 256
 
 
 class Model:
@@ -66,24 +68,31 @@ class Model:
         new = np.tanh(x[:, 2 * n :] + (r * h) @ p["v"])
         return new + z * (h - new), z, r, new
 
-    def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
-        """Natural log probabilities; with ``learn``, gradients too (mean loss)."""
-        p, rows = self.p, np.arange(len(targets))
+    def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool = False, full: int = 1):
+        """Natural log probabilities; with ``learn``, gradients too, of the mean loss over ``full`` places if they are fewer."""
+        p, count = self.p, len(targets)
         classes = self.class_of(targets)
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[rows, classes].copy()
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        logp = chosen - np.log(total)
-        grads, dh, scale = {}, None, F32(1 / max(1, len(targets)))
+        logp = np.empty(count, states.dtype)
+        grads, dh, scale = {}, None, F32(1 / max(full, count))
         if learn:
-            logits /= total[:, None]
-            logits[rows, classes] -= F32(1)
-            logits *= scale
-            grads["c"], grads["cb"] = states.T @ logits, logits.sum(axis=0)
-            dh = logits @ p["c"].T
-            grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
+            dh = np.empty_like(states)
+            grads = {k: np.zeros_like(p[k]) for k in ("c", "cb", "w", "wb")}
+        for at in range(0, count, ROWS):
+            here, mine = states[at : at + ROWS], classes[at : at + ROWS]
+            rows = np.arange(len(here))
+            logits = here @ p["c"]
+            logits += p["cb"]
+            logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[rows, mine]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=1)
+            logp[at : at + ROWS] = chosen - np.log(total)
+            if learn:
+                logits *= (scale / total)[:, None]
+                logits[rows, mine] -= scale
+                grads["c"] += here.T @ logits
+                grads["cb"] += logits.sum(axis=0)
+                np.matmul(logits, p["c"].T, out=dh[at : at + ROWS])
         order = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(self.heads + 1))
         for k in range(self.heads):
@@ -107,20 +116,24 @@ class Model:
 
 
 class Trainer:
-    """Adagrad over windows of truncated back-propagation."""
+    """Adagrad over windows of truncated back-propagation; one of fewer than ``full`` places teaches that much less."""
 
-    def __init__(self, model: Model, rate: float = 0.1):
-        self.model, self.rate = model, F32(rate)
+    def __init__(self, model: Model, rate: float = 0.1, full: int = 1):
+        self.model, self.rate, self.full = model, F32(rate), full
         self.seen = {k: np.full_like(v, 1e-8) for k, v in model.p.items()}
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None, inside: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """One update on (time, batch) windows that start from states ``h``; the states after it and the mean loss.
 
-        Where ``inside`` is false a sequence has ended: such places neither count nor teach.
+        Where ``starts`` is true a new sequence begins: the state is zero
+        there, and nothing is learnt across it.  Where ``inside`` is false a
+        sequence has ended: such places neither count nor teach.
         """
         m, n = self.model, self.model.hidden
         kept, states = [], []
-        for ids in inputs:
+        for t, ids in enumerate(inputs):
+            if starts is not None and starts[t].any():
+                h = np.where(starts[t][:, None], F32(0), h)
             before = h
             h, z, r, new = m.step(ids, h)
             kept.append((before, z, r, new))
@@ -128,30 +141,32 @@ class Trainer:
         steps, batch = inputs.shape
         states, targets = np.concatenate(states), targets.ravel()
         if inside is None or inside.all():
-            logp, grads, dout = m.outputs(states, targets, learn=True)
+            logp, grads, dout = m.outputs(states, targets, True, self.full)
         else:
             at = np.flatnonzero(inside)
-            logp, grads, some = m.outputs(states[at], targets[at], learn=True)
+            logp, grads, some = m.outputs(states[at], targets[at], True, self.full)
             dout = np.zeros((steps * batch, n), F32)
             dout[at] = some
         dout = dout.reshape(steps, batch, n)
-        for k in ("u", "v", "b"):
-            grads[k] = np.zeros_like(m.p[k])
+        u, v = m.p["u"].T.copy(), m.p["v"].T.copy()
         dx = np.empty((steps, batch, 3 * n), F32)
         back = np.zeros((batch, n), F32)
         for t in range(steps - 1, -1, -1):
             before, z, r, new = kept[t]
             dh = dout[t] + back
-            dnew = dh * (1 - z) * (1 - new * new)
-            drh = dnew @ m.p["v"].T
-            dz = dh * (before - new) * z * (1 - z)
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            grads["u"] += before.T @ dzr
-            grads["v"] += (r * before).T @ dnew
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dzr, dnew
-            back = dh * z + drh * r + dzr @ m.p["u"].T
+            here = dx[t]
+            dnew = here[:, 2 * n :]
+            np.multiply(dh * (1 - z), 1 - new * new, out=dnew)
+            drh = dnew @ v
+            np.multiply(dh * (before - new), z * (1 - z), out=here[:, :n])
+            np.multiply(drh * before, r * (1 - r), out=here[:, n : 2 * n])
+            back = dh * z + drh * r + here[:, : 2 * n] @ u
+            if starts is not None and starts[t].any():
+                back[starts[t]] = 0
         flat = dx.reshape(-1, 3 * n)
+        old = np.concatenate([k[0] for k in kept])
+        grads["u"] = old.T @ flat[:, : 2 * n]
+        grads["v"] = (np.concatenate([k[2] for k in kept]) * old).T @ flat[:, 2 * n :]
         grads["b"] = flat.sum(axis=0)
         ids = inputs.ravel()
         order = np.argsort(ids, kind="stable")

@@ -9,8 +9,8 @@
     ``c + 0.5`` of the class's counts, with half a count for unknown words.
 3.  Each task trains the recurrent model on its blocks, from a start
     trained on a few blocks, and the results are averaged by tokens.
-    Training looks at every token of every training document, in spans;
-    states are carried through the windows of a span.
+    Training looks at every token of every training document, in windows;
+    states are carried from window to window to the document's end.
 4.  Every document is scored as a whole, state carried to its end.
 
 Defined results: a null text has the end token only; a null ``doc_id`` has
@@ -40,8 +40,9 @@ from .gru import WINDOW, Model, Trainer, log_likelihood
 BLOCK_BYTES = 12 << 20
 #: Head words, words to a class, and classes of other words by their last two bytes.
 HEAD, PER_CLASS, ENDINGS = 1024, 32, 95
-SPAN, BATCH = 4 * WINDOW, 256
-#: Blocks for the common start, which looks at one of their spans in so many; the pass after it takes all.
+#: Documents that run side by side in training.
+LANES = 256
+#: Blocks for the common start, which looks at one of their documents in so many; the pass after it takes all.
 START_BLOCKS, START_STRIDE = 2, 4
 CHUNKS = 64
 
@@ -198,50 +199,55 @@ def _opened(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     return meta, np.split(ids, np.cumsum(meta[:, 1])[:-1])
 
 
-def _spans(row: dict, stride: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Inputs and targets of the spans of the block's training documents, one in ``stride``, longest first."""
+def _lanes(row: dict, stride: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The block's training documents (one in ``stride``) dealt to lanes, end to end: targets, and where documents start.
+
+    The longest go first, each to the shortest lane, so lanes are about equally long; the longest lane comes first.
+    """
     meta, docs = _opened(row)
-    spans = []
-    for k, ids in enumerate(docs):
-        doc_id = int(meta[k, 0])
-        if held_out(None if doc_id == B.NO_ID else doc_id):
-            continue
-        before = np.r_[0, ids[:-1]]
-        first = zlib.crc32(ids[:64].tobytes()) % stride
-        for at in range(first * SPAN, len(ids), stride * SPAN):
-            spans.append((before[at : at + SPAN], ids[at : at + SPAN]))
-    spans.sort(key=lambda s: -len(s[1]))
-    return spans
+    mine = [ids for k, ids in enumerate(docs) if not held_out(None if meta[k, 0] == B.NO_ID else int(meta[k, 0]))]
+    mine = [d for d in mine if zlib.crc32(d.tobytes()) % stride == 0]
+    mine.sort(key=lambda d: (-len(d), zlib.crc32(d.tobytes())))
+    heap = [(0, k) for k in range(min(LANES, len(mine)))]
+    held: list[list[np.ndarray]] = [[] for _ in heap]
+    for d in mine:
+        size, k = heapq.heappop(heap)
+        held[k].append(d)
+        heapq.heappush(heap, (size + len(d), k))
+    held.sort(key=lambda lane: -sum(map(len, lane)))
+    # a lane would open with its longest document; turned about, what is rare stands anywhere
+    held = [lane[k % len(lane) :] + lane[: k % len(lane)] for k, lane in enumerate(held)]
+    starts = [np.concatenate([np.arange(len(d)) == 0 for d in lane]) for lane in held]
+    return [np.concatenate(lane) for lane in held], starts
 
 
 def _train_block(trainer: Trainer, row: dict, stride: int = 1) -> int:
-    """Train on the block's spans; the tokens looked at."""
-    spans = _spans(row, stride)
-    seen = 0
-    batches = [spans[k : k + BATCH] for k in range(0, len(spans), BATCH)]
-    for k in np.random.default_rng(len(spans)).permutation(len(batches)):
-        some = batches[k]
-        sizes = np.array([len(s[1]) for s in some])
-        inside = np.arange(sizes[0])[:, None] < sizes
-        inputs, targets = np.zeros((2, *inside.shape), np.int64)
-        inputs.T[inside.T] = np.concatenate([s[0] for s in some])
-        targets.T[inside.T] = np.concatenate([s[1] for s in some])
-        h = np.zeros((len(some), trainer.model.hidden), np.float32)
-        for t in range(0, len(inside), WINDOW):
-            n = int((sizes > t).sum())  # those that have not ended stand first
-            part = np.s_[t : t + WINDOW, :n]
-            h, _ = trainer.window(inputs[part], targets[part], h[:n], inside[part])
-        seen += int(sizes.sum())
-    return seen
+    """Train on every token of the block's documents, states carried to the end of each; the tokens looked at."""
+    lanes, starts = _lanes(row, stride)
+    if not lanes:
+        return 0
+    sizes = np.array([len(x) for x in lanes])
+    inside = np.arange(sizes[0])[:, None] < sizes
+    targets, begins = np.zeros(inside.shape, np.int64), np.zeros(inside.shape, bool)
+    targets.T[inside.T], begins.T[inside.T] = np.concatenate(lanes), np.concatenate(starts)
+    inputs = np.zeros_like(targets)
+    inputs[1:] = targets[:-1]
+    inputs[begins] = 0  # what stands before a document is an end
+    h = np.zeros((len(lanes), trainer.model.hidden), np.float32)
+    for t in range(0, len(inside), WINDOW):
+        n = int((sizes > t).sum())  # lanes that have not ended stand first
+        part = np.s_[t : t + WINDOW, :n]
+        h, _ = trainer.window(inputs[part], targets[part], h[:n], begins[part], inside[part])
+    return int(sizes.sum())
 
 
 def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """The parameters, trained on all spans of all blocks; tasks start alike and are averaged by tokens."""
+    """The parameters, trained on all tokens of all blocks; tasks start alike and are averaged by tokens."""
     spark = coded.sparkSession
 
     def fit(start: np.ndarray | None, stride: int, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(lexicon.model(start), rate), 0
+            trainer, seen = Trainer(lexicon.model(start), rate, LANES * WINDOW), 0
             for batch in batches:
                 for k in range(batch.num_rows):
                     seen += _train_block(trainer, batch.slice(k, 1).to_pylist()[0], stride)

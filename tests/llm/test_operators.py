@@ -422,9 +422,9 @@ def test_training_sees_every_token_of_training_documents():
     row = {"meta": meta.tobytes(), "ids": zstandard.compress(np.concatenate(docs).astype("<u2").tobytes())}
     trainer, seen, real = Trainer(Model(64, 8, 5, hidden=8)), Counter(), Model.outputs
 
-    def outputs(states, targets, learn=False):
+    def outputs(states, targets, *more):
         seen.update(targets.tolist())
-        return real(trainer.model, states, targets, learn)
+        return real(trainer.model, states, targets, *more)
 
     trainer.model.outputs = outputs
     want = {1 + k: len(d) for k, d in enumerate(docs) if not scoring.held_out(k)}
@@ -440,11 +440,27 @@ def test_masked_places_do_not_teach():
     for filler in (0, 7):
         trainer = Trainer(Model(64, 8, 5, hidden=8))
         ends = [np.where(inside, x, filler) for x in (inputs, targets)]
-        trainer.window(*ends, np.zeros((3, 8), np.float32), inside)
+        trainer.window(*ends, np.zeros((3, 8), np.float32), inside=inside)
         models.append(trainer.model.flat())
     assert np.array_equal(*models)
 
 
+def test_documents_in_one_lane_teach_as_they_do_in_lanes_of_their_own():
+    r = np.random.default_rng(3)
+    inputs, targets = r.integers(0, 69, (2, 12, 1))
+    begins = np.zeros((12, 1), bool)
+    begins[[0, 7]] = True
+    apart = [np.zeros((7, 2), np.int64) for _ in range(2)]
+    for whole, two in zip((inputs, targets), apart, strict=True):
+        two[:, 0], two[:5, 1] = whole[:7, 0], whole[7:, 0]
+    models = []
+    for ends, more, n in (((inputs, targets), {"starts": begins}, 1), (apart, {"inside": np.arange(7)[:, None] < np.array([7, 5])}, 2)):
+        trainer = Trainer(Model(64, 8, 5, hidden=8))
+        trainer.window(*ends, np.ones((n, 8), np.float32) * (n == 1), **more)  # what was before a start does not matter
+        models.append(trainer.model.flat())
+    assert np.allclose(*models, atol=1e-5)
+
+
 def test_model_beats_counts_on_held_out_documents(spark):
     rows = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
