@@ -25,17 +25,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_uint, release, unpack_uint
+from .common import input_bytes, materialise, pack_uint, release, unpack_uint
 
+#: Least bytes of text to a block, and to each shard of the key space.
 BLOCK_BYTES = 6 << 20
-#: Bytes of text for each shard of the key space.
 SHARD_BYTES = 12 << 20
+#: Bytes of text, about 64 keys, that a message between a block and a shard stands for at least.
+MESSAGE_BYTES = 512
 SCHEMA = "block long, n_bytes long, doc_ids binary, sizes binary, body binary, rest binary"
 REPLY = "block long, shard long, phase int, answer binary"
 #: Stands for a null doc_id; no id is larger, so such a document is never the earlier one.
 NO_ID = np.iinfo(np.int64).max
 
 
+def sizes_for(total: int) -> tuple[int, int]:
+    """Bytes of text to a block and to a shard for an input of so many bytes.
+
+    There is a message for each block and shard, so both grow as the root of
+    the input once messages would become small: below 70 GB
+    they stay at their least, at 1 TB they are 23 MB, at 100 TB 230 MB each.
+    Messages are then a fixed part of the input at any size, and a task's
+    memory (some ten times its block or shard) grows with the root only.
+    """
+    least = int((MESSAGE_BYTES * max(0, total)) ** 0.5)
+    return max(BLOCK_BYTES, least), max(SHARD_BYTES, least)
+
+
+def shards_for(total: int) -> int:
+    """Shards of the key space for an input of so many bytes of text."""
+    return max(1, -(-total // sizes_for(total)[1]))
+
+
 @dataclass
 class Block:
     number: int
@@ -48,8 +68,9 @@ class Block:
         return self.body[self.starts[k] : self.starts[k + 1]].tobytes()
 
 
-def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """The blocks of ``docs`` and their bytes of text; columns ``keep`` ride along."""
+def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = 0) -> tuple[DataFrame, int]:
+    """The blocks of ``docs`` (of ``block_bytes`` at least) and their bytes of text; columns ``keep`` ride along."""
+    block_bytes = block_bytes or sizes_for(input_bytes(docs))[0]
 
     def seal(parts: list[pa.RecordBatch], number: int) -> dict:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialise, pack_uint, unpack_uint
+from .common import input_bytes, materialise, pack_uint, unpack_uint
 from .gru import WINDOW, Model, Trainer, log_likelihood
 
 BLOCK_BYTES = 12 << 20
@@ -275,8 +275,8 @@ def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
 
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base_score, score`` and ``train_tokens``."""
-    blocks, total = B.write_blocks(docs, block_bytes=BLOCK_BYTES)
-    shards = max(1, -(-total // B.SHARD_BYTES))
+    blocks, total = B.write_blocks(docs, block_bytes=max(BLOCK_BYTES, B.sizes_for(input_bytes(docs))[0]))
+    shards = B.shards_for(total)
     told = materialise(blocks.mapInArrow(_ask(shards), _ASK).groupBy("shard").applyInArrow(_tell, _TOLD), "told")
     lexicon = Lexicon(told)
     replies = told.where("kind = 'reply'").select("block", "shard", "answer")

@@ -230,7 +230,7 @@ def _sort(length: int):
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay), plus columns ``keep``."""
     blocks, total = B.write_blocks(docs, keep)
-    shards = max(1, -(-total // B.SHARD_BYTES))
+    shards = B.shards_for(total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.each_block(batches):

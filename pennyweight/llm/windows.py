@@ -1,10 +1,13 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length word window.
 
-Every window of ``width`` words is hashed by a rolling polynomial over
-64-bit word hashes; Spark brings equal hashes of all blocks together and
-counts them by document.  A window is repeated if a document with a
-smaller id holds it; overlapping repeated windows merge into maximal
-intervals of words, which go.
+Every window of ``width`` words has two rolling polynomials over the halves
+of 128-bit word hashes: one names the shard that counts the window, the
+other is its key there.  Shards grow in number with the input, so the bits
+that tell windows apart do too: 64 and those of the shard's number, 87 for
+100 TB, where less than one false match is expected.  Spark brings equal
+keys of all blocks together and counts them by document.  A window is
+repeated if a document with a smaller id holds it; overlapping repeated
+windows merge into maximal intervals of words, which go.
 
 Defined results: a null text has no words; texts shorter than a window
 lose nothing; windows repeated only within documents of one id stay;
@@ -32,12 +35,12 @@ OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def words_of(block: B.Block) -> tuple[list[list[bytes]], np.ndarray]:
-    """The words of each document, and a 64-bit hash for each word in turn."""
+    """The words of each document, and the two halves of a hash for each word in turn."""
     found = [block.text(k).split() for k in range(len(block.doc_ids))]
     number: dict[bytes, int] = {}
     at = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), np.int64, sum(map(len, found)))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 17) for w in number), np.uint64, len(number))
-    return found, hashes[at] if len(at) else np.zeros(0, np.uint64)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, 17) for w in number), np.uint64).reshape(-1, 2)
+    return found, hashes[at]
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -52,34 +55,34 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def _windows(block: B.Block, width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; starts of windows and their documents; distinct hashes' first record; each window's number among them."""
+def _windows(block: B.Block, width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words; starts of windows, their documents, keys and marks; distinct windows' first record; each window's number among them."""
     words, hashes = words_of(block)
     sizes = np.array([len(w) for w in words], np.int64)
     doc = np.repeat(np.arange(len(words)), sizes)
-    keys = rolling(hashes, width)
+    keys, marks = rolling(hashes[:, 0], width), rolling(hashes[:, 1], width)
     inside = np.flatnonzero(doc[: len(keys)] == doc[width - 1 : width - 1 + len(keys)]) if len(keys) else np.zeros(0, np.int64)
-    keys, doc = keys[inside], doc[inside]
+    keys, marks, doc = keys[inside], marks[inside], doc[inside]
     order = np.argsort(keys, kind="stable")  # documents ascend, so the first of a run is the earliest
-    new = B.first_of(order, keys)
+    new = B.first_of(order, keys, marks)
     group = np.empty(len(keys), np.int64)
     group[order] = np.cumsum(new) - 1
-    return words, inside, doc, keys, order[new], group
+    return words, inside, doc, keys, marks, order[new], group
 
 
 def removals(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the words that stay, joined by a space), plus ``keep``."""
     blocks, total = B.write_blocks(docs, keep)
-    shards = max(1, -(-total // B.SHARD_BYTES))
+    shards = B.shards_for(total)
     cut = np.uint64(shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.each_block(batches):
-            _, _, doc, keys, reps, _ = _windows(block, width)
+            _, _, doc, keys, marks, reps, _ = _windows(block, width)
             reps = np.sort(reps)  # by document
             sent = keys[reps]
             rows = []
-            for shard, at in B.by_shard((sent % cut).astype(np.int64), shards):
+            for shard, at in B.by_shard((marks[reps] % cut).astype(np.int64), shards):
                 ids, times = B.pack_docs(block.doc_ids[doc[reps[at]]])
                 rows.append({"shard": shard, "block": block.number, "docs": ids, "times": times, "keys": sent[at].tobytes()})
             if rows:
@@ -106,10 +109,10 @@ def removals(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) ->
         got = {r["shard"]: r["answer"] for r in replies.to_pylist()}
         for row in blocks.to_pylist():
             block = B.opened(row)
-            words, starts, doc, keys, reps, group = _windows(block, width)
+            words, starts, doc, keys, marks, reps, group = _windows(block, width)
             by_doc = np.sort(reps)
             known = np.zeros(len(keys), bool)
-            for shard, at in B.by_shard((keys[by_doc] % cut).astype(np.int64), shards):
+            for shard, at in B.by_shard((marks[by_doc] % cut).astype(np.int64), shards):
                 known[by_doc[at]] = np.unpackbits(B.answered(got[shard]), count=len(at)).astype(bool)
             ids = block.doc_ids[doc]
             gone = known[reps][group] | (ids > ids[reps][group]) if len(keys) else known
