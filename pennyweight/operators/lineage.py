@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one on a single machine where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,7 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
     Only where none is named (on one machine, in tests) a temporary folder is set.
     """
     context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import once
+from ..operators.lineage import shared_base
 from ..sources import readers, sinks
 from ..streaming import incremental
 from .registry import query, table
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return "file://" + tempfile.mkdtemp(prefix="spark-io-")
-    import uuid
-
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return f"{shared_base(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
 @query("s05_links", "SELECT page_id, len(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']')) AS n, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS chars FROM pages")
