@@ -29,6 +29,8 @@ from .common import WORD, materialise
 
 REPETITIONS = 2.0
 BLOCK_TOKENS = 8192
+#: Beyond so many blocks a source has as many as the root of its tokens: then a pass orders no more blocks, and
+#: the block in which a budget ends holds no more tokens, than that root.
 BLOCKS = 4096
 #: Exponents tried at once, and rounds of them: 16 ** 13 is more than a double can tell apart.
 POINTS, ROUNDS = 16, 13
@@ -43,7 +45,7 @@ def shares(docs: DataFrame) -> DataFrame:
     """``source, tokens, share`` and the number of blocks of each source."""
     totals = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"))
     whole = totals.agg(F.sum("tokens").alias("all_tokens"))
-    blocks = F.least(F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)), F.lit(BLOCKS)).cast("long")
+    blocks = F.least(F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)), F.greatest(F.lit(BLOCKS), F.floor(F.sqrt("tokens")))).cast("long")
     return totals.join(F.broadcast(whole)).select("_source", "tokens", (F.col("tokens") / F.col("all_tokens")).alias("share"), blocks.alias("blocks"))
 
 

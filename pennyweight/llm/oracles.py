@@ -96,7 +96,7 @@ WITH RECURSIVE d AS (
   SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source
 ), shares AS (
   SELECT source, tokens, tokens / sum(tokens) OVER () AS share,
-         CAST(least(greatest(ceil(tokens / 8192), 1), 4096) AS BIGINT) AS blocks FROM src
+         CAST(least(greatest(ceil(tokens / 8192), 1), greatest(4096, floor(sqrt(tokens)))) AS BIGINT) AS blocks FROM src
 ), ends AS (
   SELECT min(share) / max(share) AS ratio FROM shares
 ), bisect(i, low, high) AS (
