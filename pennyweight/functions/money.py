@@ -78,15 +78,46 @@ def money_words(x: Column) -> Column:
     return F.when(x < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
+def money_short(x: Column) -> Column:
+    """``$10.6B``, ``$459M``, ``$45K``: one decimal below a hundred units, none from there on."""
+    a = F.abs(x)
+    part = lambda unit, name: F.concat(F.lit("$"), F.when(a >= 100 * unit, F.format_number(x / unit, 0)).otherwise(_trim_zero(F.format_number(x / unit, 1))), F.lit(name))
+    billions = F.concat(F.lit("$"), _trim_zero(F.format_number(x / 1e9, 1)), F.lit("B"))
+    return F.when(a >= 1e9, billions).when(a >= 1e6, part(1e6, "M")).when(a >= 1e3, part(1e3, "K")).otherwise(money_text(x))
+
+
+def percent(x: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_number(x * 100, digits), F.lit("%"))
+
+
+def whole_number(x: Column) -> Column:
+    """With separators, no decimals."""
+    return F.format_number(x, 0)
+
+
 def per_head(x: Column, heads: float) -> Column:
     return x / F.lit(float(heads))
 
 
-def work_time(x: Column, weekly_wage: float) -> Column:
-    """How long an average wage takes to earn it: years of 52 weeks, weeks, days of a fifth, or hours of 37.5 a week."""
-    weeks = x / F.lit(float(weekly_wage))
-    say = lambda n, unit: F.concat(_trim_zero(F.format_number(n, 1)), F.lit(f" {unit}"))
-    return F.when(weeks >= 52, say(weeks / 52, "years")).when(weeks >= 1, say(weeks, "weeks")).when(weeks * 5 >= 1, say(weeks * 5, "days")).otherwise(say(weeks * 37.5, "hours"))
+def work_time(x: Column, yearly_wage: float) -> Column:
+    """How long a median wage takes to earn it.
+
+    Years of 52 weeks (whole from a hundred on, with one decimal from two on),
+    weeks from eight on, else working days, five to a week, from two on, else
+    working hours, seven and a half to a day, else minutes.
+    """
+    years = x / F.lit(float(yearly_wage))
+    weeks, days, hours = years * 52, years * 260, years * 1950
+    half_up = lambda v: F.floor(v + F.lit(0.5)).cast("long")
+    say = lambda v, unit: F.concat(v.cast("string"), F.lit(f" {unit}"))
+    return (
+        F.when(years >= 100, F.concat(F.format_number(half_up(years), 0), F.lit(" years")))
+        .when(years >= 2, F.concat(_trim_zero(F.format_number(years, 1)), F.lit(" years")))
+        .when(weeks >= 8, say(half_up(weeks), "weeks"))
+        .when(days >= 2, say(half_up(days), "working days"))
+        .when(hours >= 1, F.concat(say(half_up(hours), "working hour"), F.when(half_up(hours) == 1, "").otherwise("s")))
+        .otherwise(say(F.greatest(half_up(hours * 60), F.lit(1)), "working minutes"))
+    )
 
 
 def bracket_tax(income: Column, brackets: list[tuple[float, float]]) -> Column:

@@ -77,9 +77,9 @@ def flag_examples(flags: DataFrame, flag: str, k: int = 25) -> DataFrame:
     return flags.where(F.col("flag") == flag).orderBy(F.col("value").desc_nulls_last(), "id").limit(k)
 
 
-def human_scale(amounts: DataFrame, people: float, households: float, weekly_wage: float) -> DataFrame:
+def human_scale(amounts: DataFrame, people: float, households: float, yearly_wage: float) -> DataFrame:
     a = F.col("amount").cast("double")
-    return amounts.withColumns({"per_person": money.per_head(a, people), "per_household": money.per_head(a, households), "work_time": money.work_time(a, weekly_wage)})
+    return amounts.withColumns({"per_person": money.per_head(a, people), "per_household": money.per_head(a, households), "work_time": money.work_time(a, yearly_wage)})
 
 
 def pay(rows: DataFrame) -> DataFrame:

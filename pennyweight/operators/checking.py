@@ -40,3 +40,29 @@ def guards(now: DataFrame, before: DataFrame, drop: float = 0.02) -> DataFrame:
     both = before.select("dataset", F.col("n").alias("before")).join(now.select("dataset", F.col("n").alias("now")), "dataset", "full_outer")
     kept = F.coalesce("now", F.lit(0))
     return both.select("dataset", "before", "now", F.coalesce(kept < F.col("before") * (1 - drop), F.lit(False)).alias("alarm"))
+
+
+def run_guards(now: DataFrame, before: DataFrame | None, counts: DataFrame, counts_before: DataFrame | None, failures: DataFrame, known: DataFrame | None, today: Column, most_days: int = 8, drop: float = 0.02, accept: bool = False) -> DataFrame:
+    """What a run is stopped for, or noted: ``guard, subject, problem``.
+
+    ``now`` and ``before`` have one row, ``gathered, files``.  The newest
+    download is too old; a download failed that did not fail before (on a
+    first run a report that is not there is only noted); a dataset lost more
+    rows than allowed; there are fewer files.  ``accept`` turns all but the
+    first into notes.
+    """
+    stop = F.lit(not accept)
+    old = F.datediff(today, F.to_date("gathered")) >= most_days
+    rows = now.where(F.col("gathered").isNull() | old).select(F.lit("stale").alias("guard"), F.coalesce(F.col("gathered").cast("string"), F.lit("no fetch dates")).alias("subject"), F.lit(True).alias("problem"))
+    if known is None:
+        fresh = failures.withColumn("_fresh", ~F.col("reason").startswith("404") & ~F.col("reason").startswith("HTML"))
+    else:
+        fresh = failures.join(known.select("url").distinct().withColumn("_known", F.lit(True)), "url", "left").withColumn("_fresh", F.col("_known").isNull())
+    rows = rows.unionByName(fresh.select(F.lit("download").alias("guard"), F.col("url").alias("subject"), (F.col("_fresh") & stop).alias("problem")))
+    if counts_before is not None:
+        lost = guards(counts, counts_before, drop).where("alarm")
+        rows = rows.unionByName(lost.select(F.lit("dataset").alias("guard"), F.col("dataset").alias("subject"), stop.alias("problem")))
+    if before is not None:
+        fewer = now.select("files").join(before.select(F.col("files").alias("was")), F.col("files") < F.col("was"))  # one row each
+        rows = rows.unionByName(fewer.select(F.lit("files").alias("guard"), F.col("files").cast("string").alias("subject"), stop.alias("problem")))
+    return rows

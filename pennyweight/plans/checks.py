@@ -64,6 +64,19 @@ def v08(spark, sf):
     return C.guards(count(rows.where("dataset <> 'award' OR l_linenumber <> 1")), count(rows))
 
 
+@query("v08_all_guards", """
+SELECT 'stale' AS guard, '1998-11-01' AS subject, true AS problem UNION ALL SELECT 'download', 'u' || n_nationkey, n_nationkey % 5 > 0 FROM nation WHERE n_nationkey < 10
+UNION ALL SELECT 'files', CAST(count(*) - 1 AS VARCHAR), true FROM nation UNION ALL SELECT 'dataset', 'award', true FROM (SELECT 1) WHERE (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <> 1) < 0.98 * (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A')""")
+def v08b(spark, sf):
+    """All four guards: a download of long ago, failures of which every fifth is known, a dataset without its first lines, a file less."""
+    nations = table(spark, sf, "nation")
+    state = lambda less: nations.agg(F.lit("1998-11-01").alias("gathered"), (F.count("*") - less).alias("files"))
+    failed = nations.where("n_nationkey < 10").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"), F.lit("404").alias("reason"), "n_nationkey")
+    rows = items(spark, sf, "dataset", "l_linenumber")
+    count = lambda df: df.groupBy("dataset").agg(F.count("*").alias("n"))
+    return C.run_guards(state(1), state(0), count(rows.where("dataset <> 'award' OR l_linenumber <> 1")), count(rows), failed, failed.where("n_nationkey % 5 = 0"), F.lit("1998-12-01").cast("date"))
+
+
 @query("v09_tally", f"SELECT 'order' AS family, count(*) FILTER (ok) AS passed, count(*) AS made FROM ({_V01})")
 def v09(spark, sf):
     return C.tally(_order_checks(spark, sf), ["order", "budget"])

@@ -80,17 +80,22 @@ def j13(spark, sf):
     return out.select("o_custkey", "a", "b", F.abs(F.datediff("day_a", "day_b")).alias("apart"))
 
 
-@query("j14_cross_dataset", with_items("SELECT a.id AS award_id, b.id AS notice_id FROM items a JOIN items b ON a.dataset = 'award' AND b.dataset = 'notice' AND a.supplier_key = b.supplier_key AND a.award_date = b.award_date AND a.amount < b.amount"))
+@query("j14_cross_dataset", with_items("SELECT a.id AS award_id, b.id AS notice_id FROM items a JOIN items b ON a.dataset = 'award' AND b.dataset = 'notice' AND a.award_date = b.award_date AND a.amount % 100 = b.amount % 100 AND a.amount <> 0 AND b.amount <> 0"))
 def j14(spark, sf):
-    rows = items(spark, sf, "id", "dataset", "supplier_key", "amount", "award_date").select("id", "dataset", "supplier_key", "award_date", "amount")
-    a = rows.where("dataset = 'award'").select(F.col("id").alias("award_id"), "supplier_key", "award_date", F.col("amount").alias("x"))
-    b = rows.where("dataset = 'notice'").select(F.col("id").alias("notice_id"), "supplier_key", "award_date", F.col("amount").alias("y"))
-    return a.join(b, ["supplier_key", "award_date"]).where("x < y").select("award_id", "notice_id")
+    """A contract and a notice of one day whose values agree to the cent; here in what is above whole hundreds."""
+    rows = items(spark, sf, "id", "dataset", "amount", "award_date").where("amount <> 0").withColumn("cents", F.col("amount") % 100)
+    a = rows.where("dataset = 'award'").select(F.col("id").alias("award_id"), "award_date", "cents")
+    b = rows.where("dataset = 'notice'").select(F.col("id").alias("notice_id"), "award_date", "cents")
+    return a.join(b, ["award_date", "cents"]).select("award_id", "notice_id")
 
 
-@query("j15_unordered_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 3")
+@query("j15_unordered_pairs", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'reviewed' AS decision FROM lineitem JOIN (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_linenumber = 7) r ON least(l_partkey, l_suppkey) = a AND greatest(l_partkey, l_suppkey) = b")
 def j15(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).agg(F.count("*").alias("n")).where("n > 3")
+    """Pairs meet their review whichever way round either is written."""
+    rows = table(spark, sf, "lineitem")
+    ends = [F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")]
+    reviews = rows.where("l_linenumber = 7").select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *ends).join(reviews, ["a", "b"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("reviewed").alias("decision"))
 
 
 @query("j16_densify", with_items("SELECT g.method, g.fiscal_year, n FROM (SELECT m.method, y.fiscal_year FROM (SELECT DISTINCT method FROM items) m, (SELECT DISTINCT fiscal_year FROM items) y) g LEFT JOIN (SELECT method, fiscal_year, count(*) AS n FROM items WHERE dataset = 'award' GROUP BY ALL) c ON g.method = c.method AND g.fiscal_year = c.fiscal_year"))

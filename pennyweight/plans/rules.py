@@ -96,13 +96,6 @@ def j02(spark, sf):
     return items(spark, sf, "buyer_key", "buyer").join(buyers, "buyer_key").groupBy("buyer_key").agg(F.min("buyer").alias("buyer"), F.min("segment").alias("segment"), F.count("*").alias("n"))
 
 
-@query("j12_first_token_block", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name <> b.p_name AND starts_with(b.p_name, a.p_name)")
-def j12(spark, sf):
-    rows = table(spark, sf, "part").select("p_name").distinct().withColumn("first", F.split("p_name", " ")[0])
-    a, b = rows.withColumnRenamed("p_name", "a"), rows.withColumnRenamed("p_name", "b")
-    return a.join(b, "first").where("a <> b AND startswith(b, a)").select("a", "b")
-
-
 @query("j20_slug_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def j20(spark, sf):
     key = codes.slug(F.concat(F.col("n_regionkey").cast("string"), F.lit(" & Region")))

@@ -251,6 +251,19 @@ def n40(spark, sf):
     return rows.select("x", money.money_text(F.col("x"), cents=True).alias("shown"), money.money_words(F.col("x")).alias("words"))
 
 
+@query("n40_short_amounts", "SELECT * FROM (VALUES (10600000000.0, '$10.6B', '10,600,000,000'), (459400000.0, '$459M', '459,400,000'), (2500000.0, '$2.5M', '2,500,000'), (3000000.0, '$3M', '3,000,000'), (45069.0, '$45.1K', '45,069'), (145069.0, '$145K', '145,069'), (999.0, '$999', '999')) t(x, short, num) UNION ALL SELECT DISTINCT CAST(n_nationkey AS DOUBLE) AS x, '$' || n_nationkey AS short, CAST(n_nationkey AS VARCHAR) AS num FROM nation")
+def n40b(spark, sf):
+    planted = table(spark, sf, "nation").select(F.col("n_nationkey").cast("double")).distinct()
+    rows = spark.createDataFrame([(x,) for x in (1.06e10, 4.594e8, 2.5e6, 3e6, 45069.0, 145069.0, 999.0)], "x double").union(planted)
+    return rows.select("x", money.money_short(F.col("x")).alias("short"), money.whole_number(F.col("x")).alias("num"))
+
+
+@query("n41_work_time", "SELECT * FROM (VALUES (5200000.0, '100 years', '10,000%'), (130000.0, '2.5 years', '250%'), (104000.0, '2 years', '200%'), (52000.0, '52 weeks', '100%'), (8000.0, '8 weeks', '15%'), (1000.0, '5 working days', '2%'), (200.0, '8 working hours', '0%'), (30.0, '1 working hour', '0%'), (5.0, '11 working minutes', '0%')) t(x, time, share)")
+def n41(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in (5.2e6, 130000.0, 104000.0, 52000.0, 8000.0, 1000.0, 200.0, 30.0, 5.0)], "x double")
+    return rows.select("x", money.work_time(F.col("x"), 52_000).alias("time"), money.percent(F.col("x") / 52_000).alias("share"))
+
+
 _TAX = "greatest(greatest(least(b, 50000) - 0, 0) * 0.1 + greatest(least(b, 1e18) - 50000, 0) * 0.2 - 10000 * 0.1 - greatest(500 - greatest(b - 20000, 0) * 0.05, 0), 0)"
 
 

@@ -154,6 +154,13 @@ def d11(spark, sf):
     return a.join(b, "word").where("length(body) < length(name)").where(names.close_udf("body", "name", F.lit("unit"))).select("body", "name")
 
 
+@query("j12_first_token_block", f"WITH {_S} SELECT first AS a, second AS b FROM n WHERE k = 5")
+def j12(spark, sf):
+    """Names meet under the beginnings of the longer one, which gives the same as blocks of a first word and no block to compare."""
+    rows = _printed(spark, sf).select(F.explode(F.array("first", "second")).alias("name"))
+    return identity.unit_pairs(rows.select(F.col("name").alias("key"), F.col("name").alias("base")))
+
+
 _SLIP = "((length(replace(a, ' ', '')) >= 12 AND damerau_levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) <= 2))"
 
 

@@ -72,7 +72,7 @@ def m08(spark, sf):
 @query("m09_human_scale", with_items("SELECT place, round(v / 510000, 6) AS per_person, round(v / 220000, 6) AS per_household FROM (SELECT place, CAST(sum(amount) AS DOUBLE) AS v FROM items GROUP BY place)"))
 def m09(spark, sf):
     sums = items(spark, sf, "place", "amount").groupBy("place").agg(F.sum("amount").alias("amount"))
-    return A.human_scale(sums, 510_000, 220_000, 1_100).select("place", F.round("per_person", 6).alias("per_person"), F.round("per_household", 6).alias("per_household"))
+    return A.human_scale(sums, 510_000, 220_000, 52_000).select("place", F.round("per_person", 6).alias("per_person"), F.round("per_household", 6).alias("per_household"))
 
 
 @query("m12_get_pay", "SELECT a.employer, b.year, people, round(mean_pay, 6) AS mean_pay FROM (SELECT DISTINCT l_suppkey AS employer FROM lineitem) a CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) b LEFT JOIN (SELECT l_suppkey AS employer, year(l_shipdate) AS year, count(*) AS people, avg(l_quantity) AS mean_pay FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) p ON p.employer = a.employer AND p.year = b.year")
