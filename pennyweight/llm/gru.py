@@ -55,18 +55,26 @@ class Model:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.n_words, ids // self.per_class, self.heads + ids - self.n_words)
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The next state, and both gates and the proposal."""
+    def step(self, ids: np.ndarray, h: np.ndarray, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The next state, and both gates and the proposal; ``x`` may hold what the words ``ids`` add, bias included."""
         n, p = self.hidden, self.p
-        x = p["x"][ids] + p["b"]
-        zr = x[:, : 2 * n] + h @ p["u"]
+        if x is None:
+            x = p["x"][ids] + p["b"]
+        zr = h @ p["u"]
+        zr += x[:, : 2 * n]
         np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, F32(60), out=zr), out=zr)
+        with np.errstate(over="ignore"):  # a gate of an endless term is 0
+            np.exp(zr, out=zr)
         zr += F32(1)
         np.reciprocal(zr, out=zr)
         z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(x[:, 2 * n :] + (r * h) @ p["v"])
-        return new + z * (h - new), z, r, new
+        new = (r * h) @ p["v"]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, z, r, new
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, learn: bool = False, full: int = 1):
         """Natural log probabilities; with ``learn``, gradients too, of the mean loss over ``full`` places if they are fewer."""
@@ -79,42 +87,59 @@ class Model:
             grads = {k: np.zeros_like(p[k]) for k in ("c", "cb", "w", "wb")}
         for at in range(0, count, ROWS):
             here, mine = states[at : at + ROWS], classes[at : at + ROWS]
-            rows = np.arange(len(here))
             logits = here @ p["c"]
             logits += p["cb"]
-            logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[rows, mine]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            logp[at : at + ROWS] = chosen - np.log(total)
+            logp[at : at + ROWS], total = _softmax(logits, mine)
             if learn:
                 logits *= (scale / total)[:, None]
-                logits[rows, mine] -= scale
+                logits[np.arange(len(mine)), mine] -= scale
                 grads["c"] += here.T @ logits
-                grads["cb"] += logits.sum(axis=0)
+                grads["cb"] += _ones(len(mine), logits.dtype) @ logits
                 np.matmul(logits, p["c"].T, out=dh[at : at + ROWS])
-        order = np.argsort(classes, kind="stable")
+        # numbers of 16 bits sort by counting
+        order = np.argsort(classes.astype(np.int16) if self.heads + self.n_rest < 1 << 15 else classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(self.heads + 1))
+        order = order[: cuts[-1]]
+        sorted_states, words = states[order], targets[order]
+        some = np.empty(len(order), states.dtype)
+        back = np.empty_like(sorted_states) if learn else None
         for k in range(self.heads):
-            mine = order[cuts[k] : cuts[k + 1]]
+            part = slice(cuts[k], cuts[k + 1])
+            mine, word = sorted_states[part], words[part] - k * self.per_class
             if not len(mine):
                 continue
-            inner = states[mine] @ p["w"][k] + p["wb"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            word = targets[mine] - k * self.per_class
-            picked = inner[np.arange(len(mine)), word].copy()
-            np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
-            logp[mine] += picked - np.log(total)
+            inner = mine @ p["w"][k]
+            inner += p["wb"][k]
+            some[part], total = _softmax(inner, word)
             if learn:
-                inner /= total[:, None]
-                inner[np.arange(len(mine)), word] -= F32(1)
-                inner *= scale
-                grads["w"][k], grads["wb"][k] = states[mine].T @ inner, inner.sum(axis=0)
-                dh[mine] += inner @ p["w"][k].T
+                inner *= (scale / total)[:, None]
+                inner[np.arange(len(mine)), word] -= scale
+                grads["w"][k], grads["wb"][k] = mine.T @ inner, _ones(len(mine), inner.dtype) @ inner
+                np.matmul(inner, p["w"][k].T, out=back[part])
+        logp[order] += some
+        if learn:
+            dh[order] += back
         return logp, grads, dh
 
 
+def _ones(n: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(n, kind)
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares at one column of each row, and each row's sum; ``logits`` become the terms of the sums.
+
+    Rows are lowered by their greatest value only where a term could leave the range of 32 bits.
+    """
+    if logits.size and not -80 < logits.min() <= logits.max() < 80:
+        logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits @ _ones(logits.shape[1], logits.dtype)
+    chosen -= np.log(total)
+    return chosen, total
+
+
 class Trainer:
     """Adagrad over windows of truncated back-propagation; one of fewer than ``full`` places teaches that much less."""
 
@@ -130,16 +155,18 @@ class Trainer:
         sequence has ended: such places neither count nor teach.
         """
         m, n = self.model, self.model.hidden
-        kept, states = [], []
-        for t, ids in enumerate(inputs):
-            if starts is not None and starts[t].any():
-                h = np.where(starts[t][:, None], F32(0), h)
-            before = h
-            h, z, r, new = m.step(ids, h)
-            kept.append((before, z, r, new))
-            states.append(h)
         steps, batch = inputs.shape
-        states, targets = np.concatenate(states), targets.ravel()
+        x = np.take(m.p["x"] + m.p["b"], inputs, axis=0)
+        kept, old, states = [], np.empty((steps, batch, n), x.dtype), np.empty((steps, batch, n), x.dtype)
+        resets = np.zeros(steps, bool) if starts is None else starts.any(axis=1)
+        for t, ids in enumerate(inputs):
+            old[t] = h
+            if resets[t]:
+                old[t][starts[t]] = 0
+            h, *gates = m.step(ids, old[t], x[t])
+            kept.append(gates)
+            states[t] = h
+        states, targets = states.reshape(-1, n), targets.ravel()
         if inside is None or inside.all():
             logp, grads, dout = m.outputs(states, targets, True, self.full)
         else:
@@ -149,27 +176,38 @@ class Trainer:
             dout[at] = some
         dout = dout.reshape(steps, batch, n)
         u, v = m.p["u"].T.copy(), m.p["v"].T.copy()
-        dx = np.empty((steps, batch, 3 * n), F32)
+        dx, reset = x, np.empty((steps, batch, n), x.dtype)  # what the words added is used up
         back = np.zeros((batch, n), F32)
         for t in range(steps - 1, -1, -1):
-            before, z, r, new = kept[t]
-            dh = dout[t] + back
-            here = dx[t]
-            dnew = here[:, 2 * n :]
-            np.multiply(dh * (1 - z), 1 - new * new, out=dnew)
+            z, r, new = kept[t]
+            dh = dout[t]
+            dh += back
+            np.multiply(r, old[t], out=reset[t])
+            left = F32(1) - z
+            dnew = dh * left
+            dnew *= F32(1) - new * new
             drh = dnew @ v
-            np.multiply(dh * (before - new), z * (1 - z), out=here[:, :n])
-            np.multiply(drh * before, r * (1 - r), out=here[:, n : 2 * n])
-            back = dh * z + drh * r + here[:, : 2 * n] @ u
-            if starts is not None and starts[t].any():
+            # r (1 - r) times the old state, and z (1 - z) times what z weighs
+            left *= z
+            left *= old[t] - new
+            left *= dh
+            dr = reset[t] - r * reset[t]
+            dr *= drh
+            here = dx[t]
+            here[:, :n], here[:, n : 2 * n], here[:, 2 * n :] = left, dr, dnew
+            back = here[:, : 2 * n] @ u
+            dh *= z
+            back += dh
+            drh *= r
+            back += drh
+            if resets[t]:
                 back[starts[t]] = 0
         flat = dx.reshape(-1, 3 * n)
-        old = np.concatenate([k[0] for k in kept])
-        grads["u"] = old.T @ flat[:, : 2 * n]
-        grads["v"] = (np.concatenate([k[2] for k in kept]) * old).T @ flat[:, 2 * n :]
-        grads["b"] = flat.sum(axis=0)
+        grads["u"] = old.reshape(-1, n).T @ flat[:, : 2 * n]
+        grads["v"] = reset.reshape(-1, n).T @ flat[:, 2 * n :]
+        grads["b"] = _ones(len(flat), flat.dtype) @ flat
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16) if len(m.p["x"]) < 1 << 15 else ids, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
         rows, sums = ids[order][at], np.add.reduceat(flat[order], at, axis=0)
         self.seen["x"][rows] += sums * sums
@@ -193,6 +231,7 @@ def log_likelihood(model: Model, sequences: list[np.ndarray], start: int, cells:
     out = np.zeros(len(order))
     h = np.zeros((len(order), model.hidden), F32)
     last = np.full(len(order), start)
+    words = model.p["x"] + model.p["b"]
     t, longest = 0, int(lengths[0]) if len(order) else 0
     while t < longest:
         active = int(np.searchsorted(-lengths, -t, side="left"))
@@ -200,7 +239,7 @@ def log_likelihood(model: Model, sequences: list[np.ndarray], start: int, cells:
         states, targets, owners = [], [], []
         for s in range(t, t + window):
             active = int(np.searchsorted(-lengths, -s, side="left"))
-            h[:active], *_ = model.step(last[:active], h[:active])
+            h[:active], *_ = model.step(last[:active], h[:active], np.take(words, last[:active], axis=0))
             now = flat[begins[:active] + s]
             states.append(h[:active].copy())
             targets.append(now)

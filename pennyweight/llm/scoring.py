@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,11 +62,12 @@ def _trains(block: B.Block) -> np.ndarray:
 
 def _numbered(block: B.Block) -> tuple[list[bytes], list[np.ndarray]]:
     """The block's distinct words, and its documents as numbers of them."""
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__  # a new word takes the next number
     docs = []
     for k in range(len(block.doc_ids)):
         words = block.text(k).lower().split()
-        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        docs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
     return list(number), docs
 
 
