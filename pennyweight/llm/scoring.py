@@ -1,12 +1,14 @@
 """Scoring documents with a language model learnt from the training part of the corpus.
 
-1.  Every block of documents sends its distinct words, with their counts
-    in its training documents, to shards of the word space.  The shards
+1.  Every block of documents is written as numbers of its distinct words,
+    and sends these, with their counts in its training documents, to
+    shards of the word space.  The shards
     add up and answer each block, and report totals, their most frequent
     words, and counts by word ending.
-2.  The most frequent words form the head classes of the softmax, the
-    rest are classes by ending; within such a class a word has the share
-    ``c + 0.5`` of the class's counts, with half a count for unknown words.
+2.  The most frequent words are outputs of the model, and so are endings,
+    which stand for all other words; the softmax factors both into classes
+    of 32.  A word of an ending has the share ``c + 0.5`` of that ending's
+    counts, with half a count for unknown words.
 3.  Each task trains the recurrent model on its blocks, from a start
     trained on a few blocks, and the results are averaged by tokens.
     Training looks at every token of every training document, in windows;
@@ -38,7 +40,7 @@ from .common import input_bytes, materialise, pack_uint, unpack_uint
 from .gru import WINDOW, Model, Trainer, log_likelihood
 
 BLOCK_BYTES = 12 << 20
-#: Head words, words to a class, and classes of other words by their last two bytes.
+#: Head words, outputs to a class, and kinds of other words by their last two bytes (one more for the rest).
 HEAD, PER_CLASS, ENDINGS = 1024, 32, 95
 #: Documents that run side by side in training.
 LANES = 256
@@ -46,6 +48,7 @@ LANES = 256
 START_BLOCKS, START_STRIDE = 2, 4
 CHUNKS = 64
 
+_NUMBERED = "block long, doc_ids binary, sizes binary, ends long, words binary, counts binary, ids binary"
 _ASK = "shard long, block long, words binary, counts binary"
 _TOLD = "kind string, block long, shard long, answer binary, word binary, n long, mass double"
 _CODED = "block long, meta binary, base binary, fixed binary, ids binary"
@@ -79,17 +82,39 @@ def _ending(word: bytes) -> int:
     return int.from_bytes(word[-2:], "big")
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block as its distinct words, their counts in its training documents, and its documents as numbers of words."""
+    for block in B.each_block(batches):
+        words, docs = _numbered(block)
+        trained = [ids for ids, trains in zip(docs, _trains(block), strict=True) if trains]
+        counts = np.bincount(np.concatenate(trained), minlength=len(words)) if trained else np.zeros(len(words), np.int64)
+        ids = np.concatenate(docs).astype("<u4") if docs else np.zeros(0, "<u4")
+        row = {
+            "block": block.number,
+            "doc_ids": block.doc_ids.astype("<i8").tobytes(),
+            "sizes": np.array([len(d) for d in docs], "<i8").tobytes(),
+            "ends": len(trained),
+            "words": zstandard.compress(b"\n".join(words), 1),
+            "counts": pack_uint(counts.astype(np.uint64)),
+            "ids": zstandard.compress(ids.tobytes(), 1),
+        }
+        yield B.messages([row], _NUMBERED)
+
+
+def _words(packed: bytes) -> list[bytes]:
+    joined = zstandard.decompress(packed)
+    return joined.split(b"\n") if joined else []
+
+
 def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.each_block(batches):
-            words, docs = _numbered(block)
-            trained = [ids for ids, trains in zip(docs, _trains(block), strict=True) if trains]
-            counts = np.bincount(np.concatenate(trained), minlength=len(words)) if trained else np.zeros(len(words), np.int64)
-            ends = len(trained)
-            rows = [{"shard": -1, "block": block.number, "words": b"", "counts": pack_uint(np.array([ends], np.uint64))}]
-            for shard, at in B.by_shard(_shards_of(words, shards), shards):
-                rows.append({"shard": shard, "block": block.number, "words": b"\n".join([words[k] for k in at]), "counts": pack_uint(counts[at].astype(np.uint64))})
-            yield B.messages(rows, _ASK)
+        for batch in batches:
+            for block in batch.to_pylist():
+                words, counts = _words(block["words"]), unpack_uint(block["counts"])
+                rows = [{"shard": -1, "block": block["block"], "words": b"", "counts": pack_uint(np.array([block["ends"]], np.uint64))}]
+                for shard, at in B.by_shard(_shards_of(words, shards), shards):
+                    rows.append({"shard": shard, "block": block["block"], "words": b"\n".join([words[k] for k in at]), "counts": pack_uint(counts[at])})
+                yield B.messages(rows, _ASK)
 
     return run
 
@@ -157,7 +182,7 @@ class Lexicon:
         self.bias = np.log(counts + 0.5)
 
     def model(self, flat: np.ndarray | None = None) -> Model:
-        model = Model(HEAD, PER_CLASS, ENDINGS + 1, bias=self.bias)
+        model = Model(HEAD + ENDINGS + 1, PER_CLASS, 0, bias=self.bias)
         return model if flat is None else model.load(flat)
 
 
@@ -166,9 +191,9 @@ def _code(lexicon: Lexicon, shards: int):
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         got, out = {r["shard"]: r["answer"] for r in replies.to_pylist()}, []
-        for raw in blocks.to_pylist():
-            block = B.opened(raw)
-            words, docs = _numbered(block)
+        for block in blocks.to_pylist():
+            words, sizes = _words(block["words"]), np.frombuffer(block["sizes"], "<i8")
+            docs = np.split(np.frombuffer(zstandard.decompress(block["ids"]), "<u4"), np.cumsum(sizes)[:-1]) if len(sizes) else []
             counts = np.zeros(len(words))
             for shard, at in B.by_shard(_shards_of(words, shards), shards):
                 counts[at] = unpack_uint(zstandard.decompress(got[shard]))
@@ -181,8 +206,8 @@ def _code(lexicon: Lexicon, shards: int):
             ids = np.concatenate([np.r_[code[d], 0] for d in docs]).astype("<u2") if docs else np.zeros(0, "<u2")
             out.append(
                 {
-                    "block": block.number,
-                    "meta": np.column_stack([block.doc_ids, meta]).astype("<i8").tobytes(),
+                    "block": block["block"],
+                    "meta": np.column_stack([np.frombuffer(block["doc_ids"], "<i8"), meta]).astype("<i8").tobytes(),
                     "base": np.array([base[d].sum() + end for d in docs], "<f8").tobytes(),
                     "fixed": np.array([fixed[d].sum() for d in docs], "<f8").tobytes(),
                     "ids": zstandard.compress(ids.tobytes(), 3),
@@ -278,10 +303,12 @@ def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base_score, score`` and ``train_tokens``."""
     blocks, total = B.write_blocks(docs, block_bytes=max(BLOCK_BYTES, B.sizes_for(input_bytes(docs))[0]))
     shards = B.shards_for(total)
-    told = materialise(blocks.mapInArrow(_ask(shards), _ASK).groupBy("shard").applyInArrow(_tell, _TOLD), "told")
+    numbered = materialise(blocks.mapInArrow(_number, _NUMBERED), "numbered")
+    asked = numbered.select("block", "ends", "words", "counts").mapInArrow(_ask(shards), _ASK)
+    told = materialise(asked.groupBy("shard").applyInArrow(_tell, _TOLD), "told")
     lexicon = Lexicon(told)
     replies = told.where("kind = 'reply'").select("block", "shard", "answer")
-    coded = materialise(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_code(lexicon, shards), _CODED), "coded")
+    coded = materialise(numbered.select("block", "doc_ids", "sizes", "words", "ids").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_code(lexicon, shards), _CODED), "coded")
     flat = train(coded, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
