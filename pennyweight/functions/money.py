@@ -126,9 +126,35 @@ def bracket_tax(income: Column, brackets: list[tuple[float, float]]) -> Column:
     return F.aggregate(table, F.lit(0.0), lambda acc, b: acc + F.greatest(F.least(income, b["high"]) - b["low"], F.lit(0.0)) * b["rate"])
 
 
-def income_tax(income: Column, brackets: list[tuple[float, float]], credits: float, reduction: tuple[float, float, float]) -> Column:
+def income_tax(income: Column, brackets: list[tuple[float, float]], credits: float | Column, reduction: tuple[float, float, float]) -> Column:
     """Bracket tax less credits at the lowest rate and a reduction that fades with income; never below zero."""
     most, fade_from, fade = reduction
-    owed = bracket_tax(income, brackets) - F.lit(credits * brackets[0][1])
+    credit = credits * brackets[0][1]
+    owed = bracket_tax(income, brackets) - (credit if isinstance(credit, Column) else F.lit(credit))
     relief = F.greatest(F.lit(float(most)) - F.greatest(income - F.lit(float(fade_from)), F.lit(0.0)) * F.lit(fade), F.lit(0.0))
     return F.greatest(owed - relief, F.lit(0.0))
+
+
+def payroll(income: Column, pension: dict[str, float], insurance: dict[str, float]) -> Column:
+    """An employee's contributions of a year: ``base`` (a credit), ``deduction`` (from income) and ``premium`` (a credit), to the cent.
+
+    ``pension`` has ``exempt``, ``first`` and ``second`` (the two ceilings)
+    and the rates ``base``, ``enhanced`` and ``upper``; ``insurance`` has
+    ``most`` and ``rate``.
+    """
+    zero = F.lit(0.0)
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+    between = lambda low, high: F.least(F.greatest(income - low, zero), F.lit(float(high - low)))
+    lower, upper = between(pension["exempt"], pension["first"]), between(pension["first"], pension["second"])
+    return F.struct(
+        cents(lower * pension["base"]).alias("base"),
+        (cents(lower * pension["enhanced"]) + cents(upper * pension["upper"])).alias("deduction"),
+        cents(F.least(income, F.lit(float(insurance["most"]))) * insurance["rate"]).alias("premium"),
+    )
+
+
+def employee_tax(income: Column, brackets: list[tuple[float, float]], personal: float, reduction: tuple[float, float, float], pension: dict[str, float], insurance: dict[str, float]) -> Column:
+    """Income tax of someone whose income is all employment: contributions lower the income or count as credits."""
+    paid = payroll(income, pension, insurance)
+    net = F.greatest(income - paid["deduction"], F.lit(0.0))
+    return income_tax(net, brackets, paid["base"] + paid["premium"] + personal, reduction)

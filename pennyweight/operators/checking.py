@@ -66,3 +66,22 @@ def run_guards(now: DataFrame, before: DataFrame | None, counts: DataFrame, coun
         fewer = now.select("files").join(before.select(F.col("files").alias("was")), F.col("files") < F.col("was"))  # one row each
         rows = rows.unionByName(fewer.select(F.lit("files").alias("guard"), F.col("files").cast("string").alias("subject"), stop.alias("problem")))
     return rows
+
+
+def statement_checks(figures: DataFrame, terms: list[tuple]) -> DataFrame:
+    """Figures of printed statements against each other, within a document, across documents and across years.
+
+    ``figures`` has ``year, doc, measure, amount``; a term is ``(check, side,
+    sign, doc, measure, shift, tolerance)``.  A check compares the sums of the
+    signed terms of its sides ``a`` and ``b``; a term of shift 1 is looked up
+    in the next year's document.  A side that lacks a figure is null and
+    fails; a check none of whose figures exist in a year is not made.
+    """
+    need = {(check, side): sum(t[:2] == (check, side) for t in terms) for check, side, *_ in terms}
+    rows = [(*t, need[t[0], "a"], need[t[0], "b"]) for t in terms]
+    rules = figures.sparkSession.createDataFrame(rows, "check string, side string, sign int, doc string, measure string, shift int, tolerance double, need_a long, need_b long")
+    met = figures.where("amount IS NOT NULL").join(rules, ["doc", "measure"]).withColumn("year", F.col("year") - F.col("shift"))
+    total = lambda s: F.sum(F.when(F.col("side") == s, F.col("sign") * F.col("amount")))
+    sums = met.groupBy("year", "check", "tolerance", "need_a", "need_b").agg(*(total(s).alias(s) for s in "ab"), *(F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ab"))
+    whole = lambda s: F.when(F.col(f"n_{s}") == F.col(f"need_{s}"), F.col(s).cast("double")).alias(s)
+    return sums.select("year", "check", whole("a"), whole("b"), "tolerance").withColumn("ok", F.coalesce(F.abs(F.col("a") - F.col("b")) <= F.col("tolerance"), F.lit(False))).drop("tolerance")

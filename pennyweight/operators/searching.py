@@ -119,3 +119,33 @@ def find(spark: SparkSession, posted: DataFrame, text: str, fallback: bool = Tru
         if fixed != words:
             return matching(posted, fixed), fixed
     return hits, words
+
+
+def embedding_text(heads: list[Column], lists: list[Column], limit: int = 1200) -> Column:
+    """What a document is about, most telling parts first: ``heads``, then each value of ``lists`` that is new in any case of letters."""
+    some = lambda xs: F.filter(xs, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    first, rest = some(F.array(*heads)), some(F.concat(*lists))
+    lower = F.transform(F.concat(first, rest), lambda x: F.lower(x))
+    new = F.filter(rest, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1 + F.size(first))
+    return F.substring(F.array_join(F.transform(F.concat(first, new), lambda x: F.trim(x)), ". "), 1, limit)
+
+
+def packed_item(item: dict[str, Column], doc_buyer: Column, federal: Column, evidence: Column, longest: int = 320) -> Column:
+    """An item as it is kept inside a document, without what the document says or what goes without saying.
+
+    Null are the document's own buyer, the home currency, a fiscal year
+    beside a date, and blanks.  Descriptions are clipped and empty or zero
+    evidence is left out, except of federal items, which keep all of it.
+    """
+    said = lambda c: F.when(c != "", c)
+    kept = F.map_filter(evidence, lambda _, v: federal | ~F.coalesce(v, F.lit("")).isin("", "0"))
+    return F.struct(
+        said(item["supplier"]).alias("supplier"),
+        said(F.when(~item["buyer"].eqNullSafe(doc_buyer), item["buyer"])).alias("buyer"),
+        said(F.when(federal, item["description"]).otherwise(codes.clip(item["description"], longest))).alias("description"),
+        item["amount"].alias("amount"),
+        F.when(item["currency"] != "CAD", item["currency"]).alias("currency"),
+        item["date"].alias("date"),
+        F.when(item["date"].isNull(), item["fiscal_year"]).alias("fiscal_year"),
+        F.when(F.size(kept) > 0, kept).alias("evidence"),
+    )

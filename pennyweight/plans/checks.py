@@ -80,3 +80,53 @@ def v08b(spark, sf):
 @query("v09_tally", f"SELECT 'order' AS family, count(*) FILTER (ok) AS passed, count(*) AS made FROM ({_V01})")
 def v09(spark, sf):
     return C.tally(_order_checks(spark, sf), ["order", "budget"])
+
+
+#: Families of checks: within a report, budget and report, departments and report, this year and the next one's restatement.
+_TERMS = [
+    ("report-net", "a", 1, "report", "gross", 0, 0.01),
+    ("report-net", "a", -1, "report", "related", 0, 0.01),
+    ("report-net", "b", 1, "report", "net", 0, 0.01),
+    ("report-cash", "a", 1, "report", "revenue", 0, 0.01),
+    ("report-cash", "a", -1, "report", "net", 0, 0.01),
+    ("report-cash", "b", 1, "report", "cash", 0, 0.01),
+    ("original-revenue", "a", 1, "report", "revenue", 0, 0.0),
+    ("original-revenue", "b", 1, "budget", "revenue", 0, 0.0),
+    ("estimates-departments", "a", 1, "departments", "gross", 0, 500.0),
+    ("estimates-departments", "b", 1, "budget", "gross", 0, 500.0),
+    ("restated-net", "a", 1, "report", "net", 0, 0.0),
+    ("restated-net", "b", 1, "report", "prior", 1, 0.0),
+]
+#: Figures of each document by year; the report misstates cash in one year of five, and the budget lacks revenue in one of seven.
+_FIGURES = {
+    ("report", "gross"): "sum(price)",
+    ("report", "related"): "sum(CASE WHEN dataset = 'notice' THEN price END)",
+    ("report", "net"): "sum(CASE WHEN dataset <> 'notice' THEN price END)",
+    ("report", "revenue"): "sum(CASE WHEN currency = 'CAD' THEN price END)",
+    ("report", "cash"): "sum(CASE WHEN currency = 'CAD' THEN price ELSE 0 END) - sum(CASE WHEN dataset <> 'notice' THEN price ELSE 0 END) + CASE WHEN year % 5 = 0 THEN 1000 ELSE 0 END",
+    ("report", "prior"): "CASE WHEN year % 2 = 0 THEN sum(price) END",
+    ("budget", "revenue"): "CASE WHEN year % 7 <> 0 THEN sum(CASE WHEN currency = 'CAD' THEN price END) END",
+    ("budget", "gross"): "sum(price) + 400",
+    ("departments", "gross"): "sum(CASE WHEN l_linenumber < 7 OR year % 3 > 0 THEN price END)",
+}
+_FIGURE_SQL = " UNION ALL ".join(f"SELECT year, '{d}' AS doc, '{m}' AS measure, CAST({x} AS DECIMAL(28,2)) AS amount FROM lines GROUP BY year" for (d, m), x in _FIGURES.items())
+_TERM_SQL = ", ".join(f"('{c}', '{s}', {g}, '{d}', '{m}', {h}, {t})" for c, s, g, d, m, h, t in _TERMS)
+_V02B = with_items(f"""
+, lines AS (SELECT CAST(substr(fiscal_year, 1, 4) AS BIGINT) AS year, dataset, currency, l_linenumber, price FROM items),
+figures AS ({_FIGURE_SQL}),
+terms AS (SELECT * FROM (VALUES {_TERM_SQL}) t("check", side, sign, doc, measure, shift, tolerance)),
+years AS (SELECT DISTINCT year - shift AS year, "check", any_value(tolerance) AS tolerance FROM figures JOIN terms USING (doc, measure) WHERE amount IS NOT NULL GROUP BY ALL),
+sides AS (SELECT y.year, y."check", y.tolerance, t.side, CASE WHEN count(f.amount) = count(*) THEN sum(t.sign * f.amount) END AS v
+  FROM years y JOIN terms t ON t."check" = y."check" LEFT JOIN figures f ON f.doc = t.doc AND f.measure = t.measure AND f.year = y.year + t.shift GROUP BY ALL)
+SELECT year, "check", CAST(max(v) FILTER (side = 'a') AS DOUBLE) AS a, CAST(max(v) FILTER (side = 'b') AS DOUBLE) AS b,
+  coalesce(abs(CAST(max(v) FILTER (side = 'a') AS DOUBLE) - CAST(max(v) FILTER (side = 'b') AS DOUBLE)) <= max(tolerance), false) AS ok
+FROM sides GROUP BY year, "check"
+""")
+
+
+@query("v02_statement_families", _V02B)
+def v02b(spark, sf):
+    lines = items(spark, sf, "dataset", "currency", "price", "fiscal_year", "l_linenumber").withColumn("year", F.substring("fiscal_year", 1, 4).cast("long"))
+    wide = lines.groupBy("year").agg(*(F.expr(f"CAST({x} AS DECIMAL(28,2))").alias(f"{d}_{m}") for (d, m), x in _FIGURES.items()))
+    long = F.array(*(F.struct(F.lit(d).alias("doc"), F.lit(m).alias("measure"), F.col(f"{d}_{m}").alias("amount")) for d, m in _FIGURES))
+    return C.statement_checks(wide.select("year", F.inline(long)), _TERMS)

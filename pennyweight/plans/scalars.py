@@ -273,6 +273,30 @@ def n42(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.round(tax, 4).alias("tax"))
 
 
+#: Fixed values of one tax year, as in the SQL below.
+_PENSION = {"exempt": 3500, "first": 68500, "second": 73200, "base": 0.0495, "enhanced": 0.01, "upper": 0.04}
+_INSURANCE = {"most": 63200, "rate": 0.0166}
+_CENTS = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+_PAYROLL = f"""
+WITH p AS (SELECT c_custkey, abs(c_acctbal) * 12 AS b FROM customer),
+q AS (SELECT *, least(greatest(b - 3500, 0), 65000) AS lower, least(greatest(b - 68500, 0), 4700) AS upper FROM p),
+r AS (SELECT *, {_CENTS("lower * 0.0495::DOUBLE")} AS base, {_CENTS("lower * 0.01::DOUBLE")} + {_CENTS("upper * 0.04::DOUBLE")} AS deduction, {_CENTS("least(b, 63200) * 0.0166::DOUBLE")} AS premium FROM q),
+s AS (SELECT *, greatest(b - deduction, 0) AS net FROM r)
+SELECT c_custkey, base, deduction, premium, round(greatest(
+    least(net, 43198) * 0.087::DOUBLE + greatest(net - 43198, 0) * 0.145::DOUBLE - (base + premium + 10818) * 0.087::DOUBLE
+    - greatest(1000 - greatest(net - 23000, 0) * 0.16::DOUBLE, 0), 0), 4) AS tax
+FROM s
+"""
+
+
+@query("n42_payroll_and_tax", _PAYROLL)
+def n42b(spark, sf):
+    income = F.abs("c_acctbal") * 12
+    tax = money.employee_tax(income, [(0, 0.087), (43198, 0.145)], 10818, (1000, 23000, 0.16), _PENSION, _INSURANCE)
+    rows = table(spark, sf, "customer").select("c_custkey", money.payroll(income, _PENSION, _INSURANCE).alias("p"), F.round(tax, 4).alias("tax"))
+    return rows.select("c_custkey", "p.*", "tax")
+
+
 @query("n46_same_detail", "SELECT * FROM (VALUES ('N/A', '', true), ('not stated', 'n a', true), ('2 years', '2  YEARS', true), ('2 years', '3 years', false)) t(a, b, same)")
 def n46(spark, sf):
     rows = spark.createDataFrame([("N/A", ""), ("not stated", "n a"), ("2 years", "2  YEARS"), ("2 years", "3 years")], "a string, b string")

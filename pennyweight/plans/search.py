@@ -26,6 +26,48 @@ def q01(spark, sf):
     return packed.select("supplier_key", "currency", "part", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["id"]), ",").alias("ids"))
 
 
+_N45 = with_items("""
+, numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset, supplier_key ORDER BY id) AS r FROM items),
+parts AS (SELECT *, CAST((r - 1) // 40 AS BIGINT) AS part FROM numbered),
+said AS (SELECT dataset, supplier_key, part, supplier, unnest([{'o': r, 'v': description}, {'o': 1000000000 + r, 'v': category}, {'o': 2000000000 + r, 'v': method}, {'o': 3000000000 + r, 'v': supplier}, {'o': 4000000000 + r, 'v': 'in ' || place}]) AS s FROM parts),
+new AS (SELECT dataset, supplier_key, part, supplier, arg_min(s.v, s.o) AS v, min(s.o) AS o FROM said WHERE lower(s.v) NOT IN (lower(dataset), lower(supplier)) GROUP BY dataset, supplier_key, part, supplier, lower(s.v))
+SELECT dataset, supplier_key, part, substr(dataset || '. ' || supplier || '. ' || string_agg(v, '. ' ORDER BY o), 1, 1200) AS text FROM new GROUP BY dataset, supplier_key, part, supplier
+""")
+
+
+@query("n45_embed_text", _N45)
+def n45(spark, sf):
+    rows = items(spark, sf, "id", "dataset", "supplier_key", "supplier", "description", "category", "method", "place")
+    packed = S.pack(rows, ["dataset", "supplier_key"], 40, ["id"], ["supplier", "description", "category", "method", "place"])
+    each = lambda c: F.transform("items", lambda i: i[c])
+    places = F.transform("items", lambda i: F.concat(F.lit("in "), i["place"]))
+    text = S.embedding_text([F.col("dataset"), F.col("items")[0]["supplier"]], [each("description"), each("category"), each("method"), each("supplier"), places])
+    return packed.select("dataset", "supplier_key", "part", text.alias("text"))
+
+
+_N54 = with_items("""
+, docs AS (SELECT supplier_key, min(buyer) AS doc_buyer FROM items GROUP BY 1),
+rows AS (SELECT *, dataset = 'contract' AS federal, CASE WHEN l_linenumber < 7 THEN award_date END AS day FROM items JOIN docs USING (supplier_key))
+SELECT id, supplier, CASE WHEN buyer <> doc_buyer THEN buyer END AS buyer,
+  CASE WHEN federal OR length(description) <= 20 THEN description ELSE regexp_replace(substr(description, 1, 20), '\\s+\\S*$', '') || '…' END AS description,
+  CAST(amount AS DOUBLE) AS amount, CASE WHEN currency <> 'CAD' THEN currency END AS currency, day AS date, CASE WHEN day IS NULL THEN fiscal_year END AS fiscal_year,
+  concat_ws(';', 'category=' || category, CASE WHEN federal OR l_linenumber > 1 THEN 'line=' || (l_linenumber - 1) END) AS evidence
+FROM rows
+""")
+
+
+@query("n54_packed_item", _N54)
+def n54(spark, sf):
+    rows = items(spark, sf, "id", "dataset", "supplier_key", "supplier", "buyer", "description", "category", "amount", "currency", "award_date", "fiscal_year", "l_linenumber")
+    own = items(spark, sf, "supplier_key", "buyer").groupBy("supplier_key").agg(F.min("buyer").alias("doc_buyer"))
+    fields = {c: F.col(c) for c in ("supplier", "buyer", "description", "amount", "currency", "fiscal_year")} | {"date": F.when(F.col("l_linenumber") < 7, F.col("award_date"))}
+    evidence = F.create_map(F.lit("category"), F.col("category"), F.lit("line"), (F.col("l_linenumber") - 1).cast("string"))
+    packed = S.packed_item(fields, F.col("doc_buyer"), F.col("dataset") == "contract", evidence, 20)
+    out = rows.join(own, "supplier_key").select("id", packed.alias("p")).select("id", "p.*")
+    listed = F.array_join(F.transform(F.map_entries("evidence"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.withColumn("amount", F.col("amount").cast("double")).withColumn("evidence", listed)
+
+
 @query("q02_tags", with_items("SELECT id, concat_ws(' ', 'd' || substr(sha1(dataset), 1, 10), 'b' || substr(sha1(CAST(buyer_key AS VARCHAR)), 1, 10), 's' || substr(sha1(CAST(supplier_key AS VARCHAR)), 1, 10), 'y' || substr(sha1(CAST(year(award_date) AS VARCHAR)), 1, 10)) AS tags FROM items"))
 def q02(spark, sf):
     year = F.year("award_date").cast("string")
