@@ -97,19 +97,19 @@ _TERMS = [
     ("restated-net", "a", 1, "report", "net", 0, 0.0),
     ("restated-net", "b", 1, "report", "prior", 1, 0.0),
 ]
-#: Figures of each document by year; the report misstates cash in one year of five, and the budget lacks revenue in one of seven.
+#: Figures of each document by year (and the year before, restated in odd years); the report misstates cash in one year of five, and the budget lacks revenue in one of seven.
 _FIGURES = {
     ("report", "gross"): "sum(price)",
     ("report", "related"): "sum(CASE WHEN dataset = 'notice' THEN price END)",
     ("report", "net"): "sum(CASE WHEN dataset <> 'notice' THEN price END)",
     ("report", "revenue"): "sum(CASE WHEN currency = 'CAD' THEN price END)",
     ("report", "cash"): "sum(CASE WHEN currency = 'CAD' THEN price ELSE 0 END) - sum(CASE WHEN dataset <> 'notice' THEN price ELSE 0 END) + CASE WHEN year % 5 = 0 THEN 1000 ELSE 0 END",
-    ("report", "prior"): "CASE WHEN year % 2 = 0 THEN sum(price) END",
     ("budget", "revenue"): "CASE WHEN year % 7 <> 0 THEN sum(CASE WHEN currency = 'CAD' THEN price END) END",
     ("budget", "gross"): "sum(price) + 400",
     ("departments", "gross"): "sum(CASE WHEN l_linenumber < 7 OR year % 3 > 0 THEN price END)",
 }
 _FIGURE_SQL = " UNION ALL ".join(f"SELECT year, '{d}' AS doc, '{m}' AS measure, CAST({x} AS DECIMAL(28,2)) AS amount FROM lines GROUP BY year" for (d, m), x in _FIGURES.items())
+_FIGURE_SQL += f" UNION ALL SELECT year + 1, 'report', 'prior', {_FIGURES['report', 'net']} + year % 2 FROM lines GROUP BY year"
 _TERM_SQL = ", ".join(f"('{c}', '{s}', {g}, '{d}', '{m}', {h}, {t})" for c, s, g, d, m, h, t in _TERMS)
 _V02B = with_items(f"""
 , lines AS (SELECT CAST(substr(fiscal_year, 1, 4) AS BIGINT) AS year, dataset, currency, l_linenumber, price FROM items),
@@ -128,5 +128,8 @@ FROM sides GROUP BY year, "check"
 def v02b(spark, sf):
     lines = items(spark, sf, "dataset", "currency", "price", "fiscal_year", "l_linenumber").withColumn("year", F.substring("fiscal_year", 1, 4).cast("long"))
     wide = lines.groupBy("year").agg(*(F.expr(f"CAST({x} AS DECIMAL(28,2))").alias(f"{d}_{m}") for (d, m), x in _FIGURES.items()))
-    long = F.array(*(F.struct(F.lit(d).alias("doc"), F.lit(m).alias("measure"), F.col(f"{d}_{m}").alias("amount")) for d, m in _FIGURES))
-    return C.statement_checks(wide.select("year", F.inline(long)), _TERMS)
+    figure = lambda year, d, m, amount: F.struct(year.alias("year"), F.lit(d).alias("doc"), F.lit(m).alias("measure"), amount.cast("decimal(28,2)").alias("amount"))
+    year = F.col("year")
+    stated = [figure(year, d, m, F.col(f"{d}_{m}")) for d, m in _FIGURES]
+    restated = figure(year + 1, "report", "prior", F.col("report_net") + year % 2)
+    return C.statement_checks(wide.select(F.inline(F.array(*stated, restated))), _TERMS)

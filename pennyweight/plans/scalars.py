@@ -282,9 +282,9 @@ WITH p AS (SELECT c_custkey, abs(c_acctbal) * 12 AS b FROM customer),
 q AS (SELECT *, least(greatest(b - 3500, 0), 65000) AS lower, least(greatest(b - 68500, 0), 4700) AS upper FROM p),
 r AS (SELECT *, {_CENTS("lower * 0.0495::DOUBLE")} AS base, {_CENTS("lower * 0.01::DOUBLE")} + {_CENTS("upper * 0.04::DOUBLE")} AS deduction, {_CENTS("least(b, 63200) * 0.0166::DOUBLE")} AS premium FROM q),
 s AS (SELECT *, greatest(b - deduction, 0) AS net FROM r)
-SELECT c_custkey, base, deduction, premium, round(greatest(
+SELECT c_custkey, base, deduction, premium, floor(greatest(
     least(net, 43198) * 0.087::DOUBLE + greatest(net - 43198, 0) * 0.145::DOUBLE - (base + premium + 10818) * 0.087::DOUBLE
-    - greatest(1000 - greatest(net - 23000, 0) * 0.16::DOUBLE, 0), 0), 4) AS tax
+    - greatest(1000 - greatest(net - 23000, 0) * 0.16::DOUBLE, 0), 0) * 100 + 0.5) / 100 AS tax
 FROM s
 """
 
@@ -293,7 +293,7 @@ FROM s
 def n42b(spark, sf):
     income = F.abs("c_acctbal") * 12
     tax = money.employee_tax(income, [(0, 0.087), (43198, 0.145)], 10818, (1000, 23000, 0.16), _PENSION, _INSURANCE)
-    rows = table(spark, sf, "customer").select("c_custkey", money.payroll(income, _PENSION, _INSURANCE).alias("p"), F.round(tax, 4).alias("tax"))
+    rows = table(spark, sf, "customer").select("c_custkey", money.payroll(income, _PENSION, _INSURANCE).alias("p"), (F.floor(tax * 100 + 0.5) / 100).alias("tax"))
     return rows.select("c_custkey", "p.*", "tax")
 
 
