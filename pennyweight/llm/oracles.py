@@ -134,4 +134,48 @@ WITH RECURSIVE d AS (
 SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, block_rank, n_tokens FROM met WHERE room >= size OR upto <= room
 """
 
-ORACLES: dict[str, str] = {"op3_window_dedup": OP3, "op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9}
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's bytes, half a byte at a time."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    digits = f"list_transform(range(2 * strlen({text})), lambda j: CAST('0x' || substr(hex(encode({text})), CAST(xor(j, 1) + 1 AS BIGINT), 1) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda a, b: xor(a >> 4, {table}[CAST(1 + (xor(a, b) & 15) AS BIGINT)])), 4294967295)"
+
+
+OP12 = rf"""
+WITH d AS (
+  SELECT 0 AS side, CAST(doc_id AS BIGINT) AS id, text FROM documents
+  UNION ALL SELECT 1, CAST(item_id AS BIGINT), text FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
+), f AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(len(w) - 1), lambda k: w[k + 1] || ' ' || w[k + 2]))) AS feature FROM w
+), hashed AS (
+  SELECT feature, {crc32_sql("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f)
+), found AS (
+  SELECT side, id, bucket FROM f JOIN hashed USING (feature)
+), held AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM found GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM held) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM held) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM held
+), sums AS (
+  SELECT id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM found JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), weights AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+         coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN sums USING (id) WHERE side = 0
+), scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weights
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored
+  WHERE n_words >= 20 QUALIFY rank <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(rank AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_window_dedup": OP3, "op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9, "op12_importance": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, packing, quality, scoring, simhash, suffixes, tokenfiles, topk, windows
+from . import bpe, chat, importance, mixing, packing, quality, scoring, simhash, suffixes, tokenfiles, topk, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    found = importance.resample(table(spark, sf_dir, "documents"), target)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lm_scoring": op2_lm_scoring,
@@ -90,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_bpe": op11_bpe,
+    "op12_importance": op12_importance,
 }
