@@ -178,4 +178,53 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_window_dedup": OP3, "op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9, "op12_importance": OP12}
+def _leaf(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce('l' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS other
+  FROM documents
+), d AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id, leaf) AS doc,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), nodes(tree, level, i, n, h) AS (
+  SELECT tree, 0, i, n, leaf FROM d
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2, n
+), subroots AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, i, n, h) AS (
+  SELECT 0, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n
+), steps AS (
+  SELECT doc, l.level AS step, (d.i >> l.level) & 1 AS slot, s.h AS sibling
+  FROM d JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l ON d.tree = l.tree
+  LEFT JOIN nodes s ON s.tree = d.tree AND s.level = l.level AND s.i = xor(d.i >> l.level, 1)
+  UNION ALL
+  SELECT doc, 1000 + l.level, (r.i >> l.level) & 1, s.h
+  FROM d JOIN subroots r ON d.tree = r.tree CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) l
+  LEFT JOIN tops s ON s.level = l.level AND s.i = xor(r.i >> l.level, 1)
+), proofs AS (
+  SELECT doc, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY doc
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY step) AS k FROM steps
+), folds(doc, k, h) AS (
+  SELECT doc, 1, coalesce(other, leaf) FROM d
+  UNION ALL
+  SELECT f.doc, f.k + 1, sha256(CASE WHEN slot = 1 THEN sibling || h ELSE h || coalesce(sibling, '') END)
+  FROM folds f JOIN numbered s ON f.doc = s.doc AND f.k = s.k
+), ends AS (
+  SELECT doc, arg_max(h, k) AS folded_root FROM folds GROUP BY doc
+)
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM d JOIN ends USING (doc) LEFT JOIN proofs USING (doc) JOIN subroots r USING (tree) JOIN (SELECT h FROM tops WHERE n = 1) t ON true
+"""
+
+ORACLES: dict[str, str] = {"op3_window_dedup": OP3, "op7_quality_rules": OP7, "op8_exact_topk": OP8, "op9_mixing": OP9, "op12_importance": OP12, "op13_merkle": OP13}

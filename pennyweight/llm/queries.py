@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, importance, mixing, packing, quality, scoring, simhash, suffixes, tokenfiles, topk, windows
+from . import bpe, chat, importance, merkle, mixing, packing, quality, scoring, simhash, suffixes, tokenfiles, topk, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,16 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 7 == 0
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(*merkle.FIELDS, F.when(tampered, merkle.leaf(n_chars=F.col("n_chars") + 1)).alias("other"))
+    found = merkle.manifest(docs, keep=("other",))
+    folded = found.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("steps")))
+    proof = F.sha2(merkle.siblings(F.col("steps")).cast("binary"), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lm_scoring": op2_lm_scoring,
@@ -97,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_bpe": op11_bpe,
     "op12_importance": op12_importance,
+    "op13_merkle": op13_merkle,
 }
