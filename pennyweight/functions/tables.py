@@ -80,6 +80,7 @@ BROADER_REGIONS = (
 
 # Names that stand for no name, and words of places, units, kinds and generic names.
 PLACEHOLDERS = ("n a", "na", "none", "null", "not applicable", "sans objet", "s o", "unknown", "inconnu")
+PROVINCE_TAILS = ("newfoundland and labrador", "newfoundland", "labrador", "nl")
 PLACE_WORDS = "newfoundland labrador and of the nl terre neuve et du de la".split()
 UNIT_WORDS = "department dept ministere faculty school campus institute division branch secretariat".split()
 KIND_WORDS = "solutions systems technologies technology enterprises holdings industries union incorporated society association services group organization".split()
@@ -91,6 +92,6 @@ GENERIC_WORDS = (
 
 # Descriptions that say nothing about what was bought.
 VAGUE_DESCRIPTIONS = (
-    "services", "service", "goods", "supplies", "equipment", "materials", "various", "misc", "miscellaneous", "parts", "repairs", "maintenance", "software", "consulting",
-    "consulting services", "professional services",
+    "services", "service", "goods", "supplies", "consulting", "consulting services", "professional services", "equipment", "materials", "various", "misc", "miscellaneous",
+    "parts", "repairs", "maintenance", "software",
 )

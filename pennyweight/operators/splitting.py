@@ -12,10 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
-from .identity import PLACES, conflict
-
-PROFILE = "base string, code string, postal array<string>, locality array<string>, anchors array<string>"
+from ..functions.closeness import close
+from .identity import PLACES, connected, opposed
 
 
 def profiles(records: DataFrame) -> DataFrame:
@@ -25,22 +23,16 @@ def profiles(records: DataFrame) -> DataFrame:
 
 
 def pooled(known: DataFrame) -> DataFrame:
-    """Profiles of one identifier, pooled over spellings that are close: a slip apart, one inside the other, or a unit of it."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("base").reset_index(drop=True)
-        group = list(range(len(rows)))
-        for i, a in enumerate(rows["base"]):
-            for j, b in enumerate(rows["base"][:i]):
-                if names.slip_apart(a, b) or names.contained(a, b) or names.unit_of(a, b):
-                    old, new = group[i], group[j]
-                    group = [new if g == old else g for g in group]
-        for c in PLACES:
-            bag = {g: sorted(set().union(*(rows[c][k] for k in range(len(rows)) if group[k] == g))) for g in set(group)}
-            rows[c] = [bag[g] for g in group]
-        return rows
+    """Profiles of one identifier, pooled over spellings that are close: a slip apart, one inside the other, or a unit of it.
 
-    return known.groupBy("code").applyInPandas(run, PROFILE)
+    Spellings of an identifier meet in pairs; chains of close ones are components.
+    """
+    named = known.withColumn("node", F.concat_ws("|", "code", "base"))
+    a, b = (named.select("code", F.col("base").alias(f"base_{c}"), F.col("node").alias(c)) for c in "ab")
+    met = a.join(b, "code").where("base_a < base_b").where(close(F.col("base_a"), F.col("base_b"), "any")).select("a", "b")
+    joined = named.join(connected(met).withColumnRenamed("key", "node"), "node", "left").withColumn("_part", F.coalesce("component", "node"))
+    bags = joined.groupBy("_part").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in PLACES))
+    return joined.select("base", "code", "_part").join(bags, "_part").select("base", "code", *PLACES)
 
 
 def pieces(known: DataFrame) -> DataFrame:
@@ -48,7 +40,7 @@ def pieces(known: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         per = {r["code"]: {"code": r["code"], **{c: set(r[c]) for c in PLACES}} for r in rows.to_dict("records")}
-        against = {a: frozenset(b for b in per if b != a and conflict(per[a], per[b])) for a in per}
+        against = {a: frozenset(others) for a, others in opposed(per).items()}
         piece = {a: min(b for b in per if against[b] == against[a]) for a in per}
         split = len(set(piece.values())) > 1
         out = [(key[0], a, p) for a, p in sorted(piece.items())] if split else []

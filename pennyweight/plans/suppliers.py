@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.closeness import close
 from ..operators import identity, splitting
 from ..operators.lineage import cut
 from .registry import query, table
@@ -101,8 +102,8 @@ def d14b(spark, sf):
     kinds = F.element_at(F.array(*map(F.lit, identity.EVIDENCE)), F.col("rank") + 1)
     made = identities(spark, sf)[1].where("kind = 'joined'")
     # the first name has more records, whatever the order in the pair
-    long_ = _printed(spark, sf).select("first")
-    return made.join(long_, (F.col("a") == F.col("first")) | (F.col("b") == F.col("first"))).select(F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b"), kinds.alias("evidence"))
+    ends = made.select(kinds.alias("evidence"), F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end"))
+    return ends.select("end.*", "evidence").join(_printed(spark, sf).select(F.col("first").alias("a")), "a").select("a", "b", "evidence")
 
 
 _PAIR = "least(first, second) AS a, greatest(first, second) AS b"
@@ -144,14 +145,14 @@ def d10(spark, sf):
     """One name inside the other, the longer adding only words of kind or place; names meet by their first word."""
     rows = _printed(spark, sf).select(F.explode(F.array("first", "second")).alias("name")).withColumn("word", F.split("name", " ")[0])
     a, b = rows.withColumnRenamed("name", "a"), rows.withColumnRenamed("name", "b")
-    return a.join(b, "word").where("a <> b AND length(a) < length(b)").where(names.close_udf("a", "b", F.lit("contained"))).select("a", "b")
+    return a.join(b, "word").where("a <> b AND length(a) < length(b)").where(close(F.col("a"), F.col("b"), "contained")).select("a", "b")
 
 
 @query("d11_unit_of", f"WITH {_S} SELECT first AS body, second AS name FROM n WHERE k = 5")
 def d11(spark, sf):
     rows = _printed(spark, sf).select(F.explode(F.array("first", "second")).alias("name")).withColumn("word", F.split("name", " ")[0])
     a, b = rows.withColumnRenamed("name", "body"), rows
-    return a.join(b, "word").where("length(body) < length(name)").where(names.close_udf("body", "name", F.lit("unit"))).select("body", "name")
+    return a.join(b, "word").where("length(body) < length(name)").where(close(F.col("body"), F.col("name"), "unit")).select("body", "name")
 
 
 @query("j12_first_token_block", f"WITH {_S} SELECT first AS a, second AS b FROM n WHERE k = 5")

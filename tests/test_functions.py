@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pennyweight.functions import codes, dates, money, names
+from pennyweight.functions import closeness, codes, dates, money, names
 from pennyweight.operators import answers, checking, identity, once, patterns, searching, totals
 from pennyweight.sources import readers, sinks
 
@@ -161,9 +161,29 @@ def test_apart_pairs_hold_for_groups():
         ("acme 1", "acme 2 group", False, False),
     ],
 )
-def test_close_names(a, b, inside, unit):
-    assert (names.contained(a, b), names.unit_of(a, b)) == (inside, unit)
-    assert (names.contained(b, a), names.unit_of(b, a)) == (inside, unit)
+def test_close_names(spark, a, b, inside, unit):
+    rows = spark.createDataFrame([(a, b), (b, a)], "a string, b string")
+    found = rows.select(closeness.contained(F.col("a"), F.col("b")), closeness.unit_of(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in found] == [(inside, unit)] * 2
+
+
+def test_towns(spark):
+    cases = {"gander newfoundland and labrador": "gander", "st johns nl": "st johns", "labrador": None, "newfoundland and labrador": None, "n a": None, "": None, "labrador city": "labrador city", "corner brook": "corner brook"}
+    rows = spark.createDataFrame([(k,) for k in cases], "key string")
+    assert {r[0]: r[1] for r in rows.select("key", closeness.town(F.col("key"))).collect()} == cases
+
+
+def test_who_opposes_whom():
+    bag = lambda code, postal=(), town=(), anchors=(): {"code": code, "postal": set(postal), "locality": set(town), "anchors": set(anchors)}
+    known = {p["code"]: p for p in (
+        bag("111111118", ["A"], ["x"]), bag("222222226", ["B"], ["x"]), bag("333333334", ["A", "B"], ["y"]),
+        bag("444444442RR0001", (), ["x"], ["one"]), bag("444444442RR0002", (), ["x"], ["two"]), bag("444444442", ["C"], ["z"], ["three"]), bag("", ["D"], ["w"]),
+    )}
+    got = identity.opposed(known)
+    assert got["111111118"] == {"222222226": identity.DISAGREEMENTS["postal"], "333333334": identity.DISAGREEMENTS["locality"], "444444442": identity.DISAGREEMENTS["postal"]}
+    assert got["444444442RR0001"] == {"444444442RR0002": identity.DISAGREEMENTS["anchors"], "333333334": identity.DISAGREEMENTS["locality"]}
+    assert "444444442RR0001" not in got["444444442"] and "" not in got
+    assert all(got[o][c] == w for c, others in got.items() for o, w in others.items())
 
 
 def test_connected_chain(spark):
