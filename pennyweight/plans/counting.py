@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import once
+from ..operators import agreements, once, repeats
 from .ledger import items, with_items
 from .registry import query, table
 
@@ -31,11 +31,50 @@ def d01(spark, sf):
     return out.withColumn("amount", F.col("amount").cast("double"))
 
 
-@query("d02_agreements", f"SELECT l_suppkey, l_partkey, CAST(CASE WHEN l_suppkey % 3 = 0 THEN sum(price) ELSE arg_max(price, ({_L})) END AS DOUBLE) AS amount, count(*) AS amendments FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem) GROUP BY l_suppkey, l_partkey")
+#: Grant rows: every order four times, as amendments; which rule joins them goes by the order's number.
+_ROWS = """
+SELECT o_orderkey * 10 + j AS seq, 'org' || o_custkey % 7 AS org,
+       CASE WHEN k >= 6 THEN '' WHEN j % 2 = 0 THEN ' A-' || o_orderkey ELSE 'A-' || o_orderkey || ' ' END AS number,
+       CASE WHEN k IN (1, 2, 3, 4, 5) AND j > 1 THEN 'new name of ' || o_custkey ELSE 'name of ' || o_custkey END AS recipient,
+       CASE WHEN k IN (2, 6) THEN j + 1 WHEN k = 7 OR (k = 5 AND j = 3) THEN 0 ELSE j END AS amendment,
+       CASE WHEN j = 3 THEN NULL ELSE '2024-0' || (9 - j) || '-01' END AS amended_on,
+       'R' || (o_orderkey * 10 + CASE WHEN k = 0 THEN 9 - j ELSE j END) AS ref,
+       CASE WHEN k IN (3, 4) AND j > 1 THEN '2021-01-01' WHEN k = 6 AND j = 3 THEN NULL ELSE '2020-01-01' END AS start,
+       CASE WHEN k = 3 AND j = 2 THEN NULL WHEN k = 3 THEN 'Another Fund' WHEN k = 4 AND j > 1 THEN 'Another Fund' WHEN k = 6 AND j = 2 THEN 'HARBOUR works (' || o_custkey || ') | Travaux' ELSE 'Harbour Works ' || o_custkey || ' of ' || o_orderpriority END AS program,
+       'Wharf' || CASE WHEN j = 1 THEN ' DBA' ELSE '' END AS title,
+       CASE WHEN o_custkey % 7 IN (0, 3) AND j = 2 THEN -1 ELSE 1 END * (price + j) AS value,
+       CASE WHEN j = 1 THEN 'B' || o_custkey WHEN j = 3 THEN ' ' END AS business_number
+FROM (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderkey % 8 AS k, unnest(range(4)) AS j FROM orders)"""
+_CHANGING = ("org0", "org3")
+_LETTERS = "regexp_replace(lower(split_part(coalesce({}, ''), '|', 1)), '[^a-z0-9]', '', 'g')"
+
+
+@query("d02_agreements", f"""
+WITH rows_ AS ({_ROWS}), content AS (
+  SELECT *, trim(number) AS n, [recipient, coalesce(start, '?'), {_LETTERS.format("program")}, regexp_replace({_LETTERS.format("title")}, 'dba$', '')] AS content FROM rows_
+), keyed AS (
+  SELECT *, CASE WHEN n <> '' THEN 'n:' || n WHEN max(CASE WHEN n = '' AND amendment > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY org, n, content) = 1 THEN 'c:' || CAST(content AS VARCHAR) ELSE 'r:' || ref END AS agreement FROM content
+), g AS (
+  SELECT org, agreement, recipient, min(amendment) AS least, min(seq) AS seq, list(DISTINCT coalesce(start, '')) AS starts, list(DISTINCT left({_LETTERS.format("program")}, 15)) AS programs FROM keyed GROUP BY ALL
+), homes AS (
+  SELECT org, agreement, arg_min({{'r': recipient, 's': starts, 'p': programs}}, (CASE WHEN least > 0 THEN 1 ELSE 0 END, seq)) AS h FROM g
+  WHERE agreement LIKE 'n:%' GROUP BY ALL HAVING count(*) FILTER (least <= 0) <= 1
+), moved AS (
+  SELECT g.org, g.agreement, recipient, CASE WHEN list_has_any(starts, h.s) OR list_has_any(programs, h.p) OR list_contains(programs, '') OR list_contains(h.p, '') THEN h.r ELSE recipient END AS into_
+  FROM g LEFT JOIN homes ON g.org = homes.org AND g.agreement = homes.agreement
+)
+SELECT k.org, CASE WHEN k.agreement LIKE 'n:%' THEN substr(k.agreement, 3) ELSE '' END AS agreement_number,
+       arg_max(k.recipient, (amendment, coalesce(amended_on, ''), ref, k.seq)) AS recipient, arg_max(ref, (amendment, coalesce(amended_on, ''), ref, k.seq)) AS ref, max(amendment) AS amendment,
+       count(*) AS n_rows, CASE WHEN k.org IN {_CHANGING} THEN 'sum of ' || count(*) || ' amendment rows (department reports changes)' ELSE 'latest of ' || count(*) || ' rows (department reports running totals)' END AS how,
+       CAST(CASE WHEN k.org IN {_CHANGING} THEN sum(value) ELSE arg_max(value, (amendment, coalesce(amended_on, ''), ref, k.seq)) END AS DOUBLE) AS amount,
+       min(coalesce(start, '')) AS start, coalesce(arg_max(business_number, (amendment, coalesce(amended_on, ''), ref, k.seq)) FILTER (trim(business_number) <> ''), '') AS business_number
+FROM keyed k JOIN moved m ON k.org = m.org AND k.agreement = m.agreement AND k.recipient = m.recipient
+GROUP BY k.org, k.agreement, into_""")
 def d02(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
-    out = once.latest_or_sum(rows, ["l_suppkey", "l_partkey"], [F.col(c) for c in _L.split(", ")], "price", F.col("l_suppkey") % 3 == 0)
-    return out.withColumn("amount", F.col("amount").cast("double"))
+    """Grants to agreements: re-issued rows without a number, renamed recipients, changes or running totals."""
+    table(spark, sf, "orders").createOrReplaceTempView("_d02_orders")
+    sql = _ROWS.replace("FROM orders", "FROM _d02_orders").replace("unnest(range(4))", "explode(sequence(0, 3))")
+    return agreements.agreements(spark.sql(sql), _CHANGING).withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("d03_latest_notice", "SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, count(*) AS versions FROM orders GROUP BY ALL")
@@ -62,18 +101,54 @@ def d05b(spark, sf):
     return _contracts(spark, sf).select(F.col("contract_no").alias("printed"), codes.contract_key(F.col("contract_no")).alias("contract_key")).distinct()
 
 
-@query("d06_reviewed_decisions", with_items("SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.amount = b.amount THEN 'repeat' WHEN a.award_date = b.award_date THEN 'correction' ELSE 'keep' END AS decision FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND a.supplier_key = b.supplier_key AND a.id < b.id"))
+#: Printings: every order four times; which of them are one award goes by the order's number.
+_PRINTINGS = """
+SELECT o_orderkey * 10 + j AS id, o_orderkey, j, k, o_custkey AS supplier_key, price AS amount, CASE WHEN o_orderkey % 10 = 9 THEN 'USD' ELSE 'CAD' END AS currency,
+       CASE WHEN k = 1 THEN o_orderkey || '-' || j WHEN j % 2 = 1 THEN 'PO# ' || o_orderkey ELSE CAST(o_orderkey AS TEXT) END AS contract_no,
+       CAST(o_orderdate AS DATE) + CAST(CASE WHEN k = 0 THEN 0 ELSE 12 * j END AS INT) AS award_date, o_custkey % 7 AS buyer_key,
+       CASE WHEN k = 0 THEN CASE WHEN j = 2 THEN 'SUPPLY, of ' ELSE 'Supply of ' END || o_orderpriority ELSE 'Part ' || j END AS description,
+       CASE WHEN j = 3 THEN 'N/A' ELSE '' END AS term, '' AS renewal
+FROM (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderkey % 4 AS k, unnest(range(1, 5)) AS j FROM orders)"""
+#: Reviews: chains of corrections in every fourth order; in others 2 repeats 1, and 3 repeats 2, which no longer stands.
+_REVIEWS = "SELECT id AS id_a, id + 1 AS id_b, CASE WHEN k = 2 THEN 'correction' ELSE 'repeat' END AS decision, 'review of ' || id AS evidence FROM printings WHERE (k = 2 AND j < 4) OR (k = 3 AND j < 3)"
+_LINKED = f"""printings AS ({_PRINTINGS}), reviews AS ({_REVIEWS}), links AS (
+  SELECT id, id - j + 1 AS "to", 'repeat' AS decision, '{repeats.AGREES}' AS evidence FROM printings WHERE k = 0 AND j > 1 AND currency = 'CAD'
+  UNION ALL SELECT id, id + 1, 'correction', 'review of ' || id FROM printings WHERE k = 2 AND j < 4 AND currency = 'CAD'
+  UNION ALL SELECT id, id - 1, 'repeat', 'review of ' || (id - 1) FROM printings WHERE k = 3 AND j = 2 AND currency = 'CAD'
+)"""
+
+
+def _printings(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("_printed_orders")
+    sql = _PRINTINGS.replace("FROM orders", "FROM _printed_orders").replace("unnest(range(1, 5))", "explode(sequence(1, 4))").replace("AS TEXT", "AS STRING")
+    rows = spark.sql(sql)
+    rows.createOrReplaceTempView("_printings")
+    return rows, spark.sql(_REVIEWS.replace("FROM printings", "FROM _printings"))
+
+
+@query("d06_reviewed_decisions", f'WITH {_LINKED} SELECT id, "to", decision, evidence FROM links')
 def d06(spark, sf):
-    rows = items(spark, sf, "id", "supplier_key", "amount", "award_date", "l_orderkey").select("id", "l_orderkey", "supplier_key", "amount", "award_date")
-    a = rows.withColumnsRenamed({"id": "id_a", "amount": "x", "award_date": "d"})
-    b = rows.withColumnsRenamed({"id": "id_b", "amount": "y", "award_date": "e"})
-    decision = F.when(F.col("x") == F.col("y"), "repeat").when(F.col("d") == F.col("e"), "correction").otherwise("keep")
-    return a.join(b, ["l_orderkey", "supplier_key"]).where("id_a < id_b").select("id_a", "id_b", decision.alias("decision"))
-
-
-@query("d07_pair_audit", with_items("SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.supplier_key = b.supplier_key AND a.currency = b.currency AND a.description = b.description AND (a.award_date, a.id) < (b.award_date, b.id) AND b.award_date - a.award_date <= 31"))
+    """What every repeated printing is counted with: reviewed pairs, corrections in chains, and equal details."""
+    return repeats.links(*_printings(spark, sf))
+
+
+@query("d07_pair_audit", f"""
+WITH RECURSIVE {_LINKED}, walk(id, stop) AS (
+  SELECT id, "to" FROM links UNION ALL SELECT w.id, l."to" FROM walk w JOIN links l ON w.stop = l.id
+), roots AS (
+  SELECT id, stop AS root FROM walk WHERE stop NOT IN (SELECT id FROM links)
+), p AS (
+  SELECT printings.*, coalesce(root, id) AS root, CASE WHEN k = 1 THEN contract_no ELSE CAST(o_orderkey AS VARCHAR) END AS number FROM printings LEFT JOIN roots USING (id)
+)
+SELECT a.id AS a, b.id AS b, a.supplier_key, CAST(a.amount AS DOUBLE) AS amount, a.currency, CAST(b.award_date - a.award_date AS INTEGER) AS days_apart,
+       CASE WHEN a.root = b.root THEN 'count once' ELSE 'keep both' END AS decision,
+       coalesce(r.evidence, CASE WHEN a.root = b.root THEN '{repeats.TOGETHER}' WHEN a.number <> b.number THEN '{repeats.NUMBERS}' ELSE '{repeats.DETAILS}' END) AS evidence
+FROM p a JOIN p b ON a.supplier_key = b.supplier_key AND a.amount = b.amount AND a.currency = b.currency
+ AND (a.award_date, a.id) < (b.award_date, b.id) AND b.award_date - a.award_date <= 31
+LEFT JOIN reviews r ON r.id_a = least(a.id, b.id) AND r.id_b = greatest(a.id, b.id)""")
 def d07(spark, sf):
-    return once.near_in_time(items(spark, sf, "id", "currency", "supplier_key", "description", "award_date"), ["supplier_key", "currency", "description"], "award_date", 31, "id").select("a", "b")
+    """Printings of one supplier, price and currency within 31 days, with the end of the chain each is counted with."""
+    return repeats.pair_audit(*_printings(spark, sf)).withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("d15_group_key", with_items("SELECT place, arg_max(supplier_key, (n, v, -supplier_key)) AS supplier_key FROM (SELECT place, supplier_key, count(*) AS n, coalesce(sum(amount), 0) AS v FROM items GROUP BY ALL) GROUP BY place"))
