@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import once, totals
+from ..operators import families, once, totals
 from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
@@ -188,14 +188,43 @@ def a24(spark, sf):
     return nested.select("place", F.array_join(F.transform("years", line), ";").alias("years"))
 
 
-@query("a25_key_families", with_items("""
-SELECT family, key, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS value FROM (
-  SELECT 'dataset' AS family, dataset AS key, amount FROM items UNION ALL SELECT 'place', place, amount FROM items
-  UNION ALL SELECT 'method', method, amount FROM items UNION ALL SELECT 'year', fiscal_year, amount FROM items) GROUP BY family, key"""))
+#: What the families are made of: before, every amount as printed; after, only what is in CAD.
+_FAMILY_ITEMS = """f AS (SELECT id, amount, currency, dataset, coalesce(CAST(year(award_date) AS VARCHAR), fiscal_year) AS year, CAST(year(award_date) AS VARCHAR) AS award_year,
+  CAST(buyer_key AS VARCHAR) AS buyer, CASE WHEN supplier_key % 11 = 0 THEN '' ELSE CAST(supplier_key AS VARCHAR) END AS supplier, method, CASE WHEN dataset = 'notice' THEN 'excluded' ELSE 'included' END AS label,
+  l_quantity, dataset <> 'award' OR l_quantity < 40 AS buys, dataset <> 'award' AS tenders, supplier_key % 11 <> 0 AS supplied, dataset = 'contract' AS federal FROM items)"""
+_FLAGGED = "SELECT 'sole-source' AS flag, id FROM f WHERE method = 'Sole source' UNION ALL SELECT 'large-order', id FROM f WHERE l_quantity >= 45"
+
+
+def _family_sql() -> str:
+    parts = []
+    for name, (keys, held) in families.FAMILIES.items():
+        key = " || ' / ' || ".join(f"coalesce(nullif({k}, ''), 'not stated')" for k in keys) or "''"
+        where = " AND ".join("label = 'included'" if h == "label" else h for h in held) or "true"
+        parts.append(f"SELECT '{name}' AS family, {key} AS key, amount, currency FROM f WHERE {where}")
+    parts.append(f"SELECT 'pattern', flag, amount, currency FROM ({_FLAGGED}) x JOIN f USING (id)")
+    parts.append("SELECT 'provincial-actuals', fiscal_year, price, currency FROM items WHERE l_linenumber = 1")
+    return " UNION ALL ".join(parts)
+
+
+@query("a25_key_families", with_items(f"""
+, {_FAMILY_ITEMS}, t AS (
+  SELECT family, key, coalesce(sum(amount), 0) AS before, coalesce(sum(CASE WHEN currency = 'CAD' THEN amount END), 0) AS after FROM ({_family_sql()}) GROUP BY family, key
+)
+SELECT family, key, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after, CAST(after - before AS DOUBLE) AS change FROM t WHERE before <> after"""))
 def a25(spark, sf):
-    families = {"dataset": "dataset", "place": "place", "method": "method", "year": "fiscal_year"}
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.col(c).alias("key")) for f, c in families.items()))).alias("p")
-    return items(spark, sf, "dataset", "place", "amount", "method", "fiscal_year").select("amount", pairs).groupBy("p.family", "p.key").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("value"))
+    """All fourteen families of two ledgers: amounts as printed, and in CAD only; what changed."""
+    names = ("id", "amount", "currency", "dataset", "award_date", "fiscal_year", "buyer_key", "supplier_key", "method", "l_quantity", "l_linenumber", "price")
+    read = items(spark, sf, *names)
+    read.createOrReplaceTempView("_family_items")
+    rows = spark.sql(f"WITH {_FAMILY_ITEMS.replace('FROM items', 'FROM _family_items').replace('VARCHAR', 'STRING')} SELECT * FROM f")
+
+    def totals_of(cad_only: bool):
+        counted = lambda df, c: df.withColumn(c, F.when(F.col("currency") == "CAD", F.col(c)).otherwise(F.lit(0))) if cad_only else df
+        flagged = rows.select("id", F.explode(F.array_compact(F.array(F.when(F.col("method") == "Sole source", "sole-source"), F.when(F.col("l_quantity") >= 45, "large-order")))).alias("flag"))
+        return families.family_totals(counted(rows, "amount"), flagged, counted(read.where("l_linenumber = 1").select("fiscal_year", "currency", F.col("price").alias("gross")), "gross"))
+
+    found = families.changed_totals(totals_of(False), totals_of(True))
+    return found.select("family", "key", *(F.col(c).cast("double").alias(c) for c in ("before", "after", "change")))
 
 
 @query("a26_printings", with_items("SELECT supplier_key, count(*) AS n, count(DISTINCT dataset) AS datasets, count(DISTINCT place) AS places, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM items GROUP BY supplier_key"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import once
 from ..operators.lineage import shared_base
-from ..sources import readers, sinks
+from ..sources import ranges, readers, sinks
 from ..streaming import incremental
 from .registry import query, table
 
@@ -23,13 +23,18 @@ def s05(spark, sf):
     return table(spark, sf, "pages").select("page_id", n.cast("long").alias("n"), F.length(readers.strip_tags(F.col("html"))).cast("long").alias("chars"))
 
 
-@query("s06_csv_with_lines", "SELECT n_nationkey, n_name, r AS csv_line FROM (SELECT n_nationkey, n_name, n_nationkey + 2 AS r FROM nation)")
+#: Names with quotes, commas and line ends in them.
+_AWKWARD = "CASE c_custkey % 5 WHEN 0 THEN c_name || ' \"' || c_mktsegment || '\"\n' || c_nationkey WHEN 1 THEN c_name || ',\n\n' WHEN 2 THEN '' ELSE c_name END"
+
+
+@query("s06_csv_with_lines", f"SELECT c_custkey, name, CAST(row_number() OVER w + 1 + coalesce(sum(length(name) - length(replace(name, chr(10), ''))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS csv_line FROM (SELECT c_custkey, {_AWKWARD.replace(chr(92) + 'n', chr(10))} AS name FROM customer) WINDOW w AS (ORDER BY c_custkey)")
 def s06(spark, sf):
+    """One file, read by many ranges: records with the lines they start at."""
     path = _folder(spark)
-    table(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    rows = readers.csv_with_lines(files, ["n_nationkey", "n_name"])
-    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("csv_line").cast("int").alias("csv_line"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(_AWKWARD).alias("name"))
+    rows.orderBy("c_custkey").coalesce(1).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = ranges.csv_by_ranges(spark, path, ["c_custkey", "name"], range_bytes=4096)
+    return read.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.coalesce(F.nullif("name", F.lit('""')), F.lit("")).alias("name"), "csv_line")
 
 
 @query("s07_json_lines", "SELECT p_partkey, p_name FROM part")
