@@ -6,15 +6,17 @@ similarity of at least 0.8; groups are what such links connect.
 1.  Equal texts become one node, the row of least ``doc_id``.
 2.  Each node's SimHash is cut into segments; it goes into the table of
     every segment and probes the Hamming ball of radius one around it.
-    What meets is checked by a complete distance, then by the exact
-    similarity.  Crowded buckets report a star, a pair per member.  This
-    connects most groups, but may miss pairs near the threshold.
+    What meets is checked by a complete distance of further bits, a strict
+    one, then by the exact similarity.  Crowded buckets report a star, a
+    pair per member.  This connects most groups, and may miss pairs near
+    the threshold: it is a shortcut that keeps the next step small.
 3.  The exact way finds what is left.  All texts order their shingles
     alike, by an estimated count, the rarest first.  Sets of similarity 0.8
     share one of their first fifth (prefix filter), and where they first
     meet, what follows must be enough to get there (positional filter), so
     the members of a large family whose own shingles set them apart are
-    no candidates of each other.  Pairs already connected are left out.
+    no candidates of each other.  Pairs already connected are left out;
+    no fingerprint is looked at.
     A crowded bucket compares its centres in rounds, 8 at first, then
     eight times as many, with all members; centres are the members with the
     fewest rare shingles, so families collapse to one label early and
@@ -47,9 +49,9 @@ from .graph import components
 from .shingles import Sketch, classes_of_counts, each_set, flat, rarest_first
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Segments and their bits; of 128 further bits, so many may differ: of pairs at similarity 0.8 with five shingles,
-#: the worst, one in ten million has more, of larger ones none to speak of (19 +- 4 bits).
-SEGMENTS, BITS, FURTHER = 8, 24, 48
+#: Segments and their bits; of 128 further bits, so many may differ in the tables.  At similarity 0.8 they are
+#: 19 +- 4, at 0.9 13 +- 3, at 0.66 27 +- 5: strict, because what the tables leave out is found by the prefixes.
+SEGMENTS, BITS, FURTHER = 8, 24, 22
 WORDS = SEGMENTS * BITS // 64 + 2
 #: Buckets up to this size list their pairs; larger ones report stars of centres.
 CROWDED = 16
@@ -159,7 +161,8 @@ class _Met:
         self.labels = (each("labels", np.int64) ^ refs)[order]
         self.sizes = np.concatenate([unpack_uint(r["sizes"]).astype(np.int64)[d] for r, d in zip(rows, doc, strict=True)])[order]
         self.left = self.sizes - place[order]
-        self.further = each("further", np.dtype(("<u8", 2)))[order]
+        bits = [np.frombuffer(r["further"], "<u8").reshape(len(np.frombuffer(r["refs"], np.int64)), -1)[d] for r, d in zip(rows, doc, strict=True)]
+        self.further = np.concatenate(bits)[order]
         self.starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         self.n = np.diff(np.r_[self.starts, len(tokens)])
         self.centres = np.add.reduceat((~later).astype(np.int64), self.starts)
@@ -169,8 +172,11 @@ class _Met:
         """Which pairs may reach the similarity, and are not connected yet."""
         x, y = self.sizes[a], self.sizes[b]
         may = (self.labels[a] != self.labels[b]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
-        may &= (1 + similarity) * np.minimum(self.left[a], self.left[b]) >= similarity * (x + y) - 1e-6
-        return may & (np.bitwise_count(self.further[a] ^ self.further[b]).sum(axis=1) <= FURTHER)
+        return may & ((1 + similarity) * np.minimum(self.left[a], self.left[b]) >= similarity * (x + y) - 1e-6)
+
+    def near(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the open pairs differ in few of the further bits."""
+        return self.open(a, b, similarity) & (np.bitwise_count(self.further[a] ^ self.further[b]).sum(axis=1) <= FURTHER)
 
     def pairs(self, which: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """In some buckets, centres from ``low`` up to ``high`` with every member after them."""
@@ -242,10 +248,10 @@ def by_tables(known: DataFrame, count: int, similarity: float = SIMILARITY) -> D
             others = np.arange(s, s + n)
             others = others[others != centre]
             a = np.full(len(others), centre)
-            good = met.open(a, others, similarity)
+            good = met.near(a, others, similarity)
             met.report(a[good], others[good])
         for a, b in met.pairs(np.flatnonzero(some & ~crowded & (met.n > 1)), 0, CROWDED):
-            good = met.open(a, b, similarity)
+            good = met.near(a, b, similarity)
             met.report(a[good], b[good])
         return met.table()
 
@@ -253,7 +259,7 @@ def by_tables(known: DataFrame, count: int, similarity: float = SIMILARITY) -> D
 
 
 def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records: int, low: int, high: int, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Open pairs of texts that first meet in a rare shingle.  ``labels``: ``ref, fp, label``.
+    """Open pairs of texts that first meet in a rare shingle.  ``labels``: ``ref, label``.
 
     Crowded buckets compare centres from ``low`` up to ``high``; calm ones
     all members, in the first round only.  A loop ``a, a`` marks a member of
@@ -265,7 +271,6 @@ def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records:
         box = _Outbox(shards)
         for batch in batches:
             label = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            print_ = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for refs, bags in each_set(batch, 0, 1, width):
                 sizes = np.array([len(b) for b in bags], np.int64)
                 firsts = [rarest_first(b, steps, int(len(b) - np.ceil(similarity * len(b) - 1e-6)) + 1) for b in bags]
@@ -273,8 +278,7 @@ def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records:
                 rows, places = np.repeat(np.arange(len(bags)), many), ranges(np.zeros(len(bags), np.int64), many)
                 # two similar sets meet where the smaller has enough left to reach the similarity with its like
                 late = (1 + similarity) * (sizes[rows] - places) < 2 * similarity * sizes[rows] - 1e-6
-                further = np.stack([np.frombuffer(print_[r][-16:], "<u8") for r in refs])
-                docs = (np.array(refs, np.int64), np.array([label[r] for r in refs], np.int64), sizes, further)
+                docs = (np.array(refs, np.int64), np.array([label[r] for r in refs], np.int64), sizes, np.zeros((len(refs), 0), np.uint64))
                 yield from box.put(tokens, rows, places, late, docs)
         yield from box.sent()
         release()
@@ -302,7 +306,7 @@ def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records:
         return met.table()
 
     # labels are joined by the node's number, texts once
-    rows = _texts(nodes).join(labels, "ref").select("ref", "text", "label", "fp")
+    rows = _texts(nodes).join(labels, "ref").select("ref", "text", "label")
     return rows.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -341,10 +345,10 @@ def links(nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     met = materialise(by_tables(known, sums["n"], similarity), "met")
     found = materialise(verified(met, nodes, width, similarity), "links")
     joined = components(found)
-    some, low, high = known.select("ref", "fp"), 0, FIRST_CENTRES
+    some, low, high = known.select("ref"), 0, FIRST_CENTRES
     while True:
         label = F.coalesce("component", "ref").alias("label")
-        labels = materialise(some.join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "fp", label), "labels")
+        labels = materialise(some.join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", label), "labels")
         met = materialise(by_prefixes(nodes, labels, steps, records, low, high, width, similarity), "met")
         pairs = met.where("a <> b")
         if pairs.take(1):
@@ -354,7 +358,7 @@ def links(nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
         left = crowd.count()
         if not left:
             return joined
-        some, low, high = labels.join(crowd, "ref", "left_semi").select("ref", "fp"), high, high * MORE_CENTRES
+        some, low, high = labels.join(crowd, "ref", "left_semi").select("ref"), high, high * MORE_CENTRES
         records = max(1, records * left // max(1, sums["n"]))
 
 
