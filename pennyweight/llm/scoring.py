@@ -253,17 +253,20 @@ def _train_block(trainer: Trainer, row: dict, stride: int = 1) -> int:
     if not lanes:
         return 0
     sizes = np.array([len(x) for x in lanes])
-    inside = np.arange(sizes[0])[:, None] < sizes
-    targets, begins = np.zeros(inside.shape, np.int64), np.zeros(inside.shape, bool)
-    targets.T[inside.T], begins.T[inside.T] = np.concatenate(lanes), np.concatenate(starts)
-    inputs = np.zeros_like(targets)
-    inputs[1:] = targets[:-1]
-    inputs[begins] = 0  # what stands before a document is an end
-    h = np.zeros((len(lanes), trainer.model.hidden), np.float32)
-    for t in range(0, len(inside), WINDOW):
+    first = np.cumsum(sizes) - sizes
+    ids, fresh = np.concatenate(lanes), np.concatenate(starts)
+    del lanes, starts
+    before = np.r_[0, ids[:-1]]
+    before[fresh] = 0  # what stands before a document is an end
+    h = np.zeros((len(sizes), trainer.model.hidden), np.float32)
+    for t in range(0, int(sizes[0]), WINDOW):
         n = int((sizes > t).sum())  # lanes that have not ended stand first
-        part = np.s_[t : t + WINDOW, :n]
-        h, _ = trainer.window(inputs[part], targets[part], h[:n], begins[part], inside[part])
+        # a window is gathered when its turn comes: memory goes by tokens, not by the longest lane
+        rows = t + np.arange(min(WINDOW, int(sizes[0]) - t))[:, None]
+        inside = rows < sizes[:n]
+        at = np.where(inside, first[:n] + rows, 0)
+        cut = lambda of: np.where(inside, of[at], 0)  # noqa: E731, B023
+        h, _ = trainer.window(cut(before), cut(ids), h[:n], cut(fresh).astype(bool), inside)
     return int(sizes.sum())
 
 
