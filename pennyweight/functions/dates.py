@@ -76,3 +76,16 @@ def half_year(x: Column) -> Column:
 def stale(fetched: Column, now: Column, most_days: int | None) -> Column:
     """Whether something fetched then is too old; without a limit nothing is."""
     return F.lit(False) if most_days is None else F.coalesce(fetched < now - F.make_dt_interval(F.lit(most_days)), F.lit(True))
+
+
+# Months as they are printed.
+MONTHS = ("Jan.", "Feb.", "March", "April", "May", "June", "July", "Aug.", "Sept.", "Oct.", "Nov.", "Dec.")
+
+
+def shown(text: Column) -> Column:
+    """``Jan. 5, 2024``, ``Jan. 2024`` or ``2024``, by what an ISO text states; empty where it states nothing."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "-"), lambda p: p.try_cast("int"))
+    year, month, day = (F.get(parts, F.lit(k)) for k in range(3))
+    named = F.concat(F.element_at(F.array(*map(F.lit, MONTHS)), month), F.lit(" "))
+    whole = F.concat(named, F.when(day > 0, F.concat(day.cast("string"), F.lit(", "))).otherwise(""), year.cast("string"))
+    return F.when(year.isNull(), "").when(month > 0, whole).otherwise(year.cast("string"))

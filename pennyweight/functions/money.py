@@ -64,18 +64,27 @@ def _trim_zero(x: Column) -> Column:
     return F.regexp_replace(x, r"\.0$", "")
 
 
+def _whole(x: Column) -> Column:
+    """Rounded to whole units, halves away from zero."""
+    return F.format_number(F.floor(F.abs(x) + F.lit(0.5)), 0)
+
+
 def money_text(x: Column, cents: bool = False) -> Column:
-    """``$1,234``; negatives in brackets; nothing for a missing amount."""
-    shown = F.concat(F.lit("$"), F.format_number(F.abs(x), 2 if cents else 0))
-    return F.when(x < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    """``$1,234``; negatives in brackets; ``n/a`` for a missing amount."""
+    shown = F.concat(F.lit("$"), F.format_number(F.abs(x), 2) if cents else _whole(x))
+    return F.when(x.isNull(), "n/a").when(x < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
 
 
 def money_words(x: Column) -> Column:
-    """``$1.2 billion``, ``$3 million``, or the plain amount below a million."""
-    a = F.abs(x)
-    in_ = lambda unit, name: F.concat(F.lit("$"), _trim_zero(F.format_number(a / unit, 1)), F.lit(f" {name}"))
-    shown = F.when(a >= 1e9, in_(1e9, "billion")).when(a >= 1e6, in_(1e6, "million")).otherwise(F.concat(F.lit("$"), F.format_number(a, 0)))
-    return F.when(x < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
+    """``$3.0 billion``, ``$3 million``, ``$459 million``, or the plain amount below a million; ``n/a`` where none is.
+
+    Billions keep their decimal, millions drop a zero and have none from a
+    hundred on; the sign of these stands after the dollar.
+    """
+    a, plain = F.abs(x), lambda v, digits: F.format_string(f"%.{digits}f", v)
+    millions = F.when(a >= 1e8, plain(x / 1e6, 0)).otherwise(_trim_zero(plain(x / 1e6, 1)))
+    large = F.when(a >= 1e9, F.concat(F.lit("$"), plain(x / 1e9, 1), F.lit(" billion"))).when(a >= 1e6, F.concat(F.lit("$"), millions, F.lit(" million")))
+    return F.coalesce(large, money_text(x))
 
 
 def money_short(x: Column) -> Column:

@@ -28,6 +28,12 @@ def query_words(q: str) -> list[str]:
     return list(dict.fromkeys(found))[:MOST_WORDS]
 
 
+def asked(text: Column) -> Column:
+    """The query words of a column of queries."""
+    words = F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP)))
+    return F.slice(words, 1, MOST_WORDS)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``word, doc_id, tf``: how often each word stands in each document."""
     return docs.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy("word", key).agg(F.count("*").alias("tf"))

@@ -10,13 +10,6 @@ from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
 
-@query("n16_report_period", "SELECT * FROM (VALUES ('PERIOD: 03/01/2026 - 03/15/2026', '', DATE '2026-03-01', DATE '2026-03-15'), ('PERIOD: January 16, 2024 - January 31, 2024', '', DATE '2024-01-16', DATE '2024-01-31'), ('BIDS - October, 1st, 2023 to October, 15th, 2023', '', DATE '2023-10-01', DATE '2023-10-15'), ('PERIOD: July 16th - 31st, 2021', '', DATE '2021-07-16', DATE '2021-07-31'), ('PERIOD: Februrary 16th - 28th, 2021', '', DATE '2021-02-16', DATE '2021-02-28'), ('no header', 'August-1st_15th-Awards.pdf', DATE '2021-08-01', DATE '2021-08-15'), ('none', 'none.pdf', NULL, NULL)) t(printed, file, start, \"end\")")
-def n16(spark, sf):
-    rows = [("PERIOD: 03/01/2026 - 03/15/2026", ""), ("PERIOD: January 16, 2024 - January 31, 2024", ""), ("BIDS - October, 1st, 2023 to October, 15th, 2023", ""), ("PERIOD: July 16th - 31st, 2021", ""), ("PERIOD: Februrary 16th - 28th, 2021", ""), ("no header", "August-1st_15th-Awards.pdf"), ("none", "none.pdf")]
-    df = spark.createDataFrame(rows, "printed string, file string")
-    return df.select("printed", "file", evidence.report_period(F.col("printed"), F.col("file")).alias("p")).select("printed", "file", "p.*")
-
-
 @query("n18_method", "SELECT o_orderkey, CASE WHEN k = 0 THEN 'Sole source' WHEN k = 1 THEN 'Emergency' WHEN k = 2 THEN 'For resale' WHEN k = 3 THEN 'Pre-qualified supplier' WHEN k = 4 THEN 'Security' WHEN k = 5 THEN 'Rates set by regulator' WHEN k = 6 THEN 'Exception (other)' WHEN o_orderstatus = 'F' THEN 'Limited call' WHEN o_orderstatus = 'O' THEN 'Open call' WHEN o_custkey % 2 = 0 THEN 'Exception (clause not given)' ELSE 'Not stated' END AS method FROM (SELECT *, o_orderkey % 9 AS k FROM orders)")
 def n18(spark, sf):
     clauses = ("6(a)(v)", "urgent repair", "for resale", "6(a)(vi) prequalified", "6 (a) (ii)", "6(b) PUB", "unknown clause", "N/A", "")
@@ -26,28 +19,6 @@ def n18(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", evidence.procurement_method(clause, kind, section).alias("method"))
 
 
-@query("n19_sections", "SELECT * FROM (VALUES ('Contract Awards', 'Award'), ('Awards without an open call', 'Exception'), ('Emergency exceptions', 'Emergency'), ('Acme Ltd', NULL)) t(line, section)")
-def n19(spark, sf):
-    rows = spark.createDataFrame([("Contract Awards",), ("Awards without an open call",), ("Emergency exceptions",), ("Acme Ltd",)], "line string")
-    return rows.withColumn("section", evidence.section_heading(F.col("line")))
-
-
-_PLACES = [("Canada", "NL", "A1A 1A1", "Gander"), ("USA", "", "", ""), ("CA", "ON", "K1A 0B1", "Ottawa|Ottawa"), ("", "Newfoundland & Labr.", "A1B", ""), ("ca", "nl", "999", ""), ("can", "", "A1B 2C3", "Halifax"), ("", "labrador", "", "")]
-
-
-@query("n28_location_conflict", "SELECT * FROM (VALUES ('Canada', 'NL', 'A1A 1A1', 'Gander', true, NULL), ('USA', '', '', '', false, 'reported country is USA'), ('CA', 'ON', 'K1A 0B1', 'Ottawa|Ottawa', false, 'reported postal code K1A 0B1 is outside NL; reported city is Ottawa|Ottawa; reported province is ON'), ('', 'Newfoundland & Labr.', 'A1B', '', true, NULL), ('ca', 'nl', '999', '', true, 'reported postal code 999 is not a valid Canadian postal code'), ('can', '', 'A1B 2C3', 'Halifax', true, 'reported city is Halifax'), ('', 'labrador', '', '', false, 'reported province is labrador')) t(country, province, code, city, selected, conflict)")
-def n28(spark, sf):
-    rows = spark.createDataFrame(_PLACES, "country string, province string, code string, city string")
-    parts = F.col("country"), F.col("province"), F.col("code")
-    return rows.withColumns({"selected": evidence.selected(*parts), "conflict": evidence.location_conflict(*parts, F.col("city"))})
-
-
-@query("n28_delivery_scope", "SELECT * FROM (VALUES ('Newfoundland and Labrador', 'local'), (chr(10) || '*Terre-Neuve-et-Labrador' || chr(10), 'local'), ('Newfoundland and Labrador' || chr(10) || 'Nova Scotia', 'broader'), ('Gander', 'unknown'), (NULL, 'unknown')) t(regions, scope)")
-def n28b(spark, sf):
-    rows = spark.createDataFrame([("Newfoundland and Labrador",), ("\n*Terre-Neuve-et-Labrador\n",), ("Newfoundland and Labrador\nNova Scotia",), ("Gander",), (None,)], "regions string")
-    return rows.withColumn("scope", evidence.delivery_scope(F.col("regions")))
-
-
 @query("n28_reviews", with_items("SELECT id, CASE WHEN l_linenumber = 1 AND supplier_key = 1 THEN 'reviewed' ELSE 'unreviewed' END AS review_state, CASE WHEN l_linenumber = 1 AND supplier_key = 1 THEN 'local' ELSE 'unknown' END AS scope, CASE WHEN amount IS NULL THEN 'not stated' WHEN amount = 0 THEN 'published zero' ELSE 'published value' END AS coverage FROM items"))
 def n28c(spark, sf):
     rows = items(spark, sf, "id", "supplier_key", "description", "amount", "l_linenumber").select("id", "description", "amount", "supplier_key", "l_linenumber")
@@ -67,23 +38,12 @@ def n36(spark, sf):
     return evidence.longest_prefix(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", known).select("p_partkey", "name")
 
 
-@query("n43_native_amounts", "SELECT * FROM (VALUES (1234.5, 'USD', 'USD 1,234.50'), (NULL, 'CAD', 'Amount not stated (CAD)'), (NULL, 'unstated', 'Amount not stated (currency not stated)'), (0.0, 'unstated', '0.00 (currency not stated)')) t(amount, currency, shown)")
-def n43(spark, sf):
-    rows = spark.createDataFrame([(1234.5, "USD"), (None, "CAD"), (None, "unstated"), (0.0, "unstated")], "amount double, currency string")
-    return rows.withColumn("shown", evidence.native_amount(F.col("amount"), F.col("currency")))
-
-
 @query("n43_period_text", with_items("SELECT supplier_key, place, CASE WHEN n <= 3 THEN l ELSE n || ' reported periods' END AS periods FROM (SELECT supplier_key, place, count(DISTINCT fiscal_year) AS n, string_agg(DISTINCT fiscal_year, '; ' ORDER BY fiscal_year) AS l FROM items GROUP BY ALL)"))
 def n43b(spark, sf):
     by = items(spark, sf, "place", "supplier_key", "fiscal_year").groupBy("supplier_key", "place").agg(F.sort_array(F.collect_set("fiscal_year")).alias("p"))
     return by.select("supplier_key", "place", evidence.period_text(F.col("p")).alias("periods"))
 
 
-@query("n44_date_text", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%-d %B %Y') AS shown FROM orders")
-def n44(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(F.to_date("o_orderdate"), "d MMMM yyyy").alias("shown"))
-
-
 @query("s02_stale", "SELECT event_id, ts < TIMESTAMP '2024-06-01' - INTERVAL 8 DAY AS stale FROM events")
 def s02(spark, sf):
     now = F.lit("2024-06-01").cast("timestamp_ntz")
@@ -124,19 +84,6 @@ def l08(spark, sf):
     return items(spark, sf, "id", "amount").orderBy(F.col("amount").asc_nulls_first(), "id").limit(50).select("id")
 
 
-@query("d13_split_names", "SELECT * FROM (VALUES (1, 'st pauls [bn 111111118]'), (2, 'st pauls [bn 222222226]'), (3, 'st pauls [bn 111111118]'), (4, 'st pauls'), (5, 'acme'), (6, 'acme')) t(id, node)")
-def d13(spark, sf):
-    """One name of two bodies with disjoint places; a record without number joins by its place."""
-    rows = spark.createDataFrame(
-        [
-            (1, "st pauls", "111111118", "A1A1A1", "gander", None), (2, "st pauls", "222222226", "B2B2B2", "corner brook", None), (3, "st pauls", None, "A1A1A1", None, None),
-            (4, "st pauls", None, None, None, None), (5, "acme", "333333334", "A1A1A1", "gander", None), (6, "acme", None, "C3C3C3", None, None),
-        ],
-        "id int, base string, code string, postal string, locality string, anchor string",
-    )
-    return splitting.node_keys(rows).select("id", "node")
-
-
 @query("b01_budget_and_actual", with_items("SELECT fiscal_year, basis, CAST(b AS DOUBLE) AS budget, CAST(a AS DOUBLE) AS actual FROM (SELECT fiscal_year, currency AS basis, sum(amount) FILTER (dataset = 'award') AS b, coalesce(sum(amount) FILTER (dataset = 'contract'), sum(amount) FILTER (dataset = 'notice')) AS a FROM items GROUP BY ALL)"))
 def b01(spark, sf):
     doc = F.when(F.col("dataset") == "award", "budget").otherwise(F.col("dataset"))
@@ -164,8 +111,3 @@ def m10(spark, sf):
     return answers.citation(rows.join(hits.withColumnRenamed("doc_id", "id"), "id", "left_semi")).select("id", F.col("cite.supplier").alias("supplier"), F.col("cite.amount_cad").alias("amount_cad"))
 
 
-@query("n05_french", "SELECT * FROM (VALUES ('Association pour les nouveaux Canadiens', true), ('Association for New Canadians', false)) t(name, french)")
-def n05(spark, sf):
-    rows = spark.createDataFrame([("Association pour les nouveaux Canadiens",), ("Association for New Canadians",)], "name string")
-    words = F.split(names.entity_key_udf("name"), " ")
-    return rows.withColumn("french", F.arrays_overlap(words, F.array(*map(F.lit, names.FRENCH))))

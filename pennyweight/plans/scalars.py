@@ -129,12 +129,6 @@ def n25(spark, sf):
     return keyed.select("c_custkey", "city", closeness.town(F.col("name_key")).alias("locality"))
 
 
-@query("n24_postal_region", "SELECT * FROM (VALUES ('A1A 1A1', true), ('a1a', true), (' A2V1K6 ', true), ('K1A 0B1', false), ('A1D 1A1', false), ('12345', false), ('', false)) t(code, here)")
-def n24(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("A1A 1A1", "a1a", " A2V1K6 ", "K1A 0B1", "A1D 1A1", "12345", "")], "code string")
-    return rows.withColumn("here", codes.in_region(F.col("code")))
-
-
 @query("n48_english_letters", "SELECT doc_id, length(regexp_replace(lower(split_part(text, '|', 1)), '[^a-z0-9]', '', 'g')) AS n FROM documents")
 def n48(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(codes.english_letters(F.col("text"))).cast("long").alias("n"))
@@ -185,12 +179,6 @@ def n15(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.alias("text")).union(odd).select("o_orderkey", dates.read_date(F.col("text")).alias("day"))
 
 
-@query("n17_half_years", "SELECT * FROM (VALUES ('December 1, 2024 to May 31, 2025', DATE '2024-12-01', DATE '2025-05-31'), ('June 2023 - November 2023', DATE '2023-06-01', DATE '2023-11-30')) t(printed, start, \"end\")")
-def n17(spark, sf):
-    rows = spark.createDataFrame([("December 1, 2024 to May 31, 2025",), ("June 2023 - November 2023",)], "printed string")
-    return rows.select("printed", dates.half_year(F.col("printed")).alias("p")).select("printed", "p.*")
-
-
 @query("n20_code_names", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
 def n20(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", codes.code_name(F.col("o_orderstatus"), {"F": "finished", "O": "open"}).alias("status"))
@@ -203,18 +191,6 @@ def n21(spark, sf):
     return table(spark, sf, "part").select("p_partkey", money.currency_code(x).alias("code"))
 
 
-@query("n22_business_number", "SELECT * FROM (VALUES ('107833394RR0083', '107833394RR0083'), ('10783 3394', '107833394'), ('000000000', NULL), ('100012345', NULL), ('123456789', NULL), ('107833394XX0001', NULL)) t(printed, number)")
-def n22(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("107833394RR0083", "10783 3394", "000000000", "100012345", "123456789", "107833394XX0001")], "printed string")
-    return rows.withColumn("number", codes.business_number(F.col("printed")))
-
-
-@query("n23_postal", "SELECT * FROM (VALUES ('a1b 2c3', 'A1B2C3', true), ('K1A-0B1', 'K1A0B1', false), ('12345', NULL, false), ('', NULL, false)) t(printed, postal, here)")
-def n23(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("a1b 2c3", "K1A-0B1", "12345", "")], "printed string")
-    return rows.select("printed", codes.postal(F.col("printed")).alias("postal"), codes.in_region(F.col("printed")).alias("here"))
-
-
 @query("n26_place_of", "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Works, Ltd. ' || c_custkey END AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'Town ' || c_nationkey || ', Newfoundland and Labrador' END AS place FROM customer")
 def n26(spark, sf):
     """Only the last two commas count, and other provinces give nothing."""
@@ -233,12 +209,6 @@ def n30(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(codes.description_key(F.col("text"))).cast("long").alias("n"))
 
 
-@query("n32_person_names", "SELECT * FROM (VALUES ('Jane Roe', true), ('Roe, Jane', true), ('Acme Ltd', false), ('Route 66 Motel', false), ('Jane', false), ('A & B', false)) t(name, person)")
-def n32(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("Jane Roe", "Roe, Jane", "Acme Ltd", "Route 66 Motel", "Jane", "A & B")], "name string")
-    return rows.withColumn("person", codes.looks_like_person(F.col("name")))
-
-
 @query("n37_clip", "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substr(text, 1, 80), '\\s+\\S*$', '') || '…' END AS clipped FROM documents")
 def n37(spark, sf):
     return table(spark, sf, "documents").select("doc_id", codes.clip(F.col("text"), 80).alias("clipped"))
@@ -249,25 +219,6 @@ def n39(spark, sf):
     return table(spark, sf, "part").select("p_partkey", codes.slug(F.concat("p_name", F.lit(" & Co"))).alias("slug"))
 
 
-@query("n40_money_text", "SELECT * FROM (VALUES (1234.5, '$1,234.50', '$1,234'), (-2500000.0, '($2,500,000.00)', '-$2.5 million'), (3000000000.0, '$3,000,000,000.00', '$3 billion'), (NULL, NULL, NULL)) t(x, shown, words)")
-def n40(spark, sf):
-    rows = spark.createDataFrame([(1234.5,), (-2500000.0,), (3e9,), (None,)], "x double")
-    return rows.select("x", money.money_text(F.col("x"), cents=True).alias("shown"), money.money_words(F.col("x")).alias("words"))
-
-
-@query("n40_short_amounts", "SELECT * FROM (VALUES (10600000000.0, '$10.6B', '10,600,000,000'), (459400000.0, '$459M', '459,400,000'), (2500000.0, '$2.5M', '2,500,000'), (3000000.0, '$3M', '3,000,000'), (45069.0, '$45.1K', '45,069'), (145069.0, '$145K', '145,069'), (999.0, '$999', '999')) t(x, short, num) UNION ALL SELECT DISTINCT CAST(n_nationkey AS DOUBLE) AS x, '$' || n_nationkey AS short, CAST(n_nationkey AS VARCHAR) AS num FROM nation")
-def n40b(spark, sf):
-    planted = table(spark, sf, "nation").select(F.col("n_nationkey").cast("double")).distinct()
-    rows = spark.createDataFrame([(x,) for x in (1.06e10, 4.594e8, 2.5e6, 3e6, 45069.0, 145069.0, 999.0)], "x double").union(planted)
-    return rows.select("x", money.money_short(F.col("x")).alias("short"), money.whole_number(F.col("x")).alias("num"))
-
-
-@query("n41_work_time", "SELECT * FROM (VALUES (5200000.0, '100 years', '10,000%'), (130000.0, '2.5 years', '250%'), (104000.0, '2 years', '200%'), (52000.0, '52 weeks', '100%'), (8000.0, '8 weeks', '15%'), (1000.0, '5 working days', '2%'), (200.0, '8 working hours', '0%'), (30.0, '1 working hour', '0%'), (5.0, '11 working minutes', '0%')) t(x, time, share)")
-def n41(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in (5.2e6, 130000.0, 104000.0, 52000.0, 8000.0, 1000.0, 200.0, 30.0, 5.0)], "x double")
-    return rows.select("x", money.work_time(F.col("x"), 52_000).alias("time"), money.percent(F.col("x") / 52_000).alias("share"))
-
-
 _TAX = "greatest(greatest(least(b, 50000) - 0, 0) * 0.1 + greatest(least(b, 1e18) - 50000, 0) * 0.2 - 10000 * 0.1 - greatest(500 - greatest(b - 20000, 0) * 0.05, 0), 0)"
 
 
@@ -301,12 +252,6 @@ def n42b(spark, sf):
     return rows.select("c_custkey", "p.*", "tax")
 
 
-@query("n46_same_detail", "SELECT * FROM (VALUES ('N/A', '', true), ('not stated', 'n a', true), ('2 years', '2  YEARS', true), ('2 years', '3 years', false)) t(a, b, same)")
-def n46(spark, sf):
-    rows = spark.createDataFrame([("N/A", ""), ("not stated", "n a"), ("2 years", "2  YEARS"), ("2 years", "3 years")], "a string, b string")
-    return rows.withColumn("same", codes.same_detail(F.col("a"), F.col("b")))
-
-
 @query("n49_document_number", f"SELECT c_custkey, CASE WHEN c_custkey % 9 IN (0, 1) THEN 0 ELSE {_READ} END AS amount FROM customer")
 def n49(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", money.document_number(_printed()).alias("amount"))
@@ -326,8 +271,3 @@ def n51(spark, sf):
 
 
 
-@query("n60_four_year_rules", "SELECT * FROM (VALUES ('2024-05-01', '2024-25', '2024', '2024', '2024'), ('', '2024-25', '', '2024-25', '2024'), ('', 'calendar 2024', '2024', 'calendar 2024', '2024'), ('', '', '', 'not stated', NULL)) t(d, fy, tag, totals, supplier)")
-def n60(spark, sf):
-    rows = spark.createDataFrame([("2024-05-01", "2024-25"), ("", "2024-25"), ("", "calendar 2024"), ("", "")], "d string, fy string")
-    d, fy = F.col("d"), F.col("fy")
-    return rows.select("d", "fy", dates.tag_year(d, fy).alias("tag"), dates.totals_year(d, fy).alias("totals"), dates.supplier_year(d, fy).alias("supplier"))

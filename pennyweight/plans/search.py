@@ -80,12 +80,6 @@ def q03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query("q04_query_words", "SELECT * FROM (VALUES (0, 'roads'), (1, 'bridges'), (2, 'quebec')) t(place, word)")
-def q04(spark, sf):
-    words = S.query_words("The roads & bridges of Québec, a roads")
-    return spark.createDataFrame(list(enumerate(words)), "place int, word string")
-
-
 @query("q05_match_all_prefixes", f"WITH {_POST} SELECT doc_id FROM posted GROUP BY doc_id HAVING bool_or(starts_with(word, 'th')) AND bool_or(starts_with(word, 'erin'))")
 def q05(spark, sf):
     return S.matching(posted(spark, sf), ["th", "erin"])
