@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import codes, ids, names
 
 # Words that a query does not need.
-STOP = "a an and are as at by for from in is of on or the to was were what who with".split()
+# Words that a query does not ask for.
+STOP = "the and of for to in a an on at by with".split()
 MOST_WORDS = 8
 #: Similarity below this is no hit.
 LEAST_COSINE = 0.42

@@ -35,10 +35,12 @@ def n05(spark, sf):
     return keyed.select("c_custkey", "name", F.arrays_overlap(F.split("name_key", " "), F.array(*map(F.lit, names.FRENCH))).alias("french"))
 
 
-@query("n16_report_period", "SELECT o_orderkey, CASE WHEN k < 3 THEN d END AS start, CASE WHEN k < 3 THEN d + 14 END AS \"end\" FROM (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 240 MONTH AS DATE) AS d FROM orders)")
+@query("n16_report_period", "SELECT o_orderkey, CASE WHEN k < 3 THEN d END AS start, CASE WHEN k < 3 THEN d + 14 END AS \"end\" FROM (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(date_trunc('month', o_orderdate + INTERVAL 240 MONTH) AS DATE) + CASE WHEN day(CAST(o_orderdate AS DATE)) > 15 THEN 15 ELSE 0 END AS d FROM orders)")
 def n16(spark, sf):
     """Headers of half-month reports, with numbers or months in words; one order in four prints none."""
-    day, k = F.add_months(F.to_date("o_orderdate"), 240), F.col("o_orderkey") % 4
+    k = F.col("o_orderkey") % 4
+    later = F.add_months(F.to_date("o_orderdate"), 240)
+    day = F.date_add(F.trunc(later, "month"), F.when(F.dayofmonth(later) > 15, 15).otherwise(0))
     between = lambda how, sep: F.concat(F.date_format(day, how), F.lit(sep), F.date_format(F.date_add(day, 14), how))
     header = F.when(k == 0, F.concat(F.lit("PERIOD: "), between("MM/dd/yyyy", " - "))).when(k == 1, F.concat(F.lit("PERIOD: "), between("MMMM d, yyyy", " - "))).when(k == 2, F.concat(F.lit("BIDS - "), between("MMMM, d'th', yyyy", " to "))).otherwise("no header")
     rows = table(spark, sf, "orders").select("o_orderkey", evidence.report_period(header, F.lit("none.pdf")).alias("p"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..operators import index
 from ..operators import searching as S
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_base
 from .ledger import items, with_items
 from .registry import query, table
 
@@ -141,3 +144,48 @@ def q11(spark, sf):
 def q12(spark, sf):
     rows = items(spark, sf, "id", "supplier", "amount")
     return rows.join(rows.agg(F.min("id").alias("id")), "id", "left_semi").select("id", "supplier", F.col("amount").cast("double").alias("amount"))
+
+
+#: What makes a document, by dataset: the columns of a group, and the items it holds at most.
+_RULES = {"award": (("supplier_key", "place"), 25), "contract": (("supplier_key",), 40), "notice": ((), 1)}
+_PACKED = with_items("""
+, g AS (
+  SELECT *, concat_ws('|', dataset, CASE dataset WHEN 'award' THEN supplier_key || '|' || place WHEN 'contract' THEN CAST(supplier_key AS VARCHAR) ELSE id END) AS grp,
+         CASE dataset WHEN 'award' THEN 25 WHEN 'contract' THEN 40 ELSE 1 END AS cap FROM items
+), numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY id) - 1) // cap AS part, count(*) OVER (PARTITION BY grp) AS size FROM g
+), p AS (
+  SELECT *, dataset || ':' || substr(sha1(grp), 1, 12) || CASE WHEN size > cap THEN ':' || part ELSE '' END AS doc_id FROM numbered
+), said AS (
+  SELECT doc_id, list_distinct(regexp_split_to_array(lower(string_agg(buyer || ' ' || supplier || ' ' || description || ' ' || method, ' ' ORDER BY id)), '[^a-z0-9]+')) AS words FROM p GROUP BY doc_id
+), tagged AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(['#zds' || dataset, '#zlv' || CASE dataset WHEN 'award' THEN 'prov' ELSE 'fede' END, '#zb' || substr(sha1(CAST(buyer_key AS VARCHAR)), 1, 10), '#zs' || substr(sha1(CAST(supplier_key AS VARCHAR)), 1, 10),
+    '#zy' || year(award_date), '#zi' || substr(sha1(id), 1, 10)],
+    CASE WHEN supplier_key % 5 = 0 THEN ['#zn' || substr(sha1(lower(supplier)), 1, 10)] ELSE [] END, CASE WHEN dataset = 'award' THEN ['#zp' || substr(sha1(lower(buyer)), 1, 10)] ELSE [] END,
+    CASE WHEN method = 'Sole source' THEN ['#zfsolesource'] ELSE [] END, CASE WHEN l_quantity >= 45 THEN ['#zflargeorder'] ELSE [] END)) AS tag FROM p
+)""")
+
+
+def _documents(spark, sf):
+    rows = items(spark, sf, "id", "dataset", "buyer_key", "buyer", "place", "supplier_key", "supplier", "description", "method", "award_date", "l_quantity")
+    tags = {
+        "dataset": F.col("dataset"), "level": F.when(F.col("dataset") == "award", "provincial").otherwise("federal"), "buyer": F.col("buyer_key"), "supplier": F.col("supplier_key"),
+        "name": F.when(F.col("supplier_key") % 5 == 0, F.col("supplier")), "person": F.when(F.col("dataset") == "award", F.col("buyer")), "year": F.year("award_date"), "item": F.col("id"),
+    }
+    flags = F.array_compact(F.array(F.when(F.col("method") == "Sole source", "sole-source"), F.when(F.col("l_quantity") >= 45, "large-order")))
+    return index.documents(index.packed(rows, _RULES), [F.col(c) for c in ("buyer", "supplier", "description", "method")], tags, flags)
+
+
+@query("q02_document_terms", f"{_PACKED} SELECT s.doc_id, n_words, tags FROM (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words FROM said) s JOIN (SELECT doc_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM tagged GROUP BY doc_id) t USING (doc_id)")
+def q02b(spark, sf):
+    """Documents by the rule of their dataset, with the words of their bodies and all kinds of tags."""
+    words = F.size(F.array_distinct(S.tokens(F.col("body")))).cast("long")
+    return _documents(spark, sf).select("doc_id", words.alias("n_words"), F.array_join("tags", " ").alias("tags"))
+
+
+@query("q05_words_and_tags", f"{_PACKED} SELECT doc_id FROM said WHERE len(list_filter(words, lambda w: starts_with(w, 'so'))) > 0 AND len(list_filter(words, lambda w: starts_with(w, 'customer'))) > 0 AND doc_id IN (SELECT doc_id FROM tagged WHERE tag = '#zy1997') AND doc_id IN (SELECT doc_id FROM tagged WHERE tag = '#zflargeorder') AND doc_id IN (SELECT doc_id FROM tagged WHERE tag = '#zdscontract')")
+def q05b(spark, sf):
+    """Every word by prefix and every tag, from the index on disk."""
+    found = index.build(_documents(spark, sf), f"{shared_base(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    tags = [index.written_tag(k, v) for k, v in (("year", "1997"), ("flag", "large-order"), ("dataset", "contract"))]
+    return index.search(found, ["so", "customer"], tags)
