@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import once
+from ..operators import once, samples
 from ..operators.lineage import shared_base
-from ..sources import ranges, readers, sinks
+from ..sources import ranges, readers, sinks, vectors
 from ..streaming import incremental
+from .ledger import items, with_items
 from .registry import query, table
 
 
@@ -97,3 +98,54 @@ def x01(spark, sf):
     lines = incremental.new_lines(spark, f"{folder}/in", "key string, user_id long, event_type string, ts timestamp_ntz, event_id long", files=2)
     incremental.keep_latest_into(lines, "key", "ts", f"{folder}/out", f"{folder}/state").awaitTermination()
     return sinks.read_baseline(spark, f"{folder}/out").select("user_id", "event_type", "event_id")
+
+
+@query("k05_vector_store", "SELECT doc_id AS id, md5(t) AS hash, CAST(length(t) AS DOUBLE) AS x, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS y, 0 AS writes FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0)")
+def k05(spark, sf):
+    """A store of vectors after documents were added, changed and taken away, each in batches; a run without changes writes nothing."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    hashed = lambda df: df.withColumn("hash", F.md5("text"))
+    embed = lambda df: df.withColumn("vector", F.array(F.length("text").cast("double"), (F.length("text") - F.length(F.replace("text", F.lit("e")))).cast("double")))
+    store, some = vectors.VectorStore(spark, f"{_folder(spark)}/vectors"), max(1, docs.count() // 2)
+    store.sync(hashed(docs.where("id % 3 <> 0")), embed, some)
+    wanted = hashed(docs.where("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    store.sync(wanted, embed, some)
+    writes = store.sync(wanted, embed, some)["batches"]
+    return store.held().select("id", "hash", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"), F.lit(writes).alias("writes"))
+
+
+_KEEP = {"award": 40, "contract": 60, "notice": 20}
+_SAMPLED = with_items(f"""
+, i AS (SELECT id, dataset, buyer_key, supplier_key, CASE WHEN supplier_key % 3 = 0 THEN supplier || l_linenumber % 2 ELSE supplier END AS name_key, coalesce(amount, 0) AS amount, method, l_quantity FROM items),
+f AS (SELECT 'sole-source' AS flag, id, 'item' AS subject_type, NULL AS subject_key FROM i WHERE method = 'Sole source' AND l_quantity > 45 UNION ALL SELECT 'busy-buyer', NULL, 'buyer', CAST(buyer_key AS VARCHAR) FROM i GROUP BY buyer_key HAVING count(*) >= 70),
+m AS (SELECT id, dataset, id IN (SELECT id FROM f WHERE id IS NOT NULL) AS flagged, CASE dataset WHEN 'award' THEN 40 WHEN 'contract' THEN 60 ELSE 20 END AS n FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, flagged ORDER BY md5(id || ':7'), id) AS r FROM m),
+a AS (SELECT * FROM r WHERE flagged AND r <= n // 2),
+b AS (SELECT r.* FROM r LEFT JOIN (SELECT dataset, count(*) AS taken FROM a GROUP BY 1) t USING (dataset) WHERE NOT flagged AND r <= n - coalesce(taken, 0)),
+c AS (SELECT arg_max(id, (amount, id)) AS id FROM i WHERE CAST(buyer_key AS VARCHAR) IN (SELECT subject_key FROM f WHERE subject_type = 'buyer') GROUP BY buyer_key),
+s AS (SELECT supplier_key FROM i GROUP BY 1 HAVING count(DISTINCT name_key) > 1 AND count(*) <= 60 ORDER BY sum(amount) DESC, supplier_key LIMIT 3),
+k AS (SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM c UNION SELECT id FROM i WHERE supplier_key IN (SELECT supplier_key FROM s))
+""")
+
+
+@query("k10_closed_sample", f"{_SAMPLED} SELECT 'items' AS what, id AS key FROM i WHERE id IN (SELECT id FROM k) UNION ALL SELECT 'flags', flag || ':' || coalesce(id, subject_key) FROM f WHERE id IS NULL OR id IN (SELECT id FROM k) UNION ALL SELECT DISTINCT 'buyers', CAST(buyer_key AS VARCHAR) FROM i WHERE id IN (SELECT id FROM k) UNION ALL SELECT DISTINCT 'suppliers', CAST(supplier_key AS VARCHAR) FROM i WHERE id IN (SELECT id FROM k)")
+def k10(spark, sf):
+    """A seeded sample with its flags, buyers and suppliers, written and read back."""
+    read = items(spark, sf, "id", "dataset", "buyer_key", "supplier_key", "supplier", "amount", "method", "l_quantity", "l_linenumber")
+    name = F.when(F.col("supplier_key") % 3 == 0, F.concat("supplier", (F.col("l_linenumber") % 2).cast("string"))).otherwise(F.col("supplier"))
+    rows = read.select("id", "dataset", "buyer_key", "supplier_key", name.alias("name_key"), F.coalesce("amount", F.lit(0)).alias("amount"), "method", "l_quantity")
+    none = F.lit(None).cast("string")
+    on_items = rows.where("method = 'Sole source' AND l_quantity > 45").select(F.lit("sole-source").alias("flag"), "id", F.lit("item").alias("subject_type"), none.alias("subject_key"))
+    on_buyers = rows.groupBy("buyer_key").count().where("count >= 70").select(F.lit("busy-buyer").alias("flag"), none.alias("id"), F.lit("buyer").alias("subject_type"), F.col("buyer_key").cast("string").alias("subject_key"))
+    flags = on_items.unionByName(on_buyers)
+    keyed = rows.withColumn("buyer_key", F.col("buyer_key").cast("string"))
+    ids = samples.chosen(keyed, flags, _KEEP, 7)
+    buyers = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("buyer_key"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier_key"))
+    path, out = _folder(spark), None
+    keys = {"items": F.col("id"), "flags": F.concat_ws(":", "flag", F.coalesce("id", "subject_key")), "buyers": F.col("buyer_key"), "suppliers": F.col("supplier_key").cast("string")}
+    for name_, df in samples.closed(ids, keyed, flags, buyers=(buyers, "buyer_key"), suppliers=(suppliers, "supplier_key")).items():
+        sinks.write_table(df, f"{path}/{name_}")
+        part = spark.read.parquet(f"{path}/{name_}").select(F.lit(name_).alias("what"), keys[name_].alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import searching, totals
+from ..operators import conform, searching, totals
 from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
@@ -127,3 +127,36 @@ def b04(spark, sf):
 @query("n56_citation", with_items("SELECT id, list_last(string_split(id, '-')) AS short, CASE WHEN currency = 'CAD' THEN CAST(amount AS DOUBLE) END AS amount_cad FROM items WHERE dataset = 'award'"))
 def n56(spark, sf):
     return A.citation(items(spark, sf, "id", "dataset", "currency", "buyer", "supplier", "amount", "award_date").where("dataset = 'award'")).select("id", "short", F.col("cite.amount_cad").alias("amount_cad"))
+
+
+_ID = "'{d}-' || substr(sha1(concat_ws('|', {r})), 1, 12)"
+_SOURCES = {
+    "contract": ("lineitem", "l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT)", "'Body ' || l_orderkey % 50", "'S' || l_suppkey", "NULL", "CAST(l_extendedprice AS DECIMAL(18,2))", "CASE l_linestatus WHEN 'F' THEN 'CAD' ELSE 'USD' END", "CAST(l_shipdate AS DATE)", [("discount", "l_discount * 0"), ("flag", "nullif(l_returnflag, 'N')")]),
+    "grant": ("orders", "o_orderkey", "'Fund'", "'C' || o_custkey", "NULL", "CAST(o_totalprice AS DECIMAL(18,2))", "'CAD'", "CAST(o_orderdate AS DATE)", [("priority", "CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE o_orderpriority END")]),
+    "pay": ("customer", "c_custkey", "c_mktsegment", "NULL", "c_name", "CAST(c_acctbal AS DECIMAL(18,2))", "'CAD'", "NULL", [("nation", "c_nationkey")]),
+    "claim": ("events", "event_id", "'House'", "NULL", "'Member ' || user_id", "CAST(value AS DECIMAL(18,2))", "'CAD'", "CAST(ts AS DATE)", [("kind", "event_type"), ("note", "CASE WHEN user_id % 2 = 0 THEN props ELSE '' END")]),
+    "award": ("part", "p_partkey", "p_brand", "'P' || p_size", "NULL", "CAST(p_retailprice AS DECIMAL(18,2))", "'CAD'", "NULL", [("size", "p_size - p_size")]),
+}
+_CONFORMED = " UNION ALL ".join(
+    f"SELECT {_ID.format(d=d, r=r)} AS id, '{d}' AS dataset, {b} AS buyer, {s} AS supplier, {p} AS person, CAST({a} AS DOUBLE) AS amount, {c} AS currency, {day} AS date, "
+    f"concat_ws(';', {', '.join(f'CASE WHEN CAST({v} AS VARCHAR) <> {chr(39) * 2} THEN {chr(39)}{k}={chr(39)} || CAST({v} AS VARCHAR) END' for k, v in more)}) AS extra FROM {t}"
+    for d, (t, r, b, s, p, a, c, day, more) in _SOURCES.items()
+)
+
+
+@query("n47_conformed_sources", _CONFORMED)
+def n47(spark, sf):
+    """Five sources on one schema, each a declaration of where its fields come from."""
+    day = lambda c: F.to_date(c)
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    lines = table(spark, sf, "lineitem").withColumn("_quantity", F.col("l_quantity").cast("long"))
+    parts = [
+        conform.conform(lines, "contract", {"buyer": F.concat(F.lit("Body "), (F.col("l_orderkey") % 50).cast("string")), "supplier": text("S", "l_suppkey"), "amount": "l_extendedprice", "currency": F.when(F.col("l_linestatus") == "F", "CAD").otherwise("USD"), "date": day("l_shipdate")},
+                        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "_quantity"], {"discount": F.col("l_discount") * 0, "flag": F.nullif("l_returnflag", F.lit("N"))}),
+        conform.conform(table(spark, sf, "orders"), "grant", {"buyer": F.lit("Fund"), "supplier": text("C", "o_custkey"), "amount": "o_totalprice", "currency": F.lit("CAD"), "date": day("o_orderdate")}, ["o_orderkey"], {"priority": F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority"))}),
+        conform.conform(table(spark, sf, "customer"), "pay", {"buyer": "c_mktsegment", "person": "c_name", "amount": "c_acctbal", "currency": F.lit("CAD")}, ["c_custkey"], {"nation": "c_nationkey"}),
+        conform.conform(table(spark, sf, "events"), "claim", {"buyer": F.lit("House"), "person": text("Member ", "user_id"), "amount": "value", "currency": F.lit("CAD"), "date": day("ts")}, ["event_id"], {"kind": "event_type", "note": F.when(F.col("user_id") % 2 == 0, F.col("props")).otherwise("")}),
+        conform.conform(table(spark, sf, "part"), "award", {"buyer": "p_brand", "supplier": text("P", "p_size"), "amount": "p_retailprice", "currency": F.lit("CAD")}, ["p_partkey"], {"size": F.col("p_size") - F.col("p_size")}),
+    ]
+    said = F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return conform.ledger(*parts).select("id", "dataset", "buyer", "supplier", "person", F.col("amount").cast("double").alias("amount"), "currency", "date", said.alias("extra"))
