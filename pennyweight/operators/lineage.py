@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
+
+
+def sorted_table(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by ranges and sorted, so that filters on ``by`` read few row groups."""
+    path = f"{shared_base(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", 1 << 20).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

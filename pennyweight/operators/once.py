@@ -64,16 +64,14 @@ def repeats(items: DataFrame, order: list[str]) -> DataFrame:
         "_term": codes.detail_key(F.col("term")),
         "_renewal": codes.detail_key(F.col("renewal")),
     }
-    full = (F.col("_contract") != "") & (F.col("_text") != "") & (F.col("currency") == "CAD")
+    full = (key["_contract"] != "") & (key["_text"] != "") & (F.col("currency") == "CAD")
     for c in ("amount", "supplier_key", "award_date", "buyer_key"):
         full = full & F.col(c).isNotNull()
-    full = F.coalesce(full, F.lit(False))
-    marked = items.withColumns(key).withColumn("_full", full)
-    group = W.partitionBy("_contract", "supplier_key", "amount", "award_date", "buyer_key", "_text", "_term", "_renewal").orderBy(*order)
-    met = marked.where("_full").withColumns({"counted_id": F.first("id").over(group), "printing": F.row_number().over(group)})
-    # rows that stand for themselves need no shuffle
-    alone = marked.where("NOT _full").withColumns({"counted_id": F.col("id"), "printing": F.lit(1)})
-    return met.unionByName(alone).drop("_full", *key)
+    # rows that stand for themselves are groups of their own, so one scan and one shuffle do
+    alone = F.when(~F.coalesce(full, F.lit(False)), F.col("id"))
+    marked = items.withColumns(key).withColumn("_alone", alone)
+    group = W.partitionBy("_contract", "supplier_key", "amount", "award_date", "buyer_key", "_text", "_term", "_renewal", "_alone").orderBy(*order)
+    return marked.withColumns({"counted_id": F.first("id").over(group), "printing": F.row_number().over(group)}).drop("_alone", *key)
 
 
 def review(marked: DataFrame, reviews: DataFrame) -> DataFrame:

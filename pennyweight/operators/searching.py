@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, ids, names
 
-# Words that a query does not need.
 # Words that a query does not ask for.
 STOP = "the and of for to in a an on at by with".split()
 MOST_WORDS = 8
@@ -29,6 +29,32 @@ def query_words(q: str) -> list[str]:
     return list(dict.fromkeys(found))[:MOST_WORDS]
 
 
+def decompositions(docs: DataFrame, text: str) -> dict[str, str]:
+    """What each character beyond ASCII that the texts hold is read as: its letters without marks, or a break between words.
+
+    The characters of a corpus are some thousand at most, whatever its size
+    (Unicode itself bounds them), so they are collected and decomposed once.
+    """
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("([^\\x00-\\x7F])"), F.lit(1)))).alias("c")).distinct()
+    out = {}
+    for (c,) in found.collect():
+        parts = [x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f"]
+        out[c] = "".join(x if x.isascii() else " " for x in parts)
+    return out
+
+
+def decomposed_words(docs: DataFrame, text: str, name: str = "words") -> DataFrame:
+    """``docs`` with the words of a text by Unicode decomposition: letters that do not decompose split words."""
+    read = decompositions(docs, text)
+    single = {c: x for c, x in read.items() if len(x) == 1}
+    gone = "".join(c for c, x in read.items() if not x)  # marks standing alone
+    plain = F.translate(F.col(text), "".join(single) + gone, "".join(single.values()))
+    for c, x in read.items():
+        if len(x) > 1:
+            plain = F.replace(plain, F.lit(c), F.lit(x))
+    return docs.withColumn(name, F.filter(F.split(F.lower(plain), "[^a-z0-9]+"), lambda w: w != ""))
+
+
 def asked(text: Column) -> Column:
     """The query words of a column of queries."""
     words = F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import index
 from ..operators import searching as S
-from ..operators.lineage import cut, shared_base
+from ..operators.lineage import shared_base, sorted_table
 from .ledger import items, with_items
 from .registry import query, table
 
@@ -20,7 +20,7 @@ _POST = f"posted AS (SELECT word, doc_id, count(*) AS tf FROM (SELECT doc_id, un
 def posted(spark, sf, kept=False):
     """Postings of the documents; ``kept``: written once, for queries that read them several times."""
     found = S.postings(table(spark, sf, "documents"))
-    return cut(found) if kept else found
+    return sorted_table(found, "word") if kept else found
 
 
 @query("q01_pack_documents", with_items("SELECT supplier_key, currency, CAST((r - 1) // 40 AS BIGINT) AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT supplier_key, currency, id, row_number() OVER (PARTITION BY supplier_key, currency ORDER BY id) AS r FROM items) GROUP BY ALL"))
@@ -83,6 +83,13 @@ def q03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
+@query("q03_decomposed_words", f"SELECT doc_id, len({_TOK}) AS n, len(list_distinct({_TOK})) AS n_distinct FROM documents")
+def q03b(spark, sf):
+    """Words by Unicode decomposition of the corpus's own characters."""
+    found = S.decomposed_words(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.size("words").cast("long").alias("n"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))
+
+
 @query("q05_match_all_prefixes", f"WITH {_POST} SELECT doc_id FROM posted GROUP BY doc_id HAVING bool_or(starts_with(word, 'th')) AND bool_or(starts_with(word, 'erin'))")
 def q05(spark, sf):
     return S.matching(posted(spark, sf), ["th", "erin"])

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import conform, searching, totals
+from ..operators import conform, pages, searching, totals
 from .ledger import OVERLAP, items, with_items
 from .registry import query, table
 
@@ -160,3 +160,53 @@ def n47(spark, sf):
     ]
     said = F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return conform.ledger(*parts).select("id", "dataset", "buyer", "supplier", "person", F.col("amount").cast("double").alias("amount"), "currency", "date", said.alias("extra"))
+
+
+_NAMED = "n AS (SELECT *, CASE WHEN supplier_key % 4 = 0 AND l_linenumber % 2 = 0 THEN supplier || ' Ltd' ELSE supplier END AS printed, CASE WHEN supplier_key % 4 = 0 AND l_linenumber % 2 = 0 THEN supplier || ' ltd' ELSE CAST(supplier_key AS VARCHAR) END AS name_key, CASE WHEN currency = 'CAD' THEN coalesce(amount, 0) ELSE 0 END AS a FROM items)"
+_MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+@query("a08_supplier_pages", with_items(f"""
+, {_NAMED},
+base AS (SELECT supplier_key, CAST(sum(CASE WHEN dataset <> 'notice' THEN a ELSE 0 END) AS DOUBLE) AS total, CAST(sum(CASE WHEN dataset = 'notice' THEN a ELSE 0 END) AS DOUBLE) AS overlap, count(*) AS n FROM n GROUP BY 1),
+shown AS (SELECT supplier_key, arg_min(printed, (-c, printed)) AS name FROM (SELECT supplier_key, printed, count(*) AS c FROM n GROUP BY ALL) GROUP BY 1),
+src AS (SELECT supplier_key, string_agg(dataset || ':' || c || ':' || {_MONEY.format('v')}, ',' ORDER BY dataset) AS by_source FROM (SELECT supplier_key, dataset, count(*) AS c, sum(a) AS v FROM n GROUP BY ALL) GROUP BY 1),
+yrs AS (SELECT supplier_key, string_agg(y || ':' || {_MONEY.format('v')}, ',' ORDER BY y) AS by_year FROM (SELECT supplier_key, year(award_date) AS y, sum(a) AS v FROM n WHERE dataset <> 'notice' GROUP BY ALL) GROUP BY 1),
+buy AS (SELECT supplier_key, count(*) AS buyers, arg_min(buyer, (-v, buyer)) AS first_buyer FROM (SELECT supplier_key, buyer, sum(a) AS v FROM n GROUP BY ALL) GROUP BY 1),
+cmb AS (SELECT supplier_key, string_agg(name_key || ':' || c || ':' || {_MONEY.format('v')}, ',' ORDER BY c DESC, name_key) AS combined FROM (SELECT supplier_key, name_key, count(*) AS c, sum(CASE WHEN dataset <> 'notice' THEN a ELSE 0 END) AS v FROM n GROUP BY ALL) GROUP BY 1 HAVING count(*) > 1),
+flg AS (SELECT supplier_key, string_agg(method || ':' || c, ',' ORDER BY method) AS flags FROM (SELECT supplier_key, method, count(*) AS c FROM n WHERE method <> 'Open call' GROUP BY ALL) GROUP BY 1),
+tops AS (SELECT supplier_key, string_agg(id, ',' ORDER BY r) AS top FROM (SELECT supplier_key, id, row_number() OVER (PARTITION BY supplier_key ORDER BY coalesce(amount, 0) DESC, id) AS r FROM n) WHERE r <= 40 GROUP BY 1)
+SELECT * FROM base JOIN shown USING (supplier_key) JOIN src USING (supplier_key) LEFT JOIN yrs USING (supplier_key) JOIN buy USING (supplier_key) LEFT JOIN cmb USING (supplier_key) LEFT JOIN flg USING (supplier_key) JOIN tops USING (supplier_key)
+"""))
+def a08b(spark, sf):
+    """Everything that a supplier's page shows, from one reading of the ledger."""
+    rows = _named(spark, sf)
+    flags = rows.where("method <> 'Open call'").select(F.col("method").alias("flag"), "id")
+    found = pages.supplier_pages(rows, flags, OVERLAP)
+    listed = lambda c, *fields: F.array_join(F.transform(c, lambda r: F.concat_ws(":", *(r[f].cast("decimal(18,2)").cast("string") if f == "a" else r[f].cast("string") for f in fields))), ",")
+    return found.select(
+        "supplier_key", "name", F.col("total").cast("double").alias("total"), F.col("overlap").cast("double").alias("overlap"), "n", listed("by_source", "dataset", "n", "a").alias("by_source"), listed("by_year", "year", "a").alias("by_year"),
+        F.size("buyers").cast("long").alias("buyers"), F.col("buyers")[0]["buyer"].alias("first_buyer"), listed("combined", "name_key", "n", "a").alias("combined"), listed("flags", "flag", "n").alias("flags"), listed("top", "id").alias("top"),
+    )
+
+
+def _named(spark, sf):
+    rows = items(spark, sf, "id", "dataset", "currency", "buyer", "supplier_key", "supplier", "amount", "award_date", "method", "l_linenumber")
+    joined = (F.col("supplier_key") % 4 == 0) & (F.col("l_linenumber") % 2 == 0)
+    return rows.select(
+        "id", "dataset", "currency", "buyer", "supplier_key", "amount", "method", F.year("award_date").alias("year"),
+        F.when(joined, F.concat("supplier", F.lit(" Ltd"))).otherwise(F.col("supplier")).alias("supplier"), F.when(joined, F.concat("supplier", F.lit(" ltd"))).otherwise(F.col("supplier_key").cast("string")).alias("name_key"),
+    )
+
+
+@query("m03_redirects", with_items(f", {_NAMED} SELECT substr(sha1(name_key), 1, 10) AS alias, min(supplier_key) AS supplier_key FROM n WHERE name_key <> CAST(supplier_key AS VARCHAR) GROUP BY name_key HAVING count(DISTINCT supplier_key) = 1"))
+def m03b(spark, sf):
+    """Where the address of a name that was joined into a supplier leads."""
+    return pages.redirects(_named(spark, sf))
+
+
+@query("m03_close_names", "SELECT s_name AS name, CASE WHEN s_name = 'Supplier#000000000' THEN 0 ELSE 1 END AS how FROM supplier WHERE damerau_levenshtein(lower(s_name), 'supplier#000000000') <= 2 ORDER BY how, s_name LIMIT 5")
+def m03c(spark, sf):
+    """What a name may mean: the supplier of all its words, then names a slip or two away."""
+    known = table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    return pages.close_names(known, known.agg(F.min("name")).first()[0])

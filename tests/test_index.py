@@ -1,10 +1,12 @@
 """The index of terms on disk: what it finds, and what it reads."""
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from pennyweight.operators import index
+from pennyweight.operators import index, searching
 
 
 def test_search_finds_words_and_tags(spark, tmp_path):
@@ -34,3 +36,15 @@ def test_tags_are_what_is_asked_for(spark):
     row = spark.range(1).select(*(index.tag(k, F.lit(v)).alias(k) for k, v in values.items()), index.tag("year", F.lit("n/a")).alias("odd"), index.tag("buyer", F.lit("")).alias("blank")).first()
     assert {k: row[k] for k in values} == {k: index.written_tag(k, v) for k, v in values.items()}
     assert row["odd"] is None and row["blank"] is None
+
+
+def test_words_by_decomposition(spark):
+    texts = ["Évêque ﬁn ½ cup", "smørbrød straße", "I\u0307stanbul e\u0301t ㎏", "ŉ日本go", "plain", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+
+    def words(t):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f").lower()
+        return [w for w in re.split("[^a-z0-9]+", kept) if w]
+
+    for x in searching.decomposed_words(frame, "text").collect():
+        assert x["words"] == (None if x["text"] is None else words(x["text"])), x["text"]
