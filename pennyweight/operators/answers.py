@@ -109,6 +109,27 @@ def budget_against_actual(facts: DataFrame, keys: list[str], documents: list[str
     return wide.select(*keys, "basis", F.col("budget"), actual.alias("actual"), (actual - F.col("budget")).alias("difference"))
 
 
+def budget_pairs(facts: DataFrame, keys: list[str], measures: list[str], documents: list[str]) -> DataFrame:
+    """A row for each of ``keys`` and basis, with a struct of budget, actual and difference for each measure.
+
+    ``facts``: ``keys, basis, measure, doc, amount, source, page``.  ``status`` says whether
+    actuals are published; sources are links to pages, of the budget and of
+    the document that the actual comes from.
+    """
+    link = F.when(F.col("source").isNotNull(), F.concat("source", F.lit("#page="), F.col("page").cast("string")))
+    rank = F.coalesce(*(F.when(F.col("doc") == d, k) for k, d in enumerate(documents)))
+    stated = facts.where("amount IS NOT NULL").withColumns({"_budget": F.col("doc") == "budget", "_rank": rank, "_link": link})
+    # of each side the first document that states it counts
+    sums = stated.groupBy(*keys, "basis", "measure", "_budget", "_rank").agg(F.sum("amount").alias("a"), F.min("_link").alias("link"))
+    first = lambda budget: F.min(F.when(F.col("_budget") == budget, F.struct("_rank", "a", "link")))
+    sides = sums.groupBy(*keys, "basis", "measure").agg(first(True).alias("b"), first(False).alias("c"))
+    pair = F.struct(F.col("b.a").alias("budget"), F.col("c.a").alias("actual"), (F.col("c.a") - F.col("b.a")).alias("difference"))
+    made = {m: F.max(F.when(F.col("measure") == m, pair)).alias(m) for m in measures}
+    published = F.max(F.col("c").isNotNull())
+    out = sides.groupBy(*keys, "basis").agg(*made.values(), F.when(published, "published").otherwise("not yet published").alias("status"), F.min("b.link").alias("budget_source"), F.min("c.link").alias("actual_source"))
+    return out
+
+
 def to_thousands(x):
     """Rounded to thousands, halves upward."""
     return F.floor(x / 1000 + F.lit(0.5)) * 1000

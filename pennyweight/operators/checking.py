@@ -85,3 +85,16 @@ def statement_checks(figures: DataFrame, terms: list[tuple]) -> DataFrame:
     sums = met.groupBy("year", "check", "tolerance", "need_a", "need_b").agg(*(total(s).alias(s) for s in "ab"), *(F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ab"))
     whole = lambda s: F.when(F.col(f"n_{s}") == F.col(f"need_{s}"), F.col(s).cast("double")).alias(s)
     return sums.select("year", "check", whole("a"), whole("b"), "tolerance").withColumn("ok", F.coalesce(F.abs(F.col("a") - F.col("b")) <= F.col("tolerance"), F.lit(False))).drop("tolerance")
+
+
+def three_ways(detail: DataFrame, printed: DataFrame, listed: DataFrame, keys: list[str], tolerance: float = 0.005) -> DataFrame:
+    """Sums of parsed lines beside the total that their report prints and the one its listing shows.
+
+    ``lines_ok`` compares lines with the report, ``listing_ok`` the listing with the
+    report; a figure that is not stated is not compared and gives null.
+    """
+    sums = detail.groupBy(*keys).agg(F.sum("amount").alias("lines"))
+    side = lambda df, name: df.select(*keys, F.col("amount").alias(name))
+    both = sums.join(side(printed, "printed"), keys, "full_outer").join(side(listed, "listed"), keys, "full_outer")
+    agree = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), within(F.col(a), F.col(b), tolerance))
+    return both.withColumns({"lines_ok": agree("lines", "printed"), "listing_ok": agree("listed", "printed")})

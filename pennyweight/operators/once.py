@@ -123,15 +123,21 @@ def anchored_clusters(df: DataFrame, keys: list[str], day: str, days: int, field
     return df.select(*keys, day, *fields).join(anchors, [*keys, day])
 
 
-def fold_renamed(groups: DataFrame, org: str, number: str, start: str, program: str, key: str) -> DataFrame:
-    """Renamed recipients: groups of one organisation and number are absorbed by the
-    single original among them when start date or program agrees."""
-    same = W.partitionBy(org, number)
-    originals = groups.withColumn("_originals", F.sum(F.col("is_original").cast("int")).over(same))
-    first = originals.where("is_original AND _originals = 1").select(org, number, F.col(key).alias("_into"), F.col(start).alias("_start"), F.col(program).alias("_program"))
-    joined = groups.join(first, [org, number], "left")
-    moves = (F.col("_into") != F.col(key)) & ((F.col(start) == F.col("_start")) | (F.col(program) == F.col("_program")))
-    return joined.withColumn("folded_into", F.when(F.coalesce(moves, F.lit(False)), F.col("_into")).otherwise(F.col(key))).drop("_into", "_start", "_program")
+def fold_renamed(groups: DataFrame, org: str, number: str, start: str, program: str, key: str, letters: int = 15) -> DataFrame:
+    """Renamed recipients: ``folded_into`` says which group of one organisation and number absorbs a group.
+
+    Home is the only original group, or the first by ``key`` where none is;
+    with several originals nothing is folded.  A group goes home if its
+    start agrees, the first letters of its program do, or either program is blank.
+    """
+    plain = F.substring(F.regexp_replace(F.lower(F.coalesce(F.col(program).cast("string"), F.lit(""))), "[^a-z0-9]", ""), 1, letters)
+    marked = groups.withColumns({"_program": plain, "_late": F.when(F.col("is_original"), 0).otherwise(1)})
+    first = F.min(F.struct("_late", F.col(key).alias("key"), F.col(start).alias("start"), F.col("_program").alias("program")))
+    homes = marked.groupBy(org, number).agg(first.alias("_home"), F.sum(1 - F.col("_late")).alias("_originals")).where("_originals <= 1")
+    joined = marked.join(homes, [org, number], "left")
+    alike = F.col(start).eqNullSafe(F.col("_home.start")) | (F.col("_program") == F.col("_home.program")) | (F.col("_program") == "") | (F.col("_home.program") == "")
+    into = F.when(F.col("_home").isNotNull() & alike, F.col("_home.key")).otherwise(F.col(key))
+    return joined.withColumn("folded_into", into).drop("_program", "_late", "_home", "_originals")
 
 
 def changed(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -153,3 +159,11 @@ def sync_plan(stored: DataFrame, wanted: DataFrame, key: str, content: str, most
     if most_writes is not None and (n := plan.count()) > most_writes:
         raise ValueError(f"the plan has {n} writes; at most {most_writes} are allowed")
     return plan
+
+
+def net_changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """What moved between the keys of two ledgers of the same records; raises unless the movements cancel out."""
+    moved = changed(before, after, keys, value)
+    total = moved.agg(F.coalesce(F.sum("change"), F.lit(0)).alias("_net"))
+    checked = F.when(F.col("_net") == 0, F.col("change")).otherwise(F.raise_error(F.concat(F.lit("changes do not cancel out: "), F.col("_net").cast("string"))))
+    return moved.crossJoin(F.broadcast(total)).withColumn("change", checked).drop("_net")  # one row

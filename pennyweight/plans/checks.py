@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import answers
 from ..operators import checking as C
 from .ledger import items, with_items
 from .registry import query, table
@@ -133,3 +134,33 @@ def v02b(spark, sf):
     stated = [figure(year, d, m, F.col(f"{d}_{m}")) for d, m in _FIGURES]
     restated = figure(year + 1, "report", "prior", F.col("report_net") + year % 2)
     return C.statement_checks(wide.select(F.inline(F.array(*stated, restated))), _TERMS)
+
+
+@query("v05_three_ways", """
+WITH l AS (SELECT l_orderkey AS claim, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS lines FROM lineitem GROUP BY 1),
+p AS (SELECT claim, lines + CASE WHEN claim % 11 = 0 THEN 1 ELSE 0 END AS printed FROM l WHERE claim % 7 <> 0),
+w AS (SELECT claim, lines - CASE WHEN claim % 13 = 0 THEN 5 ELSE 0 END AS listed FROM l WHERE claim % 5 <> 0 UNION ALL SELECT -1, 10)
+SELECT claim, CAST(lines AS DOUBLE) AS lines, CAST(printed AS DOUBLE) AS printed, CAST(listed AS DOUBLE) AS listed, lines = printed AS lines_ok, listed = printed AS listing_ok FROM l FULL JOIN p USING (claim) FULL JOIN w USING (claim)""")
+def v05(spark, sf):
+    """Parsed lines, printed total and listed total of every claim; some totals planted wrong, some missing."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    sums, k = lines.groupBy("claim").agg(F.sum("amount").alias("amount")), F.col("claim")
+    printed = sums.where(k % 7 != 0).withColumn("amount", F.col("amount") + F.when(k % 11 == 0, 1).otherwise(0))
+    listed = sums.where(k % 5 != 0).withColumn("amount", F.col("amount") - F.when(k % 13 == 0, 5).otherwise(0)).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(10)))
+    found = C.three_ways(lines, printed, listed, ["claim"])
+    return found.select("claim", *(F.col(c).cast("double").alias(c) for c in ("lines", "printed", "listed")), "lines_ok", "listing_ok")
+
+
+@query("b05_budget_pairs", with_items("""
+, f AS (SELECT fiscal_year, currency AS basis, CASE WHEN l_linenumber < 4 THEN 'spending' ELSE 'revenue' END AS measure, CASE dataset WHEN 'award' THEN 'budget' ELSE dataset END AS doc, amount, l_linenumber AS page FROM items WHERE amount IS NOT NULL AND NOT (dataset = 'contract' AND l_linenumber = 5)),
+s AS (SELECT fiscal_year, basis, measure, doc, sum(amount) AS a, min('https://example.org/' || doc || '#page=' || page) AS link FROM f GROUP BY ALL),
+m AS (SELECT fiscal_year, basis, measure, max(a) FILTER (doc = 'budget') AS b, coalesce(max(a) FILTER (doc = 'contract'), max(a) FILTER (doc = 'notice')) AS c, max(link) FILTER (doc = 'budget') AS bl, coalesce(max(link) FILTER (doc = 'contract'), max(link) FILTER (doc = 'notice')) AS cl FROM s GROUP BY ALL)
+SELECT fiscal_year, basis, CAST(max(b) FILTER (measure = 'spending') AS DOUBLE) AS budget, CAST(max(c) FILTER (measure = 'spending') AS DOUBLE) AS actual, CAST(max(c - b) FILTER (measure = 'revenue') AS DOUBLE) AS revenue_difference,
+  CASE WHEN max(c) IS NOT NULL THEN 'published' ELSE 'not yet published' END AS status, min(bl) AS budget_source, min(cl) AS actual_source FROM m GROUP BY ALL"""))
+def b05(spark, sf):
+    """Pairs of budget and actual by year and basis, with differences, status and the pages they come from."""
+    rows = items(spark, sf, "dataset", "currency", "amount", "fiscal_year", "l_linenumber").where("amount IS NOT NULL AND NOT (dataset = 'contract' AND l_linenumber = 5)")
+    doc = F.when(F.col("dataset") == "award", "budget").otherwise(F.col("dataset"))
+    facts = rows.select("fiscal_year", F.col("currency").alias("basis"), F.when(F.col("l_linenumber") < 4, "spending").otherwise("revenue").alias("measure"), doc.alias("doc"), "amount", F.concat(F.lit("https://example.org/"), doc).alias("source"), F.col("l_linenumber").alias("page"))
+    out = answers.budget_pairs(facts, ["fiscal_year"], ["spending", "revenue"], ["budget", "contract", "notice"])
+    return out.select("fiscal_year", "basis", F.col("spending.budget").cast("double").alias("budget"), F.col("spending.actual").cast("double").alias("actual"), F.col("revenue.difference").cast("double").alias("revenue_difference"), "status", "budget_source", "actual_source")

@@ -162,3 +162,14 @@ def d19(spark, sf):
     rows = items(spark, sf, "supplier_key", "amount", "l_linenumber")
     total = lambda df: df.groupBy("supplier_key").agg(F.sum("amount").cast("double").alias("v"))
     return once.changed(total(rows), total(rows.where("l_linenumber <> 1")), ["supplier_key"], "v").drop("change")
+
+
+@query("d19_split_movements", with_items("SELECT key, CAST(sum(before) AS DOUBLE) AS before, CAST(sum(after) AS DOUBLE) AS after, CAST(sum(coalesce(after, 0) - coalesce(before, 0)) AS DOUBLE) AS change FROM (SELECT CAST(supplier_key AS VARCHAR) AS key, amount AS before, NULL AS after FROM items WHERE amount IS NOT NULL UNION ALL SELECT supplier_key || CASE WHEN supplier_key % 5 = 0 AND l_linenumber < 3 THEN ' [split]' ELSE '' END, NULL, amount FROM items WHERE amount IS NOT NULL) GROUP BY key HAVING sum(before) IS DISTINCT FROM sum(after)"))
+def d19b(spark, sf):
+    """Two ledgers before and after suppliers were split: what moved, which must cancel out."""
+    rows = items(spark, sf, "supplier_key", "amount", "l_linenumber").where("amount IS NOT NULL")
+    own = F.col("supplier_key").cast("string")
+    split = F.concat(own, F.when((F.col("supplier_key") % 5 == 0) & (F.col("l_linenumber") < 3), " [split]").otherwise(""))
+    total = lambda key: rows.groupBy(key.alias("key")).agg(F.sum("amount").alias("v"))
+    out = once.net_changes(total(own), total(split), ["key"], "v")
+    return out.select("key", *(F.col(c).cast("double").alias(c) for c in ("before", "after", "change")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from ..operators import patterns
 from .ledger import items, with_items
 from .registry import query, table
@@ -67,9 +68,12 @@ def p05b(spark, sf):
     return _near(spark, sf)[1].withColumn("limit_value", F.col("limit_value").cast("double"))
 
 
-@query("p06a_split_same_day", with_items("SELECT supplier_key, period_end AS day, category AS what, count(*) AS invoices, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE amount > 0 AND amount < 34700 GROUP BY ALL HAVING count(*) >= 2 AND sum(amount) >= 34700"))
+@query("p06a_split_same_day", with_items("SELECT supplier_key, period_end AS day, category AS what, count(*) AS invoices, CAST(sum(amount) AS DOUBLE) AS value FROM items WHERE amount > 0 AND amount < 34700 AND supplier_key % 3 <> 0 GROUP BY ALL HAVING count(*) >= 2 AND sum(amount) >= 34700"))
 def p06a(spark, sf):
-    return patterns.split_same_day(items(spark, sf, "supplier_key", "category", "amount", "period_end").withColumnsRenamed({"period_end": "day", "category": "what"}), 34700)
+    """Small bills of one firm on one day; payees whose names are people's are left out."""
+    rows = items(spark, sf, "supplier_key", "category", "amount", "period_end").withColumnsRenamed({"period_end": "day", "category": "what"})
+    payee = F.when(F.col("supplier_key") % 3 == 0, F.concat(F.lit("Pat Number"), "supplier_key")).otherwise(F.concat(F.lit("Supplier "), "supplier_key", F.lit(" Ltd")))
+    return patterns.split_same_day(rows, 34700, codes.looks_like_person(F.regexp_replace(payee, "[0-9]", "x")))
 
 
 P06B = """

@@ -147,11 +147,15 @@ def j24(spark, sf):
     return out.select("o_orderkey", F.coalesce("details", F.lit(0)).cast("long").alias("details"), F.coalesce("q", F.lit(0.0)).cast("long").alias("quantity"))
 
 
-@query("j25_fold_renamed", """
-WITH g AS (SELECT l_suppkey AS org, l_partkey AS number, l_returnflag AS name, min(CAST(l_shipdate AS DATE)) AS start, min(l_linestatus) AS program, bool_or(l_linenumber = 1) AS is_original FROM lineitem GROUP BY ALL),
-o AS (SELECT org, number, min(name) AS into_, min(start) AS s, min(program) AS p FROM g WHERE is_original GROUP BY ALL HAVING count(*) = 1)
-SELECT g.org, g.number, g.name, CASE WHEN o.into_ <> g.name AND (g.start = o.s OR g.program = o.p) THEN o.into_ ELSE g.name END AS folded_into FROM g LEFT JOIN o USING (org, number)""")
+_PROGRAM = "CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 2 = 0 THEN 'Fisheries and wharves ' || l_linestatus ELSE l_linestatus || ' fund' END"
+
+
+@query("j25_fold_renamed", f"""
+WITH g AS (SELECT l_suppkey AS org, l_partkey % 50 AS number, l_returnflag || l_linenumber AS name, min(CAST(l_shipdate AS DATE)) AS start, min({_PROGRAM}) AS program, bool_or(l_quantity >= 45) AS is_original FROM lineitem GROUP BY ALL),
+p AS (SELECT *, left(regexp_replace(lower(coalesce(program, '')), '[^a-z0-9]', '', 'g'), 15) AS p FROM g),
+h AS (SELECT org, number, arg_min({{'n': name, 's': start, 'p': p}}, (CASE WHEN is_original THEN 0 ELSE 1 END, name)) AS h FROM p GROUP BY ALL HAVING count(*) FILTER (is_original) <= 1)
+SELECT p.org, p.number, p.name, CASE WHEN h IS NOT NULL AND (p.start IS NOT DISTINCT FROM h.s OR p.p = h.p OR p.p = '' OR h.p = '') THEN h.n ELSE p.name END AS folded_into FROM p LEFT JOIN h USING (org, number)""")
 def j25(spark, sf):
-    groups = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("org"), F.col("l_partkey").alias("number"), F.col("l_returnflag").alias("name"))
-    groups = groups.agg(F.min(F.to_date("l_shipdate")).alias("start"), F.min("l_linestatus").alias("program"), F.bool_or(F.col("l_linenumber") == 1).alias("is_original"))
+    groups = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("org"), (F.col("l_partkey") % 50).alias("number"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("name"))
+    groups = groups.agg(F.min(F.to_date("l_shipdate")).alias("start"), F.min(F.expr(_PROGRAM)).alias("program"), F.bool_or(F.col("l_quantity") >= 45).alias("is_original"))
     return once.fold_renamed(groups, "org", "number", "start", "program", "name").select("org", "number", "name", "folded_into")
