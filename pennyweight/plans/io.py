@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import once, samples
 from ..operators.lineage import shared_base
-from ..sources import ranges, readers, sinks, vectors
+from ..sources import programs, ranges, readers, sinks, vectors
 from ..streaming import incremental
 from .ledger import items, with_items
 from .registry import query, table
@@ -149,3 +149,28 @@ def k10(spark, sf):
         part = spark.read.parquet(f"{path}/{name_}").select(F.lit(name_).alias("what"), keys[name_].alias("key"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("s20_program_reports", """
+WITH o AS (SELECT o_orderkey AS id, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders),
+p AS (
+  SELECT id, 'CURRENT' AS account, '1.1.' || lpad(CAST(id % 100 AS VARCHAR), 2, '0') AS program_code, 'Roads And Bridges Northern Region' AS program, v + (v + 10) + (v * 2 + 10) - 500 AS parsed, 4 * v - 480 + CASE WHEN id % 7 = 0 THEN 90 ELSE 0 END AS printed, 3 AS details FROM o
+  UNION ALL SELECT id, 'CAPITAL', '2.1.01', 'Wharves', v * 3, v * 3, 1 FROM o WHERE id % 2 = 0
+)
+SELECT 'report ' || id AS path, 'Department Of Works' AS department, account, program_code, program, CAST(parsed AS DOUBLE) AS parsed, CAST(printed AS DOUBLE) AS printed, CAST(details AS BIGINT) AS details, parsed = printed AS ok FROM p""")
+def s20(spark, sf):
+    """A report for every order: details below open objects, revenue, wrapped names, and totals of which some are wrong."""
+    v, id_ = F.floor("o_totalprice").cast("long"), F.col("o_orderkey")
+    three = lambda x: F.concat(F.lit("      "), programs.printed(x), F.lit("   "), programs.printed(x), F.lit("  "), programs.printed(F.lit(0)))
+    amount = lambda label, x: F.concat(F.lit(label), three(x))
+    wrong = F.when(id_ % 7 == 0, 90).otherwise(0)
+    first = [
+        F.lit("DEPARTMENT OF WORKS"), F.lit("CURRENT"), F.concat(F.lit("    1.1."), F.lpad((id_ % 100).cast("string"), 2, "0"), F.lit(". ROADS AND BRIDGES")), F.lit("      - NORTHERN"), F.lit("        REGION"), F.lit(""),
+        amount("      01. Salaries", v), amount("                  Overtime", F.lit(5)), F.lit("      10. Grants and Subsidies:"), amount("                  Town of Gander", v + 10), amount("                  Town of Bay", v * 2 + 10),
+        amount("      02. Revenue - Provincial", F.lit(-500)), amount("      Total: Roads", 4 * v - 480 + wrong), amount("      AMOUNT TO BE VOTED", v),
+    ]
+    second = [F.lit("CAPITAL"), F.lit("  2.1.01. WHARVES"), F.lit("      11. Debt Expenses"), amount("                  Interest", v * 3), amount("      Total: Wharves", v * 3)]
+    texts = F.when(id_ % 2 == 0, F.array(*first, *second)).otherwise(F.array(*first))
+    lines = table(spark, sf, "orders").select(F.concat(F.lit("report "), id_.cast("string")).alias("path"), F.posexplode(texts).alias("line", "value"))
+    found = programs.program_checks(programs.program_rows(lines))
+    return found.select("path", "department", "account", "program_code", "program", F.col("parsed_col1").alias("parsed"), F.col("printed_col1").alias("printed"), "details", "ok")
