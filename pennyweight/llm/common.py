@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
+#: Folders of steps that are still there, in the order in which they were made.
+_standing: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
+    _standing.append(path)
     return path
 
 
+def made_since(mark: int) -> list[str]:
+    """Folders made since there were ``mark`` of them (``len(made_since(0))`` is where one stands)."""
+    return _standing[mark:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of steps that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _standing:
+            _standing.remove(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """What ``make`` gives, written; whatever was written on the way to it goes."""
+    mark = len(_standing)
+    out = materialise(make(), name)
+    delete(out.sparkSession, _standing[mark:-1])
+    return out
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession

@@ -106,7 +106,7 @@ def plan(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: floa
 
 def mix(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """``docs``, each row once for every pass that takes it, with
-    ``_epoch``, ``_block``, ``_block_rank`` and ``_tokens`` added."""
+    ``_epoch``, ``_block``, ``_block_rank`` and ``_tokens`` added, in place of columns of these names."""
     given = {c: f"_given_{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     counted = docs.select(
@@ -138,4 +138,4 @@ def mix(docs: DataFrame, repetitions: float | None = REPETITIONS, entropy: float
     ends = W.partitionBy("_source", "_epoch").orderBy(_hash(F.coalesce(key, F.lit("-")), F.col("_epoch").cast("string")), given["doc_id"], given["text"])
     part = met.where("left < size").withColumn("_sum", F.sum("_tokens").over(ends.rowsBetween(W.unboundedPreceding, 0))).where("_sum <= left").drop("_sum")
     added = ["_epoch", "_block", "_block_rank", "_tokens"]
-    return whole.unionByName(part).select(*(F.col(g).alias(c) for c, g in given.items()), *added)
+    return whole.unionByName(part).select(*(F.col(g).alias(c) for c, g in given.items() if c not in added), *added)

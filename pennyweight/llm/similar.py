@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .blocks import by_shard
-from .common import materialise, mix64, pack_uint, ranges, release, unpack_uint
+from .common import delete, made_since, materialise, mix64, pack_uint, ranges, release, settled, unpack_uint
 from .graph import components
 from .shingles import Sketch, classes_of_counts, each_set, flat, rarest_first
 
@@ -258,8 +258,21 @@ def by_tables(known: DataFrame, count: int, similarity: float = SIMILARITY) -> D
     return known.select("ref", "fp", "n").mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
-def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records: int, low: int, high: int, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Open pairs of texts that first meet in a rare shingle.  ``labels``: ``ref, label``.
+def firsts(nodes: DataFrame, steps: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``ref, n, tokens``: each text's rarest shingles, one of which it shares with every text of that similarity; set size ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for refs, bags in each_set(batch, 0, 1, width):
+                some = [rarest_first(b, steps, int(len(b) - np.ceil(similarity * len(b) - 1e-6)) + 1).astype("<u8").tobytes() for b in bags]
+                yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array([len(b) for b in bags], pa.int64()), pa.array(some, pa.binary())], ["ref", "n", "tokens"])
+        release()
+
+    return _texts(nodes).mapInArrow(run, "ref long, n long, tokens binary")
+
+
+def by_prefixes(rare: DataFrame, labels: DataFrame, records: int, low: int, high: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Open pairs of texts that first meet in a rare shingle.  ``rare``: of :func:`firsts`; ``labels``: ``ref, label``.
 
     Crowded buckets compare centres from ``low`` up to ``high``; calm ones
     all members, in the first round only.  A loop ``a, a`` marks a member of
@@ -269,17 +282,15 @@ def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox(shards)
-        for batch in batches:
-            label = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for refs, bags in each_set(batch, 0, 1, width):
-                sizes = np.array([len(b) for b in bags], np.int64)
-                firsts = [rarest_first(b, steps, int(len(b) - np.ceil(similarity * len(b) - 1e-6)) + 1) for b in bags]
-                tokens, many = flat(firsts)
-                rows, places = np.repeat(np.arange(len(bags)), many), ranges(np.zeros(len(bags), np.int64), many)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                refs, sizes, held, labelled = whole.slice(at, 1024).columns
+                refs, sizes, labelled = (c.to_numpy(zero_copy_only=False) for c in (refs, sizes, labelled))
+                tokens, many = flat([np.frombuffer(x.as_py(), "<u8") for x in held])
+                rows, places = np.repeat(np.arange(len(refs)), many), ranges(np.zeros(len(refs), np.int64), many)
                 # two similar sets meet where the smaller has enough left to reach the similarity with its like
                 late = (1 + similarity) * (sizes[rows] - places) < 2 * similarity * sizes[rows] - 1e-6
-                docs = (np.array(refs, np.int64), np.array([label[r] for r in refs], np.int64), sizes, np.zeros((len(refs), 0), np.uint64))
-                yield from box.put(tokens, rows, places, late, docs)
+                yield from box.put(tokens, rows, places, late, (refs, labelled, sizes, np.zeros((len(refs), 0), np.uint64)))
         yield from box.sent()
         release()
 
@@ -305,9 +316,7 @@ def by_prefixes(nodes: DataFrame, labels: DataFrame, steps: np.ndarray, records:
                     break
         return met.table()
 
-    # labels are joined by the node's number, texts once
-    rows = _texts(nodes).join(labels, "ref").select("ref", "text", "label")
-    return rows.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return rare.join(labels, "ref").select("ref", "n", "tokens", "label").mapInArrow(send, _SENT).groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -342,32 +351,38 @@ def links(nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
     known, steps = prints(nodes, width)
     sums = known.agg(F.count("*").alias("n"), F.sum("n").alias("members")).first()
     records = int((sums["members"] or 0) * (1 - similarity)) + sums["n"]
-    met = materialise(by_tables(known, sums["n"], similarity), "met")
-    found = materialise(verified(met, nodes, width, similarity), "links")
-    joined = components(found)
+    check = lambda pairs: verified(pairs, nodes, width, similarity)
+    found = settled(lambda: check(materialise(by_tables(known, sums["n"], similarity), "met")), "links")
+    joined = settled(lambda: components(found), "joined")
+    rare = materialise(firsts(nodes, steps, width, similarity), "firsts")
     some, low, high = known.select("ref"), 0, FIRST_CENTRES
     while True:
+        mark = len(made_since(0))
         label = F.coalesce("component", "ref").alias("label")
         labels = materialise(some.join(joined.withColumnRenamed("node", "ref"), "ref", "left").select("ref", label), "labels")
-        met = materialise(by_prefixes(nodes, labels, steps, records, low, high, width, similarity), "met")
+        met = materialise(by_prefixes(rare, labels, records, low, high, similarity), "met")
+        over = made_since(mark)
         pairs = met.where("a <> b")
         if pairs.take(1):
-            found = found.union(materialise(verified(pairs, nodes, width, similarity), "links"))
-            joined = components(found)
+            found = found.union(settled(lambda: check(pairs), "links"))  # noqa: B023
+            joined = settled(lambda: components(found), "joined")  # noqa: B023
         crowd = met.where("a = b").select(F.col("a").alias("ref"))
         left = crowd.count()
         if not left:
             return joined
-        some, low, high = labels.join(crowd, "ref", "left_semi").select("ref"), high, high * MORE_CENTRES
+        some, low, high = materialise(labels.join(crowd, "ref", "left_semi").select("ref"), "crowd"), high, high * MORE_CENTRES
         records = max(1, records * left // max(1, sums["n"]))
+        delete(nodes.sparkSession, over)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The document of least ``doc_id`` of each group, with its own columns."""
-    nodes = distinct(docs)
-    joined = links(nodes, width, similarity)
+    own = docs.columns
+    # whatever the other columns are called, they don't meet names used here
+    nodes = distinct(docs.toDF(*(c if c in ("doc_id", "text") else f"_own{k}" for k, c in enumerate(own))))
+    joined = settled(lambda: links(nodes, width, similarity), "joined")
     members = nodes.select(NODE, "doc_id").join(joined, F.col(NODE) == F.col("node")).select("node", "component", "doc_id")
     heads = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("node"))
     # those that go are fewer than those that stay
     gone = materialise(joined.select("node").join(heads.select("node"), "node", "left_anti").withColumnRenamed("node", NODE), "gone")
-    return nodes.join(gone, NODE, "left_anti").select(*docs.columns)
+    return nodes.join(gone, NODE, "left_anti").drop(NODE).toDF(*own)
