@@ -69,6 +69,13 @@ def _whole(x: Column) -> Column:
     return F.format_number(F.floor(F.abs(x) + F.lit(0.5)), 0)
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """So many decimals, halves away from zero, without separators."""
+    scale = 10**digits
+    rounded = F.floor(F.abs(x) * scale + F.lit(0.5)) / scale
+    return F.concat(F.when((x < 0) & (rounded > 0), "-").otherwise(""), F.format_string(f"%.{digits}f", rounded.cast("double")))
+
+
 def money_text(x: Column, cents: bool = False) -> Column:
     """``$1,234``; negatives in brackets; ``n/a`` for a missing amount."""
     shown = F.concat(F.lit("$"), F.format_number(F.abs(x), 2) if cents else _whole(x))
@@ -81,7 +88,7 @@ def money_words(x: Column) -> Column:
     Billions keep their decimal, millions drop a zero and have none from a
     hundred on; the sign of these stands after the dollar.
     """
-    a, plain = F.abs(x), lambda v, digits: F.format_string(f"%.{digits}f", v)
+    a, plain = F.abs(x), _fixed
     millions = F.when(a >= 1e8, plain(x / 1e6, 0)).otherwise(_trim_zero(plain(x / 1e6, 1)))
     large = F.when(a >= 1e9, F.concat(F.lit("$"), plain(x / 1e9, 1), F.lit(" billion"))).when(a >= 1e6, F.concat(F.lit("$"), millions, F.lit(" million")))
     return F.coalesce(large, money_text(x))
@@ -90,8 +97,8 @@ def money_words(x: Column) -> Column:
 def money_short(x: Column) -> Column:
     """``$10.6B``, ``$459M``, ``$45K``: one decimal below a hundred units, none from there on."""
     a = F.abs(x)
-    part = lambda unit, name: F.concat(F.lit("$"), F.when(a >= 100 * unit, F.format_number(x / unit, 0)).otherwise(_trim_zero(F.format_number(x / unit, 1))), F.lit(name))
-    billions = F.concat(F.lit("$"), _trim_zero(F.format_number(x / 1e9, 1)), F.lit("B"))
+    part = lambda unit, name: F.concat(F.lit("$"), F.when(a >= 100 * unit, _fixed(x / unit, 0)).otherwise(_trim_zero(_fixed(x / unit, 1))), F.lit(name))
+    billions = F.concat(F.lit("$"), _trim_zero(_fixed(x / 1e9, 1)), F.lit("B"))
     return F.when(a >= 1e9, billions).when(a >= 1e6, part(1e6, "M")).when(a >= 1e3, part(1e3, "K")).otherwise(money_text(x))
 
 
@@ -100,8 +107,8 @@ def percent(x: Column, digits: int = 0) -> Column:
 
 
 def whole_number(x: Column) -> Column:
-    """With separators, no decimals."""
-    return F.format_number(x, 0)
+    """With separators, no decimals, halves away from zero."""
+    return F.concat(F.when(x <= -0.5, "-").otherwise(""), _whole(x))
 
 
 def per_head(x: Column, heads: float) -> Column:

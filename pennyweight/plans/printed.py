@@ -129,13 +129,15 @@ def n32(spark, sf):
 #: Amounts of all sizes: prices times powers of ten, some negative, some missing.
 _SIZED = "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) * CASE o_orderkey % 5 WHEN 0 THEN 0.01 WHEN 1 THEN 1 WHEN 2 THEN 100 WHEN 3 THEN 10000 ELSE 100000 END END"
 _PLAIN = "CASE WHEN x < 0 THEN '($' || format('{:,}', CAST(floor(abs(x) + 0.5) AS BIGINT)) || ')' ELSE '$' || format('{:,}', CAST(floor(x + 0.5) AS BIGINT)) END"
+#: Decimals with halves away from zero.
+_FIXED = lambda v, d: f"CASE WHEN {v} < 0 THEN '-' ELSE '' END || printf('%.{d}f', floor(abs({v}) * {10**d} + 0.5) / {10**d})"
 _NO_ZERO = lambda t: f"regexp_replace({t}, '\\.0$', '')"
 
 
 @query("n40_money_text", f"""
 SELECT o_orderkey, CASE WHEN x IS NULL THEN 'n/a' WHEN x < 0 THEN '($' || format('{{:,.2f}}', -x) || ')' ELSE '$' || format('{{:,.2f}}', x) END AS shown,
-  CASE WHEN x IS NULL THEN 'n/a' WHEN abs(x) >= 1e9 THEN '$' || printf('%.1f', x / 1e9) || ' billion' WHEN abs(x) >= 1e8 THEN '$' || printf('%.0f', x / 1e6) || ' million'
-       WHEN abs(x) >= 1e6 THEN '$' || {_NO_ZERO("printf('%.1f', x / 1e6)")} || ' million' ELSE {_PLAIN} END AS words
+  CASE WHEN x IS NULL THEN 'n/a' WHEN abs(x) >= 1e9 THEN '$' || {_FIXED('(x / 1e9)', 1)} || ' billion' WHEN abs(x) >= 1e8 THEN '$' || {_FIXED('(x / 1e6)', 0)} || ' million'
+       WHEN abs(x) >= 1e6 THEN '$' || {_NO_ZERO(_FIXED("(x / 1e6)", 1))} || ' million' ELSE {_PLAIN} END AS words
 FROM (SELECT o_orderkey, {_SIZED} AS x FROM orders)""")
 def n40(spark, sf):
     rows = _printed(spark, sf, "orders", "o_orderkey", x=_SIZED)
@@ -143,8 +145,8 @@ def n40(spark, sf):
 
 
 @query("n40_short_amounts", f"""
-SELECT o_orderkey, CASE WHEN x >= 1e9 THEN '$' || {_NO_ZERO("printf('%.1f', x / 1e9)")} || 'B' WHEN x >= 1e8 THEN '$' || printf('%.0f', x / 1e6) || 'M' WHEN x >= 1e6 THEN '$' || {_NO_ZERO("printf('%.1f', x / 1e6)")} || 'M'
-  WHEN x >= 1e5 THEN '$' || printf('%.0f', x / 1e3) || 'K' WHEN x >= 1e3 THEN '$' || {_NO_ZERO("printf('%.1f', x / 1e3)")} || 'K' ELSE {_PLAIN} END AS short, format('{{:,}}', CAST(round(x) AS BIGINT)) AS num
+SELECT o_orderkey, CASE WHEN x >= 1e9 THEN '$' || {_NO_ZERO(_FIXED("(x / 1e9)", 1))} || 'B' WHEN x >= 1e8 THEN '$' || {_FIXED('(x / 1e6)', 0)} || 'M' WHEN x >= 1e6 THEN '$' || {_NO_ZERO(_FIXED("(x / 1e6)", 1))} || 'M'
+  WHEN x >= 1e5 THEN '$' || {_FIXED('(x / 1e3)', 0)} || 'K' WHEN x >= 1e3 THEN '$' || {_NO_ZERO(_FIXED("(x / 1e3)", 1))} || 'K' ELSE {_PLAIN} END AS short, format('{{:,}}', CAST(floor(x + 0.5) AS BIGINT)) AS num
 FROM (SELECT o_orderkey, abs({_SIZED}) AS x FROM orders) WHERE x IS NOT NULL""")
 def n40b(spark, sf):
     rows = _printed(spark, sf, "orders", "o_orderkey", x=f"abs({_SIZED})").where("x IS NOT NULL")
