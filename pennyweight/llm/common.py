@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 #: Folders of steps that are still there, in the order in which they were made.
 _standing: list[str] = []
+#: Tables that a process keeps from task to task, by name, until tasks of other operators run in it.
+remembered: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,8 +89,13 @@ def input_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
-def release() -> None:
-    """Give memory that a task no longer needs back to the system: Python workers outlive tasks."""
+def release(forget: bool = True) -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive tasks.
+
+    So do the tables that are remembered; only operators that use them go without ``forget``.
+    """
+    if forget:
+        remembered.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from .common import remembered
+
 #: Spaces at which a byte-level text can be cut; runs of white space stay together.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
@@ -31,9 +33,6 @@ _SPACE = _BYTES[32]
 REMEMBERED = 500_000
 AT_ONCE = 2_000
 
-_made: dict[str, Encoder] = {}
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -41,10 +40,10 @@ def default_vocabulary() -> str:
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a vocabulary file."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    """The process's encoder for a vocabulary file, kept until ``common.release`` forgets it."""
+    if path not in remembered:
+        remembered[path] = Encoder(path)
+    return remembered[path]
 
 
 class Encoder:

@@ -98,7 +98,7 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(forget=False)
         enc, packer = encoder(vocabulary), _Packer(length, windows)
         end = np.array([end_id], enc.dtype).tobytes()
         task = TaskContext.get().partitionId()

@@ -83,6 +83,7 @@ def prints(nodes: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]
     parts = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # of what earlier stages remember, too
         sketch, schema = Sketch(), pa.schema([("ref", pa.int64()), ("fp", pa.binary()), ("n", pa.int32()), ("part", pa.int32())])
         for batch in batches:
             for refs, bags in each_set(batch, 0, 1, width):

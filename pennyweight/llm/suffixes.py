@@ -23,7 +23,7 @@ without an id come last; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from .common import materialise, mix64, ranges, release
 LENGTH = 50
 GRAM = 20
 _BASE = 0x9E3779B97F4A7C15
-#: Windows looked at together.
-CHUNK = 1 << 20
+#: Windows looked at together: their hashes stay in a core's cache.
+CHUNK = 1 << 17
 
 _UNITS = "shard long, block long, docs binary, times binary, anchors binary, bodies binary"
 _BYTES = "shard long, block long, docs binary, times binary, sizes binary, body binary"
@@ -229,6 +229,11 @@ def _sort(length: int):
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay), plus columns ``keep``."""
+    return _removed(docs, length, gram, keep, OUT, lambda cut: cut)
+
+
+def _removed(docs: DataFrame, length: int, gram: int, keep: tuple[str, ...], out: str, make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """What ``make`` gives (columns ``out`` and ``keep``) of a block's cut documents, in the task that cuts them."""
     blocks, total = B.write_blocks(docs, keep)
     shards = B.shards_for(total)
 
@@ -272,33 +277,38 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tupl
         got: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
         for r in replies.to_pylist():
             got[r["phase"]][r["shard"]] = r["answer"]
-        out = []
+        done = []
         for row in blocks.to_pylist():
             block = B.opened(row)
             units = Units(block, length, gram)
-            out.append(_cut(block, _gone(units, shards, got, length)))
-            del block, units
+            gone = _gone(units, shards, got, length)
+            del units
+            done.append(make(_cut(block, gone)))
+            del block, gone
             release()
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(done)
 
     first = blocks.mapInArrow(send, _UNITS).groupBy("shard").applyInArrow(_compare, B.REPLY)
     first = materialise(first, "units")
     asked = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(show, _BYTES)
     second = asked.groupBy("shard").applyInArrow(_sort(length), B.REPLY)
     kinds = dict(docs.dtypes)
-    schema = ", ".join([OUT, *(f"`{c}` {kinds[c]}" for c in keep)])
+    schema = ", ".join([out, *(f"`{c}` {kinds[c]}" for c in keep)])
     return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(remove, schema)
 
 
 def _gone(units: Units, shards: int, got: dict[int, dict[int, bytes]], length: int) -> np.ndarray:
     """Which bytes of the block go."""
     said = units.answers(shards, got[1])
-    starts = np.zeros(len(units.block.body) + 1, bool)  # windows that go, by first byte
+    marks = np.zeros(len(units.block.body) + 1, np.int8)  # where windows that go begin and end; no two units share one
     if len(units.first):
         rep = units.reps[units.group]
         ids = units.block.doc_ids[units.doc]
         whole = (said[rep] == GOES) | (ids > ids[rep])
-        starts[ranges(units.first[whole], (units.last - units.first + 1)[whole])] = True
+        marks[units.first[whole]] += 1
+        marks[units.last[whole] + 1] -= 1
+    starts = np.cumsum(marks, dtype=np.int8, out=marks).view(bool)
+    if len(units.first):
         # windows of the units that asked, in the order in which they were sent
         n_windows = units.last - units.first + 1
         begin = np.full(len(units.first), -1, np.int64)
@@ -317,9 +327,9 @@ def _gone(units: Units, shards: int, got: dict[int, dict[int, bytes]], length: i
             part = np.flatnonzero(~whole & (begin[rep] >= 0))
             starts[ranges(units.first[part], n_windows[part])] = flags[ranges(begin[rep[part]], n_windows[part])]
     total = np.cumsum(starts[:-1], dtype=np.int32)
-    before = np.zeros_like(total)
-    before[length:] = total[:-length]
-    return total > before
+    gone = total > 0
+    gone[length:] = total[length:] > total[:-length]
+    return gone
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -329,15 +339,15 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     """
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    found = removals(plain, length, gram, tuple(f"_keep_{c}" for c in keep))
+    held = tuple(f"_keep_{c}" for c in keep)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, *(batch.column(f"_keep_{c}") for c in keep)], ["doc_id", "text", *keep])
+    def decode(cut: pa.RecordBatch) -> pa.RecordBatch:
+        kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in cut.column("kept")], pa.string())
+        return pa.RecordBatch.from_arrays([cut.column("doc_id"), kept, *(cut.column(c) for c in held)], ["doc_id", "text", *held])
 
     kinds = dict(docs.dtypes)
-    out = found.mapInArrow(decode, ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in keep)]))
+    found = _removed(plain, length, gram, held, "doc_id long, text string", decode)
+    out = found.toDF("doc_id", "text", *keep)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
     return out.select(*docs.columns)
@@ -346,7 +356,7 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
 def _cut(block: B.Block, gone: np.ndarray) -> pa.RecordBatch:
     n = len(block.doc_ids)
     sizes = np.diff(block.starts)
-    doc = np.repeat(np.arange(n), sizes)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
     removed = np.bincount(doc[gone], minlength=n)
     opens = gone.copy()
     opens[1:] &= ~gone[:-1] | (doc[1:] != doc[:-1])

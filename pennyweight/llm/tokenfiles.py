@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
     folder = f"{shared_dir(docs.sparkSession)}/tokens"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(forget=False)
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         name = f"{folder}/{uuid.uuid4().hex}"
