@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,24 @@ def release(forget: bool = True) -> None:
         trim(0)
 
 
+#: Of glibc's ``mallopt``: what freed memory stays, what is asked for in advance, and from which size arrays get pages of their own.
+_TRIM, _PAD, _MAP = -1, -2, -3
+
+
+@contextmanager
+def holding() -> Iterator[None]:
+    """Meanwhile freed memory stays with the process: arrays made again and again get pages that are there already."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", lambda what, size: None)
+    for what, size in ((_MAP, 16 << 20), (_TRIM, 128 << 20), (_PAD, 16 << 20)):
+        tune(what, size)
+    try:
+        yield
+    finally:
+        for what, size in ((_MAP, 4 << 20), (_TRIM, 8 << 20), (_PAD, 0)):
+            tune(what, size)
+        release()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit integers that spreads near values apart."""
     x = x.copy()

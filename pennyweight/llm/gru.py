@@ -14,7 +14,7 @@ import numpy as np
 F32 = np.float32
 WINDOW = 32
 #: Rows of the softmax at once, which stay in a core's cache.
-ROWS = 256
+ROWS = 512
 
 
 class Model:
@@ -55,8 +55,8 @@ class Model:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.n_words, ids // self.per_class, self.heads + ids - self.n_words)
 
-    def step(self, ids: np.ndarray, h: np.ndarray, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The next state, and both gates and the proposal; ``x`` may hold what the words ``ids`` add, bias included."""
+    def step(self, ids: np.ndarray, h: np.ndarray, x: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The next state (in ``out``), and both gates and the proposal; ``x`` may hold what the words ``ids`` add, bias included."""
         n, p = self.hidden, self.p
         if x is None:
             x = p["x"][ids] + p["b"]
@@ -71,7 +71,7 @@ class Model:
         new = (r * h) @ p["v"]
         new += x[:, 2 * n :]
         np.tanh(new, out=new)
-        out = h - new
+        out = np.subtract(h, new, out=out)
         out *= z
         out += new
         return out, z, r, new
@@ -163,9 +163,8 @@ class Trainer:
             old[t] = h
             if resets[t]:
                 old[t][starts[t]] = 0
-            h, *gates = m.step(ids, old[t], x[t])
+            h, *gates = m.step(ids, old[t], x[t], states[t])
             kept.append(gates)
-            states[t] = h
         states, targets = states.reshape(-1, n), targets.ravel()
         if inside is None or inside.all():
             logp, grads, dout = m.outputs(states, targets, True, self.full)
@@ -183,18 +182,19 @@ class Trainer:
             dh = dout[t]
             dh += back
             np.multiply(r, old[t], out=reset[t])
-            left = F32(1) - z
-            dnew = dh * left
-            dnew *= F32(1) - new * new
+            left, here = F32(1) - z, dx[t]
+            new2 = new * new
+            np.subtract(F32(1), new2, out=new2)
+            new2 *= left
+            dnew = np.multiply(new2, dh, out=here[:, 2 * n :])
             drh = dnew @ v
             # r (1 - r) times the old state, and z (1 - z) times what z weighs
             left *= z
-            left *= old[t] - new
-            left *= dh
-            dr = reset[t] - r * reset[t]
-            dr *= drh
-            here = dx[t]
-            here[:, :n], here[:, n : 2 * n], here[:, 2 * n :] = left, dr, dnew
+            left *= np.subtract(old[t], new, out=new)
+            np.multiply(left, dh, out=here[:, :n])
+            dr = r * reset[t]
+            np.subtract(reset[t], dr, out=dr)
+            np.multiply(dr, drh, out=here[:, n : 2 * n])
             back = here[:, : 2 * n] @ u
             dh *= z
             back += dh
@@ -209,7 +209,7 @@ class Trainer:
         ids = inputs.ravel()
         order = np.argsort(ids.astype(np.int16) if len(m.p["x"]) < 1 << 15 else ids, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        rows, sums = ids[order][at], np.add.reduceat(flat[order], at, axis=0)
+        rows, sums = ids[order][at], _sums(np.take(flat, order, axis=0), at)
         self.seen["x"][rows] += sums * sums
         m.p["x"][rows] -= self.rate * sums / np.sqrt(self.seen["x"][rows])
         for k, g in grads.items():
@@ -218,36 +218,44 @@ class Trainer:
         return h, float(-logp.mean())
 
 
-def log_likelihood(model: Model, sequences: list[np.ndarray], start: int, cells: int = 1 << 16) -> np.ndarray:
+def _sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the groups of ``rows`` that begin ``at``; two numbers at once, as complex ones, if columns are even."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, at, axis=0)
+    pairs = rows.view(np.result_type(rows, np.complex64))
+    return np.add.reduceat(pairs, at, axis=0).view(rows.dtype)
+
+
+def log_likelihood(model: Model, sequences: list[np.ndarray], start: int, cells: int = 1 << 14, lanes: int = 512) -> np.ndarray:
     """The natural log probability of each whole sequence, state carried from window to window.
 
-    Sequences run side by side, longest first, so those at work are always a prefix.
+    ``lanes`` sequences of like length run side by side, longest first, so those at work are always a prefix.
     """
     sizes = np.array([len(s) for s in sequences], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    lengths = sizes[order]
-    flat = np.concatenate([sequences[k] for k in order]) if len(order) else np.zeros(0, np.int64)
-    begins = np.r_[0, np.cumsum(lengths)[:-1]] if len(order) else lengths
-    out = np.zeros(len(order))
-    h = np.zeros((len(order), model.hidden), F32)
-    last = np.full(len(order), start)
-    words = model.p["x"] + model.p["b"]
-    t, longest = 0, int(lengths[0]) if len(order) else 0
-    while t < longest:
-        active = int(np.searchsorted(-lengths, -t, side="left"))
-        window = min(longest - t, max(1, min(256, cells // active)))
-        states, targets, owners = [], [], []
-        for s in range(t, t + window):
-            active = int(np.searchsorted(-lengths, -s, side="left"))
-            h[:active], *_ = model.step(last[:active], h[:active], np.take(words, last[:active], axis=0))
-            now = flat[begins[:active] + s]
-            states.append(h[:active].copy())
-            targets.append(now)
-            owners.append(np.arange(active))
-            last[:active] = now
-        logp, *_ = model.outputs(np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(owners), weights=logp, minlength=len(order))
-        t += window
-    back = np.empty(len(order))
-    back[order] = out
-    return back
+    words, out = model.p["x"] + model.p["b"], np.zeros(len(order))
+    for at in range(0, len(order), lanes):
+        some = order[at : at + lanes]
+        out[some] = _side_by_side(model, words, [sequences[k] for k in some], sizes[some], start, cells)
+    return out
+
+
+def _side_by_side(model: Model, words: np.ndarray, sequences: list[np.ndarray], lengths: np.ndarray, start: int, cells: int) -> np.ndarray:
+    """The log probabilities of sequences whose ``lengths`` descend; ``words``: what words add, bias included."""
+    flat, begins = np.concatenate(sequences), np.cumsum(lengths) - lengths
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    out, h, last = np.zeros(len(lengths)), np.zeros((len(lengths), model.hidden), F32), np.full(len(lengths), start)
+    t = 0
+    while t < len(active):
+        now = active[t : t + min(256, max(1, cells // active[t]))]
+        cuts = np.r_[0, np.cumsum(now)]
+        owners = np.arange(cuts[-1]) - np.repeat(cuts[:-1], now)
+        targets = flat[begins[owners] + np.repeat(np.arange(t, t + len(now)), now)]
+        states = np.empty((len(targets), model.hidden), F32)
+        for n, a, b in zip(now.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            h, *_ = model.step(last, h[:n], np.take(words, last[:n], axis=0), states[a:b])
+            last = targets[a:b]
+        logp, *_ = model.outputs(states, targets)
+        out += np.bincount(owners, weights=logp, minlength=len(out))
+        t += len(now)
+    return out

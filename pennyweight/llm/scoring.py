@@ -25,18 +25,18 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import input_bytes, materialise, pack_uint, unpack_uint
+from .common import holding, input_bytes, materialise, pack_uint, unpack_uint
 from .gru import WINDOW, Model, Trainer, log_likelihood
 
 BLOCK_BYTES = 12 << 20
@@ -64,14 +64,18 @@ def _trains(block: B.Block) -> np.ndarray:
 
 
 def _numbered(block: B.Block) -> tuple[list[bytes], list[np.ndarray]]:
-    """The block's distinct words, and its documents as numbers of them."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__  # a new word takes the next number
-    docs = []
-    for k in range(len(block.doc_ids)):
-        words = block.text(k).lower().split()
-        docs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-    return list(number), docs
+    """The block's distinct words, and its documents as numbers of them, in the order in which words first come."""
+    body = block.body + ((block.body - np.uint8(65) < 26).view(np.uint8) << 5)  # A-Z in lower case
+    inside = (body - np.uint8(9) > 4) & (body != 32)
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    opens = block.starts[:-1][np.diff(block.starts) > 0]
+    begins[opens] = inside[opens]  # no word goes on from one document to the next
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    first = np.flatnonzero(begins)
+    offsets = np.r_[0, np.cumsum(np.flatnonzero(ends) + 1 - first)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body[inside])]).dictionary_encode()
+    return words.dictionary.to_pylist(), np.split(words.indices.to_numpy(), np.searchsorted(first, block.starts[1:-1])) if len(block.doc_ids) else []
 
 
 def _shards_of(words: list[bytes], shards: int) -> np.ndarray:
@@ -82,6 +86,13 @@ def _ending(word: bytes) -> int:
     return int.from_bytes(word[-2:], "big")
 
 
+def _endings(words: pa.Array) -> np.ndarray:
+    """:func:`_ending` of each of some words, none of them empty."""
+    offsets, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = data[offsets[1:] - 1].astype(np.int64)
+    return np.where(np.diff(offsets) > 1, data[offsets[1:] - 2].astype(np.int64) << 8, 0) | last
+
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block as its distinct words, their counts in its training documents, and its documents as numbers of words."""
     for block in B.each_block(batches):
@@ -125,24 +136,23 @@ def _tell(key: tuple, table: pa.Table) -> pa.Table:
     if key[0].as_py() == -1:
         row(kind="ends", n=int(sum(unpack_uint(r["counts"])[0] for r in rows)))
     else:
-        total: Counter[bytes] = Counter()
-        parts = [(r["block"], r["words"].split(b"\n"), unpack_uint(r["counts"]).tolist()) for r in rows]
-        for _, words, counts in parts:
-            for w, c in zip(words, counts, strict=True):
-                total[w] += c
-        for block, words, _ in parts:
-            row(kind="reply", block=block, answer=zstandard.compress(pack_uint(np.fromiter(map(total.__getitem__, words), np.uint64, len(words))), 1))
-        known = {w: c for w, c in total.items() if c}
-        row(kind="total", n=sum(known.values()), mass=float(len(known)))
-        for w in heapq.nsmallest(HEAD - 1, known, key=lambda w: (-known[w], w)):
-            row(kind="word", word=w, n=known[w])
-        ends: dict[int, list] = {}
-        for w, c in known.items():
-            e = ends.setdefault(_ending(w), [0, 0.0])
-            e[0] += c
-            e[1] += c + 0.5
-        for e, (n, mass) in ends.items():
-            row(kind="ending", word=e.to_bytes(2, "big"), n=n, mass=mass)
+        lists = pc.split_pattern(pa.array([r["words"] for r in rows], pa.large_binary()), b"\n")
+        found = lists.flatten().dictionary_encode()
+        words, which = found.dictionary, found.indices.to_numpy()
+        # sums of integers, exact in doubles up to 2**53
+        total = np.bincount(which, weights=np.concatenate([unpack_uint(r["counts"]) for r in rows]), minlength=len(words)).astype(np.int64)
+        for r, mine in zip(rows, np.split(which, np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]), strict=True):
+            row(kind="reply", block=r["block"], answer=zstandard.compress(pack_uint(total[mine].astype(np.uint64)), 1))
+        known = np.flatnonzero(total)
+        row(kind="total", n=int(total.sum()), mass=float(len(known)))
+        least = np.partition(total[known], -(HEAD - 1))[-(HEAD - 1)] if len(known) >= HEAD else 1
+        often = np.flatnonzero(total >= least)
+        for n, w in heapq.nsmallest(HEAD - 1, zip((-total[often]).tolist(), words.take(pa.array(often)).to_pylist(), strict=True)):
+            row(kind="word", word=w, n=-n)
+        ends = _endings(words)[known]
+        n, mass = (np.bincount(ends, weights=x) for x in (total[known], total[known] + 0.5))
+        for e in np.flatnonzero(n).tolist():
+            row(kind="ending", word=e.to_bytes(2, "big"), n=int(n[e]), mass=float(mass[e]))
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     return pa.Table.from_pylist(out, pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _TOLD.split(", "))]))
 
@@ -193,7 +203,8 @@ def _code(lexicon: Lexicon, shards: int):
         got, out = {r["shard"]: r["answer"] for r in replies.to_pylist()}, []
         for block in blocks.to_pylist():
             words, sizes = _words(block["words"]), np.frombuffer(block["sizes"], "<i8")
-            docs = np.split(np.frombuffer(zstandard.decompress(block["ids"]), "<u4"), np.cumsum(sizes)[:-1]) if len(sizes) else []
+            ids = np.frombuffer(zstandard.decompress(block["ids"]), "<u4").astype(np.int64)
+            split = lambda of: np.split(of[ids], np.cumsum(sizes)[:-1]) if len(sizes) else []  # noqa: E731, B023
             counts = np.zeros(len(words))
             for shard, at in B.by_shard(_shards_of(words, shards), shards):
                 counts[at] = unpack_uint(zstandard.decompress(got[shard]))
@@ -202,15 +213,16 @@ def _code(lexicon: Lexicon, shards: int):
             rare = code >= HEAD
             fixed = np.where(rare, np.log10(counts + 0.5) - np.log10(lexicon.rest_mass[np.maximum(code - HEAD, 0)]), 0.0)
             end = np.log10(lexicon.end_count + 0.5) - low
-            meta = np.array([(len(d) + 1, int((counts[d] > 0).sum()) + (lexicon.end_count > 0)) for d in docs], "<i8").reshape(-1, 2)
-            ids = np.concatenate([np.r_[code[d], 0] for d in docs]).astype("<u2") if docs else np.zeros(0, "<u2")
+            known = np.array([np.count_nonzero(x) for x in split(counts > 0)], "<i8") + (lexicon.end_count > 0)
+            coded = np.zeros(len(ids) + len(sizes), "<u2")  # an end, which is 0, after each document
+            coded[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = code.astype("<u2")[ids]
             out.append(
                 {
                     "block": block["block"],
-                    "meta": np.column_stack([np.frombuffer(block["doc_ids"], "<i8"), meta]).astype("<i8").tobytes(),
-                    "base": np.array([base[d].sum() + end for d in docs], "<f8").tobytes(),
-                    "fixed": np.array([fixed[d].sum() for d in docs], "<f8").tobytes(),
-                    "ids": zstandard.compress(ids.tobytes(), 3),
+                    "meta": np.column_stack([np.frombuffer(block["doc_ids"], "<i8"), sizes + 1, known]).astype("<i8").tobytes(),
+                    "base": np.array([x.sum() + end for x in split(base)], "<f8").tobytes(),
+                    "fixed": np.array([x.sum() for x in split(fixed)], "<f8").tobytes(),
+                    "ids": zstandard.compress(coded.tobytes(), 3),
                 }
             )
         kinds = [("block", pa.int64()), *((c, pa.binary()) for c in ("meta", "base", "fixed", "ids"))]
@@ -277,9 +289,10 @@ def train(coded: DataFrame, lexicon: Lexicon) -> np.ndarray:
     def fit(start: np.ndarray | None, stride: int, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer, seen = Trainer(lexicon.model(start), rate, LANES * WINDOW), 0
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    seen += _train_block(trainer, batch.slice(k, 1).to_pylist()[0], stride)
+            with holding():
+                for batch in batches:
+                    for k in range(batch.num_rows):
+                        seen += _train_block(trainer, batch.slice(k, 1).to_pylist()[0], stride)
             if seen:
                 parts = [x.astype("<f4").tobytes() for x in np.array_split(trainer.model.flat(), CHUNKS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), pa.array([float(seen)] * CHUNKS)], ["chunk", "part", "weight"])
@@ -320,7 +333,8 @@ def score(docs: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 meta, ids = _opened(row)
-                found = log_likelihood(model, ids, 0) / np.log(10) + np.frombuffer(row["fixed"])
+                with holding():
+                    found = log_likelihood(model, ids, 0) / np.log(10) + np.frombuffer(row["fixed"])
                 who = meta[:, 0]
                 out = [held_out(None if i == B.NO_ID else int(i)) for i in who]
                 columns = [pa.array(who, mask=who == B.NO_ID), pa.array(out), pa.array(meta[:, 1]), pa.array(meta[:, 2]), pa.array(np.frombuffer(row["base"])), pa.array(found)]
