@@ -108,7 +108,7 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _SCHEMA.types, strict=True)] if done else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
 
         for batch in slices(batches):
-            for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids = np.frombuffer(coded + end, enc.dtype).astype("<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]

@@ -32,8 +32,9 @@ from .encoding import default_vocabulary, encoder
 END_ID = 0
 #: Stands for a null doc_id in the file of ids.
 NO_ID = np.iinfo(np.int64).min
-#: Documents encoded together.
+#: Documents taken together, and those encoded in one call.
 TOGETHER = 256
+ENCODED = 2048
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
@@ -57,8 +58,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         at, n = 0, 0
         with fs.open_output_stream(f"{path}/ids.bin") as ids, fs.open_output_stream(f"{path}/offsets.bin") as offsets, fs.open_output_stream(f"{path}/docs.bin") as who:
             offsets.write(np.zeros(1, "<u8").tobytes())
-            for batch in slices(batches):
-                coded = enc.encode(batch.column(1).to_pylist())
+            for batch in slices(batches, ENCODED):
+                coded = enc.encode(batch.column(1))
                 sizes = np.array([len(x) // enc.dtype.itemsize + 1 for x in coded], np.uint64)
                 for x in coded:
                     ids.write(x + end)
