@@ -4,8 +4,8 @@ Byte-level BPE cuts a text into pieces before merging, and always before
 a single space between two other characters.  So pieces between such
 spaces can be encoded apart and kept: each process holds a bounded table
 of pieces seen, and only new ones go through the library.  A single line
-end between two other characters is a piece of its own, so lines are cut
-as well.  Arrow cuts a column and numbers its pieces, and each different
+end between two other characters is a piece of its own, and two are one
+each, so lines are cut as well.  Arrow cuts a column and numbers its pieces, and each different
 piece is looked up once.  The result is that of encoding the whole text;
 texts that hold an added token of the vocabulary, and all texts for other
 kinds of tokenizer, are encoded whole.
@@ -25,8 +25,10 @@ from .common import remembered
 
 #: Spaces at which a byte-level text can be cut; runs of white space stay together.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space as Python has it, for Arrow's expressions.
-_RUN = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
+#: White space as Python has it, without the line end, for Arrow's expressions.
+_OTHER = r"\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Runs of white space, but for two line ends before another character: these are a piece each.
+_RUN = rf"[{_OTHER}][\n{_OTHER}]|\n[{_OTHER}]|\n\n\n|\n\n\z"
 _BLANK = re.compile(r"\s")
 #: Signs that are pieces of their own after letters: not the apostrophe, which may begin one with letters.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -157,7 +159,7 @@ class Encoder:
         return self._joined(pa.array([p for pieces in cut for p in pieces], pa.large_string()), starts, starts[:0])
 
     def _by_lines(self, texts: pa.Array) -> list[bytes]:
-        """Texts in which each space and each line end is between other characters, or first or last."""
+        """Texts in which each space and one or two line ends are between other characters, or first or (one only) last."""
         lines = pc.split_pattern(texts, "\n")
         words = pc.split_pattern(lines.flatten(), " ")
         heads = words.offsets.to_numpy() - words.offsets[0].as_py()

@@ -29,7 +29,7 @@ def test_columns_give_the_ids_of_whole_texts(monkeypatch, reference, remembered,
     monkeypatch.setattr(encoding, "REMEMBERED", remembered)
     monkeypatch.setattr(encoding, "TOGETHER", together)
     made, r = encoding.Encoder(default_vocabulary()), random.Random(8)
-    texts = AWKWARD + ["\n", "\na", "a\n", "\n's", "a\n's b\n c\n", "a.\nB,\nc's\nd!?", "it's,", "x'", "x'.", "x.'s y"]
+    texts = AWKWARD + ["\n", "\na", "a\n", "\n\na", "a\n\n", "\n\n", "a\n\nb", "a\n\n\nb", "a \n\nb", "a\n\n b", "a\n\n's", "\n's", "a\n's b\n c\n", "a.\nB,\nc's\nd!?", "it's,", "x'", "x'.", "x.'s y"]
     texts += ["".join(r.choices(SIGNS, k=r.randint(1, 25))) for _ in range(2000)]
     want = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
     column = pa.array(["not taken", *texts]).slice(1)
@@ -47,4 +47,7 @@ def test_line_ends_need_no_call_each(reference):
     text = "\n".join(f"{word()} {word()}.***" for _ in range(3000))
     assert ids(made.encode([text])[0]) == reference.encode(text, add_special_tokens=False).ids
     assert len(calls) <= 5
+    blank = text.replace("\n", "\n\n")
+    assert ids(made.encode([blank])[0]) == reference.encode(blank, add_special_tokens=False).ids
+    assert len(calls) <= 10
     assert not any("\n" in p for p in [*made.known, *made.first])
