@@ -161,16 +161,21 @@ SELECT 'report ' || id AS path, 'Department Of Works' AS department, account, pr
 def s20(spark, sf):
     """A report for every order: details below open objects, revenue, wrapped names, and totals of which some are wrong."""
     v, id_ = F.floor("o_totalprice").cast("long"), F.col("o_orderkey")
-    three = lambda x: F.concat(F.lit("      "), programs.printed(x), F.lit("   "), programs.printed(x), F.lit("  "), programs.printed(F.lit(0)))
-    amount = lambda label, x: F.concat(F.lit(label), three(x))
     wrong = F.when(id_ % 7 == 0, 90).otherwise(0)
+    printed = {"v": v, "bay": v * 2 + 10, "gander": v + 10, "total": 4 * v - 480 + wrong, "three": v * 3, "extra": F.lit(5), "back": F.lit(-500)}
+    amount = lambda label, x: F.concat(F.lit(label), F.lit("      "), F.col(x), F.lit("   "), F.col(x), F.lit("  "), programs.printed(F.lit(0)))
     first = [
         F.lit("DEPARTMENT OF WORKS"), F.lit("CURRENT"), F.concat(F.lit("    1.1."), F.lpad((id_ % 100).cast("string"), 2, "0"), F.lit(". ROADS AND BRIDGES")), F.lit("      - NORTHERN"), F.lit("        REGION"), F.lit(""),
-        amount("      01. Salaries", v), amount("                  Overtime", F.lit(5)), F.lit("      10. Grants and Subsidies:"), amount("                  Town of Gander", v + 10), amount("                  Town of Bay", v * 2 + 10),
-        amount("      02. Revenue - Provincial", F.lit(-500)), amount("      Total: Roads", 4 * v - 480 + wrong), amount("      AMOUNT TO BE VOTED", v),
+        amount("      01. Salaries", "v"), amount("                  Overtime", "extra"), F.lit("      10. Grants and Subsidies:"), amount("                  Town of Gander", "gander"), amount("                  Town of Bay", "bay"),
+        amount("      02. Revenue - Provincial", "back"), amount("      Total: Roads", "total"), amount("      AMOUNT TO BE VOTED", "v"),
     ]
-    second = [F.lit("CAPITAL"), F.lit("  2.1.01. WHARVES"), F.lit("      11. Debt Expenses"), amount("                  Interest", v * 3), amount("      Total: Wharves", v * 3)]
+    second = [F.lit("CAPITAL"), F.lit("  2.1.01. WHARVES"), F.lit("      11. Debt Expenses"), amount("                  Interest", "three"), amount("      Total: Wharves", "three")]
     texts = F.when(id_ % 2 == 0, F.array(*first, *second)).otherwise(F.array(*first))
-    lines = table(spark, sf, "orders").select(F.concat(F.lit("report "), id_.cast("string")).alias("path"), F.posexplode(texts).alias("line", "value"))
+    # reports are dealt out while each is one row, so their lines are not shuffled; in a set number of parts, since little is
+    # shuffled and much is made of it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("report "), id_.cast("string")).alias("path"), "o_orderkey", "o_totalprice").repartition(parts, "path")
+    shown = orders.select("path", "o_orderkey", *(programs.printed(x).alias(c) for c, x in printed.items()))
+    lines = shown.select("path", F.posexplode(texts).alias("line", "value"))
     found = programs.program_checks(programs.program_rows(lines))
     return found.select("path", "department", "account", "program_code", "program", F.col("parsed_col1").alias("parsed"), F.col("printed_col1").alias("printed"), "details", "ok")
