@@ -155,12 +155,18 @@ def find(spark: SparkSession, posted: DataFrame, text: str, fallback: bool = Tru
 
 
 def embedding_text(heads: list[Column], lists: list[Column], limit: int = 1200) -> Column:
-    """What a document is about, most telling parts first: ``heads``, then each value of ``lists`` that is new in any case of letters."""
+    """What a document is about, most telling parts first: ``heads``, then each value of ``lists`` that is new in any case of letters.
+
+    Values are sorted by their small letters, so that equal ones are neighbours, and back into their order.
+    """
     some = lambda xs: F.filter(xs, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
-    first, rest = some(F.array(*heads)), some(F.concat(*lists))
-    lower = F.transform(F.concat(first, rest), lambda x: F.lower(x))
-    new = F.filter(rest, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1 + F.size(first))
-    return F.substring(F.array_join(F.transform(F.concat(first, new), lambda x: F.trim(x)), ". "), 1, limit)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # a lambda makes what it names anew for each element, but not its own argument
+    in_order = lambda rest: F.sort_array(F.transform(rest, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("x"))))
+    leading = lambda s: F.filter(s, lambda e, i: ~F.get(s, i - 1)["low"].eqNullSafe(e["low"]))
+    unsaid = lambda rest, said: F.filter(once(in_order(rest), leading), lambda e: ~F.array_contains(said, e["low"]))
+    first = some(F.array(*heads))
+    new = once(F.transform(first, lambda x: F.lower(x)), lambda said: F.sort_array(F.transform(unsaid(F.array_distinct(some(F.concat(*lists))), said), lambda e: F.struct(e["at"], e["x"]))))
+    return F.substring(F.array_join(F.transform(F.concat(first, F.transform(new, lambda e: e["x"])), lambda x: F.trim(x)), ". "), 1, limit)
 
 
 def packed_item(item: dict[str, Column], doc_buyer: Column, federal: Column, evidence: Column, longest: int = 320) -> Column:

@@ -42,8 +42,8 @@ SELECT dataset, supplier_key, part, substr(dataset || '. ' || supplier || '. ' |
 def n45(spark, sf):
     rows = items(spark, sf, "id", "dataset", "supplier_key", "supplier", "description", "category", "method", "place")
     packed = S.pack(rows, ["dataset", "supplier_key"], 40, ["id"], ["supplier", "description", "category", "method", "place"])
-    each = lambda c: F.transform("items", lambda i: i[c])
-    places = F.transform("items", lambda i: F.concat(F.lit("in "), i["place"]))
+    each = lambda c: F.col(f"items.{c}")
+    places = F.transform("items.place", lambda p: F.concat(F.lit("in "), p))
     text = S.embedding_text([F.col("dataset"), F.col("items")[0]["supplier"]], [each("description"), each("category"), each("method"), each("supplier"), places])
     return packed.select("dataset", "supplier_key", "part", text.alias("text"))
 

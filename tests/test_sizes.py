@@ -1,9 +1,11 @@
 """How plans and work grow, on small tables: what failed by time or disk on large ones."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from pennyweight.operators import searching
 from pennyweight.sources import programs
 
 
@@ -30,3 +32,19 @@ def test_program_reports_try_each_pattern_once_and_shuffle_lines_once(spark):
         (10, "program_total", "", roads, -995.0, 12.0, 0.0), (12, "object", "11", wharves, 3.0, 4.0, 5.0), (13, "program_total", "", wharves, 3.0, 4.0, 5.0),
     ]
     assert rows.where(F.col("department") != "Department Of Works").count() == 0
+
+
+def test_embedding_text_does_not_look_through_a_list_for_each_of_its_values(spark):
+    values = [f"{'Wharf' if k % 3 else 'wharf'} {k // 2 % 700}" for k in range(16000)]
+    given = spark.createDataFrame([("Works", values, ["works", " ", None, "In Gander", "in gander ", "in gander"])], "head string, a array<string>, b array<string>")
+    text = searching.embedding_text([F.col("head"), F.lit(None)], [F.col("a"), F.col("b")], 1_000_000)
+    began = time.monotonic()
+    (got,) = given.repartition(1).select(text).first()
+    took = time.monotonic() - began
+    seen, want = {"works"}, ["Works"]
+    for x in [*values, "In Gander", "in gander "]:
+        if x.lower() not in seen:
+            seen.add(x.lower())
+            want.append(x.strip())
+    assert got == ". ".join(want)
+    assert took < 10
