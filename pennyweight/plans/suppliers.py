@@ -167,7 +167,7 @@ _SLIP = "((length(replace(a, ' ', '')) >= 12 AND damerau_levenshtein(replace(a,
 
 @query("d08_edit_distance", f"WITH {_S}, x AS (SELECT first AS name FROM n UNION SELECT second FROM n) SELECT p.name AS a, q.name AS b FROM x p JOIN x q ON p.name < q.name AND {_SLIP.replace('(a,', '(p.name,').replace('(b,', '(q.name,')}")
 def d08(spark, sf):
-    """All pairs of names one or two slips apart that share their first or last five letters."""
+    """All pairs of names one or two slips apart, whatever letters they share."""
     rows = _printed(spark, sf).select(F.explode(F.array("first", "second")).alias("name"))
     return identity.near_names(rows, "name", largest=None)
 

@@ -1,11 +1,14 @@
 """How plans and work grow, on small tables: what failed by time or disk on large ones."""
 
+import random
 import re
 import time
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from pennyweight.operators import searching
+from pennyweight.functions import names
+from pennyweight.operators import identity, searching
 from pennyweight.sources import programs
 
 
@@ -48,3 +51,23 @@ def test_embedding_text_does_not_look_through_a_list_for_each_of_its_values(spar
             want.append(x.strip())
     assert got == ". ".join(want)
     assert took < 10
+
+
+def test_names_a_slip_apart_are_found_without_comparing_those_that_begin_or_end_alike(spark):
+    draw = random.Random(5)
+    names_ = ["".join(draw.choices("abcdefgh", k=10)) + " fish market" for _ in range(600)]
+    for _ in range(200):
+        name = list(draw.choice(names_) if draw.random() < 0.7 else draw.choice(["".join(draw.choices("ab", k=n)) for n in (7, 8, 11, 12, 13)]))
+        for _ in range(draw.randrange(1, 4)):
+            k = draw.randrange(len(name) - 1)
+            draw.choice([lambda k=k: name.insert(k, "z"), lambda k=k: name.pop(k), lambda k=k: name.__setitem__(slice(k, k + 2), name[k : k + 2][::-1]), lambda k=k: name.__setitem__(k, "e")])()
+        names_.append("".join(name).strip())
+    names_ += ["fish of market", "fishmarket", "unit 12 of the harbour", "unit 21 of the harbour", "unit 12 of the harbor", "x", "of", ""]
+    keys = sorted({" ".join(n.split()) for n in names_})
+    plain = {k: names.letters_only(k) for k in keys}
+    want = {(a, b) for a, b in combinations(keys, 2) if min(len(plain[a]), len(plain[b])) >= 8 and abs(len(plain[a]) - len(plain[b])) <= 2 and names.slip_apart(a, b)}
+    assert len(want) > 60 and any(a[:5] != b[:5] and a[-5:] != b[-5:] for a, b in want)
+    given = spark.createDataFrame([(k,) for k in keys], "name string")
+    keyed = given.select(F.col("name").alias("key"), F.col("name").alias("base"))
+    assert identity.slipping_names(keyed).count() < 10 * len(want)  # of a quarter of a million that end alike
+    assert {tuple(r) for r in identity.near_names(given, "name", largest=None).collect()} == want
