@@ -213,17 +213,14 @@ def _family_sql() -> str:
 SELECT family, key, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after, CAST(after - before AS DOUBLE) AS change FROM t WHERE before <> after"""))
 def a25(spark, sf):
     """All fourteen families of two ledgers: amounts as printed, and in CAD only; what changed."""
-    names = ("id", "amount", "currency", "dataset", "award_date", "fiscal_year", "buyer_key", "supplier_key", "method", "l_quantity", "l_linenumber", "price")
-    read = items(spark, sf, *names)
-    read.createOrReplaceTempView("_family_items")
+    names = ("id", "amount", "currency", "dataset", "award_date", "fiscal_year", "buyer_key", "supplier_key", "method", "l_quantity")
+    items(spark, sf, *names).createOrReplaceTempView("_family_items")
     rows = spark.sql(f"WITH {_FAMILY_ITEMS.replace('FROM items', 'FROM _family_items').replace('VARCHAR', 'STRING')} SELECT * FROM f")
-
-    def totals_of(cad_only: bool):
-        counted = lambda df, c: df.withColumn(c, F.when(F.col("currency") == "CAD", F.col(c)).otherwise(F.lit(0))) if cad_only else df
-        flagged = rows.select("id", F.explode(F.array_compact(F.array(F.when(F.col("method") == "Sole source", "sole-source"), F.when(F.col("l_quantity") >= 45, "large-order")))).alias("flag"))
-        return families.family_totals(counted(rows, "amount"), flagged, counted(read.where("l_linenumber = 1").select("fiscal_year", "currency", F.col("price").alias("gross")), "gross"))
-
-    found = families.changed_totals(totals_of(False), totals_of(True))
+    both = lambda c: {"before": F.col(c), "after": F.when(F.col("currency") == "CAD", F.col(c))}
+    flags = F.array_compact(F.array(F.when(F.col("method") == "Sole source", "sole-source"), F.when(F.col("l_quantity") >= 45, "large-order")))
+    spent = items(spark, sf, "currency", "fiscal_year", "l_linenumber", "price").where("l_linenumber = 1")
+    totals_ = families.family_totals(rows.withColumns({**both("amount"), "flags": flags}), spent.withColumns(both("price")), ["before", "after"])
+    found = families.changed_totals(totals_)
     return found.select("family", "key", *(F.col(c).cast("double").alias(c) for c in ("before", "after", "change")))
 
 

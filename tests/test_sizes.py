@@ -3,14 +3,18 @@
 import random
 import re
 import time
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from pennyweight.functions import names
-from pennyweight.operators import identity, searching
+from pennyweight.operators import families, identity, searching
+from pennyweight.plans import catalogue
 from pennyweight.sources import programs
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -71,3 +75,24 @@ def test_names_a_slip_apart_are_found_without_comparing_those_that_begin_or_end_
     keyed = given.select(F.col("name").alias("key"), F.col("name").alias("base"))
     assert identity.slipping_names(keyed).count() < 10 * len(want)  # of a quarter of a million that end alike
     assert {tuple(r) for r in identity.near_names(given, "name", largest=None).collect()} == want
+
+
+def test_key_families_read_items_once_and_shuffle_a_short_key(spark):
+    made = plan(catalogue.QUERIES["a25_key_families"](spark, SF))
+    # items with their orders, and the first lines for the actuals; both ledgers come of the same sums
+    assert made.count("FileScan parquet") == 3 and made.count("Join ") == 1, made
+    assert not re.search("Expand|FullOuter", made)
+
+
+def test_key_families_hold_by_their_conditions(spark):
+    columns = "before decimal(18,2), after decimal(18,2), dataset string, year string, award_year string, buyer string, supplier string, method string, label string, buys boolean, tenders boolean, supplied boolean, federal boolean, flags array<string>"
+    rows = [(3, None, "award", "2020", "2021", "b", "", None, "included", True, None, True, False, ["f", "g"]), (4, 4, "award", "2020", "2021", "b", "s", "m", "excluded", False, True, True, True, None)]
+    items = spark.createDataFrame([tuple(Decimal(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in r) for r in rows], columns)
+    spent = spark.createDataFrame([("2020-21", Decimal(7), Decimal(1))], "fiscal_year string, before decimal(18,2), after decimal(18,2)")
+    got = {(r["family"], r["key"]): (int(r["before"]), int(r["after"])) for r in families.family_totals(items, spent, ["before", "after"]).collect()}
+    assert got == {
+        ("source", "award"): (7, 4), ("source/year", "award / 2020"): (7, 4), ("body", "b"): (3, 0), ("body/source", "b / award"): (3, 0), ("body/year", "b / 2021"): (3, 0), ("body/supplier", "b / not stated"): (3, 0),
+        ("body/method", "b / m"): (4, 4), ("supplier/source", "not stated / award"): (3, 0), ("supplier/source", "s / award"): (4, 4), ("supplier", "not stated / included"): (3, 0), ("supplier", "s / excluded"): (4, 4),
+        ("supplier/body", "not stated / b / included"): (3, 0), ("supplier/body", "s / b / excluded"): (4, 4), ("supplier/year", "not stated / 2020"): (3, 0), ("home/former-combined-federal-record-values", ""): (4, 4),
+        ("pattern", "f"): (3, 0), ("pattern", "g"): (3, 0), ("provincial-actuals", "2020-21"): (7, 1),
+    }
