@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go: Spark deletes them when the driver's memory no longer holds their frames."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sorted_table(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt by ranges and sorted, so that filters on ``by`` read few row groups."""
     path = f"{shared_base(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -17,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from .lineage import cut
+from .lineage import cut, settle
 from .once import near_in_time
 
 # What is said of each decision.
@@ -59,16 +60,18 @@ def links(printings: DataFrame, reviews: DataFrame) -> DataFrame:
     group = W.partitionBy(*_KEYS)
     known = known.withColumn("_told", F.max(F.col("_reviews").isNotNull()).over(group))
     first = F.min("id").over(W.partitionBy(*_KEYS, "_class"))
-    quiet = known.where("NOT _told AND _class IS NOT NULL").withColumn("to", first).where("id <> to").select("id", "to", F.lit("repeat").alias("decision"), F.lit(AGREES).alias("evidence"))
-    replayed = known.where("_told").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "id")
-    return quiet.unionByName(replayed.select("id", F.concat_ws("|", *_KEYS).alias("_group"), "_class", "_reviews").mapInArrow(_replay, _LINK))
+    placed = known.withColumn("to", first).where("_told OR (_class IS NOT NULL AND id <> to)").sortWithinPartitions(*_KEYS, "id")  # the windows left each group in one partition
+    return placed.select("id", F.concat_ws("|", *_KEYS).alias("_group"), "_class", "_reviews", "_told", "to").mapInArrow(_replay, _LINK)
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, standing = None, {}  # id: class, in the order of places
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
+        told, out = batch.column("_told"), []
+        quiet = batch.filter(pc.invert(told))
+        said = [pa.array([x] * quiet.num_rows, pa.string()) for x in ("repeat", AGREES)]
+        yield pa.RecordBatch.from_arrays([quiet.column("id"), quiet.column("to"), *said], ["id", "to", "decision", "evidence"])
+        for row in batch.filter(told).to_pylist():
             if row["_group"] != group:
                 group, standing = row["_group"], {}
             me, said = row["id"], {r["other"]: r for r in row["_reviews"] or ()}
@@ -98,11 +101,13 @@ def roots(pointers: DataFrame, most_rounds: int = 40) -> DataFrame:
     doubles; chains of any length end after the logarithm of it.
     """
     now = cut(pointers.select("id", "to"))
+    settle(now.sparkSession)
     for _ in range(most_rounds):
         further = now.select(F.col("id").alias("to"), F.col("to").alias("_next"))
         new = cut(now.join(further, "to", "left").select("id", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")))
         now = new.select("id", "to")
         if not new.where("_moved").take(1):
+            settle(now.sparkSession)
             return now.withColumnRenamed("to", "root")
     raise RuntimeError("links run in a circle")
 
@@ -112,12 +117,14 @@ def pair_audit(printings: DataFrame, reviews: DataFrame, days: int = 31) -> Data
     supplier, price and currency that lie near in time, before counting once, and what came of them."""
     made = roots(links(printings, reviews))
     priced = printings.where("award_date IS NOT NULL AND amount IS NOT NULL AND supplier_key IS NOT NULL")
-    dated = priced.select("id", "supplier_key", "amount", "currency", "award_date", codes.contract_key(F.col("contract_no")).alias("number")).join(made, "id", "left")
-    known = dated.select("id", "supplier_key", "amount", "currency", "award_date", F.struct("id", "number", F.coalesce("root", "id").alias("root")).alias("who"))
+    # a pair's review travels with its lesser printing, so that pairs, of which there are more, need no join
+    least = reviews.groupBy(F.least("id_a", "id_b").alias("id")).agg(F.collect_list(F.struct(F.greatest("id_a", "id_b").alias("other"), "evidence")).alias("said"))
+    dated = priced.select("id", "supplier_key", "amount", "currency", "award_date", codes.contract_key(F.col("contract_no")).alias("number")).join(made, "id", "left").join(least, "id", "left")
+    known = dated.select("id", "supplier_key", "amount", "currency", "award_date", F.struct("id", "number", F.coalesce("root", "id").alias("root"), "said").alias("who"))
     met = near_in_time(known, ["supplier_key", "amount", "currency"], "award_date", days, "who")
     a, b = F.col("a.id"), F.col("b.id")
-    pair = reviews.select(F.least("id_a", "id_b").alias("_x"), F.greatest("id_a", "id_b").alias("_y"), F.col("evidence").alias("_said"))
-    judged = met.withColumns({"_x": F.least(a, b), "_y": F.greatest(a, b), "_once": F.col("a.root") == F.col("b.root")}).join(pair, ["_x", "_y"], "left")
-    why = F.coalesce("_said", F.when(F.col("_once"), TOGETHER).when(F.col("a.number") != F.col("b.number"), NUMBERS).otherwise(DETAILS))
+    of = lambda side, other: F.filter(F.coalesce(F.col(f"{side}.said"), F.array().cast("array<struct<other:bigint,evidence:string>>")), lambda r: r["other"] == other)
+    judged = met.withColumn("_once", F.col("a.root") == F.col("b.root")).withColumn("_said", F.explode_outer(F.when(a < b, of("a", b)).otherwise(of("b", a))))
+    why = F.coalesce("_said.evidence", F.when(F.col("_once"), TOGETHER).when(F.col("a.number") != F.col("b.number"), NUMBERS).otherwise(DETAILS))
     apart = F.abs(F.datediff("day_a", "day_b")).alias("days_apart")
     return judged.select(a.alias("a"), b.alias("b"), "supplier_key", "amount", "currency", apart, F.when(F.col("_once"), "count once").otherwise("keep both").alias("decision"), why.alias("evidence"))

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from pennyweight.functions import names
-from pennyweight.operators import families, identity, searching
+from pennyweight.operators import families, identity, once, repeats, searching
 from pennyweight.plans import catalogue
 from pennyweight.sources import programs
 
@@ -96,3 +96,20 @@ def test_key_families_hold_by_their_conditions(spark):
         ("supplier/body", "not stated / b / included"): (3, 0), ("supplier/body", "s / b / excluded"): (4, 4), ("supplier/year", "not stated / 2020"): (3, 0), ("home/former-combined-federal-record-values", ""): (4, 4),
         ("pattern", "f"): (3, 0), ("pattern", "g"): (3, 0), ("provincial-actuals", "2020-21"): (7, 1),
     }
+
+
+def test_pairs_near_in_time_are_found_from_rows_shuffled_once(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["x", "y", None]), draw.choice([1, 1, 2]), k, draw.choice([-1, 0, 31, 32, 511, 512, 543, 544, 545, *(draw.randrange(-600, 1500) for _ in range(9)), None])) for k in range(700)]
+    given = spark.createDataFrame(rows, "s string, t int, k long, n int").withColumn("day", F.expr("date_add(DATE'1970-01-01', n)")).repartition(3)
+    found = once.near_in_time(given, ["s", "t"], "day", 31, "k")
+    assert plan(found).count("Exchange hashpartitioning") == 1 and "Join" not in plan(found)
+    got = [(r["s"], r["t"], r["a"], r["b"], (r["day_b"] - r["day_a"]).days) for r in found.collect()]
+    want = [(s, t, k, l, m - n) for s, t, k, n in rows for s2, t2, l, m in rows if None not in (s, n, s2, m) and (s, t) == (s2, t2) and (n, k) < (m, l) and m - n <= 31]
+    assert sorted(got) == sorted(want) and len(got) > 2000
+
+
+def test_links_of_printings_come_of_one_shuffle_by_their_group(spark):
+    given = spark.createDataFrame([(1, "a", 1, 1, "CAD", None, 1, "", "", "")], "id long, contract_no string, supplier_key long, amount int, currency string, award_date date, buyer_key int, description string, term string, renewal string")
+    reviews = spark.createDataFrame([(1, 2, "repeat", "e")], "id_a long, id_b long, decision string, evidence string")
+    assert plan(repeats.links(given, reviews)).count("Exchange hashpartitioning(_contract") == 1
