@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from pennyweight.functions import names
-from pennyweight.operators import families, identity, once, repeats, searching
+from pennyweight.operators import families, identity, index, once, repeats, searching
 from pennyweight.plans import catalogue
 from pennyweight.sources import programs
 
@@ -113,3 +113,28 @@ def test_links_of_printings_come_of_one_shuffle_by_their_group(spark):
     given = spark.createDataFrame([(1, "a", 1, 1, "CAD", None, 1, "", "", "")], "id long, contract_no string, supplier_key long, amount int, currency string, award_date date, buyer_key int, description string, term string, renewal string")
     reviews = spark.createDataFrame([(1, 2, "repeat", "e")], "id_a long, id_b long, decision string, evidence string")
     assert plan(repeats.links(given, reviews)).count("Exchange hashpartitioning(_contract") == 1
+
+
+def test_index_is_built_from_documents_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        made.add(1)
+        return x
+
+    rows = [("a", "to be or not To be", ["#t"]), ("b", "Été, to", []), ("c", None, None), ("d", " ", ["#t", "#u"])]
+    docs = spark.createDataFrame(rows, "doc_id string, said string, tags array<string>").repartition(2).withColumn("body", told("said"))
+    found = index.build(docs, f"file://{tmp_path}/index")
+    assert made.value == len(rows)
+    want = {("to", "a", 2), ("be", "a", 2), ("or", "a", 1), ("not", "a", 1), ("ete", "b", 1), ("to", "b", 1), ("#t", "a", 1), ("#t", "d", 1), ("#u", "d", 1)}
+    assert {(r["term"], r["doc_id"], r["tf"]) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_documents_are_packed_and_made_by_one_shuffle(spark):
+    rows = [(f"i{k}", "one" if k % 3 else "each", k % 4, "w") for k in range(90)]
+    items = spark.createDataFrame(rows, "id string, dataset string, g int, said string")
+    docs = index.documents(index.packed(items, {"one": (("g",), 7), "each": ((), 1)}), [F.col("said")], {"dataset": F.col("dataset")}, F.array().cast("array<string>"))
+    assert plan(docs).count("Exchange hashpartitioning") == 1
+    sizes = sorted(r["n"] for r in docs.collect())
+    assert sizes == [1] * 32 + [2] + [7] * 8 and docs.select("doc_id").distinct().count() == len(sizes)
