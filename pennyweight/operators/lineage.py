@@ -42,10 +42,13 @@ def sorted_table(df: DataFrame, *by: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` from a table in the shared folder, and the table's path, for :func:`dropped`."""
-    path = f"{shared_base(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    """``df`` from a table in the shared folder, and the table's path, for :func:`dropped`; it goes when the session ends, at the latest."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:

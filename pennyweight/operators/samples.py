@@ -3,6 +3,8 @@
 Items are chosen by a seeded hash of their id, so one seed gives the same
 rows wherever it runs.  What refers to a chosen item, or is referred to by
 one, comes along by semi joins; nothing in the sample points outside it.
+What is small and read several times (the first ranks, the chosen ids, the
+chosen items) is written, so that each join of all items is made once.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import settle, written
+
 
 def chosen(items: DataFrame, flags: DataFrame, keep: dict[str, int], seed: int) -> DataFrame:
     """``id`` of the items of a sample: ``keep`` of each dataset, half of them flagged where so many are.
@@ -23,7 +27,8 @@ def chosen(items: DataFrame, flags: DataFrame, keep: dict[str, int], seed: int)
     marked = items.select("id", "dataset").where(F.col("dataset").isin(*keep)).join(flagged, "id", "left").withColumn("_flagged", F.coalesce("_flagged", F.lit(False)))
     draw = W.partitionBy("dataset", "_flagged").orderBy(F.md5(F.concat(F.col("id"), F.lit(f":{seed}"))), "id")
     # the constant bound lets Spark cut each task's rows before they are shuffled
-    ranked = marked.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= max(keep.values()))
+    ranked, _ = written(marked.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= max(keep.values())))
+    settle(ranked.sparkSession)
     share = F.coalesce(*(F.when(F.col("dataset") == d, n) for d, n in keep.items()))
     first = ranked.where(F.col("_flagged") & (F.col("_rank") <= F.floor(share / 2)))
     taken = first.groupBy("dataset").agg(F.count("*").alias("_taken"))
@@ -32,14 +37,17 @@ def chosen(items: DataFrame, flags: DataFrame, keep: dict[str, int], seed: int)
     largest = items.join(named, "buyer_key", "left_semi").groupBy("buyer_key").agg(F.max_by("id", F.struct(F.coalesce("amount", F.lit(0)), "id")).alias("id"))
     suppliers = items.where("supplier_key IS NOT NULL").groupBy("supplier_key").agg(F.countDistinct("name_key").alias("names"), F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("sum"))
     combined = suppliers.where("names > 1 AND n <= 60").orderBy(F.desc("sum"), "supplier_key").limit(3)
-    theirs = items.join(combined.select("supplier_key"), "supplier_key", "left_semi")
+    theirs = items.join(F.broadcast(combined.select("supplier_key")), "supplier_key", "left_semi")  # three rows
     ids = [df.select("id") for df in (first, rest, largest, theirs)]
-    return ids[0].union(ids[1]).union(ids[2]).union(ids[3]).distinct()
+    found, _ = written(ids[0].union(ids[1]).union(ids[2]).union(ids[3]).distinct())
+    settle(found.sparkSession)
+    return found
 
 
 def closed(ids: DataFrame, items: DataFrame, flags: DataFrame, **dimensions: tuple[DataFrame, str]) -> dict[str, DataFrame]:
     """The tables of a sample: its items, the flags on them or on no item, and each dimension's rows that they refer to."""
-    kept = items.join(ids, "id", "left_semi")
+    kept, _ = written(items.join(ids, "id", "left_semi"))
+    settle(kept.sparkSession)
     on_items = flags.where("id IS NOT NULL").join(ids, "id", "left_semi")
     out = {"items": kept, "flags": on_items.unionByName(flags.where("id IS NULL"))}
     for name, (table, key) in dimensions.items():

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import once, samples
-from ..operators.lineage import shared_base
+from ..operators.lineage import dropped, settle, shared_base, written
 from ..sources import programs, ranges, readers, sinks, vectors
 from ..streaming import incremental
 from .ledger import items, with_items
@@ -133,11 +133,13 @@ def k10(spark, sf):
     """A seeded sample with its flags, buyers and suppliers, written and read back."""
     read = items(spark, sf, "id", "dataset", "buyer_key", "supplier_key", "supplier", "amount", "method", "l_quantity", "l_linenumber")
     name = F.when(F.col("supplier_key") % 3 == 0, F.concat("supplier", (F.col("l_linenumber") % 2).cast("string"))).otherwise(F.col("supplier"))
-    rows = read.select("id", "dataset", "buyer_key", "supplier_key", name.alias("name_key"), F.coalesce("amount", F.lit(0)).alias("amount"), "method", "l_quantity")
+    # the ledger's joins are made once, and the columns written that the sample is drawn from
+    rows, step = written(read.select("id", "dataset", "buyer_key", "supplier_key", name.alias("name_key"), F.coalesce("amount", F.lit(0)).alias("amount"), "method", "l_quantity"))
+    settle(spark)
     none = F.lit(None).cast("string")
     on_items = rows.where("method = 'Sole source' AND l_quantity > 45").select(F.lit("sole-source").alias("flag"), "id", F.lit("item").alias("subject_type"), none.alias("subject_key"))
     on_buyers = rows.groupBy("buyer_key").count().where("count >= 70").select(F.lit("busy-buyer").alias("flag"), none.alias("id"), F.lit("buyer").alias("subject_type"), F.col("buyer_key").cast("string").alias("subject_key"))
-    flags = on_items.unionByName(on_buyers)
+    flags, _ = written(on_items.unionByName(on_buyers))
     keyed = rows.withColumn("buyer_key", F.col("buyer_key").cast("string"))
     ids = samples.chosen(keyed, flags, _KEEP, 7)
     buyers = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("buyer_key"))
@@ -148,6 +150,7 @@ def k10(spark, sf):
         sinks.write_table(df, f"{path}/{name_}")
         part = spark.read.parquet(f"{path}/{name_}").select(F.lit(name_).alias("what"), keys[name_].alias("key"))
         out = part if out is None else out.unionByName(part)
+    dropped(spark, step)
     return out
 
 

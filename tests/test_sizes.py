@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pennyweight.functions import names
 from pennyweight.operators import families, identity, index, once, repeats, searching
-from pennyweight.plans import catalogue
+from pennyweight.plans import catalogue, io, ledger
 from pennyweight.sources import programs
 
 SF = "/root/testdata/sf0.001"
@@ -138,3 +138,16 @@ def test_documents_are_packed_and_made_by_one_shuffle(spark):
     assert plan(docs).count("Exchange hashpartitioning") == 1
     sizes = sorted(r["n"] for r in docs.collect())
     assert sizes == [1] * 32 + [2] + [7] * 8 and docs.select("doc_id").distinct().count() == len(sizes)
+
+
+def test_closed_sample_makes_the_ledger_once(spark, monkeypatch):
+    made, whole = spark.sparkContext.accumulator(0), io.items(spark, SF, "id")
+
+    @F.udf("string")
+    def told(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(io, "items", lambda *a: ledger.items(*a).withColumn("id", told("id")))
+    found = catalogue.QUERIES["k10_closed_sample"](spark, SF)
+    assert found.count() > 0 and made.value == whole.count()
